@@ -88,20 +88,27 @@ def owners(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of buf[start:end] for ascending starts, in segments of bounded size."""
-    out, table, a, n = np.empty(len(starts), U), _LOWER_TABLE if lower else _TABLE, 0, len(starts)
+    """64-bit hashes of buf[start:end] for ascending starts, in segments of bounded size.
+
+    With a two-dimensional `ends`, each of its rows gives another end for every start.
+    """
+    many = np.atleast_2d(ends)
+    out, table, a, n = np.empty(many.shape, U), _LOWER_TABLE if lower else _TABLE, 0, len(starts)
     while a < n:
         base = starts[a]
         b = max(a + 1, int(np.searchsorted(starts, base + BLOCK_BYTES)))
-        top = int(ends[a:b].max())
+        top = int(many[:, a:b].max())
         up, down = powers(top - base + 1)
         sums = np.empty(top - base + 1, U)
         sums[0] = 0
         np.cumsum(table[buf[base:top]] * up[: top - base], out=sums[1:])
         s = starts[a:b] - base
-        out[a:b] = (sums[ends[a:b] - base] - sums[s]) * down[s] + (ends[a:b] - starts[a:b]).astype(U)
+        head, scale = sums[s], down[s]
+        for i, e in enumerate(many):
+            out[i, a:b] = (sums[e[a:b] - base] - head) * scale + (e[a:b] - starts[a:b]).astype(U)
         a = b
-    return mix(out)
+    out = mix(out)
+    return out if ends.ndim == 2 else out[0]
 
 
 _LANES = mix(np.arange(1, 65, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
@@ -151,6 +158,11 @@ def segment_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return sums[offs[1:]] - sums[offs[:-1]]
 
 
+def code_points(buf: np.ndarray) -> np.ndarray:
+    """Code points of the buffer before each byte, and at its end their number."""
+    return np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+
+
 def longs(x: np.ndarray) -> pa.Array:
     """Unsigned hashes as signed 64-bit integers of the same bits."""
     return pa.array(x.view(np.int64))

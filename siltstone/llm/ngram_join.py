@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernel as K
-from siltstone.llm.shared import bloom, connected_components, maybe_listed, written
+from siltstone.llm.shared import bloom, connected_components, maybe_listed, without, written
 
 WORDS = 5
 #: A link needs 100 * shared >= PERCENT * union; the windows below are made for 75 and hold above it.
@@ -76,7 +76,7 @@ def _profile(batches):
 def _window_signatures(vals, at, rows, window, allowed):
     """Kept signatures of the texts `rows`, each in its window, and the text of each."""
     n = at[rows + 1] - at[rows]
-    pick = np.repeat(at[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    pick = np.repeat(at[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     v, text = vals[pick], np.repeat(np.arange(len(rows)), n)
     parts = _parts(window)[text].astype(K.U)
     # Shingles ascend within a text, so the parts, ranges of their upper halves, do too.
@@ -92,7 +92,7 @@ def _window_signatures(vals, at, rows, window, allowed):
     order = np.argsort(sig, kind="quicksort")
     order = order[np.argsort(text[order], kind="stable")]
     m = np.bincount(text, minlength=len(rows))
-    rank = np.arange(len(order)) - np.repeat(np.concatenate([[0], np.cumsum(m)[:-1]]), m)
+    rank = np.arange(len(order)) - np.repeat((np.cumsum(m) - m), m)
     kept = order[rank < (allowed + _spare(n))[text[order]]]
     return sig[kept], rows[text[kept]]
 
@@ -179,7 +179,6 @@ def ngram_components(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents less all but the least doc_id of each component; documents without words stay."""
+    """The documents less all but the least doc_id of each component; documents without words or id stay."""
     found = ngram_components(documents)
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti")
+    return without(documents, "doc_id", found.filter("component_id <> doc_id").select("doc_id"))

@@ -82,6 +82,14 @@ def maybe_listed(rows: DataFrame, key: str, filter_: DataFrame, keep: bool = Tru
     return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop(*extra)
 
 
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in the one-column table `gone`; only those the filter may hold are shuffled."""
+    gone = written(gone.select(key).distinct(), "gone")
+    probed = maybe_listed(rows, key, bloom(gone, key), keep=False)
+    kept = probed.filter("NOT maybe").unionByName(probed.filter("maybe").join(gone, key, "left_anti"))
+    return kept.select(*rows.columns)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): the least node reachable, itself included.
 
