@@ -64,7 +64,7 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 _OP2 = rf"""
 WITH RECURSIVE cut AS (
-  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, [x FOR x IN regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents
 ), word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut),
 five AS (
   SELECT doc_id, w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d || ' ' || lead(w, 4) OVER d AS g
@@ -89,9 +89,9 @@ FROM documents d LEFT JOIN n USING (doc_id)
 _OP5 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS chief FROM pages)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((
     (strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1
-  ) >> CAST(3 - 5 * i % 4 AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  ) >> CAST(3 - 5 * i % 4 AS BIGINT)) & 31) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
   CASE WHEN page_id = chief THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> chief THEN chief END AS refers_to
 FROM p
 """
@@ -103,8 +103,8 @@ named AS (
 ), canon AS (
   SELECT page_id, host, path, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '')
     || regexp_replace(regexp_replace(regexp_replace(path, '/index\.html?$', ''), '\.html?$', ''), '/+$', '')
-    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
-         x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') END AS c
+    || coalesce('?' || nullif(array_to_string(list_sort([x FOR x IN string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&')
+         IF x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)')]), '&'), ''), '') END AS c
   FROM named
 ), ruled AS (
   SELECT *, CASE
