@@ -71,6 +71,15 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[: (len(words) + 1) // 2]), " ".join(words[(len(words) + 1) // 2 :])
 
 
+_LOW = K.U((1 << 18) - 1)
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of many ranges, and the range of each."""
+    size = end - start
+    return np.repeat(np.arange(len(size)), size), np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 @dataclass
 class Index:
     ids: np.ndarray
@@ -80,8 +89,11 @@ class Index:
     entry_at: np.ndarray  # CSR by term: blocks in which it occurs, and its maximum there
     entry_block: np.ndarray
     entry_max: np.ndarray
-    block_terms: list[np.ndarray]
-    block_weights: list[np.ndarray]
+    posting_at: np.ndarray  # CSR by entry: the items of the block that have the term, and their weights
+    posting_item: np.ndarray
+    posting_weight: np.ndarray
+    blocks: int
+    seen: np.ndarray  # bitmap of the low bits of the terms
     questions: list[tuple[int, np.ndarray]]
     answers: list[tuple[int, np.ndarray]]
     threshold: float
@@ -108,14 +120,9 @@ class Index:
         key, at = np.unique(term * max(blocks, 1) + item // BLOCK_ITEMS, return_inverse=True)
         top = np.zeros(len(key))
         np.maximum.at(top, at, w)
-        block_terms, block_weights = [], []
-        for b in range(blocks):
-            mine = item // BLOCK_ITEMS == b
-            used, row = np.unique(term[mine], return_inverse=True)
-            grid = np.zeros((len(used), BLOCK_ITEMS))
-            grid[row, item[mine] % BLOCK_ITEMS] = w[mine]
-            block_terms.append(used)
-            block_weights.append(grid)
+        order = np.argsort(at, kind="stable")
+        seen = np.zeros(1 << 18, bool)
+        seen[(terms & _LOW).astype(np.int64)] = True
         parts = [[], []]
         for _, text in items:
             for out, part in zip(parts, split_item(text), strict=True):
@@ -124,21 +131,23 @@ class Index:
                 out.append((size, np.unique(_ngrams(h, size))))
         return cls(
             np.array([i for i, _ in items], np.int64), int(max(32, length.max() if n else 0)), terms, list_max, np.searchsorted(key // max(blocks, 1), np.arange(len(terms) + 1)),
-            key % max(blocks, 1), top, block_terms, block_weights, parts[0], parts[1], threshold,
+            key % max(blocks, 1), top, np.searchsorted(at[order], np.arange(len(key) + 1)), item[order], w[order], blocks, seen, parts[0], parts[1], threshold,
         )
 
     def hits(self, words: np.ndarray, doc: np.ndarray, n_docs: int) -> list[tuple[int, int, float, float, float]]:
         """(text, item id, score, question overlap, answer overlap) of a run of texts, once a pair."""
         if not len(self.terms) or not len(words):
             return []
-        place = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
-        known = np.flatnonzero(self.terms[place] == words)
+        known = np.flatnonzero(self.seen[(words & _LOW).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.terms, words[known]), len(self.terms) - 1)
+        true = self.terms[place] == words[known]
+        known, place = known[true], place[true]
         # Runs of `half` words; a passage is a run and the next one of the same text.
         first = np.searchsorted(doc, np.arange(n_docs + 1))
         runs_of = -(-np.diff(first) // self.half)
         run_base = np.concatenate([[0], np.cumsum(runs_of)])
         run = run_base[doc[known]] + (known - first[doc[known]]) // self.half
-        pair = np.unique(run * len(self.terms) + place[known])
+        pair = np.unique(run * len(self.terms) + place)
         run, term = pair // len(self.terms), pair % len(self.terms)
         n_runs = run_base[-1]
         last = np.zeros(n_runs, bool)
@@ -152,28 +161,26 @@ class Index:
         at = np.searchsorted(run, np.arange(n_runs + 1))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         text_of = np.repeat(np.arange(n_docs), runs_of)
-        blocks = len(self.block_terms)
-        for passage in np.array_split(alive, -(-len(alive) * blocks // 2_000_000)):
+        for passage in np.array_split(alive, -(-len(alive) * self.blocks // 2_000_000)):
             end = np.where(last[passage], passage + 1, passage + 2)
-            size = at[end] - at[passage]
-            who = np.repeat(np.arange(len(passage)), size)
-            mine = term[np.repeat(at[passage] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            count = self.entry_at[mine + 1] - self.entry_at[mine]
-            entry = np.repeat(self.entry_at[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            cell = np.repeat(who, count) * blocks + self.entry_block[entry]
+            who, take = _ranges(at[passage], at[end])
+            distinct = np.unique(who * len(self.terms) + term[take])
+            who, mine = distinct // len(self.terms), distinct % len(self.terms)
+            owner, entry = _ranges(self.entry_at[mine], self.entry_at[mine + 1])
+            cell = who[owner] * self.blocks + self.entry_block[entry]
             bounds = np.bincount(cell, self.entry_max[entry])
-            for c in np.flatnonzero(bounds >= self.threshold - eps):
-                p, b = passage[c // blocks], c % blocks
-                e = p + 1 if last[p] else p + 2
-                held = np.isin(self.block_terms[b], term[at[p] : at[e]])
-                scores = held @ self.block_weights[b]
-                for k in np.flatnonzero(scores >= self.threshold - eps):
-                    item, text = int(b * BLOCK_ITEMS + k), int(text_of[p])
-                    begin = first[text] + (p - run_base[text]) * self.half
-                    span = words[begin : min(begin + 2 * self.half, first[text + 1])]
-                    q, a, both = self._overlap(item, span)
-                    if both >= OVERLAP:
-                        best[text, item] = max(best.get((text, item), (0, 0, 0)), (float(scores[k]), q, a))
+            open_ = bounds[cell] >= self.threshold - eps
+            cell, entry = cell[open_], entry[open_]
+            owner, posting = _ranges(self.posting_at[entry], self.posting_at[entry + 1])
+            pair, number = np.unique(cell[owner] // self.blocks * len(self.ids) + self.posting_item[posting], return_inverse=True)
+            scores = np.bincount(number, self.posting_weight[posting], len(pair))
+            for k in np.flatnonzero(scores >= self.threshold - eps):
+                p, item = passage[pair[k] // len(self.ids)], int(pair[k] % len(self.ids))
+                text = int(text_of[p])
+                begin = first[text] + (p - run_base[text]) * self.half
+                q, a, both = self._overlap(item, words[begin : min(begin + 2 * self.half, first[text + 1])])
+                if both >= OVERLAP:
+                    best[text, item] = max(best.get((text, item), (0, 0, 0)), (float(scores[k]), q, a))
         return [(text, int(self.ids[item]), *x) for (text, item), x in sorted(best.items())]
 
     def _overlap(self, item: int, span: np.ndarray) -> tuple[float, float, float]:
