@@ -104,7 +104,7 @@ class Index:
         words = [_of_text(t or "") for _, t in items]
         items, words = [x for x, w in zip(items, words, strict=True) if len(w)], [w for w in words if len(w)]
         n = len(items)
-        length = np.array([len(w) for w in words])
+        length = np.array([len(w) for w in words], np.int64)
         owner = np.repeat(np.arange(n), length)
         terms, term = np.unique(np.concatenate([*words, np.zeros(0, K.U)]), return_inverse=True)
         pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + owner, return_counts=True)

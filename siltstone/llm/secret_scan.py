@@ -36,7 +36,7 @@ _KEYWORD = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _
 _ASSIGN = re.compile(rf"""(?:{_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_B64 = re.compile(r"(?:M[A-I]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{20,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_B64 = re.compile(r"(?:M[A-I]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{20,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
 _B64_BEFORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_")
 _KEY_HEX = re.compile(r"30[0-9a-fA-F]{60,}")
 _TOKEN = re.compile(r"ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")

@@ -49,10 +49,9 @@ class Vocabulary:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(m.vocab_size())
         kind = lambda i: "u" if m.is_unknown(i) else "b" if m.is_byte(i) else "c" if m.is_control(i) or m.is_unused(i) else "n"
-        return cls([m.id_to_piece(i) for i in ids], np.array([m.get_score(i) for i in ids], np.float64), "".join(map(kind, ids)))
-
-    def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("pieces", "scores", "kinds")}
+        vocab = cls([m.id_to_piece(i) for i in ids], np.array([m.get_score(i) for i in ids], np.float64), "".join(map(kind, ids)))
+        vocab._keys, vocab.joined, vocab.piece_bytes  # noqa: B018  made once, and sent to the tasks with the rest
+        return vocab
 
     @cached_property
     def normal(self) -> list[int]:
@@ -97,12 +96,14 @@ class Vocabulary:
     @cached_property
     def joined(self) -> np.ndarray:
         """By 256 * byte + next byte, whether some piece holds both; bytes of one code point always go together."""
-        out = np.zeros(1 << 16, bool)
-        out.reshape(256, 256)[:, 0x80:0xC0] = True
-        for i in self.normal:
-            raw = np.frombuffer(self.pieces[i].replace(chr(MARK), " ").encode(), np.uint8).astype(np.uint16)
-            out[(raw[:-1] << 8) | raw[1:]] = True
-        return out
+        out = np.zeros((256, 256), bool)
+        out[:, 0x80:0xC0] = True
+        # A mark stands for itself and for a space.
+        last = lambda c: (32, 0x81) if ord(c) == MARK else (c.encode()[-1],)
+        first = lambda c: (32, 0xE2) if ord(c) == MARK else (c.encode()[0],)
+        for a, b in {pair for i in self.normal for pair in zip(self.pieces[i], self.pieces[i][1:], strict=False)}:
+            out[np.ix_(last(a), first(b))] = True
+        return out.ravel()
 
     @cached_property
     def piece_bytes(self) -> tuple[np.ndarray, np.ndarray]:
