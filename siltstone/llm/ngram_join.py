@@ -5,8 +5,9 @@ of shingle hashes is cut into a fixed number of parts, and a set's projection on
 Two sets with Jaccard similarity of at least 3/4 differ in a bounded number k of shingles, so of the m
 non-empty parts of either at least m - k agree.  Subsets of parts are therefore enumerated as singletons, and
 of a set's m signatures, in one global order, k + e are kept: two linked sets then share at least e of them
-(e grows with the set).  Signatures that occur once vanish, sets that share fewer than they must with all
-others together vanish, and of the rest each set needs only its rarest shared ones.
+(e grows with the set).  Signatures that occur once vanish, and so do sets that share fewer than they must
+with all others together.  On the few sets left the domain is cut as finely as can be, into single shingles,
+which tells more: a set must share 3/4 of its shingles, and needs only the rarest of these as signatures.
 
 Candidates are verified on whole shingle sets.  Pairs within a group of sets that share a signature are not
 all emitted: first each is compared with the group's most central set, then only sets that are still in
@@ -54,7 +55,14 @@ def _parts(window: np.ndarray) -> np.ndarray:
 
 
 def _spare(n: np.ndarray) -> np.ndarray:
-    return np.maximum(1, n // 32)
+    """Signatures kept beyond the differences allowed; small sets keep all."""
+    return np.where(n < 86, n, np.maximum(1, n // 16))
+
+
+def _least(n: np.ndarray) -> np.ndarray:
+    """Signatures that a set shares with any set it is linked to."""
+    need = (3 * n + 3) // 4
+    return np.where(n < _SMALL, need, np.maximum(1, need // 16))
 
 
 def _profile(batches):
@@ -67,7 +75,7 @@ def _profile(batches):
                 pa.array(n),
                 K.longs(K.segment_sums(K.mix(vals), at)),
                 K.longs(K.segment_sums(K.mix(vals ^ K.U(0xA5A5A5A5A5A5A5A5)), at)),
-                pa.array(_spare((3 * n + 3) // 4)),
+                pa.array(_least(n)),
             ],
             names=["doc_id", "n_shingles", "k1", "k2", "least"],
         )
@@ -117,6 +125,11 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), K.lists(K.longs(vals), at)], names=["doc_id", "shingles"])
 
 
+def _able(n: str, own: str, n_b: str, own_b: str) -> str:
+    """Whether two sets' sizes, and what either shares with any other set, allow a link."""
+    return f"4 * least({n}, {n_b}) >= 3 * greatest({n}, {n_b}) AND 7 * least({own}, {own_b}) >= 3 * ({n} + {n_b})"
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose whole shingle sets reach the similarity."""
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -136,37 +149,42 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     profile = written(docs.mapInArrow(_profile, "doc_id long, n_shingles long, k1 long, k2 long, least long"), "profile")
     classes = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("class_id"), F.first("least").alias("least"))
     classes = written(classes, "classes")
-    heads = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.min("least").alias("least"), F.max("n_shingles").alias("n"))
+    heads = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.min("least").alias("least"))
 
     by_sig = Window.partitionBy("sig")
-    by_doc = Window.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(1)))
-    enough = F.count(F.lit(1)).over(by_doc) >= F.col("least")
+    by_window = Window.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(1)))
+    enough = F.count(F.lit(1)).over(by_window) >= F.col("least")
     found = known.mapInArrow(_signatures, "sig long, doc_id long").withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1").drop("n_sig")
     shared = written(found.join(heads, "doc_id").withColumn("enough", enough).filter("enough").drop("enough"), "shared")
     counted = shared.withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1")
-    rank = F.row_number().over(by_doc.orderBy("n_sig", "sig"))
-    n_own = F.count(F.lit(1)).over(by_doc)
-    rare = written(
-        counted.withColumn("n_own", n_own).withColumn("rank", rank).filter("n_own >= least AND rank <= n_own - least + 1").select("sig", "doc_id", "n", "n_own", "n_sig"), "rare"
-    )
+    own = counted.groupBy("doc_id", F.col("sig").bitwiseAND(F.lit(1)).alias("window")).agg(F.count(F.lit(1)).alias("n_own"), F.first("least").alias("least"))
+    alive = written(own.filter("n_own >= least").select("doc_id").distinct(), "alive")
 
-    # Round one: every set against the most central set of each of its groups.
-    groups = rare.groupBy("sig").agg(F.max(F.struct(F.col("n_own") / F.col("n"), -F.col("doc_id"), F.col("n").alias("n"))).alias("hub"), F.count(F.lit(1)).alias("n_sig"))
-    groups = groups.filter("n_sig > 1").select("sig", (-F.col("hub.col2")).alias("hub_id"), F.col("hub.n").alias("hub_n"))
-    near = "4 * least(n, hub_n) >= 3 * greatest(n, hub_n)"
-    first = rare.drop("n_sig").join(groups, "sig").filter(f"doc_id <> hub_id AND {near}").select(F.least("doc_id", "hub_id").alias("a"), F.greatest("doc_id", "hub_id").alias("b")).distinct()
-    wanted = rare.select("doc_id").distinct()
-    texts = maybe_listed(known, "doc_id", bloom(wanted, "doc_id")).join(wanted, "doc_id", "left_semi")
+    # The whole sets of what is left, and single shingles as signatures.
+    texts = maybe_listed(known, "doc_id", bloom(alive, "doc_id")).join(alive, "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+    by_doc, need = Window.partitionBy("doc_id"), "(3 * n + 3) div 4"
+    single = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sig"))
+    common = single.withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1").withColumn("n_own", F.count(F.lit(1)).over(by_doc)).filter(f"n_own >= {need}")
+    common = written(common.select("doc_id", "n", "sig"), "common")
+    again = common.withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1").withColumn("n_own", F.count(F.lit(1)).over(by_doc))
+    ranked = again.withColumn("rank", F.row_number().over(by_doc.orderBy("n_sig", "sig")))
+    rare = written(ranked.filter(f"n_own >= {need} AND rank <= n_own - {need} + 1").select("sig", "doc_id", "n", "n_own"), "rare")
+
+    # Round one: every set against the most central set of each of its groups.
+    groups = rare.groupBy("sig").agg(F.max(F.struct(F.col("n_own") / F.col("n"), -F.col("doc_id"), F.col("n").alias("n"), F.col("n_own").alias("n_own"))).alias("hub"), F.count(F.lit(1)).alias("n_sig"))
+    groups = groups.filter("n_sig > 1").select("sig", (-F.col("hub.col2")).alias("hub_id"), F.col("hub.n").alias("hub_n"), F.col("hub.n_own").alias("hub_own"))
+    first = rare.join(groups, "sig").filter("doc_id <> hub_id AND " + _able("n", "n_own", "hub_n", "hub_own"))
+    first = written(first.select(F.least("doc_id", "hub_id").alias("a"), F.greatest("doc_id", "hub_id").alias("b")).distinct(), "first")
     links = written(_linked(first, sets), "links")
     parts = connected_components(links)
 
     # Round two: what shares a signature and is not yet in one component.
-    placed = rare.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).select("sig", "doc_id", "n", "part")
+    placed = rare.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).select("sig", "doc_id", "n", "n_own", "part")
     mixed = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("sig")
     open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
-    other = open_.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    second = open_.join(other, "sig").filter("doc_id < b AND part <> part_b AND 4 * least(n, n_b) >= 3 * greatest(n, n_b)").select(F.col("doc_id").alias("a"), "b").distinct()
+    other = open_.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("n_own").alias("own_b"), F.col("part").alias("part_b"))
+    second = open_.join(other, "sig").filter("doc_id < b AND part <> part_b AND " + _able("n", "n_own", "n_b", "own_b")).select(F.col("doc_id").alias("a"), "b").distinct()
     more = written(_linked(second.join(first, ["a", "b"], "left_anti"), sets), "more")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
