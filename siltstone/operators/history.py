@@ -38,11 +38,11 @@ def export_lines(snapshot: DataFrame, data: Column) -> DataFrame:
     return snapshot.select("record_id", F.concat(F.lit('{"id":'), quoted, F.lit(',"revision":'), F.col("revision").cast("string"), F.lit(',"data":'), data, F.lit("}\n")).alias("line"))
 
 
-def export_pages(lines: DataFrame, max_rows: int = EXPORT_ROWS, max_bytes: int = EXPORT_BYTES, prefix: int = 2) -> DataFrame:
+def export_pages(lines: DataFrame, max_rows: int = EXPORT_ROWS, max_bytes: int = EXPORT_BYTES, prefix: int = 6) -> DataFrame:
     """Pages of at most so many rows and bytes: first_id, rows, bytes, sha256, body; their order is that of first_id.
 
-    Records are cut by their ids' first characters, and each cut is paged apart, so that no window spans the
-    whole.  A page is a run of rows for which the number of rows, and of half byte limits, before it is the same:
+    Records are cut by their ids' first characters (so many that a cut is a few pages), and each cut is paged
+    apart, so that no window spans the whole.  A page is a run of rows for which the number of rows, and of half byte limits, before it is the same:
     it passes the byte limit only if one line alone does.
     """
     cut = lines.withColumn("n_bytes", F.octet_length("line")).withColumn("cut", F.substring("record_id", 1, prefix))

@@ -45,19 +45,19 @@ _LINES = (
     + """, lines AS (
   SELECT record_id, '{"id":"' || record_id || '","revision":' || revision || ',"data":{"event":"' || event_type || '"}}' || chr(10) AS line
   FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) AS r FROM log) WHERE r = 1 AND op <> 'delete'
-), numbered AS (SELECT *, (row_number() OVER (ORDER BY record_id) - 1) // 40 AS page FROM lines),
-pages AS (SELECT min(record_id) AS first_id, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY record_id)) AS sha256 FROM numbered GROUP BY page) """
+), numbered AS (SELECT *, left(record_id, 9) AS cut, (row_number() OVER (PARTITION BY left(record_id, 9) ORDER BY record_id) - 1) // 40 AS page FROM lines),
+pages AS (SELECT min(record_id) AS first_id, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY record_id)) AS sha256 FROM numbered GROUP BY cut, page) """
 )
 
 
 @query(_LINES + "SELECT * FROM pages")
 def export_pages(spark, d):
-    return history.export_pages(_lines(spark, d), max_rows=40).drop("body")
+    return history.export_pages(_lines(spark, d), max_rows=40, prefix=9).drop("body")
 
 
 @query(_LINES + "SELECT count(*) AS pages, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(sha256, '' ORDER BY first_id)) AS digest FROM pages")
 def export_manifest_digest(spark, d):
-    return history.manifest(history.export_pages(_lines(spark, d), max_rows=40))
+    return history.manifest(history.export_pages(_lines(spark, d), max_rows=40, prefix=9))
 
 
 @query("SELECT l_returnflag, count(*) AS n, regexp_replace(CAST(sum(CAST(CAST(l_tax AS VARCHAR) AS DECIMAL(38, 6))) AS VARCHAR), '\\.?0+$', '') AS total, min(l_shipdate)::VARCHAR AS first_at FROM lineitem GROUP BY l_returnflag")

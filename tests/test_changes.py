@@ -84,7 +84,7 @@ def test_export_pages_hold_every_line_once(spark):
     assert [json.loads(x)["id"] for x in text.splitlines()] == sorted(k for k, _ in rows)
     for p in pages:
         assert p.rows <= 50 and p.bytes <= 4000 and p.sha256 == hashlib.sha256(p.body.encode()).hexdigest() and p.bytes == len(p.body.encode())
-    m = history.manifest(history.export_pages(lines, max_rows=50, max_bytes=4000)).first()
+    m = history.manifest(history.export_pages(lines, max_rows=50, max_bytes=4000, prefix=2)).first()
     assert m.digest == hashlib.sha256("".join(p.sha256 for p in pages).encode()).hexdigest() and m.rows == 500
 
 
