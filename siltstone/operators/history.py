@@ -55,6 +55,6 @@ def export_pages(lines: DataFrame, max_rows: int = EXPORT_ROWS, max_bytes: int =
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """One row: pages, rows, bytes, and the digest of the pages' digests in order (a page is a thousand records, a digest 64 bytes)."""
+    """One row: pages, rows, bytes, and the digest of the pages' digests in order; an export has 10,000 pages at most."""
     digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "sha256"))), lambda s: s.sha256), "")
     return pages.agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sha2(digests, 256).alias("digest"))

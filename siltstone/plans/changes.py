@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import evidence, history, mutate
+from siltstone.operators import access, evidence, history, jobs, mutate
 from siltstone.plans.inputs import LOG_SQL, change_log, table
 from siltstone.plans.registry import query
 from siltstone.streaming import feeds
@@ -84,10 +84,10 @@ c AS (SELECT record_id, min(ordinal) AS born FROM r WHERE operation = 'create' G
 x AS (SELECT r.record_id, min(ordinal) AS died FROM r JOIN c USING (record_id) WHERE operation = 'delete' AND ordinal > born GROUP BY r.record_id),
 o AS (SELECT r.*, CASE WHEN born IS NULL OR ordinal < born THEN 'NOT_FOUND' WHEN operation = 'create' THEN CASE WHEN ordinal = born THEN 'ok' WHEN died IS NOT NULL AND ordinal > died THEN 'KEY_RESERVED' ELSE 'CONFLICT' END
   WHEN died IS NOT NULL AND ordinal > died THEN 'NOT_FOUND' ELSE 'ok' END AS outcome FROM r LEFT JOIN c USING (record_id) LEFT JOIN x USING (record_id))
-SELECT record_id, ordinal, outcome, CASE WHEN outcome = 'ok' THEN count(*) FILTER (outcome = 'ok') OVER (PARTITION BY record_id ORDER BY ordinal) END AS revision,
+SELECT record_id, ordinal, outcome, CASE WHEN outcome = 'ok' THEN count(*) FILTER (outcome = 'ok') OVER (PARTITION BY record_id ORDER BY ordinal) ELSE 0 END AS revision,
   CASE WHEN outcome = 'ok' AND operation <> 'delete' THEN '{{"v":' || ordinal || '}}' END AS canonical_data FROM o""")
 def mutation_fold(spark, d):
-    return mutate.fold(_requests(spark, d)).select("record_id", "ordinal", "outcome", "revision", "canonical_data")
+    return mutate.fold(_requests(spark, d)).select("record_id", "ordinal", "outcome", F.coalesce("revision", F.lit(0).cast("long")).alias("revision"), "canonical_data")
 
 
 @query("""
@@ -255,3 +255,47 @@ def outbox_status(spark, d):
 def outbox_superseded(spark, d):
     log = table(spark, d, "events").select("event_id", "user_id", F.col("event_id").alias("revision"))
     return feeds.superseded(log, ["user_id"]).select("event_id", "superseded")
+
+
+@query("""
+SELECT o_orderkey AS request_id, CASE WHEN c_custkey IS NULL OR o_custkey % 100 = 99 THEN 'NOT_FOUND' WHEN o_orderkey % 7 = 0 THEN 'FORBIDDEN' WHEN c_nationkey = 3 THEN 'SPACE_UNAVAILABLE' WHEN o_custkey % 100 = 50 THEN 'NOT_FOUND'
+  WHEN o_orderstatus = 'P' THEN 'FORBIDDEN' WHEN o_orderstatus = 'F' AND (c_nationkey = 4 OR o_custkey % 100 = 10) THEN 'SPACE_UNAVAILABLE' ELSE 'ok' END AS outcome
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def scope_checks(spark, d):
+    """Orders as requests: spaces are nations, collections customers; nation 3 is suspended, nation 4 read-only."""
+    customer = table(spark, d, "customer")
+    asked = table(spark, d, "orders").join(customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("space_id")), "o_custkey", "left")
+    requests = asked.select(
+        F.col("o_orderkey").alias("request_id"), "space_id", F.col("o_custkey").alias("collection_id"), F.lit("k1").alias("credential"), F.when(F.col("o_orderstatus") == "P", "admin").otherwise("records").alias("capability"),
+        F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(2).alias("policy"), (F.col("o_orderstatus") == "F").alias("write"),
+    )
+    spaces = table(spark, d, "nation").select(F.col("n_nationkey").alias("space_id"), F.when(F.col("n_nationkey") == 3, "suspended").when(F.col("n_nationkey") == 4, "readOnly").otherwise("active").alias("lifecycle"), F.lit(2).alias("policy"))
+    last = F.col("c_custkey") % 100
+    collections = customer.filter(last != 99).select(F.col("c_nationkey").alias("space_id"), F.col("c_custkey").alias("collection_id"), F.when(last == 50, "deleted").when(last == 10, "readOnly").otherwise("active").alias("lifecycle"))
+    grants = customer.select(F.col("c_nationkey").alias("space_id"), F.col("c_custkey").alias("collection_id"), F.lit("k1").alias("credential"), F.array(F.lit("records")).alias("capabilities"))
+    return access.scope_outcomes(requests, spaces, collections, grants).select("request_id", "outcome")
+
+
+@query("SELECT n_name AS collection_id, CASE WHEN n_nationkey % 2 = 0 THEN 'name' ELSE '' END AS ready, CASE WHEN n_nationkey % 2 = 0 THEN 'region' ELSE 'name,region' END AS pending FROM nation WHERE n_nationkey < 20 AND n_nationkey <> 5 AND n_name > 'C' ORDER BY n_name LIMIT 9")
+def collection_discovery(spark, d):
+    n = table(spark, d, "nation")
+    collections = n.select(F.col("n_name").alias("collection_id"), F.when(F.col("n_nationkey") == 5, "deleted").otherwise("active").alias("lifecycle"))
+    fields = n.select(F.col("n_name").alias("collection_id"), F.explode(F.array(F.struct(F.lit("name").alias("field"), (F.col("n_nationkey") % 2 == 0).alias("ready")), F.struct(F.lit("region").alias("field"), F.lit(False).alias("ready")))).alias("x")).select("collection_id", "x.*")
+    out = access.discover(collections, fields, n.filter("n_nationkey < 20").select(F.col("n_name").alias("collection_id")), "C")
+    return out.select("collection_id", F.array_join("ready", ",").alias("ready"), F.array_join("pending", ",").alias("pending"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, max(l_extendedprice) AS most, CAST(sum(CAST(CAST(l_quantity AS VARCHAR) AS DECIMAL(38, 2))) AS VARCHAR) AS quantity FROM lineitem GROUP BY l_returnflag")
+def snapshot_job(spark, d):
+    """An aggregate job in four cuts, stopped after none of its time is left and then gone on with."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    import uuid
+
+    folder = f"{base}/siltstone/job-{uuid.uuid4().hex}"
+    rows = table(spark, d, "lineitem")
+    partial = lambda df: df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("most"), F.sum(F.col("l_quantity").cast("decimal(28,2)")).alias("q"))
+    jobs.run(rows, "l_orderkey", partial, folder, 4, budget_s=0.0)
+    jobs.run(rows, "l_orderkey", partial, folder, 4)
+    return jobs.merged(spark, folder, 4, lambda df: df.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("q").cast("string").alias("quantity")))

@@ -9,7 +9,8 @@ from siltstone.functions.canonical import key_column, unique_tuple
 from siltstone.operators.evidence import extract_text as extracted
 from siltstone.plans.inputs import table
 from siltstone.plans.registry import query
-from siltstone.retrieval import bundle, candidates, chunk, generations
+from siltstone.retrieval import bundle, candidates, chunk, coverage, generations
+from siltstone.sources import files
 
 
 @query()
@@ -28,11 +29,11 @@ def chunk_offsets_roundtrip(spark, d):
     return whole.groupBy("doc_id").agg((F.every("same") & (F.max("end") == F.max(F.length("text")))).alias("covered"))
 
 
-@query("SELECT page_id AS source_id, CAST(length(html) AS BIGINT) AS n, CAST(strlen(html) AS BIGINT) AS source_end, CAST(NULL AS VARCHAR) AS code FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, NULL, NULL, 'UNSUPPORTED' FROM pages WHERE page_id % 2 = 1")
+@query("SELECT page_id AS source_id, CAST(length(html) AS BIGINT) AS n, CAST(strlen(html) AS BIGINT) AS source_end, CAST(NULL AS VARCHAR) AS code FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 0, 0, 'UNSUPPORTED' FROM pages WHERE page_id % 2 = 1")
 def extract_text(spark, d):
     mime = F.when(F.col("page_id") % 2 == 0, "text/plain").otherwise("text/html")
     out = extracted(table(spark, d, "pages").select(F.col("page_id").alias("source_id"), mime.alias("mime"), F.encode("html", "utf-8").alias("content")))
-    return out.select("source_id", F.length("content").cast("long").alias("n"), F.element_at("segments", 1)["source_end"].alias("source_end"), "code")
+    return out.select("source_id", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.element_at("segments", 1)["source_end"], F.lit(0).cast("long")).alias("source_end"), "code")
 
 
 @query()
@@ -168,3 +169,19 @@ def generation_verify(spark, d):
 def apply_fence(spark, d):
     log = table(spark, d, "events").select("user_id", F.col("event_id").alias("revision"), (F.col("event_type") == "error").alias("deleted"), F.lit(None).cast("long").alias("extraction"))
     return generations.applied(log, ["user_id"]).drop("extraction")
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS sha256 FROM documents")
+def text_digests(spark, d):
+    return files.digested(table(spark, d, "documents"), "text").select("doc_id", "n_bytes", "sha256")
+
+
+@query("""
+WITH r AS (SELECT lang, CASE WHEN doc_id % 50 = 0 THEN 3 WHEN doc_id % 7 = 0 AND lang <> 'es' THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS k FROM documents)
+SELECT lang AS collection_id, CASE max(k) WHEN 3 THEN 'unindexed' WHEN 2 THEN 'degraded' WHEN 1 THEN 'pending' ELSE 'current' END AS state, count(*) FILTER (k = 0) AS current, count(*) FILTER (k = 1) AS pending,
+  count(*) FILTER (k = 2) AS degraded, count(*) FILTER (k = 3) AS unindexed FROM r GROUP BY lang""")
+def projection_state(spark, d):
+    docs = table(spark, d, "documents")
+    failed = (F.col("doc_id") % 7 == 0) & (F.col("lang") != "es")
+    outbox = docs.filter("doc_id % 50 <> 0").select("doc_id", failed.cast("int").alias("failures"), (F.col("doc_id") % 3 != 0).alias("delivered"))
+    return coverage.projection_state(docs.select("doc_id", F.col("lang").alias("collection_id")), outbox, ["doc_id"])

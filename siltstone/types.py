@@ -20,6 +20,7 @@ PAGE_ROWS = 100
 PAGE_BYTES = 2_097_152
 EXPORT_ROWS = 1000
 EXPORT_BYTES = 1_048_576
+EXPORT_PAGES = 10_000
 FEED_ROWS = 100
 MAX_INDEXED_FIELDS = 16
 MAX_DEPTH = 32
