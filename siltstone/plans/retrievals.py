@@ -13,7 +13,18 @@ from siltstone.retrieval import bundle, candidates, chunk, coverage, generations
 from siltstone.sources import files
 
 
-@query()
+def _end(start):
+    """Where the chunk from `start` ends: with the text, or after the last white space of its second half."""
+    half = rf"length(regexp_extract(substr(text, {start} + 501, 500), '(?s)^(.*\s)', 1))"
+    return f"CASE WHEN {start} + 1000 >= length(text) THEN length(text) ELSE {start} + 500 + CASE WHEN {half} > 0 THEN {half} ELSE 500 END END"
+
+
+@query(f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS s, CAST({_end('0')} AS BIGINT) AS e FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, c.e - 100, CAST({_end('(c.e - 100)')} AS BIGINT) FROM c JOIN documents USING (doc_id) WHERE c.e < length(text)
+), part AS (SELECT doc_id AS ref_id, s AS start, e AS "end", substr(text, s + 1, e - s) AS content FROM c JOIN documents USING (doc_id))
+SELECT ref_id, CAST(row_number() OVER (PARTITION BY ref_id ORDER BY start) - 1 AS INTEGER) AS chunk_index, start, "end", content FROM part WHERE trim(content, chr(32) || chr(10)) <> ''""")
 def chunk_documents(spark, d):
     return chunk.chunked(table(spark, d, "documents"), "doc_id", "text")
 
