@@ -8,7 +8,9 @@ member of its own, and beside the file a sidecar index of the members' offsets,
 Reading back deals the index entries, and each record is read alone by its offset.
 
 Files are opened by URI with pyarrow in the tasks, and only ever written whole under a temporary name and then
-moved, so a task run again gives the same files.  The folder must be one that all executors share.
+moved.  Archives carry their task attempt in the name, and only those that the list of files written names are
+read on, so what a lost or repeated task left behind does not count.  The folder must be one that all executors
+share.
 
 Null or empty html is an empty payload; such pages, too, are one response and revisits.  Rows
 that repeat the largest page_id of a payload are each a response.  A null page_id is written as such and is
@@ -100,7 +102,8 @@ def _write_monolithic(folder: str, roll: int):
 
         store, path = _store(folder)
         store.create_dir(path, recursive=True)
-        part, serial, out, gz, size, n = TaskContext.get().partitionId(), 0, None, None, 0, 0
+        task = TaskContext.get()
+        part, serial, out, gz, size, n = f"{task.partitionId():05d}-{task.taskAttemptId()}", 0, None, None, 0, 0
 
         def close():
             out.write(gz.flush())
@@ -110,7 +113,7 @@ def _write_monolithic(folder: str, roll: int):
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
                 if out is None:
-                    out, gz, size, n = _Whole(store, f"{path}/pages-{part:05d}-{serial:05d}.warc.gz"), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
+                    out, gz, size, n = _Whole(store, f"{path}/pages-{part}-{serial:05d}.warc.gz"), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
                 data = record(*[x.as_py() for x in row], tag=f"{part}/{serial}/{n}")
                 out.write(gz.compress(data))
                 size, n = size + len(data), n + 1
@@ -180,10 +183,14 @@ def _normalise(source: str, target: str, level: int):
     return run
 
 
-def normalise(spark: SparkSession, source: str, target: str, level: int = 6) -> DataFrame:
-    """Rewrite the archives *.warc.gz of a folder, record by record, into another, with sidecar indexes; (file, records) of each."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select(F.element_at(F.split("path", "/"), -1).alias("file"))
-    tasks = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+def normalise(spark: SparkSession, source: str, target: str, files: DataFrame | None = None, level: int = 6) -> DataFrame:
+    """Rewrite the archives *.warc.gz of a folder (or those in `files`), record by record, into another, with sidecar indexes.
+
+    One row per archive: file, records.
+    """
+    if files is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(source).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    tasks = files.select("file").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
     return tasks.mapInArrow(_normalise(source, target, level), "file string, records long")
 
 
@@ -243,7 +250,8 @@ def archived(pages: DataFrame, folder: str, roll: int = ROLL_BYTES) -> DataFrame
     spark = pages.sparkSession
     raw, whole = f"{folder}/monolithic", f"{folder}/members"
     roles(pages).mapInArrow(_write_monolithic(raw, roll), "file string, records long").write.mode("overwrite").parquet(f"{folder}/written")
-    if not spark.read.parquet(f"{folder}/written").isEmpty():
-        normalise(spark, raw, whole).write.mode("overwrite").parquet(f"{folder}/normalised")
+    files = spark.read.parquet(f"{folder}/written")
+    if not files.isEmpty():
+        normalise(spark, raw, whole, files).write.mode("overwrite").parquet(f"{folder}/normalised")
         return read_back(spark, whole)
     return spark.createDataFrame([], RECORD)
