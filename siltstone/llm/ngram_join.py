@@ -125,9 +125,9 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), K.lists(K.longs(vals), at)], names=["doc_id", "shingles"])
 
 
-def _able(n: str, own: str, n_b: str, own_b: str) -> str:
-    """Whether two sets' sizes, and what either shares with any other set, allow a link."""
-    return f"4 * least({n}, {n_b}) >= 3 * greatest({n}, {n_b}) AND 7 * least({own}, {own_b}) >= 3 * ({n} + {n_b})"
+#: Of two sets that share a signature, each has `rest` shared shingles from it on, in the order from rare to common.
+#: If it is the rarest that both have, they have no more than the lesser `rest` in common.
+_ABLE = "7 * least(rest, {0}) >= 3 * (n + {1})"
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,22 +169,22 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     common = written(common.select("doc_id", "n", "sig"), "common")
     again = common.withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1").withColumn("n_own", F.count(F.lit(1)).over(by_doc))
     ranked = again.withColumn("rank", F.row_number().over(by_doc.orderBy("n_sig", "sig")))
-    rare = written(ranked.filter(f"n_own >= {need} AND rank <= n_own - {need} + 1").select("sig", "doc_id", "n", "n_own"), "rare")
+    rare = written(ranked.filter(f"n_own >= {need} AND rank <= n_own - {need} + 1").select("sig", "doc_id", "n", "n_own", F.expr("n_own - rank + 1").alias("rest")), "rare")
 
     # Round one: every set against the most central set of each of its groups.
-    groups = rare.groupBy("sig").agg(F.max(F.struct(F.col("n_own") / F.col("n"), -F.col("doc_id"), F.col("n").alias("n"), F.col("n_own").alias("n_own"))).alias("hub"), F.count(F.lit(1)).alias("n_sig"))
-    groups = groups.filter("n_sig > 1").select("sig", (-F.col("hub.col2")).alias("hub_id"), F.col("hub.n").alias("hub_n"), F.col("hub.n_own").alias("hub_own"))
-    first = rare.join(groups, "sig").filter("doc_id <> hub_id AND " + _able("n", "n_own", "hub_n", "hub_own"))
+    groups = rare.groupBy("sig").agg(F.max(F.struct(F.col("n_own") / F.col("n"), -F.col("doc_id"), F.col("n").alias("n"), F.col("rest").alias("rest"))).alias("hub"), F.count(F.lit(1)).alias("n_sig"))
+    groups = groups.filter("n_sig > 1").select("sig", (-F.col("hub.col2")).alias("hub_id"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest"))
+    first = rare.join(groups, "sig").filter("doc_id <> hub_id AND " + _ABLE.format("hub_rest", "hub_n"))
     first = written(first.select(F.least("doc_id", "hub_id").alias("a"), F.greatest("doc_id", "hub_id").alias("b")).distinct(), "first")
     links = written(_linked(first, sets), "links")
     parts = connected_components(links)
 
     # Round two: what shares a signature and is not yet in one component.
-    placed = rare.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).select("sig", "doc_id", "n", "n_own", "part")
+    placed = rare.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).select("sig", "doc_id", "n", "rest", "part")
     mixed = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("sig")
     open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
-    other = open_.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("n_own").alias("own_b"), F.col("part").alias("part_b"))
-    second = open_.join(other, "sig").filter("doc_id < b AND part <> part_b AND " + _able("n", "n_own", "n_b", "own_b")).select(F.col("doc_id").alias("a"), "b").distinct()
+    other = open_.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("part").alias("part_b"))
+    second = open_.join(other, "sig").filter("doc_id < b AND part <> part_b AND " + _ABLE.format("rest_b", "n_b")).select(F.col("doc_id").alias("a"), "b").distinct()
     more = written(_linked(second.join(first, ["a", "b"], "left_anti"), sets), "more")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
