@@ -14,7 +14,7 @@ all emitted: first each is compared with the group's most central set, then only
 different components are compared with each other.  Components, not pairs, are the result.
 
 Probability enters in one place: with 64-bit hashes two different shingles of one pair may collide, and a set
-may fill fewer parts than k + 1 (ten standard deviations away for the part counts below).
+may fill too few parts (seven or more standard deviations away for the part counts below).
 
 Null or empty texts have no shingles and link with nothing.  Exact copies count as one set.  Rows that repeat
 a doc_id are one node.  A null doc_id is its own component (null).
