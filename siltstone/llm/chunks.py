@@ -10,6 +10,9 @@ import numpy as np
 
 from siltstone.llm import kernel as K
 
+#: Encoders take longer runs than the other operators, for fewer distinct chunks.
+BLOCK_BYTES = 2 << 20
+
 
 def spaced(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every text that is not empty with a space before it."""

@@ -161,7 +161,7 @@ class Index:
         at = np.searchsorted(run, np.arange(n_runs + 1))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         text_of = np.repeat(np.arange(n_docs), runs_of)
-        for passage in np.array_split(alive, -(-len(alive) * self.blocks // 2_000_000)):
+        for passage in np.array_split(alive, -(-len(alive) * self.blocks // 200_000)):
             end = np.where(last[passage], passage + 1, passage + 2)
             who, take = _ranges(at[passage], at[end])
             distinct = np.unique(who * len(self.terms) + term[take])

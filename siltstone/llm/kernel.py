@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=U, endpoint=False)
 #: Space and the five control characters from tab to carriage return.
@@ -40,7 +40,7 @@ class _Powers:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, grown on demand."""
     if len(_Powers.up) < n:
-        size = max(n, 2 * len(_Powers.up), 1 << 16)
+        size = max(n + n // 8, 1 << 16)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             x = np.full(size, base, U)
             x[0] = 1

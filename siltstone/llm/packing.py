@@ -84,7 +84,7 @@ def encode_block(encoding, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarra
 def _segments(ranks: Ranks, length: int, width: str):
     def run(batches):
         encoding = ranks.open()
-        for rows, buf, offs in K.blocks(batches):
+        for rows, buf, offs in K.blocks(batches, limit=C.BLOCK_BYTES):
             ids, at = encode_block(encoding, buf, offs)
             docs = rows.column(rows.schema.get_field_index("doc_id"))
             tags = K.hashes(buf, offs[:-1], offs[1:])

@@ -230,7 +230,7 @@ def decode_block(vocab: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> tuple[
 
 def _encode(vocab: Vocabulary):
     def run(batches):
-        for rows, buf, offs in K.blocks(batches):
+        for rows, buf, offs in K.blocks(batches, limit=C.BLOCK_BYTES):
             ids, at = encode_block(vocab, buf, offs)
             back, ends = decode_block(vocab, ids, at)
             same = np.array([np.array_equal(buf[a:b], back[c:d]) for a, b, c, d in zip(offs[:-1], offs[1:], ends[:-1], ends[1:], strict=True)], bool)

@@ -81,7 +81,7 @@ class Counter:
 def _count(vocab: Vocabulary):
     def run(batches):
         counter = Counter(vocab)
-        for rows, buf, offs in K.blocks(batches):
+        for rows, buf, offs in K.blocks(batches, limit=C.BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), pa.array(counter.block(buf, offs))], names=["doc_id", "n_tokens"])
 
     return run
