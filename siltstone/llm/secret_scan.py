@@ -5,7 +5,8 @@ ids) and `hex` (long hexadecimal runs).  Two more are reported only once their s
 
 * `private_key`: a base64 or hex candidate is decoded and must be a private key: DER whose nested lengths all
   fit exactly and whose fields are those of PKCS #1, SEC 1, PKCS #8 or encrypted PKCS #8, or an OpenSSH key
-  whose nested length-prefixed fields do; a PEM block that was encoded once more is decoded twice.
+  whose nested length-prefixed fields do; a PEM block that was encoded once more is decoded twice.  A candidate
+  may go over indented lines and escaped line breaks; it is cut where the key itself says that it ends.
 * `signed_token`: three base64url parts of which the first decodes to a JSON object that names an `alg`, the
   second to a JSON object, and the third to bytes (or nothing, with alg none).
 
@@ -36,11 +37,14 @@ _KEYWORD = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _
 _ASSIGN = re.compile(rf"""(?:{_KEYWORD})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_B64 = re.compile(r"(?:M[A-I]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{20,}(?:\r?\n(?!-----)[A-Za-z0-9+/_-]+)*={0,2}")
-_B64_BEFORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_")
-_KEY_HEX = re.compile(r"30[0-9a-fA-F]{60,}")
+_KEY_B64 = re.compile(r"(?:(?<![A-Za-z0-9+/_])|(?<=\\[nrt]))(?:M[A-I]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi)(?=[A-Za-z0-9+/_-]{20})")
+_KEY_HEX = re.compile(r"(?<![0-9a-fA-F])(?:30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD]7631|2[dD]2[dD]2[dD]2[dD]2[dD]424547494[eE])(?=[0-9a-fA-F]{20})")
+_B64_LINE = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!----))+(={0,2})")
+_HEX_LINE = re.compile(r"[0-9a-fA-F]+()")
+# What may stand between two lines of a key: a line break, also one that is escaped, and indentation.
+_BREAK = re.compile(r"[ \t]*(?:\\?\r?\n|(?:\\{1,4}r)?\\{1,4}n)(?:[ \t]|\\{1,4}t)*(?!-----)")
 _TOKEN = re.compile(r"ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
-_PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END")
+_PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END(?:[A-Z ]*-----)?")
 
 
 def der(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
@@ -84,10 +88,11 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh(data: bytes) -> bool:
+def openssh_end(data: bytes) -> int | None:
+    """Where the OpenSSH key that `data` begins with ends."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at = len(magic)
 
     def field() -> bytes | None:
@@ -99,12 +104,17 @@ def is_openssh(data: bytes) -> bool:
         return part
 
     if any(field() is None for _ in range(3)):
-        return False
+        return None
     n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
     if not 1 <= n <= 16 or any(not field() for _ in range(n)):
-        return False
+        return None
     private = field()
-    return bool(private) and len(private) % 8 == 0 and not data[at:].strip(b"\0")
+    return at if private and len(private) % 8 == 0 else None
+
+
+def is_openssh(data: bytes) -> bool:
+    end = openssh_end(data)
+    return end is not None and not data[end:].strip(b"\0")
 
 
 def _decoded(text: str) -> bytes | None:
@@ -122,8 +132,83 @@ def _is_private(data: bytes | None, again: bool = True) -> bool:
         return False
     if is_private_der(data) or is_openssh(data):
         return True
-    m = _PEM.search(data) if again else None
-    return bool(m) and _is_private(_decoded(m[1].decode()), False)
+    return again and any(_is_private(_decoded(m[1].decode()), False) for m in _PEM.finditer(data))
+
+
+def _bytes(body: str, hexed: bool) -> bytes | None:
+    """The bytes of joined lines, as far as they make whole ones."""
+    if hexed:
+        return bytes.fromhex(body[: len(body) // 2 * 2])
+    return _decoded(body[:-1] if len(body) % 4 == 1 else body)
+
+
+def _stated(head: bytes) -> int | None:
+    """The size of the DER sequence that `head` begins, by its length; None if that is no length."""
+    if head[1] < 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    size = int.from_bytes(head[2 : 2 + n], "big")
+    return 2 + n + size if 1 <= n <= 4 and size >= 0x80 else None
+
+
+def _key_end(text: str, start: int, hexed: bool) -> int | None:
+    """Where the private key ends whose first line begins at `start`, or None if there is none.
+
+    The lines that follow may be the key's or the text's own. How many bytes are the key's is what its
+    outer length, its fields or its PEM footer say; it must end where a line does.
+    """
+    line = _HEX_LINE if hexed else _B64_LINE
+    chars = lambda n: 2 * n if hexed else -(-4 * n // 3)
+    size = None
+    is_der = text[start] == ("3" if hexed else "M")
+    if is_der:
+        stated = _stated(_bytes(text[start : start + (12 if hexed else 8)], hexed) or b"00")
+        if stated is None or (size := chars(stated)) > len(text) - start:
+            return None
+    parts, ends, n = [], [], 0
+    m = line.match(text, start)
+    while m:
+        part = m[0][: len(m[0]) - len(m[1])]
+        n += len(part)
+        parts.append(part)
+        ends.append((n, m.end()))
+        if m[1] or size is not None and n >= size or not (gap := _BREAK.match(text, m.end())):
+            break
+        m = line.match(text, gap.end())
+    body = "".join(parts)
+    if is_der:
+        sizes = [size]
+    elif (data := _bytes(body, hexed)) is None:
+        return None
+    elif (end := openssh_end(data)) is not None:
+        sizes = [chars(end)]
+    else:
+        sizes = [chars(m.end()) for m in _PEM.finditer(data)]
+    for size in sizes:
+        for n, end in ends:
+            if n >= size:
+                if (n % 2 == 0 if hexed else n % 4 != 1) and _is_private(_bytes(body[:n], hexed)):
+                    return end
+                break
+    return None
+
+
+def _keys(text: str, starts: re.Pattern, hexed: bool):
+    done = 0
+    for m in starts.finditer(text):
+        if m.start() >= done and (end := _key_end(text, m.start(), hexed)) is not None:
+            done = end
+            yield m.start(), end, "private_key"
+
+
+def _tokens(text: str):
+    at = 0
+    while m := _TOKEN.search(text, at):
+        if is_signed_token(m[0]):
+            yield *m.span(), "signed_token"
+            at = m.end()
+        else:
+            at = m.start() + 2
 
 
 def is_signed_token(text: str) -> bool:
@@ -143,14 +228,10 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in _ACCESS.finditer(text)]
     found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
-    for m in _B64.finditer(text):
-        if (not m.start() or text[m.start() - 1] not in _B64_BEFORE) and _is_private(_decoded(m[0])):
-            found.append((*m.span(), "private_key"))
-    for m in _KEY_HEX.finditer(text):
-        if not (m.end() - m.start()) % 2 and (not m.start() or text[m.start() - 1] not in "0123456789abcdefABCDEF") and _is_private(bytes.fromhex(m[0])):
-            found.append((*m.span(), "private_key"))
+    found += _keys(text, _KEY_B64, False)
+    found += _keys(text, _KEY_HEX, True)
     if "ey" in text:
-        found += [(*m.span(), "signed_token") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        found += _tokens(text)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

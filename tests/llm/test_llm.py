@@ -84,6 +84,29 @@ def test_secrets_confirm_structure():
         assert not [s for s in secret_scan.find_spans(bad) if s[2] == "signed_token"]
 
 
+def test_keys_end_where_they_say():
+    found = lambda text: [text[a:b] for a, b, k in secret_scan.find_spans(text) if k == "private_key"]
+    for der in keys().values():
+        coded = base64.b64encode(der).decode()
+        lines = [coded[i : i + 64] for i in range(0, len(coded), 64)]
+        for gap in ("\n", "\n      ", "\r\n\t", r"\n", r"\r\n"):
+            body = gap.join(lines)
+            pem = f"-----BEGIN PRIVATE KEY-----{gap}{body}{gap}-----END PRIVATE KEY-----"
+            assert found(pem) == [body], gap
+            assert found(f"x {body}{gap}Thanks{gap}MAny{'a' * 30}{gap}") == [body], gap
+            assert found(f"MA{'a' * 40}{gap}{body}") == [body], gap
+        pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----\n"
+        again = base64.b64encode(pem.encode()).decode()
+        assert found(f"{again}\nThanks\nall") == [again]
+        for hexed in (der.hex(), der.hex().upper(), pem.encode().hex(), "\n".join(der.hex()[i : i + 60] for i in range(0, 2 * len(der), 60))):
+            assert found(f"key: {hexed}\ndead\nbeef") == [hexed]
+        assert not found(der[:-5].hex()) and not found(coded[:-12] + "\nThanks")
+    ed25519 = field(0x30, field(2, b"\0") + field(0x30, field(6, b"\x2b\x65\x70")) + field(4, field(4, b"\7" * 32)))
+    assert len(ed25519) == 48 and found(base64.b64encode(ed25519).decode() + "\nThanks") == [base64.b64encode(ed25519).decode()]
+    text = f"eyABCDEFGH.{token()}"
+    assert [text[a:b] for a, b, k in secret_scan.find_spans(text) if k == "signed_token"] == [token()]
+
+
 def test_secrets_against_brute_force(spark):
     rng = random.Random(2)
     bits = ["token", "SECRET", "ſecret", "toKen", "api_key", "apikey", "passwd", '"', "'", " ", ":", "=", "AKIA", "ABCD1234", "deadbeef" * 4, "0f" * 15, "é", "\n", "abc", "Xy9+/_.-", "token=apikey= abcdefghij"]
