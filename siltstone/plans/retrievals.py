@@ -64,6 +64,15 @@ def vector_topk_exact(spark, d):
     return candidates.nearest(v, v.filter("vec_id < 5"), 10).select("query_id", "vec_id", F.col("position").cast("long").alias("position"))
 
 
+@query(f"""
+SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format('e.embedding', 'q.embedding')}, 9) DESC, e.vec_id) AS position
+FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id QUALIFY position <= 10""")
+def vector_topk_every_20th(spark, d):
+    """The search of vector_topk_exact for every vector whose id is divisible by 20."""
+    v = table(spark, d, "embeddings")
+    return candidates.nearest(v, v.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", F.col("position").cast("long").alias("position"))
+
+
 _QUERY = 'the "of the" or en -und'
 
 

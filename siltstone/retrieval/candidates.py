@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.retrieval import neighbours
 from siltstone.types import RRF_K, EngineError
 
 
@@ -74,19 +75,11 @@ def lexical(index: DataFrame, keys: list[str], query: str) -> DataFrame:
     return held.filter(match).withColumn("every", every).withColumn("score", F.size("every") * 0.1 + F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)).drop("at", "every")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", max_queries: int = 1000) -> DataFrame:
-    """(query_id, key, score, position): exact nearest others of each query vector; the queries are a bounded table."""
-    if queries.count() > max_queries:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", max_queries: int | None = None) -> DataFrame:
+    """(query_id, key, score, position): exact nearest others of each query vector; any number of queries, unless the caller sets a bound."""
+    if max_queries is not None and queries.count() > max_queries:
         raise EngineError("INVALID_ARGUMENT", f"at most {max_queries} queries at once", limit="slots")
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector"))
-    scored = vectors.join(F.broadcast(asked), F.col(key) != F.col("query_id")).select("query_id", key, cosine(F.col(vector), F.col("query_vector")).alias("score"))
-    best = scored.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)))
-    return best.filter(F.col("position") <= k)
+    return neighbours.nearest(vectors, queries, k, key, vector)
 
 
 def fused(lists: DataFrame, limit: int | None = None) -> DataFrame:

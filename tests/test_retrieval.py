@@ -8,7 +8,8 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.retrieval import bundle, candidates, chunk, generations
+from siltstone.plans import retrievals
+from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours
 from siltstone.types import EngineError
 
 
@@ -62,6 +63,28 @@ def test_nearest_is_exact(spark):
         candidates.nearest(df, df, 5, max_queries=10)
 
 
+def test_nearest_takes_any_number_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "VECTOR_ROWS", 300)
+    rng = np.random.default_rng(2)
+    w = np.round(rng.normal(size=(1100, 4)), 1) + 0.01
+    w[100:400] = w[0]  # many equal ones: the ids decide
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in candidates.nearest(df, df, 5).collect():
+        got.setdefault(r.query_id, {})[r.position] = r.vec_id
+    cos = np.round(w @ w.T / np.outer(np.linalg.norm(w, axis=1), np.linalg.norm(w, axis=1)), 9)
+    assert len(got) == 1100
+    for q in range(1100):
+        assert [got[q][p] for p in range(1, 6)] == [i for i in np.lexsort((np.arange(1100), -cos[q])) if i != q][:5]
+
+
+def test_every_20th_vector_is_a_query(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(90, 8)))], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrievals.vector_topk_every_20th(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in got} == {0, 20, 40, 60, 80} and len(got) == 50
+
+
 def test_fusion(spark):
     lists = [(0, "a", 1), (0, "b", 2), (0, "a", 3), (1, "b", 1), (1, "c", 2), (1, "d", 3), (0, "d", 4)]
     got = candidates.fused(spark.createDataFrame(lists, "list int, ref_id string, position int")).collect()
