@@ -13,8 +13,10 @@ is capped.  A hit is then verified on the words' order: the share of the n-grams
 shorter part) of the item's question (all but its last sentence) and of its answer (the last one) that the
 passage holds, and it counts if at least half of both together are there.
 
-The items are the small side.  They are read in shards of at most `MAX_ITEMS`, each with its own index; with
-more items there are more shards, and each goes over the texts.
+Items are dealt by id and text to shards of about `MAX_ITEMS`, each with its own index.  What the weights and
+the passages depend on (number of items, mean and greatest length, items that have a term) is counted over all
+items, so results do not depend on the shards.  A shard's index is built in a task and lies in the shared folder;
+a scoring task holds one shard's index at a time.
 
 Words are runs of letters and digits (any byte above ASCII is a letter), A-Z lower-cased.  Null or empty
 texts hold nothing; null or wordless items match nothing; equal items are each reported.
@@ -22,7 +24,9 @@ texts hold nothing; null or wordless items match nothing; equal items are each r
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,13 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernel as K
+from siltstone.llm.shared import new_path, written
 from siltstone.llm.toxicity import _GAP
+from siltstone.llm.warc import _store
 
 NGRAM = 5
 THRESHOLD = 0.5
 OVERLAP = 0.5
 BLOCK_ITEMS = 8
 MAX_ITEMS = 20_000
+SHARED_BYTES = 16_000_000  # of texts that go over the shards together, where there are several
 _K1, _B = 1.2, 0.75
 
 
@@ -80,6 +87,17 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(size)), size), np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+@dataclass
+class Counts:
+    """What the weights take from all items: those with words, their total and greatest length, and items per term."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray  # word hashes, ascending
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     ids: np.ndarray
@@ -99,7 +117,8 @@ class Index:
     threshold: float
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], threshold: float) -> Index:
+    def build(cls, items: list[tuple[int, str]], threshold: float, counts: Counts | None = None) -> Index:
+        """The index of some items; without counts over all items, these are all."""
         items = sorted((i, t) for i, t in items if i is not None)
         words = [_of_text(t or "") for _, t in items]
         items, words = [x for x, w in zip(items, words, strict=True) if len(w)], [w for w in words if len(w)]
@@ -109,9 +128,11 @@ class Index:
         terms, term = np.unique(np.concatenate([*words, np.zeros(0, K.U)]), return_inverse=True)
         pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + owner, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
-        df = np.bincount(term, minlength=len(terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = _K1 * (1 - _B + _B * length / max(1, length.mean() if n else 1))
+        if counts is None:
+            counts = Counts(n, int(length.sum()), int(length.max()) if n else 0, terms, np.bincount(term, minlength=len(terms)))
+        df = counts.df[np.searchsorted(counts.terms, terms)]
+        idf = np.log1p((counts.items - df + 0.5) / (df + 0.5))
+        norm = _K1 * (1 - _B + _B * length / max(1, counts.words / max(1, counts.items)))
         w = idf[term] * tf * (_K1 + 1) / (tf + norm[item])
         w /= np.bincount(item, w, n)[item]
         list_max = np.zeros(len(terms))
@@ -130,7 +151,7 @@ class Index:
                 size = max(1, min(NGRAM, len(h)))
                 out.append((size, np.unique(_ngrams(h, size))))
         return cls(
-            np.array([i for i, _ in items], np.int64), int(max(32, length.max() if n else 0)), terms, list_max, np.searchsorted(key // max(blocks, 1), np.arange(len(terms) + 1)),
+            np.array([i for i, _ in items], np.int64), max(32, counts.longest), terms, list_max, np.searchsorted(key // max(blocks, 1), np.arange(len(terms) + 1)),
             key % max(blocks, 1), top, np.searchsorted(at[order], np.arange(len(key) + 1)), item[order], w[order], blocks, seen, parts[0], parts[1], threshold,
         )
 
@@ -192,21 +213,98 @@ class Index:
         return shares[0], shares[1], found / max(1, total)
 
 
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> list[Index]:
-    """An index for each shard of the items; only one shard's items are on the driver at a time."""
-    shards = max(1, -(-benchmark.count() // max_items))
-    found = []
-    for k in range(shards):
-        rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).select("item_id", "text").collect()
-        found.append(Index.build([tuple(r) for r in rows], threshold))
-    return found
+def _lengths(batches):
+    for rows, buf, offs in K.blocks(batches):
+        words, doc = _word_hashes(buf, offs)
+        length = np.bincount(doc, minlength=len(offs) - 1)
+        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("copies")), pa.array(length, pa.int64())], names=["copies", "n"])
+
+
+def _terms(batches):
+    """(shard, term, copies) of each item's distinct words."""
+    for rows, buf, offs in K.blocks(batches):
+        words, doc = _word_hashes(buf, offs)
+        order = np.lexsort((words, doc))
+        words, doc = words[order], doc[order]
+        new = np.ones(len(words), bool)
+        new[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
+        who = pa.array(doc[new], pa.int64())
+        shard, copies = (rows.column(rows.schema.get_field_index(x)).take(who) for x in ("shard", "copies"))
+        yield pa.RecordBatch.from_arrays([shard, pa.array(words[new].view(np.int64)), copies], names=["shard", "term", "copies"])
+
+
+def _build(folder: str, threshold: float, items: int, words: int, longest: int):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        terms = right.column("term").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        counts = Counts(items, words, longest, terms[order].astype(K.U), right.column("df").to_numpy()[order])
+        index = Index.build(list(zip(left.column("item_id").to_pylist(), left.column("text").to_pylist(), strict=True)), threshold, counts)
+        # A task that is run again writes a file of its own; which one counts is in its result.
+        name = f"{folder}/{key[0].as_py()}-{uuid.uuid4().hex}"
+        store, path = _store(name)
+        store.create_dir(path.rpartition("/")[0])
+        with store.open_output_stream(path) as out:
+            out.write(pickle.dumps(index, protocol=5))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "path": [name]})
+
+    return run
 
 
-def _report(index: Index):
+def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> list[str]:
+    """Where the index of each shard of the items lies; the driver holds names only."""
+    spark = benchmark.sparkSession
+    shards = max(1, -(-benchmark.count() // max_items))
+    distinct = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    items = written(distinct.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("long").alias("shard"), "item_id", "text", "copies"), "items")
+    lengths = items.select("copies", "text").mapInArrow(_lengths, "copies long, n long").filter("n > 0")
+    total = lengths.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("copies"), F.sum(F.col("copies") * F.col("n")), F.max("n"))]).first()
+    terms = items.select("shard", "copies", "text").mapInArrow(_terms, "shard long, term long, copies long").groupBy("shard", "term").agg(F.sum("copies").alias("copies"))
+    terms = written(terms, "terms")
+    found = terms.select("shard", "term").join(terms.groupBy("term").agg(F.sum("copies").alias("df")), "term")
+    # A row without an item for each shard, so that each has an index, be it an empty one.
+    every = items.select("shard", "item_id", "text").unionByName(spark.range(shards).select(F.col("id").alias("shard"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("string").alias("text")))
+    build = _build(new_path(spark, "indexes"), threshold, *map(int, total))
+    made = every.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(build, "shard long, path string").collect()
+    return [r.path for r in sorted(made, key=lambda r: r.shard)]
+
+
+_held: dict[str, Index] = {}
+
+
+def _index(name: str) -> Index:
+    """A shard's index; a worker keeps the one it read last."""
+    if name not in _held:
+        _held.clear()
+        store, path = _store(name)
+        with store.open_input_file(path) as f:
+            _held[name] = pickle.loads(f.read())
+    return _held[name]
+
+
+def _hits(names: list[str], batches):
+    """(rows, the hits in them by any shard's items) of runs of texts; with several shards, of many runs for each reading of an index."""
+    held, size = [], 0
+
+    def scored():
+        hits = [[] for _ in held]
+        for name in names:
+            index = _index(name)
+            for found, (_, words, doc, n) in zip(hits, held, strict=True):
+                found += index.hits(words, doc, n)
+        yield from ((rows, found) for (rows, *_), found in zip(held, hits, strict=True))
+
+    for rows, buf, offs in K.blocks(batches):
+        held.append((rows, *_word_hashes(buf, offs), len(offs) - 1))
+        size += len(buf)
+        if len(names) == 1 or size >= SHARED_BYTES:
+            yield from scored()
+            held, size = [], 0
+    yield from scored()
+
+
+def _report(names: list[str]):
     def run(batches):
-        for rows, buf, offs in K.blocks(batches):
-            words, doc = _word_hashes(buf, offs)
-            hits = index.hits(words, doc, len(offs) - 1)
+        for rows, hits in _hits(names, batches):
             text, item, *rest = zip(*hits, strict=True) if hits else ([], [], [], [], [])
             ids = rows.column(rows.schema.get_field_index("doc_id")).take(pa.array(text, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64()), *[pa.array(x, pa.float64()) for x in rest]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -214,29 +312,24 @@ def _report(index: Index):
     return run
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for every verified leak."""
-    out, docs = None, documents.select("doc_id", "text")
-    for index in indexes(benchmark, threshold):
-        part = docs.mapInArrow(_report(index), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionByName(part)
+    names = indexes(benchmark, threshold, max_items)
+    out = documents.select("doc_id", "text").mapInArrow(_report(names), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def _without_leaks(index: Index):
+def _without_leaks(names: list[str]):
     def run(batches):
-        for rows, buf, offs in K.blocks(batches):
-            words, doc = _word_hashes(buf, offs)
-            keep = np.ones(len(offs) - 1, bool)
-            keep[[h[0] for h in index.hits(words, doc, len(offs) - 1)]] = False
+        for rows, hits in _hits(names, batches):
+            keep = np.ones(rows.num_rows, bool)
+            keep[[h[0] for h in hits]] = False
             yield rows.filter(pa.array(keep))
 
     return run
 
 
-def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """The documents that hold no verified leak, all columns as they were."""
-    for index in indexes(benchmark):
-        documents = documents.mapInArrow(_without_leaks(index), documents.schema)
-    return documents
+    return documents.mapInArrow(_without_leaks(indexes(benchmark, max_items=max_items)), documents.schema)

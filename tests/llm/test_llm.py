@@ -422,6 +422,25 @@ def test_leaks(spark):
     assert decontamination.contamination(empty(spark), bench).count() == 0 and decontamination.contamination(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_shards(spark):
+    rng = random.Random(12)
+    items = [prose(rng, rng.randrange(8, 70), 120) for _ in range(40)]
+    # An id that a third of the rows have, and copies of one row: the id's texts go to all shards.
+    rows = [(i if i % 3 else 0, t) for i, t in enumerate(items)] + [(7, items[7])] * 5
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = []
+    for k in range(40):
+        part = items[k].split(" ")
+        texts.append(prose(rng, 80, 120) + " " + " ".join(part[: len(part) * rng.choice([2, 3, 4]) // 4]) + " " + prose(rng, 60, 120))
+    df = documents(spark, texts)
+    whole, cut = ({(r.doc_id, r.item_id): tuple(r)[2:] for r in decontamination.contamination(df, bench, max_items=n).collect()} for n in (1000, 6))
+    assert whole.keys() == cut.keys() and len(whole) > 10 and all(np.allclose(whole[k], cut[k], rtol=0, atol=1e-12) for k in whole)
+    kept = {r.doc_id for r in decontamination.keep_uncontaminated(df, bench, max_items=6).collect()}
+    assert kept == set(range(42)) - {d for d, _ in whole}
+    held = [len(decontamination._index(x).ids) for x in decontamination.indexes(bench, max_items=6)]
+    assert len(held) == 8 and sum(held) == 40 and max(held) <= 12
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------
 
 
