@@ -135,13 +135,13 @@ def search_underfill(spark, d):
 
 @query()
 def bundle_pack(spark, d):
-    """One row: a bundle of the first chunks of the best-ranked documents, within 4,096 bytes."""
+    """One row: a bundle of the best-ranked documents' chunks, at most 50, within 4,096 bytes."""
     best = candidates.fused(_lists(spark, d), 10).withColumnRenamed("ref_id", "doc_id")
-    parts = chunk.chunked(table(spark, d, "documents").join(best.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text").filter("chunk_index < 2")
+    parts = chunk.chunked(table(spark, d, "documents").join(best.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
     hits = parts.join(best, parts.ref_id == best.doc_id).orderBy(F.desc("score"), "ref_id", "chunk_index").limit(50)
-    rows = [{"ref_id": r.ref_id, "field": "text", "start": r.start, "end": r.end, "text": r.content} for r in hits.collect()]
-    made = bundle.assemble(rows, 4096)
-    return spark.createDataFrame([(made["context"], made["bytes"], len(made["excerpts"]), made["truncated"])], "context string, bytes long, excerpts long, truncated boolean")
+    rank = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "ref_id", "chunk_index"))
+    ranked = hits.withColumn("request", F.lit(0).cast("long")).withColumn("rank", rank)
+    return bundle.packed(spark.range(1).toDF("request"), ranked.select("request", "rank", "ref_id", F.lit("text").alias("field"), "start", "end", F.col("content").alias("text")), "request", 4096).drop("request")
 
 
 @query()

@@ -109,6 +109,20 @@ def hit(ref, start, text):
     return {"ref_id": ref, "field": "f", "start": start, "end": start + len(text), "text": text}
 
 
+def test_bundle_is_packed_from_whole_texts(spark, tmp_path):
+    texts = {i: " ".join(f"d{i}w{j}" for j in range(n)) for i, n in enumerate((900, 30, 20))}
+    rows = [(i, t, "en", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = retrievals.bundle_pack(spark, str(tmp_path)).collect()
+    best = [r.ref_id for r in candidates.fused(retrievals._lists(spark, str(tmp_path)), 10).collect()]
+    hits = [{"ref_id": i, "field": "text", "start": a, "end": b, "text": texts[i][a:b]} for i in best for a, b in chunk.spans(texts[i])]
+    want = bundle.assemble(hits[:50], 4096)
+    assert len(out) == 1 and tuple(out[0]) == (want["context"], want["bytes"], len(want["excerpts"]), want["truncated"])
+    assert "d0w400" in out[0].context
+    none = bundle.packed(spark.range(2).toDF("request"), spark.createDataFrame([], "request long, rank int, ref_id long, field string, start long, end long, text string"), "request", 4096)
+    assert {tuple(r)[2:] for r in none.collect()} == {(len(bundle.assemble([], 4096)["context"]), 0, False)}
+
+
 def test_bundles_merge_cut_and_frame():
     whole = "".join(chr(97 + i % 26) for i in range(300))
     parts = [hit("x", 100, whole[100:200]), hit("y", 0, "<b>&"), hit("x", 0, whole[:100]), hit("x", 150, whole[150:260])]
