@@ -1,9 +1,9 @@
 """Vectorised byte-level text kernels shared by the operators of this subpackage.
 
 Spark hands a task Arrow batches; `blocks` cuts them into runs of rows of bounded byte size, and the
-other functions work on the flat UTF-8 buffer of such a run.  A hash of a substring is a polynomial over
-a random byte table, taken from prefix sums modulo 2**64, so that every word of a run is hashed by a
-handful of numpy passes.  Null texts count as empty.
+other functions work on the flat UTF-8 buffer of such a run.  A hash of a substring is the sum of its
+eight-byte lanes, each first mixed with its number by a bijection that is not linear, so that no pattern
+of bytes makes two texts collide other than by chance.  Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ import pyarrow as pa
 
 U = np.uint64
 BLOCK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_TABLE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=U, endpoint=False)
+#: Lanes beyond the first that are hashed at once.
+_LANES_AT_ONCE = 1 << 17
+#: By number of bytes, what keeps only these of a lane.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 #: Space and the five control characters from tab to carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: A-Z to a-z, every other byte unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_LOWER_TABLE = _TABLE[LOWER]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,19 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _Powers:
-    up = down = np.ones(1, U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, grown on demand."""
-    if len(_Powers.up) < n:
-        size = max(n + n // 8, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            x = np.full(size, base, U)
-            x[0] = 1
-            setattr(_Powers, name, np.cumprod(x))
-    return _Powers.up, _Powers.down
+_SALT = mix(np.full(1, 0x9E3779B97F4A7C15, U))[0]
 
 
 def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
@@ -88,26 +77,30 @@ def owners(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of buf[start:end] for ascending starts, in segments of bounded size.
+    """64-bit hashes of buf[start:end].
 
     With a two-dimensional `ends`, each of its rows gives another end for every start.
     """
+    text = np.zeros(len(buf) + 8, np.uint8)
+    text[: len(buf)] = LOWER[buf] if lower else buf
+    lanes = np.ndarray(len(buf) + 1, "<u8", text.data, strides=(1,))
     many = np.atleast_2d(ends)
-    out, table, a, n = np.empty(many.shape, U), _LOWER_TABLE if lower else _TABLE, 0, len(starts)
-    while a < n:
-        base = starts[a]
-        b = max(a + 1, int(np.searchsorted(starts, base + BLOCK_BYTES)))
-        top = int(many[:, a:b].max())
-        up, down = powers(top - base + 1)
-        sums = np.empty(top - base + 1, U)
-        sums[0] = 0
-        np.cumsum(table[buf[base:top]] * up[: top - base], out=sums[1:])
-        s = starts[a:b] - base
-        head, scale = sums[s], down[s]
-        for i, e in enumerate(many):
-            out[i, a:b] = (sums[e[a:b] - base] - head) * scale + (e[a:b] - starts[a:b]).astype(U)
-        a = b
-    out = mix(out)
+    out = np.empty(many.shape, U)
+    for row, end in zip(out, many, strict=True):
+        size = end - starts
+        row[:] = mix((lanes[starts] & _FIRST_BYTES[np.minimum(size, 8)]) ^ _SALT)
+        long = np.flatnonzero(size > 8)
+        until = np.concatenate([[0], np.cumsum((size[long] - 1) // 8)])
+        for a in range(0, int(until[-1]), _LANES_AT_ONCE):
+            b = min(a + _LANES_AT_ONCE, int(until[-1]))
+            lo, hi = int(np.searchsorted(until, a, "right")) - 1, int(np.searchsorted(until, b))
+            first = np.maximum(until[lo:hi], a) - a
+            who = np.repeat(np.arange(lo, hi), np.diff(np.append(first, b - a)))
+            number = np.arange(a, b) - until[who] + 1
+            at = starts[long[who]] + 8 * number
+            lane = lanes[at] & _FIRST_BYTES[np.minimum(end[long[who]] - at, 8)]
+            row[long[lo:hi]] += np.add.reduceat(mix(lane ^ mix(number.astype(U) * _SALT)), first)
+        row[:] = mix(row + size.astype(U) * _SALT)
     return out if ends.ndim == 2 else out[0]
 
 

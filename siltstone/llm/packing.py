@@ -72,7 +72,7 @@ def _chunks(buf: np.ndarray, offs: np.ndarray):
 def encode_block(encoding, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a run of texts, flat, and their offsets."""
     starts, ends, first = _chunks(buf, offs)
-    _, sample, number = C.unique(buf, starts, ends)
+    sample, number = C.unique(buf, starts, ends)
     raw = buf.tobytes()
     ids = [encoding.encode_ordinary(raw[a:b].decode()) for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
     count = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -32,6 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 _NEVER = -1e300
 _SEGMENT = 4096
+#: Code points that advance together, in texts of equal length.
+_POINTS = 100_000
 
 
 @dataclass
@@ -50,7 +52,7 @@ class Vocabulary:
         ids = range(m.vocab_size())
         kind = lambda i: "u" if m.is_unknown(i) else "b" if m.is_byte(i) else "c" if m.is_control(i) or m.is_unused(i) else "n"
         vocab = cls([m.id_to_piece(i) for i in ids], np.array([m.get_score(i) for i in ids], np.float64), "".join(map(kind, ids)))
-        vocab._keys, vocab.joined, vocab.piece_bytes  # noqa: B018  made once, and sent to the tasks with the rest
+        vocab._keys, vocab.gains, vocab.joined, vocab.piece_bytes  # noqa: B018  made once, and sent to the tasks with the rest
         return vocab
 
     @cached_property
@@ -77,12 +79,19 @@ class Vocabulary:
     @cached_property
     def _keys(self):
         """Piece hashes ascending with their ids, and a bitmap of their low bits."""
-        text = [np.frombuffer(self.pieces[i].encode("utf-32-le"), np.uint32) for i in self.normal]
-        h = np.array([_substring(_sums(t[None, :]), len(t))[0, 0] for t in text], K.U)
+        text = {}
+        for i in self.normal:
+            text.setdefault(len(self.pieces[i]), []).append(i)
+        h = np.concatenate([_chained(np.frombuffer("".join(self.pieces[i] for i in ids).encode("utf-32-le"), np.uint32).reshape(len(ids), size)) for size, ids in text.items()])
         order = np.argsort(h)
         seen = np.zeros(1 << 20, bool)
         seen[(h & K.U((1 << 20) - 1)).astype(np.int64)] = True
-        return h[order], np.array(self.normal)[order], seen
+        return h[order], np.concatenate(list(text.values()))[order].astype(np.int32), seen
+
+    @cached_property
+    def gains(self) -> np.ndarray:
+        """By id its score, then what a character costs that no piece covers, and at the end what never happens."""
+        return np.append(self.scores, [self.unknown_score, _NEVER])
 
     def probe(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, or -1."""
@@ -114,26 +123,28 @@ class Vocabulary:
         return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-def _sums(points: np.ndarray) -> np.ndarray:
-    """Prefix sums of hashed code points times powers, a row each."""
-    up, _ = K.powers(points.shape[1] + 1)
-    out = np.zeros((points.shape[0], points.shape[1] + 1), K.U)
-    np.cumsum(K.mix(points.astype(K.U) + K.U(0x51ED27)) * up[: points.shape[1]], axis=1, out=out[:, 1:])
-    return out
+def _point_hashes(points: np.ndarray) -> np.ndarray:
+    return K.mix(points.astype(K.U) + K.U(0x51ED27))
+
+
+def _longer(h: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Hashes of substrings with one more point, from those without it."""
+    return K.mix(h * K.U(0x9E3779B97F4A7C15) + point)
 
 
-def _substring(sums: np.ndarray, size: int, a: int = 0, b: int | None = None) -> np.ndarray:
-    """Hashes of the substrings of so many points that start at a, a+1, ... b-1."""
-    b = sums.shape[1] - size if b is None else b
-    _, down = K.powers(sums.shape[1])
-    return K.mix((sums[:, a + size : b + size] - sums[:, a:b]) * down[a:b] + K.U(size))
+def _chained(points: np.ndarray) -> np.ndarray:
+    """A hash of each row of code points."""
+    h = np.zeros(len(points), K.U)
+    for point in _point_hashes(points).T:
+        h = _longer(h, point)
+    return h
 
 
 def _viterbi(vocab: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For texts of equal length, by end: the chosen last piece and its length."""
     n, length = points.shape
     most = min(vocab.longest, length)
-    sums = _sums(points)
+    gains, unknown = vocab.gains, len(vocab.scores)
     best = np.full((n, most + length + 1), _NEVER)
     best[:, most] = 0
     piece, size = np.empty((n, length), np.int32), np.empty((n, length), np.int16)
@@ -141,19 +152,25 @@ def _viterbi(vocab: Vocabulary, points: np.ndarray) -> tuple[np.ndarray, np.ndar
     for a in range(0, length, _SEGMENT):
         b = min(length, a + _SEGMENT)
         ids = np.full((n, b - a, most), -1, np.int32)  # by end, longest first
+        start = max(0, a + 1 - most)
+        point = _point_hashes(points[:, start:b])
+        h = np.zeros(point.shape, K.U)
         for k in range(1, most + 1):
-            lo = max(0, a + 1 - k)
-            if lo + k <= b:
-                ids[:, lo + k - 1 - a :, most - k] = vocab.probe(_substring(sums, k, lo, b - k + 1))
-        gain = np.where(ids >= 0, vocab.scores[ids], _NEVER)
-        none = ids[:, :, -1] < 0
-        gain[:, :, -1][none] = vocab.unknown_score
+            wide = b - start - k + 1
+            if wide <= 0:
+                break
+            h = _longer(h[:, :wide], point[:, k - 1 :])
+            lo = max(start, a + 1 - k)
+            ids[:, lo + k - 1 - a :, most - k] = vocab.probe(h[:, lo - start :])
+        last = ids[:, :, -1]
+        last[last < 0] = unknown
         for e in range(a, b):
-            reach = best[:, e + 1 : e + 1 + most] + gain[:, e - a]
+            reach = best[:, e + 1 : e + 1 + most] + gains[ids[:, e - a]]
             k = reach.argmax(1)
             best[:, most + e + 1] = reach[rows, k]
             size[:, e] = most - k
             piece[:, e] = ids[rows, e - a, k]
+    piece[piece == unknown] = -1
     return piece, size
 
 
@@ -174,7 +191,7 @@ def encode_chunks(vocab: Vocabulary, raw: bytes, sizes: np.ndarray) -> tuple[np.
     who, last, piece, point = [], [], [], []
     for size in np.unique(length):
         group = np.flatnonzero(length == size)
-        for part in np.array_split(group, -(-len(group) * int(size) // 200_000)):
+        for part in np.array_split(group, -(-len(group) * int(size) // _POINTS)):
             text = points[at[part][:, None] + np.arange(size)]
             ids, cut = _viterbi(vocab, text)
             end, rows = np.full(len(part), size), np.arange(len(part))
@@ -207,7 +224,7 @@ def encode_block(vocab: Vocabulary, buf: np.ndarray, offs: np.ndarray) -> tuple[
     """Ids of a run of texts, flat, and their offsets."""
     buf, offs = C.spaced(buf, offs)
     starts, ends, first = C.chunks(buf, offs, vocab.joined)
-    _, sample, number = C.unique(buf, starts, ends)
+    sample, number = C.unique(buf, starts, ends)
     size = ends[sample] - starts[sample]
     take, _ = C.spread(size, np.arange(len(size)))
     take += np.repeat(starts[sample] - (np.cumsum(size) - size), size) if len(size) else 0

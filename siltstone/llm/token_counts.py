@@ -63,7 +63,7 @@ class Counter:
     def block(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         buf, offs = C.spaced(buf, offs)
         starts, ends, first = C.chunks(buf, offs, self.joined)
-        _, sample, number = C.unique(buf, starts, ends)
+        sample, number = C.unique(buf, starts, ends)
         raw, memo, counts = buf.tobytes(), self.memo, np.empty(len(sample), np.int64)
         for k, (a, b) in enumerate(zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)):
             chunk = raw[a:b]
