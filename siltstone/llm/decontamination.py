@@ -2,24 +2,32 @@
 
 Roles are turned round: the items are the indexed documents, and every passage of every training text is a
 query.  An item's term weights are BM25 impacts divided by their sum over the item, so that a score is the
-share of the item's weight that a passage covers and one threshold serves all items.  Passages are two
-consecutive runs of `half` distinct-counted words, where `half` is at least the longest item's length: an item
-lies whole in some passage.
-
-Retrieval is block-max WAND over batches of passages: a passage whose terms' list maxima add up to less than
-the threshold meets no pivot and is skipped; for the rest, the items are cut into blocks, and only blocks
-whose block maxima reach the threshold are scored in full.  All items above the threshold come back; nothing
-is capped.  A hit is then verified on the words' order: the share of the n-grams (n = 5, or the whole of a
-shorter part) of the item's question (all but its last sentence) and of its answer (the last one) that the
-passage holds, and it counts if at least half of both together are there.
-
-Items are dealt by id and text to shards of about `MAX_ITEMS`, each with its own index.  What the weights and
-the passages depend on (number of items, mean and greatest length, items that have a term) is counted over all
-items, so results do not depend on the shards.  A shard's index is built in a task and lies in the shared folder;
-a scoring task holds one shard's index at a time.
+share of the item's weight that a passage covers and one threshold serves all items.  Items are put into bands
+by their number of words (32 at most, 64, 128, ...); for a band, passages are two consecutive runs of as many
+words as its longest item may have, so an item lies whole in some passage, and its passages do not depend on
+what other items there are.
+
+Retrieval is block-max WAND.  The items of an index are cut into blocks of eight, a term's postings are its
+blocks in order, each with its greatest weight there, and a passage has one cursor per term.  The pivot is the
+first block at which the list maxima of the cursors up to it add up to the threshold: no block before it can
+hold a hit.  Cursors behind jump to the pivot; only if the maxima of that very block reach the threshold are
+its items scored.  Passages advance side by side, a step of all of them being a few numpy passes.  All items
+above the threshold come back; nothing is capped.
+
+A hit is then verified on the words' order: of the item's question (all but its last sentence) and of its
+answer (the last one), the passage must hold at least half of the n-grams each (n = 5, or the whole of a
+shorter part).  A part without words asks for nothing.
+
+Items are dealt by band, id and text to shards of about `MAX_ITEMS`, each with its own index.  What the weights
+depend on (number of items, mean length, items that have a term) is counted over all items, so results do not
+depend on the shards.  A shard's index is built in a task and lies in the shared folder; a scoring task holds
+one shard's index at a time.
 
 Words are runs of letters and digits (any byte above ASCII is a letter), A-Z lower-cased.  Null or empty
-texts hold nothing; null or wordless items match nothing; equal items are each reported.
+texts hold nothing; null or wordless items match nothing; items of equal text are each reported, equal rows
+once.  Documents that repeat a doc_id are searched each, and `contamination` reports their ids once an item.
+Very long texts are so many passages.  Of a pair's passages the one that scores best is reported, ties going to
+the greater overlaps.
 """
 
 from __future__ import annotations
@@ -44,7 +52,7 @@ THRESHOLD = 0.5
 OVERLAP = 0.5
 BLOCK_ITEMS = 8
 MAX_ITEMS = 20_000
-SHARED_BYTES = 16_000_000  # of texts that go over the shards together, where there are several
+SHARED_BYTES = 4_000_000  # of texts that go over the shards together
 _K1, _B = 1.2, 0.75
 
 
@@ -89,19 +97,34 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Counts:
-    """What the weights take from all items: those with words, their total and greatest length, and items per term."""
+    """What the weights take from all items: those with words, their total length, and items per term."""
 
     items: int
     words: int
-    longest: int
     terms: np.ndarray  # word hashes, ascending
     df: np.ndarray
 
 
+#: The fewest words of a passage's run.
+_SHORTEST = 32
+
+
+def band(n: np.ndarray | int):
+    """The band of items of so many words: they have at most 2 ** band."""
+    return np.ceil(np.log2(np.maximum(n, _SHORTEST))).astype(np.int64)
+
+
+#: A cursor at its list's end.
+_END = 1 << 30
+#: Cursors that advance side by side.
+_CURSORS = 200_000
+_EPS = 1e-9
+
+
 @dataclass
 class Index:
     ids: np.ndarray
-    half: int
+    half: int  # words of a run; a passage is two
     terms: np.ndarray  # word hashes, ascending
     list_max: np.ndarray
     entry_at: np.ndarray  # CSR by term: blocks in which it occurs, and its maximum there
@@ -117,8 +140,8 @@ class Index:
     threshold: float
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], threshold: float, counts: Counts | None = None) -> Index:
-        """The index of some items; without counts over all items, these are all."""
+    def build(cls, items: list[tuple[int, str]], threshold: float, counts: Counts | None = None, half: int | None = None) -> Index:
+        """The index of some items; without counts over all items, these are all, and without a length, the longest of them fits."""
         items = sorted((i, t) for i, t in items if i is not None)
         words = [_of_text(t or "") for _, t in items]
         items, words = [x for x, w in zip(items, words, strict=True) if len(w)], [w for w in words if len(w)]
@@ -129,7 +152,7 @@ class Index:
         pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + owner, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
         if counts is None:
-            counts = Counts(n, int(length.sum()), int(length.max()) if n else 0, terms, np.bincount(term, minlength=len(terms)))
+            counts = Counts(n, int(length.sum()), terms, np.bincount(term, minlength=len(terms)))
         df = counts.df[np.searchsorted(counts.terms, terms)]
         idf = np.log1p((counts.items - df + 0.5) / (df + 0.5))
         norm = _K1 * (1 - _B + _B * length / max(1, counts.words / max(1, counts.items)))
@@ -150,8 +173,9 @@ class Index:
                 h = _of_text(part)
                 size = max(1, min(NGRAM, len(h)))
                 out.append((size, np.unique(_ngrams(h, size))))
+        half = half or 1 << int(band(int(length.max()) if n else 1))
         return cls(
-            np.array([i for i, _ in items], np.int64), max(32, counts.longest), terms, list_max, np.searchsorted(key // max(blocks, 1), np.arange(len(terms) + 1)),
+            np.array([i for i, _ in items], np.int64), half, terms, list_max, np.searchsorted(key // max(blocks, 1), np.arange(len(terms) + 1)),
             key % max(blocks, 1), top, np.searchsorted(at[order], np.arange(len(key) + 1)), item[order], w[order], blocks, seen, parts[0], parts[1], threshold,
         )
 
@@ -170,54 +194,91 @@ class Index:
         run = run_base[doc[known]] + (known - first[doc[known]]) // self.half
         pair = np.unique(run * len(self.terms) + place)
         run, term = pair // len(self.terms), pair % len(self.terms)
-        n_runs = run_base[-1]
+        n_runs = int(run_base[-1])
         last = np.zeros(n_runs, bool)
         last[run_base[1:][runs_of > 0] - 1] = True
         bound = np.bincount(run, self.list_max[term], n_runs)
         bound[:-1] += np.where(last[:-1], 0, bound[1:])
-        eps = 1e-9
-        alive = np.flatnonzero(bound >= self.threshold - eps)
-        if not len(alive):
-            return []
+        # Where all lists together do not reach the threshold, there is no first pivot.
+        alive = np.flatnonzero(bound >= self.threshold - _EPS)
         at = np.searchsorted(run, np.arange(n_runs + 1))
+        end = at[np.where(last[alive], alive + 1, alive + 2)]
+        size = end - at[alive]
+        order = np.argsort(size, kind="stable")
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         text_of = np.repeat(np.arange(n_docs), runs_of)
-        for passage in np.array_split(alive, -(-len(alive) * self.blocks // 200_000)):
-            end = np.where(last[passage], passage + 1, passage + 2)
-            who, take = _ranges(at[passage], at[end])
+        a = 0
+        while a < len(order):
+            # The widest passage of a batch is its last one.
+            b = a + max(1, int(np.searchsorted(size[order[a:]] * np.arange(1, len(order) - a + 1), _CURSORS)))
+            some = order[a:b]
+            who, take = _ranges(at[alive[some]], end[some])
             distinct = np.unique(who * len(self.terms) + term[take])
-            who, mine = distinct // len(self.terms), distinct % len(self.terms)
-            owner, entry = _ranges(self.entry_at[mine], self.entry_at[mine + 1])
-            cell = who[owner] * self.blocks + self.entry_block[entry]
-            bounds = np.bincount(cell, self.entry_max[entry])
-            open_ = bounds[cell] >= self.threshold - eps
-            cell, entry = cell[open_], entry[open_]
-            owner, posting = _ranges(self.posting_at[entry], self.posting_at[entry + 1])
-            pair, number = np.unique(cell[owner] // self.blocks * len(self.ids) + self.posting_item[posting], return_inverse=True)
-            scores = np.bincount(number, self.posting_weight[posting], len(pair))
-            for k in np.flatnonzero(scores >= self.threshold - eps):
-                p, item = passage[pair[k] // len(self.ids)], int(pair[k] % len(self.ids))
+            for k, item, score in self._wand(distinct // len(self.terms), distinct % len(self.terms), len(some)):
+                p = alive[some[k]]
                 text = int(text_of[p])
                 begin = first[text] + (p - run_base[text]) * self.half
-                q, a, both = self._overlap(item, words[begin : min(begin + 2 * self.half, first[text + 1])])
-                if both >= OVERLAP:
-                    best[text, item] = max(best.get((text, item), (0, 0, 0)), (float(scores[k]), q, a))
+                q, answer = self._overlaps(item, words[begin : min(begin + 2 * self.half, first[text + 1])])
+                if min(q, answer) >= OVERLAP:
+                    best[text, item] = max(best.get((text, item), (0, 0, 0)), (score, q, answer))
+            a = b
         return [(text, int(self.ids[item]), *x) for (text, item), x in sorted(best.items())]
 
-    def _overlap(self, item: int, span: np.ndarray) -> tuple[float, float, float]:
-        found, total, shares = 0, 0, []
-        for size, grams in (self.questions[item], self.answers[item]):
-            n = int(np.isin(grams, _ngrams(span, size)).sum())
-            shares.append(n / len(grams) if len(grams) else 0.0)
-            found, total = found + n, total + len(grams)
-        return shares[0], shares[1], found / max(1, total)
-
-
-def _lengths(batches):
+    def _wand(self, passage: np.ndarray, term: np.ndarray, n: int):
+        """(passage, item, score) for all items at or above the threshold; passages and their distinct terms ascend."""
+        first = np.searchsorted(passage, np.arange(n + 1))
+        wide = max(1, int(np.diff(first).max()))
+        none = len(self.terms)  # a term without postings fills the rows up
+        terms = np.full((n, wide), none)
+        terms[passage, np.arange(len(passage)) - first[passage]] = term
+        starts, ends = np.append(self.entry_at[:-1], 0), np.append(self.entry_at[1:], 0)
+        tops = np.append(self.list_max, 0.0)
+        keys = np.repeat(np.arange(none), np.diff(self.entry_at)) * self.blocks + self.entry_block
+        blocks = np.append(self.entry_block, _END)
+        cursor = starts[terms]
+        block = np.where(cursor < ends[terms], blocks[cursor], _END)
+        rows = np.arange(n)
+        while True:
+            # Cursors by their block; the pivot is where the list maxima first add up to the threshold.
+            ordered = np.sort((block << 32) | np.arange(wide), axis=1)
+            reach = np.cumsum(np.take_along_axis(tops[terms], ordered & 0xFFFFFFFF, 1), axis=1) >= self.threshold - _EPS
+            pivot = np.where(reach[:, -1], ordered[np.arange(len(rows)), reach.argmax(1)] >> 32, _END)
+            on = pivot < _END
+            if not on.all():
+                rows, terms, cursor, block, pivot = rows[on], terms[on], cursor[on], block[on], pivot[on]
+            if not len(rows):
+                return
+            row, slot = np.nonzero(block <= pivot[:, None])
+            here, t, goal = cursor[row, slot], terms[row, slot], pivot[row]
+            behind = block[row, slot] < goal
+            here[behind] = np.searchsorted(keys, t[behind] * self.blocks + goal[behind])
+            there = np.where(here < ends[t], blocks[here], _END)
+            at = there == goal
+            bounds = np.bincount(row[at], self.entry_max[here[at]], len(rows))
+            score = at & (bounds[row] >= self.threshold - _EPS)
+            if score.any():
+                owner, posting = _ranges(self.posting_at[here[score]], self.posting_at[here[score] + 1])
+                pair, number = np.unique(row[score][owner] * len(self.ids) + self.posting_item[posting], return_inverse=True)
+                total = np.bincount(number, self.posting_weight[posting], len(pair))
+                for k in np.flatnonzero(total >= self.threshold - _EPS):
+                    yield int(rows[pair[k] // len(self.ids)]), int(pair[k] % len(self.ids)), float(total[k])
+            # Every cursor now lies behind the pivot block.
+            here += at
+            cursor[row, slot] = here
+            block[row, slot] = np.where(here < ends[t], blocks[here], _END)
+
+    def _overlaps(self, item: int, span: np.ndarray) -> tuple[float, float]:
+        """The shares of the question's and the answer's n-grams that the passage holds."""
+        question, answer = (float(np.isin(grams, _ngrams(span, size)).mean()) if len(grams) else 1.0 for size, grams in (self.questions[item], self.answers[item]))
+        return question, answer
+
+
+def _measured(batches):
+    """The items with their numbers of words."""
     for rows, buf, offs in K.blocks(batches):
-        words, doc = _word_hashes(buf, offs)
-        length = np.bincount(doc, minlength=len(offs) - 1)
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("copies")), pa.array(length, pa.int64())], names=["copies", "n"])
+        _, doc = _word_hashes(buf, offs)
+        n = np.bincount(doc, minlength=len(offs) - 1)
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(n, pa.int64()), pa.array(band(n))], names=[*rows.schema.names, "n", "band"])
 
 
 def _terms(batches):
@@ -233,19 +294,20 @@ def _terms(batches):
         yield pa.RecordBatch.from_arrays([shard, pa.array(words[new].view(np.int64)), copies], names=["shard", "term", "copies"])
 
 
-def _build(folder: str, threshold: float, items: int, words: int, longest: int):
+def _build(folder: str, threshold: float, items: int, words: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         terms = right.column("term").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(terms)
-        counts = Counts(items, words, longest, terms[order].astype(K.U), right.column("df").to_numpy()[order])
-        index = Index.build(list(zip(left.column("item_id").to_pylist(), left.column("text").to_pylist(), strict=True)), threshold, counts)
+        counts = Counts(items, words, terms[order].astype(K.U), right.column("df").to_numpy()[order])
+        shard = key[0].as_py()
+        index = Index.build(list(zip(left.column("item_id").to_pylist(), left.column("text").to_pylist(), strict=True)), threshold, counts, 1 << (shard >> 32))
         # A task that is run again writes a file of its own; which one counts is in its result.
-        name = f"{folder}/{key[0].as_py()}-{uuid.uuid4().hex}"
+        name = f"{folder}/{shard}-{uuid.uuid4().hex}"
         store, path = _store(name)
         store.create_dir(path.rpartition("/")[0])
         with store.open_output_stream(path) as out:
             out.write(pickle.dumps(index, protocol=5))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "path": [name]})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "path": [name]})
 
     return run
 
@@ -253,32 +315,37 @@ def _build(folder: str, threshold: float, items: int, words: int, longest: int):
 def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> list[str]:
     """Where the index of each shard of the items lies; the driver holds names only."""
     spark = benchmark.sparkSession
-    shards = max(1, -(-benchmark.count() // max_items))
-    distinct = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    items = written(distinct.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("long").alias("shard"), "item_id", "text", "copies"), "items")
-    lengths = items.select("copies", "text").mapInArrow(_lengths, "copies long, n long").filter("n > 0")
-    total = lengths.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("copies"), F.sum(F.col("copies") * F.col("n")), F.max("n"))]).first()
-    terms = items.select("shard", "copies", "text").mapInArrow(_terms, "shard long, term long, copies long").groupBy("shard", "term").agg(F.sum("copies").alias("copies"))
+    distinct = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    items = written(distinct.mapInArrow(_measured, "item_id long, text string, copies long, n long, band long").filter("n > 0"), "items")
+    # One row a band, of which there are no more than lengths have bits.
+    bands = items.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("items"), F.sum(F.col("copies") * F.col("n")).alias("words")).collect()
+    if not bands:
+        return []
+    shards = F.coalesce(*[F.when(F.col("band") == r.band, F.lit(-(-r.rows // max_items))) for r in bands])
+    dealt = items.select(F.expr("shiftleft(band, 32)").bitwiseOR(F.pmod(F.xxhash64("item_id", "text"), shards).cast("long")).alias("shard"), "item_id", "text", "copies")
+    terms = dealt.select("shard", "copies", "text").mapInArrow(_terms, "shard long, term long, copies long").groupBy("shard", "term").agg(F.sum("copies").alias("copies"))
     terms = written(terms, "terms")
     found = terms.select("shard", "term").join(terms.groupBy("term").agg(F.sum("copies").alias("df")), "term")
-    # A row without an item for each shard, so that each has an index, be it an empty one.
-    every = items.select("shard", "item_id", "text").unionByName(spark.range(shards).select(F.col("id").alias("shard"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("string").alias("text")))
-    build = _build(new_path(spark, "indexes"), threshold, *map(int, total))
-    made = every.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(build, "shard long, path string").collect()
+    build = _build(new_path(spark, "indexes"), threshold, sum(r["items"] for r in bands), sum(r.words for r in bands))
+    made = dealt.select("shard", "item_id", "text").groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(build, "shard long, path string").collect()
     return [r.path for r in sorted(made, key=lambda r: r.shard)]
 
 
-_held: dict[str, Index] = {}
+#: Bytes of indexes that a worker keeps.
+HELD_BYTES = 32 << 20
+_held: dict[str, tuple[int, Index]] = {}
 
 
 def _index(name: str) -> Index:
-    """A shard's index; a worker keeps the one it read last."""
+    """A shard's index; a worker keeps those that it read last, as far as they are small together."""
     if name not in _held:
-        _held.clear()
         store, path = _store(name)
         with store.open_input_file(path) as f:
-            _held[name] = pickle.loads(f.read())
-    return _held[name]
+            raw = f.read()
+        while _held and len(raw) + sum(n for n, _ in _held.values()) > HELD_BYTES:
+            del _held[next(iter(_held))]
+        _held[name] = len(raw), pickle.loads(raw)
+    return _held[name][1]
 
 
 def _hits(names: list[str], batches):
@@ -296,7 +363,7 @@ def _hits(names: list[str], batches):
     for rows, buf, offs in K.blocks(batches):
         held.append((rows, *_word_hashes(buf, offs), len(offs) - 1))
         size += len(buf)
-        if len(names) == 1 or size >= SHARED_BYTES:
+        if size >= SHARED_BYTES:
             yield from scored()
             held, size = [], 0
     yield from scored()

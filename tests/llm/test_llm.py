@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on the cases that no table has."""
 
 import base64
+import collections
 import hashlib
 import json
 import random
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontamination, kernel, lz_fingerprint, ngram_join, packing, secret_scan, sentencepiece_codec, shared, token_counts, toxicity, url_filter, warc
+from siltstone.llm import chunks, decontamination, kernel, lz_fingerprint, ngram_join, packing, secret_scan, sentencepiece_codec, shared, token_counts, toxicity, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -32,6 +33,47 @@ def prose(rng, n, vocabulary=400):
     return " ".join(rng.choice(["the", "of", f"w{rng.randrange(vocabulary)}", f"w{rng.randrange(vocabulary)}é"]) + rng.choice(["", "", ".", ",\n"]) for _ in range(n))
 
 
+def doubled():
+    """Two words of 1,024 letters that a polynomial modulo 2**64 does not tell apart, whatever its odd base."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_of_doubling_patterns_differ(spark):
+    a, b = doubled()
+    raw = f"{a} {b} {a} x{b} {a[:8]} {a[:9]} {a[:8]}\x00".encode()
+    buf = np.frombuffer(raw, np.uint8)
+    starts, ends = kernel.tokens(buf, np.array([0, len(buf)]))
+    words = [raw[s:e] for s, e in zip(starts, ends, strict=True)]
+    h = kernel.hashes(buf, starts, ends).tolist()
+    assert len(set(h)) == len(set(words)) and h[0] == h[2]
+    df = documents(spark, [a, b, a + " " + b, b + " " + a])
+    texts = {r.doc_id: r.text for r in df.collect()}
+    assert len({tuple(r.ids) for r in sentencepiece_codec.encoded(df).collect()}) == 5 and all(r.round_trip for r in sentencepiece_codec.encoded(df).collect())
+    vocab = sentencepiece_codec.Vocabulary.load()
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df).collect()} == {i: len(plain_ids(vocab, t or "")) for i, t in texts.items()}
+    rows = packing.packed(df)
+    encoding = packing.Ranks.load().open()
+    assert {(r.doc_id, encoding.decode(np.frombuffer(bytes(r.ids), "<u2").tolist())) for r in packing.unpacked(rows).collect()} == {(i, t) for i, t in texts.items() if t}
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()} == {i: i for i in texts}
+    bench = spark.createDataFrame([(1, "Is it so? " + a), (2, "Is it so? " + b)], "item_id long, text string")
+    asked = documents(spark, ["Is it so? " + a, "Is it so? " + b])
+    assert {(r.doc_id, r.item_id) for r in decontamination.contamination(asked, bench).collect()} == {(2, 1), (3, 2)}
+
+
+def test_chunks_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    raw = b"one two one six two ones"
+    buf = np.frombuffer(raw, np.uint8)
+    starts, ends = kernel.tokens(buf, np.array([0, len(buf)]))
+    want = [raw[s:e] for s, e in zip(starts, ends, strict=True)]
+    for hashed in (kernel.hashes, lambda b, s, e: np.zeros(len(s), np.uint64), lambda b, s, e: (e - s).astype(np.uint64)):
+        monkeypatch.setattr(kernel, "hashes", hashed)
+        sample, number = chunks.unique(buf, starts, ends)
+        assert [want[sample[k]] for k in number] == want and len(sample) == len(set(want))
+
+
 # -- 1 ---------------------------------------------------------------------------------------------------
 
 
@@ -372,41 +414,84 @@ def test_url_rules_and_list(spark):
 # -- 8 ---------------------------------------------------------------------------------------------------
 
 
-def plain_scores(index, items, words):
-    """BM25 shares of every item for a bag of words."""
-    bags = [decontamination._of_text(t) for t in items]
-    n, mean = len(bags), np.mean([len(b) for b in bags])
-    df = {}
-    for b in bags:
-        for t in set(b.tolist()):
-            df[t] = df.get(t, 0) + 1
+def plain_leaks(items, texts):
+    """(text, item) by brute force: BM25 shares of every passage and every item, both overlaps on tuples of words."""
+    bags = {key: re.findall(r"[a-z0-9\x80-\U0010ffff]+", items[key].translate(LOWER)) for key in items}
+    bags = {key: b for key, b in bags.items() if b}
+    n, mean = len(bags), sum(map(len, bags.values())) / max(1, len(bags))
+    df = collections.Counter(w for b in bags.values() for w in set(b))
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    found = {}
+    for key, bag in bags.items():
+        weight = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(bag) / mean)) for w, c in collections.Counter(bag).items()}
+        total, half = sum(weight.values()), 32
+        while half < len(bag):
+            half *= 2
+        parts = []
+        for part in decontamination.split_item(items[key]):
+            w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", part.translate(LOWER))
+            k = max(1, min(5, len(w)))
+            parts.append((k, grams(w, k)))
+        for d, text in enumerate(texts):
+            words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate(LOWER))
+            for start in range(0, len(words), half):
+                span = words[start : start + 2 * half]
+                score = sum(w for x, w in weight.items() if x in set(span)) / total
+                if score >= 0.5 - 1e-9 and all(len(g & grams(span, k)) * 2 >= len(g) for k, g in parts):
+                    found[d, key] = max(found.get((d, key), 0), score)
+    return found
+
+
+def partial_leaks(rng, items, texts, vocabulary=120):
     out = []
-    for b in bags:
-        weight = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * (c := b.tolist().count(t)) * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(b) / mean)) for t in set(b.tolist())}
-        out.append(sum(w for t, w in weight.items() if t in words) / sum(weight.values()))
+    for _ in range(texts):
+        part = items[rng.randrange(len(items))].split(" ")
+        cut = rng.choice([len(part), len(part) * 3 // 4, len(part) // 2])
+        at = rng.randrange(len(part) - cut + 1)
+        out.append(prose(rng, 90, vocabulary) + " " + " ".join(part[at : at + cut]) + " " + prose(rng, 60, vocabulary))
     return out
 
 
-def test_retrieval_finds_all_that_brute_force_does(spark):
+def test_leaks_are_those_of_brute_force_whatever_the_shards(spark):
     rng = random.Random(6)
-    items = [prose(rng, rng.randrange(8, 60), 120) for _ in range(37)]
+    items = [prose(rng, rng.choice([9, 20, 31, 33, 60, 64, 65, 90]), 120) for _ in range(41)] + ["one word?", "é", "Why so. Yes"]
+    # An id that a third of the rows have, copies of one row, items without words.
+    rows = [(i if i % 3 else 0, t) for i, t in enumerate(items)] + [(7, items[7])] * 5 + [(98, None), (99, "...")]
+    texts = [*partial_leaks(rng, items, 80), items[5].upper().replace("É", "é"), items[10] + "\n" + items[11], " ".join(prose(rng, 400, 120) for _ in range(30)) + items[13]]
+    df, bench = documents(spark, texts), spark.createDataFrame(rows, "item_id long, text string")
+    keyed = {(i, t): t for i, t in {(i, t) for i, t in rows if t is not None}} | {(7, items[7], k): items[7] for k in range(5)}
+    want = {}
+    for (d, key), score in plain_leaks(keyed, [None, "", *texts]).items():
+        want[d, key[0]] = max(want.get((d, key[0]), 0), score)
+    assert len(want) > 30
+    counts = set()
+    for most in (1000, 12, 5):
+        counts.add(len(decontamination.indexes(bench, max_items=most)))
+        got = {(r.doc_id, r.item_id): r for r in decontamination.contamination(df, bench, max_items=most).collect()}
+        assert got.keys() == want.keys() and all(got[k].score == pytest.approx(want[k]) for k in want), most
+        assert all(min(r.question_overlap, r.answer_overlap) >= 0.5 for r in got.values())
+        assert {r.doc_id for r in decontamination.keep_uncontaminated(df, bench, max_items=most).collect()} == set(range(len(texts) + 2)) - {d for d, _ in want}
+    assert len(counts) == 3
+
+
+def test_pivots_skip_blocks_but_no_item():
+    rng = random.Random(16)
+    items = [prose(rng, rng.randrange(8, 60), 900) for _ in range(300)]
     index = decontamination.Index.build(list(enumerate(items)), 0.5)
-    found = set()
-    for trial in range(40):
-        k = rng.randrange(37)
-        part = items[k].split(" ")
-        text = prose(rng, 90, 120) + " " + " ".join(part[: len(part) * rng.choice([2, 3, 4]) // 4]) + " " + prose(rng, 60, 120)
+    visited = []
+    searched = np.searchsorted
+    for text in partial_leaks(rng, items, 20, 900):
         words = decontamination._of_text(text)
-        got = {i for _, i, *_ in index.hits(words, np.zeros(len(words), np.int64), 1)}
-        want, runs = set(), -(-len(words) // index.half)
-        for p in range(runs):
-            span = words[p * index.half : (p + 2) * index.half]
-            for i, s in enumerate(plain_scores(index, items, set(span.tolist()))):
-                if s >= 0.5 and index._overlap(i, span)[2] >= decontamination.OVERLAP:
-                    want.add(i)
-        assert got == want
-        found |= want
-    assert found
+        passage = np.unique(np.flatnonzero(np.isin(index.terms, words[: 2 * index.half])))
+        got = {(i, round(s, 9)) for _, i, s in index._wand(np.zeros(len(passage), np.int64), passage, 1)}
+        at = searched(index.entry_at, np.arange(len(index.entry_block)), "right") - 1
+        total = np.zeros(len(items))
+        for e in np.flatnonzero(np.isin(at, passage)):
+            a, b = index.posting_at[e], index.posting_at[e + 1]
+            np.add.at(total, index.posting_item[a:b], index.posting_weight[a:b])
+        assert got == {(int(i), round(float(total[i]), 9)) for i in np.flatnonzero(total >= 0.5 - 1e-9)}
+        visited.append(len(got))
+    assert sum(visited) >= 5
 
 
 def test_leaks(spark):
@@ -418,27 +503,15 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id) for r in decontamination.contamination(df, bench).collect()}
     assert got == {(2, 5), (4, 7), (5, 3), (5, 4)}
     assert {r.doc_id for r in decontamination.keep_uncontaminated(df, bench).collect()} == {0, 1, 3, 6}
-    assert len(decontamination.indexes(bench, max_items=6)) == 4
+    # Rows that repeat: each is searched, a pair is reported once, and all copies go.
+    twice = df.unionByName(df)
+    assert {(r.doc_id, r.item_id) for r in decontamination.contamination(twice, bench).collect()} == got and decontamination.keep_uncontaminated(twice, bench).count() == 8
     assert decontamination.contamination(empty(spark), bench).count() == 0 and decontamination.contamination(df, bench.limit(0)).count() == 0
-
-
-def test_leaks_do_not_depend_on_shards(spark):
-    rng = random.Random(12)
-    items = [prose(rng, rng.randrange(8, 70), 120) for _ in range(40)]
-    # An id that a third of the rows have, and copies of one row: the id's texts go to all shards.
-    rows = [(i if i % 3 else 0, t) for i, t in enumerate(items)] + [(7, items[7])] * 5
-    bench = spark.createDataFrame(rows, "item_id long, text string")
-    texts = []
-    for k in range(40):
-        part = items[k].split(" ")
-        texts.append(prose(rng, 80, 120) + " " + " ".join(part[: len(part) * rng.choice([2, 3, 4]) // 4]) + " " + prose(rng, 60, 120))
-    df = documents(spark, texts)
-    whole, cut = ({(r.doc_id, r.item_id): tuple(r)[2:] for r in decontamination.contamination(df, bench, max_items=n).collect()} for n in (1000, 6))
-    assert whole.keys() == cut.keys() and len(whole) > 10 and all(np.allclose(whole[k], cut[k], rtol=0, atol=1e-12) for k in whole)
-    kept = {r.doc_id for r in decontamination.keep_uncontaminated(df, bench, max_items=6).collect()}
-    assert kept == set(range(42)) - {d for d, _ in whole}
-    held = [len(decontamination._index(x).ids) for x in decontamination.indexes(bench, max_items=6)]
-    assert len(held) == 8 and sum(held) == 40 and max(held) <= 12
+    # A question alone is no leak: its answer must be there too.
+    asked = "Which of the seven grey harbours froze over first in that long winter of the old calendar? Northern Quillhaven it was by all surviving accounts."
+    one = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    texts = documents(spark, [asked, asked.split("?")[0] + "?", prose(rng, 40) + " " + asked])
+    assert {r.doc_id for r in decontamination.contamination(texts, one).collect()} == {2, 4}
 
 
 # -- 9 ---------------------------------------------------------------------------------------------------
