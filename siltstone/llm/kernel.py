@@ -8,6 +8,8 @@ of bytes makes two texts collide other than by chance.  Null texts count as empt
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -38,7 +40,10 @@ _SALT = mix(np.full(1, 0x9E3779B97F4A7C15, U))[0]
 
 
 def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
-    """Yield (rows, buffer, offsets): a slice of a batch, its texts' bytes, and where each text starts."""
+    """Yield (rows, buffer, offsets): a slice of a batch, its texts' bytes, and where each text starts.
+
+    At the end memory that is free goes back to the system, since a worker outlives its task.
+    """
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         if texts.null_count:
@@ -55,6 +60,16 @@ def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
             j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             i = j
+        del batch, texts, at, data, offs
+    give_back()
+
+
+def give_back() -> None:
+    """Return what the allocators of numpy and Arrow hold without need to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def tokens(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE):

@@ -1,23 +1,31 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-A document's set is its distinct five-word shingles.  Sets are dealt to size windows; in a window the domain
-of shingle hashes is cut into a fixed number of parts, and a set's projection on a part is one signature.
-Two sets with Jaccard similarity of at least 3/4 differ in a bounded number k of shingles, so of the m
-non-empty parts of either at least m - k agree.  Subsets of parts are therefore enumerated as singletons, and
-of a set's m signatures, in one global order, k + e are kept: two linked sets then share at least e of them
-(e grows with the set).  Signatures that occur once vanish, and so do sets that share fewer than they must
-with all others together.  On the few sets left the domain is cut as finely as can be, into single shingles,
-which tells more: a set must share 3/4 of its shingles, and needs only the rarest of these as signatures.
-
-Candidates are verified on whole shingle sets.  Pairs within a group of sets that share a signature are not
-all emitted: first each is compared with the group's most central set, then only sets that are still in
-different components are compared with each other.  Components, not pairs, are the result.
-
-Probability enters in one place: with 64-bit hashes two different shingles of one pair may collide, and a set
-may fill too few parts (seven or more standard deviations away for the part counts below).
+A document's set is its distinct five-word shingles.  Sets are dealt to bands by their size, each half as large
+again as the one below.  In a band the domain of shingle hashes is cut into parts and each part into three cells;
+a signature is what a set holds in two of the three cells of a part.  Two sets of similarity 3/4 or more differ
+in at most k shingles, a third of the smaller one's size, so of any k / 2 + 1 parts one holds at most one
+difference, and two of its cells agree: the two sets share a signature.  A set signs so many parts, and some more
+(`_spare`), in its own band, and where it may have partners in the band below, in that one too.  Sets below 64
+shingles are cut as finely as can be: every shingle is a part.
+
+Candidate pairs are formed on these signatures, and verified on whole shingle sets:
+
+1. Signatures that occur once vanish, and so do sets that share fewer than linked sets must.
+2. Every set is compared with the least set of each of its groups (the sets that share a signature).
+3. Groups that still hold several components are compared across them, pair by pair, where they have at most
+   `GROUP` sets.
+4. What lies in larger ones (a passage that very many documents share) goes another exact way: single shingles,
+   rarest first, as many as linked sets cannot all miss (a prefix filter).
+
+Pairs within a group are so never all emitted, and components, not pairs, are the result.
+
+Probability enters in two places: with 64-bit hashes two different shingles of one pair may collide, and the
+cells that agree may all be empty, in every one of the spare parts that agree.
 
 Null or empty texts have no shingles and link with nothing.  Exact copies count as one set.  Rows that repeat
-a doc_id are one node.  A null doc_id is its own component (null).
+a doc_id are one node, and whatever one of its texts is linked to, the node is linked to.  A null doc_id is its
+own component (null).  Very long texts are sets like others.  Columns other than doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,95 +36,102 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernel as K
-from siltstone.llm.shared import bloom, connected_components, maybe_listed, without, written
+from siltstone.llm.shared import Scratch, batched, bloom, connected_components, maybe_listed, without
 
 WORDS = 5
-#: A link needs 100 * shared >= PERCENT * union; the windows below are made for 75 and hold above it.
+#: A link needs 100 * shared >= PERCENT * union; the bands below are made for 75 and hold above it.
 PERCENT = 75
+#: Sets of a group that are compared pair by pair.
+GROUP = 64
 _SMALL = 64
-_RATIO = 3
+#: Least sizes of the bands.
+_EDGES = np.array([_SMALL * 3**i // 2**i for i in range(50)])
+_CELLS = 3
 
 
-def _windows(n: np.ndarray):
-    """For each set size: own window, its differences allowed there, whether the window below has partners, and differences there."""
-    own = np.full(n.shape, -1, np.int64)
-    big = n >= _SMALL
-    own[big] = np.floor(np.log(n[big] / _SMALL) / np.log(_RATIO) + 1e-12).astype(np.int64)
-    low = np.where(own >= 0, _SMALL * float(_RATIO) ** own, 1).astype(np.int64)
-    below = (own >= 0) & ((3 * n + 3) // 4 < low)
-    return own, n // 3, below, (2 * n) // 7
+def _band(n: np.ndarray) -> np.ndarray:
+    """The band of sets of so many shingles; -1 for the smallest."""
+    return np.searchsorted(_EDGES, n, "right") - 1
 
 
-def _parts(window: np.ndarray) -> np.ndarray:
-    """Parts of the domain in a window; the smallest sets have every shingle as a part of its own (0)."""
-    low = _SMALL * float(_RATIO) ** np.maximum(window, 0)
-    fill = np.where(low < 1000, 2.0, 2.6)
-    return np.where(window < 0, 0, np.ceil(low * _RATIO * 4 / 3 / fill)).astype(np.int64)
+def _spare(n: np.ndarray) -> np.ndarray:
+    return 3 + n // 64
 
 
-def _spare(n: np.ndarray) -> np.ndarray:
-    """Signatures kept beyond the differences allowed; small sets keep all."""
-    return np.where(n < 86, n, np.maximum(1, n // 16))
+def _signed(n: np.ndarray) -> np.ndarray:
+    """Parts that a set signs: linked sets agree in one more than `_spare` of them."""
+    return n // 3 // 2 + 1 + _spare(n)
 
 
-def _least(n: np.ndarray) -> np.ndarray:
-    """Signatures that a set shares with any set it is linked to."""
-    need = (3 * n + 3) // 4
-    return np.where(n < _SMALL, need, np.maximum(1, need // 16))
+#: Signatures that a set shares in a band with any set it is linked to: three quarters of its single shingles, else
+#: half of the parts that agree for certain, as cells may be empty.
+_LEAST = f"CASE WHEN n < {_SMALL} OR n < {_EDGES[1]} AND band = 1 THEN (3 * n + 3) div 4 ELSE (4 + n div 64) div 2 END"
 
 
 def _profile(batches):
     for rows, buf, offs in K.blocks(batches):
         vals, at = K.shingles(buf, offs, WORDS)
-        n = np.diff(at)
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column(rows.schema.get_field_index("doc_id")),
-                pa.array(n),
+                pa.array(np.diff(at)),
                 K.longs(K.segment_sums(K.mix(vals), at)),
                 K.longs(K.segment_sums(K.mix(vals ^ K.U(0xA5A5A5A5A5A5A5A5)), at)),
-                pa.array(_least(n)),
             ],
-            names=["doc_id", "n_shingles", "k1", "k2", "least"],
+            names=["doc_id", "n_shingles", "k1", "k2"],
         )
 
 
-def _window_signatures(vals, at, rows, window, allowed):
-    """Kept signatures of the texts `rows`, each in its window, and the text of each."""
+def _single(vals, at, rows, band):
+    """Every shingle of the texts as a signature, and its text."""
+    n = at[rows + 1] - at[rows]
+    pick = np.repeat(at[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return K.mix(vals[pick] + K.U(1)), np.repeat(rows, n)
+
+
+def _subsets(vals, at, rows, band):
+    """Signatures of the texts, each in its band: two cells of every part signed; and the text of each."""
     n = at[rows + 1] - at[rows]
     pick = np.repeat(at[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     v, text = vals[pick], np.repeat(np.arange(len(rows)), n)
-    parts = _parts(window)[text].astype(K.U)
+    most = _EDGES[band + 1] - 1
+    parts, signed = _signed(most), _signed(np.minimum(n, most))
     # Shingles ascend within a text, so the parts, ranges of their upper halves, do too.
-    part = np.where(parts > 0, ((v >> K.U(32)) * parts) >> K.U(32), v)
+    part = ((v >> K.U(32)) * parts[text].astype(K.U)) >> K.U(32)
+    inside = part < signed[text].astype(K.U)
+    v, text, part = v[inside], text[inside], part[inside]
+    if not len(v):
+        return np.zeros(0, K.U), np.zeros(0, np.int64)
+    cell = ((v & K.U(0xFFFFFFFF)) * K.U(_CELLS)) >> K.U(32)
     new = np.ones(len(v), bool)
     new[1:] = (part[1:] != part[:-1]) | (text[1:] != text[:-1])
     start = np.flatnonzero(new)
-    whole = np.add.reduceat(K.mix(v), start) if len(start) else np.zeros(0, K.U)
-    salt = K.mix((window[text[start]] + 2).astype(K.U) * K.U(0x632BE59BD9B4E019) + part[start])
-    sig, text = K.mix(whole ^ salt), text[start]
-    # The lowest bit tells a set's own window from the one below it.
-    sig = (sig & ~K.U(1)) | (window[text] & 1).astype(K.U)
-    order = np.argsort(sig, kind="quicksort")
-    order = order[np.argsort(text[order], kind="stable")]
-    m = np.bincount(text, minlength=len(rows))
-    rank = np.arange(len(order)) - np.repeat((np.cumsum(m) - m), m)
-    kept = order[rank < (allowed + _spare(n))[text[order]]]
-    return sig[kept], rows[text[kept]]
+    held = [np.add.reduceat(np.where(cell == K.U(c), K.mix(v), K.U(0)), start) for c in range(_CELLS)]
+    salt = K.mix((band[text[start]] + 2).astype(K.U) * K.U(0x632BE59BD9B4E019) + part[start])
+    found, owner = [], []
+    for left in range(_CELLS):
+        a, b = held[(left + 1) % _CELLS], held[(left + 2) % _CELLS]
+        some = np.flatnonzero((a | b) != 0)
+        found.append(K.mix(K.mix(a[some] + salt[some]) + K.mix(b[some] ^ K.U(left + 1)) * K.U(3)))
+        owner.append(text[start[some]])
+    return np.concatenate(found), rows[np.concatenate(owner)]
 
 
 def _signatures(batches):
     for rows, buf, offs in K.blocks(batches):
         vals, at = K.shingles(buf, offs, WORDS)
         n = np.diff(at)
-        own, k_own, below, k_below = _windows(n)
-        sets = np.flatnonzero(n)
-        low = np.flatnonzero(below)
-        a = _window_signatures(vals, at, sets, own[sets], k_own[sets])
-        b = _window_signatures(vals, at, low, own[low] - 1, k_below[low])
+        own, sets = _band(n), np.flatnonzero(n)
         ids = rows.column(rows.schema.get_field_index("doc_id"))
-        for sig, text in (a, b):
-            yield pa.RecordBatch.from_arrays([K.longs(sig), ids.take(pa.array(text))], names=["sig", "doc_id"])
+        # Partners in the band below have at least three quarters of a set's size.
+        below = sets[(own[sets] >= 0) & ((3 * n[sets] + 3) // 4 < _EDGES[np.maximum(own[sets], 0)])]
+        for low, texts in ((0, sets), (1, below)):
+            band = own[texts] - low
+            for made, some in ((_single, band < 0), (_subsets, band >= 0)):
+                sig, text = made(vals, at, texts[some], band[some])
+                # The lowest bit tells neighbouring bands apart.
+                sig = (sig & ~K.U(1)) | ((own[text] - low) & 1).astype(K.U)
+                yield pa.RecordBatch.from_arrays([K.longs(sig), ids.take(pa.array(text)), pa.array(n[text].astype(np.int32))], names=["sig", "doc_id", "n"])
 
 
 def _sets(batches):
@@ -125,9 +140,7 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), K.lists(K.longs(vals), at)], names=["doc_id", "shingles"])
 
 
-#: Of two sets that share a signature, each has `rest` shared shingles from it on, in the order from rare to common.
-#: If it is the rarest that both have, they have no more than the lesser `rest` in common.
-_ABLE = "7 * least(rest, {0}) >= 3 * (n + {1})"
+_CLOSE = "3 * greatest(n, {0}) <= 4 * least(n, {0})"
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,58 +152,82 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         .filter(100 * shared >= PERCENT * union)
         .select("a", "b")
+        .distinct()
     )
 
 
+def _ordered(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _placed(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """The signatures with the component that each set has so far."""
+    return shared.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).drop("node", "component")
+
+
+def _across(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of sets of different components that share a signature of these groups."""
+    mine = placed.join(groups.select("sig"), "sig", "left_semi")
+    other = mine.select("sig", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"))
+    return mine.join(other, "sig").filter("doc_id < other AND part <> other_part AND " + _CLOSE.format("other_n")).select(*_ordered("doc_id", "other")).distinct()
+
+
+def _rare(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Signatures of the sets left in large groups: their rarest single shingles, one more than a linked set may miss."""
+    single = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sig"))
+    often = single.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
+    ranked = single.join(often, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("often", "sig")))
+    return _placed(ranked.filter("often > 1 AND rank <= n - (3 * n + 3) div 4 + 1").select("sig", "doc_id", "n"), parts)
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi")
+
+
 def ngram_components(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least doc_id with the same set), component_id."""
-    spark, docs = documents.sparkSession, documents.select("doc_id", "text")
-    known = docs.filter(F.col("doc_id").isNotNull())
-    profile = written(docs.mapInArrow(_profile, "doc_id long, n_shingles long, k1 long, k2 long, least long"), "profile")
-    classes = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("class_id"), F.first("least").alias("least"))
-    classes = written(classes, "classes")
-    heads = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.min("least").alias("least"))
-
-    by_sig = Window.partitionBy("sig")
-    by_window = Window.partitionBy("doc_id", F.col("sig").bitwiseAND(F.lit(1)))
-    enough = F.count(F.lit(1)).over(by_window) >= F.col("least")
-    found = known.mapInArrow(_signatures, "sig long, doc_id long").withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1").drop("n_sig")
-    shared = written(found.join(heads, "doc_id").withColumn("enough", enough).filter("enough").drop("enough"), "shared")
-    counted = shared.withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1")
-    own = counted.groupBy("doc_id", F.col("sig").bitwiseAND(F.lit(1)).alias("window")).agg(F.count(F.lit(1)).alias("n_own"), F.first("least").alias("least"))
-    alive = written(own.filter("n_own >= least").select("doc_id").distinct(), "alive")
-
-    # The whole sets of what is left, and single shingles as signatures.
-    texts = maybe_listed(known, "doc_id", bloom(alive, "doc_id")).join(alive, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
-    by_doc, need = Window.partitionBy("doc_id"), "(3 * n + 3) div 4"
-    single = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sig"))
-    common = single.withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1").withColumn("n_own", F.count(F.lit(1)).over(by_doc)).filter(f"n_own >= {need}")
-    common = written(common.select("doc_id", "n", "sig"), "common")
-    again = common.withColumn("n_sig", F.count(F.lit(1)).over(by_sig)).filter("n_sig > 1").withColumn("n_own", F.count(F.lit(1)).over(by_doc))
-    ranked = again.withColumn("rank", F.row_number().over(by_doc.orderBy("n_sig", "sig")))
-    rare = written(ranked.filter(f"n_own >= {need} AND rank <= n_own - {need} + 1").select("sig", "doc_id", "n", "n_own", F.expr("n_own - rank + 1").alias("rest")), "rare")
-
-    # Round one: every set against the most central set of each of its groups.
-    groups = rare.groupBy("sig").agg(F.max(F.struct(F.col("n_own") / F.col("n"), -F.col("doc_id"), F.col("n").alias("n"), F.col("rest").alias("rest"))).alias("hub"), F.count(F.lit(1)).alias("n_sig"))
-    groups = groups.filter("n_sig > 1").select("sig", (-F.col("hub.col2")).alias("hub_id"), F.col("hub.n").alias("hub_n"), F.col("hub.rest").alias("hub_rest"))
-    first = rare.join(groups, "sig").filter("doc_id <> hub_id AND " + _ABLE.format("hub_rest", "hub_n"))
-    first = written(first.select(F.least("doc_id", "hub_id").alias("a"), F.greatest("doc_id", "hub_id").alias("b")).distinct(), "first")
-    links = written(_linked(first, sets), "links")
+    spark, docs = documents.sparkSession, batched(documents.select("doc_id", "text"))
+    scratch, known = Scratch(spark, "join"), docs.filter(F.col("doc_id").isNotNull())
+    profile = scratch.written(docs.mapInArrow(_profile, "doc_id long, n_shingles long, k1 long, k2 long"), "profile")
+    key = ["n_shingles", "k1", "k2"]
+    classes = scratch.written(profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
+
+    # Signatures of one text of each class.
+    heads = scratch.written(classes.select(F.col("class_id").alias("doc_id")).distinct(), "heads")
+    copies = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id").join(heads, "doc_id", "left_anti")
+    dealt = without(known, "doc_id", copies).mapInArrow(_signatures, "sig long, doc_id long, n int").repartition("sig")
+    met = dealt.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("sig")
+    shared = scratch.written(dealt.join(met, "sig"), "shared")
+    enough = shared.groupBy("doc_id", "n", F.col("sig").bitwiseAND(F.lit(1)).alias("band")).agg(F.count(F.lit(1)).alias("mine")).filter(f"mine >= {_LEAST}")
+    alive = scratch.written(enough.select("doc_id").distinct(), "alive")
+    live = scratch.written(shared.join(alive, "doc_id", "left_semi"), "live")
+    scratch.drop("shared")
+    texts = maybe_listed(known, "doc_id", bloom(alive, "doc_id"), "maybe").filter("maybe").join(alive, "doc_id", "left_semi")
+    sets = scratch.written(texts.mapInArrow(_sets, "doc_id long, shingles array<long>").distinct(), "sets")
+
+    # Every set against the least one of each of its groups.
+    least = live.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("least"))
+    first = live.join(least, "sig").filter("doc_id <> least.doc_id AND " + _CLOSE.format("least.n")).select(*_ordered("doc_id", "least.doc_id")).distinct()
+    links = _linked(first, sets)
+    # Texts of one id are one node, whichever classes they are in.
+    of_id = profile.filter("doc_id IS NOT NULL").join(classes, key).select("doc_id", "class_id").distinct()
+    several = of_id.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi").select("doc_id")
+    links = scratch.written(links.unionByName(of_id.join(several, "doc_id", "left_semi").toDF("a", "b")), "links")
     parts = connected_components(links)
 
-    # Round two: what shares a signature and is not yet in one component.
-    placed = rare.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).select("sig", "doc_id", "n", "rest", "part")
-    mixed = placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("sig")
-    open_ = written(placed.join(mixed, "sig", "left_semi"), "open")
-    other = open_.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("part").alias("part_b"))
-    second = open_.join(other, "sig").filter("doc_id < b AND part <> part_b AND " + _ABLE.format("rest_b", "n_b")).select(F.col("doc_id").alias("a"), "b").distinct()
-    more = written(_linked(second.join(first, ["a", "b"], "left_anti"), sets), "more")
+    # Groups that still hold several components, the large ones by single shingles.
+    placed = scratch.written(_placed(live, parts), "placed")
+    mixed = scratch.written(_mixed(placed), "mixed")
+    more = _across(placed, mixed.filter(F.col("many") <= GROUP))
+    large = placed.join(mixed.filter(F.col("many") > GROUP).select("sig"), "sig", "left_semi").select("doc_id").distinct()
+    rare = scratch.written(_rare(sets.join(large, "doc_id", "left_semi"), parts), "rare")
+    more = scratch.written(_linked(more.unionByName(_across(rare, _mixed(rare))).distinct(), sets), "more")
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
+    scratch.drop("live", "sets", "placed", "mixed", "rare")
 
-    member = classes.join(parts, F.col("class_id") == F.col("node"), "left").select("n_shingles", "k1", "k2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return profile.join(member, ["n_shingles", "k1", "k2"], "left").select(
+    member = classes.join(parts, F.col("class_id") == F.col("node"), "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    return profile.join(member, key, "left").select(
         "doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), F.col("doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )

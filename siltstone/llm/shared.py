@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests), one of our own."""
+    """The folder in spark.checkpoint.dir; where none is set, one of our own if all is on this machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -24,9 +28,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The table as written to the shared folder: lineage is cut, and a lost executor takes nothing along."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -38,56 +42,102 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Blocks of a bloom filter: 512 bits each, so that the table broadcast has at most 16,384 rows of 72 bytes.
-BLOOM_BLOCKS = 16_384
-_WORDS = 8
+class Scratch:
+    """Tables of one computation in the shared folder; those that no later step reads are deleted by name."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, new_path(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+
+
+#: Bytes of texts that the JVM hands to a Python worker at once, where the session does not say.
+BATCH_BYTES = "4m"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """The same table, for mapInArrow: unless the session sets them itself, its batches get a bound in bytes that texts of any length keep."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, BATCH_BYTES)
+    return df
 
 
-def _bloom_hash(key) -> tuple:
-    h = F.xxhash64(key, F.lit(17))
-    return F.pmod(h, F.lit(BLOOM_BLOCKS)), F.xxhash64(key, F.lit(71))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where the table has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
-def _bit(h, word: int):
+#: Bits of a filter per key, and the most blocks of 512 bits that are broadcast (19 MB; 13 million keys).
+BLOOM_BITS = 10
+MAX_BLOCKS = 1 << 18
+_WORDS = 8
+
+
+def _bit(h: str, word: int):
     """The bit that a key sets in one 64-bit word of its block."""
-    return F.expr(f"shiftleft(1L, cast(shiftright(bloom_hash, {word * 7}) & 63 as int))")
+    return F.expr(f"shiftleft(1L, cast(shiftright(`{h}`, {word * 7}) & 63 as int))")
+
+
+@dataclass
+class Bloom:
+    """A blocked Bloom filter, one row per block that has keys, of eight 64-bit words; None where keys are too many for one."""
+
+    table: DataFrame | None
+    blocks: int
+
+    def block(self, key):
+        return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(self.blocks))
 
 
-def bloom(keys: DataFrame, key: str) -> DataFrame:
-    """Blocked Bloom filter of a column: one row per block that has keys, of eight 64-bit words.
+def bloom(keys: DataFrame, key: str) -> Bloom:
+    """Blocked Bloom filter of a column, sized by the number of its rows.
 
-    A key hashes to one block and sets one bit in each word of it. The blocks are a fixed number, so the
-    filter may be broadcast whatever the number of keys; with too many keys it lets more through, and the
-    exact join behind it still decides.
+    A key hashes to one block and sets one bit in each word of it. A filter that would be too large to broadcast
+    is none: it passes every row, and the exact join behind it does all the work.
     """
-    block, h = _bloom_hash(F.col(key))
-    return (
-        keys.select(block.alias("bloom_block"), h.alias("bloom_hash"))
-        .groupBy("bloom_block")
-        .agg(*[F.bit_or(_bit("bloom_hash", i)).alias(f"bloom_w{i}") for i in range(_WORDS)])
-    )
-
-
-def maybe_listed(rows: DataFrame, key: str, filter_: DataFrame, keep: bool = True) -> DataFrame:
-    """Rows whose key the filter may hold; with keep=False all rows, and a column `maybe`."""
-    block, h = _bloom_hash(F.col(key))
-    probed = rows.withColumn("bloom_block", block).withColumn("bloom_hash", h)
-    joined = probed.join(F.broadcast(filter_), "bloom_block", "inner" if keep else "left")
-    hit = F.lit(True)
-    for i in range(_WORDS):
-        hit = hit & ((F.col(f"bloom_w{i}").bitwiseAND(_bit("bloom_hash", i))) != 0)
-    extra = ["bloom_block", "bloom_hash", *[f"bloom_w{i}" for i in range(_WORDS)]]
-    if keep:
-        return joined.filter(hit).drop(*extra)
-    return joined.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop(*extra)
+    n = keys.count()
+    blocks = 1 << max(4, (n * BLOOM_BITS // 512).bit_length())
+    if blocks > MAX_BLOCKS:
+        return Bloom(None, blocks)
+    made = Bloom(None, blocks)
+    hashed = keys.select(made.block(F.col(key)).alias("bloom_block"), F.xxhash64(F.col(key), F.lit(71)).alias("bloom_hash"))
+    made.table = hashed.groupBy("bloom_block").agg(*[F.bit_or(_bit("bloom_hash", i)).alias(f"bloom_w{i}") for i in range(_WORDS)])
+    return made
+
+
+def maybe_listed(rows: DataFrame, key: str, filter_: Bloom, flag: str) -> DataFrame:
+    """All rows, and in a column `flag` that they do not have yet, whether the filter may hold their key; it never holds a null."""
+    known = F.col(key).isNotNull()
+    if filter_.table is None:
+        return rows.withColumn(flag, known)
+    names = ["bloom_block", "bloom_hash", *[f"bloom_w{i}" for i in range(_WORDS)]]
+    block, h, *words = fresh(rows, *names)
+    table = filter_.table.select(F.col("bloom_block").alias(block), *[F.col(f"bloom_w{i}").alias(w) for i, w in enumerate(words)])
+    probed = rows.withColumn(block, filter_.block(F.col(key))).withColumn(h, F.xxhash64(F.col(key), F.lit(71)))
+    hit = known
+    for i, w in enumerate(words):
+        hit = hit & ((F.col(w).bitwiseAND(_bit(h, i))) != 0)
+    return probed.join(F.broadcast(table), block, "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop(block, h, *words)
 
 
 def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """The rows whose key is not in the one-column table `gone`; only those the filter may hold are shuffled."""
     gone = written(gone.select(key).distinct(), "gone")
-    probed = maybe_listed(rows, key, bloom(gone, key), keep=False)
-    kept = probed.filter("NOT maybe").unionByName(probed.filter("maybe").join(gone, key, "left_anti"))
-    return kept.select(*rows.columns)
+    (maybe,) = fresh(rows, "maybe")
+    probed = maybe_listed(rows, key, bloom(gone, key), maybe)
+    kept = probed.filter(~F.col(maybe)).unionByName(probed.filter(F.col(maybe)).join(gone, key, "left_anti"))
+    return kept.select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -96,7 +146,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps, each a group minimum joined back to the links, so that no
     node's neighbours are ever gathered. A step's links are written to the shared folder.
     """
-    links = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    scratch, step = Scratch(edges.sparkSession, "components"), 0
+    links = scratch.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links0")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -104,7 +155,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        links = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        links = scratch.written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"links{step + 1}")
+        scratch.drop(f"links{step}")
+        step += 1
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

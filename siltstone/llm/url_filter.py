@@ -1,15 +1,16 @@
 """URL filter: host and path rules, and for what they leave open a list of canonical URLs.
 
-The list is met in two steps: a blocked Bloom filter of its canonical URLs (a fixed number of 512-bit blocks,
-so that it can be broadcast) passes possible hits, and an exact hash join of these with the list removes false
-positives.  Only possible hits are shuffled.  All steps are DataFrame expressions.
+The list is met in two steps: a blocked Bloom filter of its canonical URLs, sized by their number and broadcast
+(up to a bound; beyond it every row is a possible hit), passes possible hits, and an exact join of these with
+the list removes false positives.  Only possible hits are shuffled.  All steps are DataFrame expressions.
 
 A canonical URL is host (without a leading `www.` and a default port), path (without trailing slashes, index
 page or `.html`), and query (parameters sorted, without those that only track: `utm_*`, `ref`, `fbclid`,
 `gclid`); scheme and fragment do not count.
 
 Null urls and urls without `://` have an empty host and path; no rule fits them, and they are allowed.  Null
-entries of the list are not used; repeated ones count once.
+entries of the list are not used; repeated ones count once.  Every row of the pages is judged by itself, rows
+that repeat a page_id too; columns other than page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import bloom, maybe_listed
+from siltstone.llm.shared import bloom, maybe_listed, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
@@ -58,13 +59,16 @@ def judged_by_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def filtered(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict; `listed` has the blocked urls, in any form, in its column url."""
-    list_ = listed.select(canonical().alias("canonical")).filter("canonical IS NOT NULL").distinct()
+    list_ = written(listed.select(canonical().alias("canonical")).filter("canonical IS NOT NULL").distinct(), "listed")
     judged = judged_by_rules(pages.select("page_id", "url"), rules).withColumn("canonical", canonical())
-    open_ = F.col("rule").isNull() & F.col("canonical").isNotNull()
-    probed = maybe_listed(judged.withColumn("probe", F.when(open_, F.col("canonical"))), "probe", bloom(list_, "canonical"), keep=False)
-    maybe = F.col("maybe") & F.col("probe").isNotNull()
-    passed = probed.filter(~maybe).withColumn("hit", F.lit(False))
-    hits = probed.filter(maybe).join(list_.withColumn("hit", F.lit(True)).hint("shuffle_hash"), "canonical", "left")
+    # Only what no rule decides is looked up.
+    judged = judged.withColumn("canonical", F.when(F.col("rule").isNull(), F.col("canonical")))
+    filter_ = bloom(list_, "canonical")
+    probed = maybe_listed(judged, "canonical", filter_, "maybe")
+    passed = probed.filter("NOT maybe").withColumn("hit", F.lit(False))
+    exact = list_.withColumn("hit", F.lit(True))
+    # A list that has a filter is small enough, split by its keys, for hash tables.
+    hits = probed.filter("maybe").join(exact.hint("shuffle_hash") if filter_.table is not None else exact, "canonical", "left")
     verdict = F.coalesce("by_rule", F.when(F.coalesce("hit", F.lit(False)), "block").otherwise("allow"))
     columns = ["page_id", "host", "path", "rule", verdict.alias("verdict")]
     return passed.select(*columns).unionByName(hits.select(*columns))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import bloom, maybe_listed
+from siltstone.llm.shared import bloom, maybe_listed, written
 
 ROLL_BYTES = 64 << 20
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -52,7 +52,8 @@ def roles(pages: DataFrame) -> DataFrame:
     chief = pages.select("page_id", digest.alias("sha")).groupBy("sha").agg(F.max("page_id").alias("chief"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # Payloads that occur once need no partner and are not shuffled.
     sent = pages.withColumn("sha", digest).withColumn("payload_bytes", F.octet_length(html).cast("long"))
-    sent = maybe_listed(sent, "sha", bloom(chief, "sha"), keep=False)
+    chief = written(chief, "chiefs")
+    sent = maybe_listed(sent, "sha", bloom(chief, "sha"), "maybe")
     alone = sent.filter("NOT maybe").withColumn("chief", F.lit(None).cast("long"))
     named = alone.unionByName(sent.filter("maybe").join(chief, "sha", "left"))
     first = F.coalesce(F.col("page_id") == F.col("chief"), F.col("chief").isNull())

@@ -228,6 +228,26 @@ def test_join_of_odd_tables(spark):
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (2, "x y"), (2, "a b c d e")]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(False, 2, 2), (False, 2, 2), (False, 3, 2), (False, 3, 2), (True, 0, None)]
+    # A text of an id that repeats is linked to by its own likes, whichever text of the id is seen first.
+    rng = random.Random(3)
+    a, b = prose(rng, 120), prose(rng, 150)
+    for rows in ([(1, a), (1, b), (2, edited(rng, a, 2)), (3, edited(rng, b, 2))], [(1, a), (1, b), (0, b), (3, edited(rng, a, 2))], [(5, a), (4, b), (5, b), (6, a)]):
+        out = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.component_id for r in out} == {min(i for i, _ in rows)}, rows[0][0]
+
+
+def test_crowded_groups_go_the_other_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    texts = []
+    for n in (20, 25, 30, 60, 100):
+        for _ in range(25):
+            base = passage + " " + prose(rng, n, 3000)
+            texts += [base] + [edited(rng, base, max(1, len(base.split()) // 40))] * rng.randrange(2)
+    _, comps = components([None, "", *texts])
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(comps)) and len(set(comps)) > 100
 
 
 def test_components_of_chains(spark):
@@ -242,10 +262,39 @@ def test_components_of_chains(spark):
 
 def test_bloom_lets_no_key_slip(spark):
     listed = spark.range(0, 3000).selectExpr("concat('k', id) AS key")
-    probed = shared.maybe_listed(spark.range(0, 60_000).selectExpr("concat('k', id) AS key", "id"), "key", shared.bloom(listed, "key"))
-    ids = [r.id for r in probed.select("id").collect()]
-    assert set(range(3000)) <= set(ids) and len(ids) < 3100
+    rows = spark.range(0, 60_000).selectExpr("concat('k', id) AS key", "id", "7 AS bloom_block", "8 AS bloom_hash", "9 AS bloom_w3")
+    probed = shared.maybe_listed(rows, "key", shared.bloom(listed, "key"), "maybe")
+    ids = [r.id for r in probed.filter("maybe").select("id").collect()]
+    assert set(range(3000)) <= set(ids) and len(ids) < 4500 and probed.columns == [*rows.columns, "maybe"] and probed.filter("bloom_w3 = 9 AND bloom_block = 7").count() == 60_000
     assert {r.id for r in shared.without(spark.range(100), "id", spark.range(0, 100, 2).toDF("id")).collect()} == set(range(1, 100, 2))
+    clashing = spark.range(100).selectExpr("id", "'x' AS maybe", "id AS bloom_hash", "null AS Bloom_W0")
+    kept = shared.without(clashing, "id", spark.range(0, 100, 2).toDF("id"))
+    assert kept.columns == clashing.columns and {tuple(r) for r in kept.collect()} == {(i, "x", i, None) for i in range(1, 100, 2)}
+
+
+def test_too_many_keys_are_met_without_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(shared, "MAX_BLOCKS", 1)
+    assert shared.bloom(spark.range(9), "id").table is None
+    assert {r.id for r in shared.without(spark.range(100), "id", spark.range(0, 100, 2).toDF("id")).collect()} == set(range(1, 100, 2))
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.org/x"), (3, None)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filtered(pages, pages.filter("page_id = 2").select("url")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow"}
+
+
+def test_shared_folder_is_not_made_up_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    session = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(ValueError):
+        shared.shared_folder(session)
 
 
 # -- 3 ---------------------------------------------------------------------------------------------------
