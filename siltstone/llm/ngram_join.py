@@ -1,7 +1,7 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-A document's set is its distinct five-word shingles.  Sets are dealt to bands by their size, each half as large
-again as the one below.  In a band the domain of shingle hashes is cut into parts and each part into three cells;
+A document's set is its distinct five-word shingles.  Sets are dealt to bands by their size, each of sizes twice
+those of the one below.  In a band the domain of shingle hashes is cut into parts and each part into three cells;
 a signature is what a set holds in two of the three cells of a part.  Two sets of similarity 3/4 or more differ
 in at most k shingles, a third of the smaller one's size, so of any k / 2 + 1 parts one holds at most one
 difference, and two of its cells agree: the two sets share a signature.  A set signs so many parts, and some more
@@ -45,7 +45,7 @@ PERCENT = 75
 GROUP = 64
 _SMALL = 64
 #: Least sizes of the bands.
-_EDGES = np.array([_SMALL * 3**i // 2**i for i in range(50)])
+_EDGES = np.array([_SMALL << i for i in range(40)])
 _CELLS = 3
 
 
@@ -55,7 +55,7 @@ def _band(n: np.ndarray) -> np.ndarray:
 
 
 def _spare(n: np.ndarray) -> np.ndarray:
-    return 3 + n // 64
+    return 3 + n // 128
 
 
 def _signed(n: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def _signed(n: np.ndarray) -> np.ndarray:
 
 #: Signatures that a set shares in a band with any set it is linked to: three quarters of its single shingles, else
 #: half of the parts that agree for certain, as cells may be empty.
-_LEAST = f"CASE WHEN n < {_SMALL} OR n < {_EDGES[1]} AND band = 1 THEN (3 * n + 3) div 4 ELSE (4 + n div 64) div 2 END"
+_LEAST = f"CASE WHEN n < {_SMALL} OR n < {_EDGES[1]} AND band = 1 THEN (3 * n + 3) div 4 ELSE (4 + n div 128) div 2 END"
 
 
 def _profile(batches):
@@ -131,7 +131,7 @@ def _signatures(batches):
                 sig, text = made(vals, at, texts[some], band[some])
                 # The lowest bit tells neighbouring bands apart.
                 sig = (sig & ~K.U(1)) | ((own[text] - low) & 1).astype(K.U)
-                yield pa.RecordBatch.from_arrays([K.longs(sig), ids.take(pa.array(text)), pa.array(n[text].astype(np.int32))], names=["sig", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([K.longs(sig), ids.take(pa.array(text))], names=["sig", "doc_id"])
 
 
 def _sets(batches):
@@ -140,9 +140,6 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), K.lists(K.longs(vals), at)], names=["doc_id", "shingles"])
 
 
-_CLOSE = "3 * greatest(n, {0}) <= 4 * least(n, {0})"
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose whole shingle sets reach the similarity."""
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -168,8 +165,8 @@ def _placed(shared: DataFrame, parts: DataFrame) -> DataFrame:
 def _across(placed: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of sets of different components that share a signature of these groups."""
     mine = placed.join(groups.select("sig"), "sig", "left_semi")
-    other = mine.select("sig", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"))
-    return mine.join(other, "sig").filter("doc_id < other AND part <> other_part AND " + _CLOSE.format("other_n")).select(*_ordered("doc_id", "other")).distinct()
+    other = mine.select("sig", F.col("doc_id").alias("other"), F.col("part").alias("other_part"))
+    return mine.join(other, "sig").filter("doc_id < other AND part <> other_part").select(*_ordered("doc_id", "other")).distinct()
 
 
 def _rare(sets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -177,7 +174,7 @@ def _rare(sets: DataFrame, parts: DataFrame) -> DataFrame:
     single = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sig"))
     often = single.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
     ranked = single.join(often, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("often", "sig")))
-    return _placed(ranked.filter("often > 1 AND rank <= n - (3 * n + 3) div 4 + 1").select("sig", "doc_id", "n"), parts)
+    return _placed(ranked.filter("often > 1 AND rank <= n - (3 * n + 3) div 4 + 1").select("sig", "doc_id"), parts)
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -195,19 +192,20 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     # Signatures of one text of each class.
     heads = scratch.written(classes.select(F.col("class_id").alias("doc_id")).distinct(), "heads")
     copies = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id").join(heads, "doc_id", "left_anti")
-    dealt = without(known, "doc_id", copies).mapInArrow(_signatures, "sig long, doc_id long, n int").repartition("sig")
+    dealt = without(known, "doc_id", copies).mapInArrow(_signatures, "sig long, doc_id long").repartition("sig")
     met = dealt.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("sig")
     shared = scratch.written(dealt.join(met, "sig"), "shared")
-    enough = shared.groupBy("doc_id", "n", F.col("sig").bitwiseAND(F.lit(1)).alias("band")).agg(F.count(F.lit(1)).alias("mine")).filter(f"mine >= {_LEAST}")
-    alive = scratch.written(enough.select("doc_id").distinct(), "alive")
+    sizes = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.min("n_shingles").alias("n"))
+    mine = shared.groupBy("doc_id", F.col("sig").bitwiseAND(F.lit(1)).alias("band")).agg(F.count(F.lit(1)).alias("mine"))
+    alive = scratch.written(mine.join(sizes, "doc_id").filter(f"mine >= {_LEAST}").select("doc_id").distinct(), "alive")
     live = scratch.written(shared.join(alive, "doc_id", "left_semi"), "live")
     scratch.drop("shared")
     texts = maybe_listed(known, "doc_id", bloom(alive, "doc_id"), "maybe").filter("maybe").join(alive, "doc_id", "left_semi")
     sets = scratch.written(texts.mapInArrow(_sets, "doc_id long, shingles array<long>").distinct(), "sets")
 
     # Every set against the least one of each of its groups.
-    least = live.groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("least"))
-    first = live.join(least, "sig").filter("doc_id <> least.doc_id AND " + _CLOSE.format("least.n")).select(*_ordered("doc_id", "least.doc_id")).distinct()
+    least = live.groupBy("sig").agg(F.min("doc_id").alias("least"))
+    first = live.join(least, "sig").filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _linked(first, sets)
     # Texts of one id are one node, whichever classes they are in.
     of_id = profile.filter("doc_id IS NOT NULL").join(classes, key).select("doc_id", "class_id").distinct()
