@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernel as K
-from siltstone.llm.shared import new_path, written
+from siltstone.llm.shared import batched, new_path, written
 from siltstone.llm.toxicity import _GAP
 from siltstone.llm.warc import _store
 
@@ -382,7 +382,7 @@ def _report(names: list[str]):
 def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for every verified leak."""
     names = indexes(benchmark, threshold, max_items)
-    out = documents.select("doc_id", "text").mapInArrow(_report(names), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    out = batched(documents.select("doc_id", "text")).mapInArrow(_report(names), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
@@ -399,4 +399,4 @@ def _without_leaks(names: list[str]):
 
 def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """The documents that hold no verified leak, all columns as they were."""
-    return documents.mapInArrow(_without_leaks(indexes(benchmark, max_items=max_items)), documents.schema)
+    return batched(documents).mapInArrow(_without_leaks(indexes(benchmark, max_items=max_items)), documents.schema)

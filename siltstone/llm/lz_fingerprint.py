@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernel as K
+from siltstone.llm.shared import batched
 
 SIZE = 128
 DICTIONARY = 1 << 20
@@ -184,4 +185,4 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         first = F.broadcast(spark.createDataFrame(heads, "doc_id long, bucket int"))
         own = own.unionByName(docs.filter(F.col("doc_id").isin([h[0] for h in heads])).join(first, "doc_id").select("doc_id", "text", "bucket", F.lit(1).alias("is_head")))
     dealt = own.repartition(parts, "bucket").sortWithinPartitions("bucket", "is_head", F.desc("doc_id"), "text")
-    return dealt.mapInArrow(_walk, SCHEMA)
+    return batched(dealt).mapInArrow(_walk, SCHEMA)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import chunks as C
 from siltstone.llm import kernel as K
+from siltstone.llm.shared import batched
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split before the merges of the rank files; fixed value of these vocabularies.
@@ -175,7 +176,7 @@ def _pack(length: int, width: str, pad: int):
 
 def packed(documents: DataFrame, ranks: str = RANKS, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The packed rows of all documents, numbered within their shards."""
-    docs, vocabulary = documents.select("doc_id", "text"), Ranks.load(ranks)
+    docs, vocabulary = batched(documents.select("doc_id", "text")), Ranks.load(ranks)
     pad = vocabulary.pad
     width = "<u2" if pad < 1 << 16 else "<u4"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

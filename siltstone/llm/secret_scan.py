@@ -10,7 +10,11 @@ ids) and `hex` (long hexadecimal runs).  Two more are reported only once their s
 * `signed_token`: three base64url parts of which the first decodes to a JSON object that names an `alg`, the
   second to a JSON object, and the third to bytes (or nothing, with alg none).
 
-Spans are code points, end exclusive.  Null texts count as empty and have no spans.
+A key body may have 32,768 letters (several times the largest in use) and a token's header 4,096; with these bounds
+a scan takes time in proportion to the text, whatever it holds.  A token may begin anywhere in a word.
+
+Spans are code points, end exclusive.  Null texts count as empty and have no spans.  Rows that repeat are scanned
+each, and columns other than doc_id and text are neither read nor in the way.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import batched
+
 KINDS = ("assign", "access", "hex", "private_key", "signed_token")
 BASE = KINDS[:3]
 
@@ -43,7 +49,11 @@ _B64_LINE = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!----))+(={0,2})")
 _HEX_LINE = re.compile(r"[0-9a-fA-F]+()")
 # What may stand between two lines of a key: a line break, also one that is escaped, and indentation.
 _BREAK = re.compile(r"[ \t]*(?:\\?\r?\n|(?:\\{1,4}r)?\\{1,4}n)(?:[ \t]|\\{1,4}t)*(?!-----)")
-_TOKEN = re.compile(r"ey[A-Za-z0-9_-]{8,}\.ey[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
+# Parts with dots between, and the first letters of a part that is a JSON object: `{"` or `{ `.
+_PARTS = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{20,}+")
+_OBJECT = re.compile(r"(?=ey[A-DIJ])")
+#: Most letters of a token's header, and of a key's body; longer ones are not looked at, so that no text takes more than linear time.
+HEADER, KEY = 4096, 1 << 15
 _PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END(?:[A-Z ]*-----)?")
 
 
@@ -151,6 +161,32 @@ def _stated(head: bytes) -> int | None:
     return 2 + n + size if 1 <= n <= 4 and size >= 0x80 else None
 
 
+def _may_be_der(head: bytes, size: int) -> bool:
+    """Whether the first bytes of a DER sequence of so many are those of a private key: a version, or an algorithm that fits."""
+    inner = head[2 if head[1] < 0x80 else 2 + (head[1] & 0x7F) :]
+    if len(inner) < 3:
+        return True
+    if inner[0] == 2:
+        return inner[1] == 1 and inner[2] <= 1
+    return inner[0] == 0x30 and (_stated(inner) or size) < size
+
+
+def _may_be_key(head: bytes) -> bool:
+    """Whether the first bytes, as far as they go, are those of an OpenSSH private key or of a PEM block around one."""
+    if not head.startswith(b"openssh-key-v1\0"):
+        return re.match(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", head) is not None
+    # Cipher, key derivation and its options, the number of keys, and so many public keys: each says how long it is.
+    at, left = 15, 3
+    while left and at + 4 <= len(head):
+        size = int.from_bytes(head[at : at + 4], "big")
+        if size > KEY or at == 15 and not size:
+            return False
+        at, left = at + 4 + size, left - 1
+        if not left and at + 4 <= len(head) and not 1 <= int.from_bytes(head[at : at + 4], "big") <= 16:
+            return False
+    return at <= KEY
+
+
 def _key_end(text: str, start: int, hexed: bool) -> int | None:
     """Where the private key ends whose first line begins at `start`, or None if there is none.
 
@@ -162,19 +198,24 @@ def _key_end(text: str, start: int, hexed: bool) -> int | None:
     size = None
     is_der = text[start] == ("3" if hexed else "M")
     if is_der:
-        stated = _stated(_bytes(text[start : start + (12 if hexed else 8)], hexed) or b"00")
-        if stated is None or (size := chars(stated)) > len(text) - start:
+        head = _bytes((_HEX_LINE if hexed else _B64_LINE).match(text, start, start + (36 if hexed else 24))[0], hexed) or b"00"
+        stated = _stated(head)
+        if stated is None or (size := chars(stated)) > min(KEY, len(text) - start) or not _may_be_der(head, stated):
             return None
-    parts, ends, n = [], [], 0
-    m = line.match(text, start)
-    while m:
+    parts, ends, n, look = [], [], 0, 160
+    m = line.match(text, start, start + KEY)
+    while m and n < KEY:
         part = m[0][: len(m[0]) - len(m[1])]
         n += len(part)
         parts.append(part)
         ends.append((n, m.end()))
+        if not is_der and n >= look:
+            look = 2 * n
+            if not _may_be_key(_bytes("".join(parts), hexed) or b""):
+                return None
         if m[1] or size is not None and n >= size or not (gap := _BREAK.match(text, m.end())):
             break
-        m = line.match(text, gap.end())
+        m = line.match(text, gap.end(), gap.end() + KEY)
     body = "".join(parts)
     if is_der:
         sizes = [size]
@@ -202,22 +243,49 @@ def _keys(text: str, starts: re.Pattern, hexed: bool):
 
 
 def _tokens(text: str):
-    at = 0
-    while m := _TOKEN.search(text, at):
-        if is_signed_token(m[0]):
-            yield *m.span(), "signed_token"
-            at = m.end()
-        else:
-            at = m.start() + 2
+    for run in _PARTS.finditer(text):
+        at, parts = run.start(), run[0].split(".")
+        k, starts = 0, []
+        for part in parts:
+            starts.append(at)
+            at += len(part) + 1
+        while k + 2 < len(parts):
+            begin = _token_start(*parts[k : k + 3])
+            if begin is None:
+                k += 1
+            else:
+                yield starts[k] + begin, starts[k + 2] + len(parts[k + 2]), "signed_token"
+                k += 3
+
+
+def _token_start(head: str, body: str, sign: str) -> int | None:
+    """Where in `head` the header of a signed token begins that is followed by these parts."""
+    if not body.startswith("ey"):
+        return None
+    for m in _OBJECT.finditer(head, max(0, len(head) - HEADER)):
+        if len(head) - m.start() >= 10 and _header(head[m.start() :]) and is_signed_token(f"{head[m.start() :]}.{body}.{sign}"):
+            return m.start()
+    return None
 
 
-def is_signed_token(text: str) -> bool:
-    head, body, sign = text.split(".")
+def _header(part: str) -> dict | None:
+    """The JSON object with an `alg` that a part decodes to."""
+    found = _object(part)
+    return found if found and isinstance(found.get("alg"), str) else None
+
+
+def _object(part: str) -> dict | None:
     try:
-        header, claims = (json.loads(_decoded(x) or b"") for x in (head, body))
+        found = json.loads(_decoded(part) or b"")
     except (ValueError, RecursionError):
-        return False
-    if not isinstance(header, dict) or not isinstance(claims, dict) or not isinstance(header.get("alg"), str):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def is_signed_token(text: str) -> bool:
+    head, body, sign = text.split(".")
+    header = _header(head)
+    if not header or _object(body) is None:
         return False
     return not sign if header["alg"].lower() == "none" else len(_decoded(sign) or b"") >= 16
 
@@ -255,7 +323,7 @@ def _scan(batches):
 
 def secrets(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    return documents.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return batched(documents.select("doc_id", "text")).mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 MASK = "[secret]"
@@ -282,5 +350,5 @@ def _mask(batches):
 
 def mask_secrets(documents: DataFrame) -> DataFrame:
     """Every document, its secrets masked and n_chars, where it has one, counted anew; no document is dropped."""
-    out = documents.mapInArrow(_mask, documents.schema)
+    out = batched(documents).mapInArrow(_mask, documents.schema)
     return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import chunks as C
 from siltstone.llm import kernel as K
+from siltstone.llm.shared import batched
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
@@ -260,7 +261,7 @@ def _encode(vocab: Vocabulary):
 
 def encoded(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, and whether the ids decode to the very text."""
-    return documents.select("doc_id", "text").mapInArrow(_encode(Vocabulary.load(model)), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return batched(documents.select("doc_id", "text")).mapInArrow(_encode(Vocabulary.load(model)), "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def _decode(vocab: Vocabulary):
@@ -285,4 +286,4 @@ def _sizes(lists: pa.Array) -> list:
 
 def decoded(ids: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and the text of its ids."""
-    return ids.select("doc_id", F.col("ids").cast("array<int>")).mapInArrow(_decode(Vocabulary.load(model)), "doc_id long, text string")
+    return batched(ids.select("doc_id", F.col("ids").cast("array<int>"))).mapInArrow(_decode(Vocabulary.load(model)), "doc_id long, text string")

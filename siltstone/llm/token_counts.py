@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from siltstone.llm import chunks as C
 from siltstone.llm import kernel as K
 from siltstone.llm.sentencepiece_codec import MARK, MODEL, Vocabulary
+from siltstone.llm.shared import batched
 
 MEMO = 400_000
 
@@ -89,4 +90,4 @@ def _count(vocab: Vocabulary):
 
 def token_counts(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per document: doc_id, n_tokens."""
-    return documents.select("doc_id", "text").mapInArrow(_count(Vocabulary.load(model)), "doc_id long, n_tokens long")
+    return batched(documents.select("doc_id", "text")).mapInArrow(_count(Vocabulary.load(model)), "doc_id long, n_tokens long")

@@ -5,12 +5,15 @@ A sentence's probability is a logistic function of its words and word beginnings
 Gradients of the document loss reach the sentences through that product.
 
 The model is fitted on a bounded sample of labelled documents (`max_toxic`, `max_clean`, the least hashes of
-their ids): features are counted over the sample by a Spark job, those that tell the labels apart are kept
-(at most `max_features`), and only the sample's occurrences of these, some megabytes, reach the driver.
-Scoring reads every whole text.
+their ids), written once: features are counted over the sample by a Spark job, those that tell the labels apart
+are kept (at most `max_features`, ties by their hashes), and only the sample's occurrences of these, some
+megabytes, reach the driver, in the order of the ids, so that a fit comes out the same to the bit.  Scoring
+reads every whole text, however long.
 
 Empty and null texts have no sentence and score 0.  Without any toxic label, or any label at all, every
-document scores 0.  Repeated ids in `labels` count as toxic if any row is; null labels are not used.
+document scores 0.  Repeated ids in `labels` count as toxic if any row is; null labels are not used.  Rows that
+repeat a doc_id are scored each by its own text, and one of them, of the greatest text, is learnt from.  Columns
+whose names clash with the operator's own stay as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernel as K
+from siltstone.llm.shared import batched, fresh, written
 
 #: Bytes that end a word: ASCII but for letters and digits.
 _GAP = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
@@ -108,12 +112,13 @@ def _occurrences(model: Model):
             cut = np.searchsorted(s.doc[sentence], np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
                 [
+                    rows.column(rows.schema.get_field_index("doc_id")),
                     rows.column(rows.schema.get_field_index("toxic")),
                     pa.array(np.diff(first).astype(np.int32)),
                     K.lists(pa.array((sentence - first[s.doc[sentence]]).astype(np.int32)), cut),
                     K.lists(pa.array(number.astype(np.int32)), cut),
                 ],
-                names=["toxic", "n", "sentence", "number"],
+                names=["doc_id", "toxic", "n", "sentence", "number"],
             )
 
     return run
@@ -143,9 +148,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clea
     nothing = Model(np.zeros(0, K.U), np.zeros(0), 0.0)
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max(F.expr("int(toxic > 0)")).alias("toxic"))
     order = F.xxhash64("doc_id")
-    ids = labels.filter("toxic = 1").orderBy(order).limit(max_toxic).unionByName(labels.filter("toxic = 0").orderBy(order).limit(max_clean))
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
-    size = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ids = labels.filter("toxic = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(labels.filter("toxic = 0").orderBy(order, "doc_id").limit(max_clean))
+    # At most max_toxic + max_clean ids are broadcast, and as many texts are written.
+    chosen = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    sample = batched(written(chosen, "sample"))
+    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size.get(1):
         return nothing
     a, b = size[1], size.get(0, 0)
@@ -156,9 +163,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_clea
     if kept.empty:
         return nothing
     keys = np.sort(kept.feature.to_numpy().view(K.U))
-    found = sample.mapInArrow(_occurrences(Model(keys, np.zeros(0), 0.0)), "toxic int, n int, sentence array<int>, number array<int>").toPandas()
+    found = sample.mapInArrow(_occurrences(Model(keys, np.zeros(0), 0.0)), "doc_id long, toxic int, n int, sentence array<int>, number array<int>").toPandas().sort_values("doc_id", ignore_index=True)
     n = found.n.to_numpy()
-    base = (np.cumsum(n) - n)
+    base = np.cumsum(n) - n
     size = found.sentence.map(len).to_numpy()
     sentence = np.concatenate([*found.sentence, np.zeros(0, np.int64)]).astype(np.int64) + np.repeat(base, size)
     number = np.concatenate([*found.number, np.zeros(0, np.int64)]).astype(np.int64)
@@ -192,7 +199,7 @@ def _scores(model: Model, threshold: float):
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, and the offending sentences: code-point spans whose own score reaches the threshold."""
-    docs = documents.select("doc_id", "text")
+    docs = batched(documents.select("doc_id", "text"))
     out = "doc_id long, text string, score double, sentences array<struct<start:long,end:long,score:double>>"
     return docs.mapInArrow(_scores(model, threshold), out).drop("text")
 
@@ -205,17 +212,16 @@ def toxicity(documents: DataFrame, labels: DataFrame, **bounds: int) -> DataFram
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model does not reject, all columns as they were."""
-    model = fit(documents, labels)
-    names = documents.columns
-    scored = documents.mapInArrow(_rejects(model), documents.withColumn("_rejected", F.lit(False)).schema)
-    return scored.filter("NOT _rejected").select(*names)
+    model, (rejected,) = fit(documents, labels), fresh(documents, "rejected")
+    scored = batched(documents).mapInArrow(_rejects(model, rejected), documents.withColumn(rejected, F.lit(False)).schema)
+    return scored.filter(~F.col(rejected)).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
-def _rejects(model: Model):
+def _rejects(model: Model, rejected: str):
     def run(batches):
         for batch in _scores(model, 2.0)(batches):
             n = batch.num_columns - 2
             score = batch.column(n).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score >= 0.5)], names=[*batch.schema.names[:n], "_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(score >= 0.5)], names=[*batch.schema.names[:n], rejected])
 
     return run

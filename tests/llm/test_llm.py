@@ -149,6 +149,30 @@ def test_keys_end_where_they_say():
     assert [text[a:b] for a, b, k in secret_scan.find_spans(text) if k == "signed_token"] == [token()]
 
 
+def test_tokens_begin_anywhere():
+    found = lambda text: [text[a:b] for a, b, k in secret_scan.find_spans(text) if k == "signed_token"]
+    for before in ("apikey-", "they_", "é", "x.", "a.b.", "eyJ", "eyJhbGciOiJIUzI1NiJ9."):
+        for after in ("", ".", " ", ".more.parts", "é"):
+            got = found(before + token() + after)
+            assert got and token() in got[0] if before == "eyJhbGciOiJIUzI1NiJ9." else got == [token()], (before, after)
+    assert found(f"{token()} {token()}.{token()}") == [token()] * 3
+    assert found("." + token().replace(".", "..")) == []
+
+
+def test_secret_scan_takes_linear_time():
+    import time
+
+    coded = base64.b64encode(keys()["ssh"]).decode()
+    for unit in ("ey", "eyJ", "eyJ.", "eyJhbGciOi.eyJ.", "b3BlbnNzaC1rZXktdjE" + "A" * 20 + "\n", "LS0tLS1CRUdJTi" + "A" * 26 + "\n", "MIIE" + "A" * 30 + "\n", "token = ", "3082" * 8 + "\n", coded[:40] + "\\n"):
+        took = []
+        for size in (10_000, 80_000):
+            text = unit * (size // len(unit))
+            began = time.process_time()
+            secret_scan.find_spans(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 0.5, (unit, took)
+
+
 def test_secrets_against_brute_force(spark):
     rng = random.Random(2)
     bits = ["token", "SECRET", "ſecret", "toKen", "api_key", "apikey", "passwd", '"', "'", " ", ":", "=", "AKIA", "ABCD1234", "deadbeef" * 4, "0f" * 15, "é", "\n", "abc", "Xy9+/_.-", "token=apikey= abcdefghij"]
@@ -590,6 +614,72 @@ def test_toxicity_is_learnt_from_document_labels(spark):
     assert {r.score for r in toxicity.toxicity(df, told.limit(0)).collect()} == {0.0} and toxicity.toxicity(empty(spark), told).count() == 0
 
 
+def plain_toxicity(model, text, threshold):
+    """Score and offending spans of a text, word by word."""
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+
+    def hashed(piece):
+        raw = np.frombuffer(piece, np.uint8)
+        return kernel.hashes(raw, np.array([0]), np.array([len(raw)]))[:1]
+
+    sentences, held = [], None
+    for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+|[.!?\n]", text):
+        if m[0] in ".!?\n":
+            held = None
+            continue
+        if held is None:
+            held = [m.start(), m.end(), set()]
+            sentences.append(held)
+        held[1] = m.end()
+        word = m[0].translate(LOWER).encode()
+        held[2].add(int(kernel.mix(hashed(word) + np.uint64(1))[0]))
+        held[2] |= {int(hashed(word[:k])[0]) for k in toxicity.PREFIXES if len(word) > k}
+    clean, spans = 1.0, []
+    for start, end, features in sentences:
+        p = 1 / (1 + np.exp(-min(30, max(-30, model.bias + sum(weight.get(f, 0.0) for f in features)))))
+        clean *= 1 - min(p, 1 - 1e-12)
+        if p >= threshold:
+            spans.append((start, end))
+    return 1 - clean, spans
+
+
+def test_scores_are_those_of_a_plain_scorer(spark):
+    rng = random.Random(21)
+    vocabulary = [f"{rng.choice(['gr', 'uné', 'interp', 'wordstem'])}{rng.choice(['im', 'olate', 'ification', 'x'])}{rng.randrange(12)}" for _ in range(200)]
+    some = ["".join([rng.choice(vocabulary), rng.choice([" ", ". ", "!? ", "\n", " ... ", "-", ", "])]) for _ in range(4000)]
+    texts = ["".join(some[i : i + rng.randrange(1, 60)]) for i in range(0, 4000, 40)]
+    words = sorted({w.lower() for t in texts for w in re.findall(r"\w+", t)})
+    pieces = [w.encode() for w in rng.sample(words, 60)]
+    keys = [int(kernel.mix(kernel.hashes(r, np.array([0]), np.array([len(r)])) + np.uint64(1))[0]) for r in map(lambda x: np.frombuffer(x, np.uint8), pieces)]
+    keys += [int(kernel.hashes(r, np.array([0]), np.array([len(r)]))[0]) for r in (np.frombuffer(p[:k], np.uint8) for p in pieces[:30] for k in toxicity.PREFIXES if len(p) > k)]
+    keys = np.unique(np.array(keys, np.uint64))
+    model = toxicity.Model(keys, np.array([rng.uniform(-2, 2) for _ in keys]), -2.0)
+    texts += [" ", "...", "a" * 70_000, "GRIM. " * 5000, "\n\n!", texts[3]]
+    df = documents(spark, texts)
+    # Rows that repeat, ties and extra columns: each row has its own score.
+    got = collections.defaultdict(list)
+    for r in toxicity.score(df.unionByName(df), model).collect():
+        got[r.doc_id].append(r)
+    for i, t in enumerate([None, "", *texts]):
+        want, spans = plain_toxicity(model, t or "", 0.5)
+        assert len(got[i]) == 2
+        for r in got[i]:
+            assert r.score == pytest.approx(want, abs=1e-9) and [(s.start, s.end) for s in r.sentences] == spans
+    assert sum(len(r[0].sentences) for r in got.values()) > 50
+
+
+def test_fit_is_the_same_in_any_order(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30)) + (" vileword." if i % 5 == 0 else "."), i % 5 == 0) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, t, "x", True, 1.0) for i, t, _ in rows] + [(0, "another text of one id", "x", True, 1.0)], "doc_id long, text string, rejected string, _rejected boolean, Sentences double")
+    a, b = (toxicity.fit(d, labels) for d in (docs.repartition(7, "text"), docs.orderBy(F.rand(3)).repartition(2)))
+    assert (a.keys == b.keys).all() and a.weights.tolist() == b.weights.tolist() and a.bias == b.bias
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert {r.doc_id for r in kept.collect() if r.text.endswith("vileword.")} == set() and kept.count() == 321
+
+
 def test_noisy_or_gradient():
     rng = np.random.default_rng(2)
     label, n = np.array([1, 0, 1]), np.array([2, 3, 1])
