@@ -9,7 +9,7 @@ from siltstone.functions.canonical import key_column, unique_tuple
 from siltstone.operators.evidence import extract_text as extracted
 from siltstone.plans.inputs import table
 from siltstone.plans.registry import query
-from siltstone.retrieval import bundle, candidates, chunk, coverage, generations
+from siltstone.retrieval import bundle, candidates, chunk, coverage, generations, requests
 from siltstone.sources import files
 
 
@@ -146,7 +146,7 @@ def bundle_pack(spark, d):
 
 @query()
 def question_classifier(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", bundle.classified(F.col("text")).alias("kind"))
+    return table(spark, d, "conversations").select("conv_id", "turn", requests.classified(F.col("text")).alias("kind"))
 
 
 @query("""

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.plans import retrievals
-from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours
+from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours, requests
 from siltstone.types import EngineError
 
 
@@ -136,20 +136,49 @@ def test_bundles_merge_cut_and_frame():
 
 
 REFUSED = {
-    "count": ["How many invoices are overdue?", "number of lanterns", "how\u200bmany invoices", "What is the TOTAL spend?", "how much do we owe"],
-    "status": ["status of the repair", "Is the bridge repair done?", "Please, is invoice two paid?", "find out whether the keeper signed", "tickets still open", "Which invoices have been paid?", "show me the unpaid invoices"],
-    "completeness": ["Are there any other keepers?", "list the suppliers", "the rest of the suppliers", "give me every supplier", "complete list of keepers"],
-    "unrecognized": ["???", "please", "tell me about", "Summarize everything", "why not"],
-}
-SERVED = ["harbor lantern", "Why was the lantern lit at dusk?", "Summarize the bridge repair discussion", "What did the keeper write about the storm?", "Find notes about the harbor lantern", "tell me about the lantern keeper", "everything about tides", "Can you summarize the keeper log?", "Describe how the bridge was repaired"]
-
-
-def test_classifier(spark):
+    "count": [
+        "How many loans are late?", "count the broken sensors", "number of greenhouses in the valley", "What is the TOTAL rent?", "how much do we owe the nursery", "the quantity of seed", "how often did the pump stop", "how-many seedlings",
+        "how_many seedlings", "how\u200bmany seedlings", "c\u00adount the plots", "\uff48\uff4f\uff57 \uff4d\uff41\uff4e\uff59 plots", "how\nmany plots", "What is the size of the seed bank?", "Why did rents rise, and how many loans are late?", "What is the sum?",
+    ],
+    "status": [
+        "status of the dam", "Is the fence mended?", "Please, is loan nine repaid?", "find out whether the gardener signed", "plots still vacant", "Which loans have been repaid?", "show me the unpaid bills", "has the seed arrived", "Isn\u2019t the well fixed?",
+        "Will the frost end on Monday?", "tell me if the pump works", "Whose applications got rejected", "which greenhouse is closed", "give me the overall progress", "loan nine paid?", "any update on the well", "Confirm the rent was paid", "bills not paid", "unpaid",
+        "How is the harvest going?", "when will the rain come", "loan nine: paid", "the rent, paid or not", "Summarize which loans were repaid", "Describe the unpaid bills", "\u0130S THE RENT PA\u0130D", "Lantern talk: was it approved", "Can you check if the gate is shut",
+    ],
+    "completeness": [
+        "Are there any other gardens?", "list the tenants", "the rest of the tenants", "give me every tenant", "complete list of gardens", "enumerate all plots", "Is there anything else about the frost?", "Name each tenant", "please itemize the repairs", "what else did the gardener record",
+        "Describe every tenant", "list\ufeff all tenants", "bills outstanding", "items left", "tenant list", "Summarize the frost notes and list the tenants", "frost notes\n- list the tenants", "frost notes / list the tenants", "Summarize the notes then list the tenants",
+        "First list the tenants", "Summarize the notes \u2192 enumerate the tenants", "Summarize the notes list the tenants",
+    ],
+    "unrecognized": [
+        "???", "please", "tell me about", "Summarize everything", "why not", "Give me the tenants", "What broke?", "Show me the tenants", "What did the board approve?", "Who handles the permits?", "Where is the seed log?", "Rattle off tenants", "Quantify the backlog",
+        "I need the tenants", "What happened to the seed?", "Walk me through the tenants", "Summarize the notes and also give me the tenants", "Summarize the notes while you fetch the tenants", "information on", "Explain it to me", "\u200b", "=>", "frost notes give me the tenants",
+        "the tenants?", "storms and so on", "Present the tenants", "Compile tenant names", "Describe the frost so you can see the tenants",
+    ],
+}
+SERVED = [
+    "garden frost", "Why was the gate left open in March?", "Summarize the dam repair discussion", "What did the gardener write about the frost?", "Find notes about the old well", "tell me about the head gardener", "everything about mulch", "Can you summarize the seed log?",
+    "Describe how the fence was mended", "How does the pump mechanism work?", "what the gardener said about mulch", "Who reviewed the seed log?", "Give me an overview of the water treaty", "Explain why the pump failed, then outline the repair", "a shopping list for the garden",
+    "compare frost and drought", "- garden frost\n- rain gauge", "What happened during the flood?", "Do you have notes about drought?", "briefly describe the flood", "notes on the frost before the flood", "Caf\u00e9 notes about the garden", "Summarize the overdue bill", "loan nine",
+]
+
+
+def test_classifier_fails_closed(spark):
     asked = [(k, x) for k, xs in REFUSED.items() for x in xs] + [("served", x) for x in SERVED]
-    assert [(k, x, bundle.classify(x)) for k, x in asked if bundle.classify(x) != k] == []
-    plain = [(k, x) for k, x in asked if x.isascii()]
-    got = spark.createDataFrame(plain, "k string, x string").select("x", bundle.classified(F.col("x")).alias("got")).collect()
-    assert [r.got for r in got] == [bundle.classify(r.x) for r in got]
+    assert [(k, x, requests.classify(x)) for k, x in asked if (requests.classify(x) == "served") != (k == "served")] == []
+    exact = [(k, x) for k, x in asked if k in ("count", "served")]
+    assert [(k, x, requests.classify(x)) for k, x in exact if requests.classify(x) != k] == []
+    # What does not look like a form that is known is refused.
+    for x in ("Frobnicate the tenants", "Which gardener waters the roses?", "we mended the fence"):
+        assert requests.classify(x) != "served", x
+    df = spark.createDataFrame([*asked, ("unrecognized", None), ("unrecognized", "")], "k string, x string")
+    got = df.select("x", requests.classified(F.col("x")).alias("got")).collect()
+    assert [r.got for r in got] == [requests.classify(r.x) for r in got]
+
+
+@given(st.text(max_size=60))
+def test_classifier_takes_any_text(text):
+    assert requests.classify(text) in ("served", "count", "status", "completeness", "unrecognized")
 
 
 def test_generations(spark):
