@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.canonical import key_column, unique_tuple
 from siltstone.operators.evidence import extract_text as extracted
-from siltstone.plans.inputs import table
+from siltstone.plans.inputs import shared_folder, table
 from siltstone.plans.registry import query
-from siltstone.retrieval import bundle, candidates, chunk, coverage, generations, requests
+from siltstone.retrieval import bundle, candidates, chunk, coverage, generations, requests, search
 from siltstone.sources import files
 
 
@@ -76,8 +78,22 @@ def vector_topk_every_20th(spark, d):
 _QUERY = 'the "of the" or en -und'
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, d):
-    return candidates.postings(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), ["doc_id"])
+    """The written postings of the documents, a chunk each; they are made once for a session and a folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        folder = f"{shared_folder(spark)}/siltstone/postings-{uuid.uuid4().hex}"
+        candidates.write_index(_refs(spark, d).withColumn("content", F.col("text")), ["doc_id", *search.REF, "revision", "chunk_index"], folder)
+        _indexes[key] = folder
+    return candidates.read_index(spark, _indexes[key])
+
+
+def _refs(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.col("lang").alias("collection_id"), F.lit("record").alias("kind"), F.format_string("d%08d", "doc_id").alias("ref_id"), (F.col("doc_id") % 3 + 1).alias("revision"), F.lit(0).alias("chunk_index"), "text")
 
 
 @query(r"""
@@ -87,9 +103,56 @@ def lexical_match_simple(spark, d):
     return candidates.lexical(_index(spark, d), ["doc_id"], _QUERY).select("doc_id")
 
 
-@query()
+_COVERS = r"""
+word AS (SELECT doc_id, lang, unnest(ws) AS t, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents)),
+near AS (SELECT *, lag(t) OVER v AS last_t, lag(p) OVER v AS last_p FROM word WHERE t IN ('the', 'and') WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+cover AS (SELECT doc_id, lang, round(sum(0.1::DOUBLE / (p - last_p)), 9) AS score FROM near WHERE last_t <> t GROUP BY ALL)"""
+
+
+@query(f"WITH {_COVERS} SELECT doc_id, score FROM cover ORDER BY score DESC, doc_id LIMIT 40")
 def lexical_rank(spark, d):
-    return candidates.lexical(_index(spark, d), ["doc_id"], "the and").orderBy(F.desc("score"), "doc_id").limit(candidates.overfetch(10))
+    found = candidates.lexical(_index(spark, d), ["doc_id"], "the and").select("doc_id", F.round("score", 9).alias("score"))
+    return found.orderBy(F.desc("score"), "doc_id").limit(candidates.overfetch(10))
+
+
+_HYBRID = f"""
+WITH {_COVERS},
+lists AS (
+  SELECT doc_id, 0 AS list, row_number() OVER (ORDER BY score DESC, lang, doc_id) AS position FROM cover WHERE doc_id % 11 <> 0 AND lang <> 'es' QUALIFY position <= 40
+  UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY round({_COS.format('e.embedding', 'q.embedding')}, 9) DESC, lang, doc_id) AS position
+  FROM embeddings e JOIN documents ON e.vec_id = doc_id JOIN embeddings q ON q.vec_id = 0 WHERE doc_id % 11 <> 0 AND lang <> 'es' QUALIFY position <= 40
+), told AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'deleted' WHEN doc_id % 7 = 0 THEN 'stale' ELSE 'ok' END AS verdict FROM lists),
+again AS (SELECT doc_id, list, row_number() OVER (PARTITION BY list ORDER BY position) AS position FROM told WHERE verdict = 'ok')"""
+
+
+def _searched(spark, d):
+    """Documents and their vectors as refs of a collection per language; one in five is deleted and one in seven has moved on by the reread."""
+    refs = _refs(spark, d)
+    authority = refs.select(*search.REF, "revision", (F.col("doc_id") % 11 == 0).alias("tombstone"))
+    now = refs.select(*search.REF, F.when(F.col("doc_id") % 7 == 0, 9).otherwise(F.col("revision")).alias("revision"), (F.col("doc_id") % 5 == 0).alias("tombstone"))
+    readable = spark.createDataFrame([("en",), ("fr",), ("de",)], "collection_id string")
+    embeddings = table(spark, d, "embeddings")
+    vectors = embeddings.join(refs.drop("text"), F.col("vec_id") == F.col("doc_id")).withColumn("generation", F.lit(1))
+    wanted = embeddings.filter("vec_id = 0").select(F.col("embedding").cast("array<double>")).first()
+    return search.search(search.Request("the and", tuple(wanted[0]), 10), _index(spark, d), vectors, authority, readable, now=now)
+
+
+@query(_HYBRID + """
+SELECT row_number() OVER (ORDER BY round(score, 12) DESC, best, first_list, doc_id) AS rank, 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS ref_id, round(score, 9) AS score
+FROM (SELECT doc_id, lang, sum(1.0::DOUBLE / (60 + position)) AS score, min(position) AS best, min(CASE WHEN position = m THEN list END) AS first_list
+  FROM (SELECT *, min(position) OVER (PARTITION BY doc_id) AS m FROM again) JOIN documents USING (doc_id) GROUP BY ALL)
+ORDER BY 1 LIMIT 10""")
+def search_hybrid(spark, d):
+    """From a request to its hits: lexical and vector candidates that are live, fused, reread and fused anew."""
+    return _searched(spark, d)[0].select(F.col("rank").cast("long").alias("rank"), "ref_id", F.round("score", 9).alias("score"))
+
+
+@query(_HYBRID + """
+SELECT CAST(least(10, count(*) FILTER (verdict = 'ok')) AS BIGINT) AS found, count(*) FILTER (verdict = 'deleted') AS deleted, count(*) FILTER (verdict = 'stale') AS stale, 0::BIGINT AS unauthorized
+FROM (SELECT DISTINCT doc_id, verdict FROM told)""")
+def search_hybrid_report(spark, d):
+    told = search.report(_searched(spark, d)[1], search.Request("the and", (1.0,), 10))
+    return told.select(F.col("found").cast("long").alias("found"), "deleted", "stale", "unauthorized")
 
 
 _RANKS = """

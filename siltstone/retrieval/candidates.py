@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+import zlib
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.retrieval import neighbours
 from siltstone.types import RRF_K, EngineError
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """The words of a text in compatible form (NFKC) and lower case, as the embedder takes them too."""
+    return F.regexp_extract_all(F.lower(_nfkc(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def postings(chunks: DataFrame, keys: list[str], text: str = "content") -> DataFrame:
@@ -21,6 +31,24 @@ def postings(chunks: DataFrame, keys: list[str], text: str = "content") -> DataF
     return chunks.select(*keys, F.posexplode(words(F.col(text))).alias("position", "term")).groupBy(*keys, "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+#: Folders of a written index; a term's postings are in one of them.
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.crc32(term.cast("binary")) % BUCKETS
+
+
+def write_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "content") -> None:
+    """Write the postings of the chunks, in folders by their terms, so that a search reads its own terms' only."""
+    rows = postings(chunks, keys, text).withColumn("bucket", _bucket(F.col("term")).cast("int"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def query_parts(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
     """A web-style query as alternatives of phrases that all must match, and phrases that must not.
 
@@ -32,7 +60,7 @@ def query_parts(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
             alternatives.append([])
             continue
         negative = bool(minus) or word.startswith("-")
-        terms = re.findall(r"[^\W_]+", (phrase or word.lstrip("-")).lower())
+        terms = re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", phrase or word.lstrip("-")).lower())
         if terms:
             (banned if negative else alternatives[-1]).append(terms)
     return [a for a in alternatives if a], banned
@@ -54,25 +82,61 @@ def _all(columns: list[Column]) -> Column:
     return out
 
 
-def lexical(index: DataFrame, keys: list[str], query: str) -> DataFrame:
-    """Matching chunks and their `score`: per wanted term 1 / (1 + gap to the nearest next wanted term), added up.
+def cover_density(positions: list[list[int]], alternatives: list[list[int]]) -> float:
+    """The sum over all covers of 0.1 / (1 + words in between that are not asked for).
 
-    Only postings of the query's terms are read.
+    positions: of each wanted term; alternatives: the terms, by number, that suffice together. A cover is a least
+    stretch of the text that holds all of some alternative.
     """
+    entries = sorted((p, t) for t, ps in enumerate(positions) for p in ps)
+    wanted, score, begin = [frozenset(a) for a in alternatives], 0.0, 0
+    while True:
+        seen, end = set(), None
+        for k in range(begin, len(entries)):
+            seen.add(entries[k][1])
+            if any(w <= seen for w in wanted):
+                end = k
+                break
+        if end is None:
+            return score
+        seen = set()
+        for k in range(end, begin - 1, -1):
+            seen.add(entries[k][1])
+            if any(w <= seen for w in wanted):
+                begin = k
+                break
+        noise = entries[end][0] - entries[begin][0] - (end - begin)
+        score += 0.1 / (1 + noise)
+        begin += 1
+
+
+def _ranked(alternatives: list[list[int]]):
+    @F.pandas_udf("double")
+    def run(positions: pd.Series) -> pd.Series:
+        return positions.map(lambda held: cover_density([[] if x is None else list(x) for x in held], alternatives))
+
+    return run
+
+
+def lexical(index: DataFrame, keys: list[str], query: str) -> DataFrame:
+    """Matching chunks and their `score`, by cover density. Only postings of the query's terms are read."""
     alternatives, banned = query_parts(query)
     if not alternatives:
         raise EngineError("INVALID_ARGUMENT", "the query asks for no word")
     terms = sorted({t for p in [p for a in alternatives for p in a] + banned for t in p})
-    held = index.filter(F.col("term").isin(terms)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    held = index.filter(F.col("term").isin(terms))
+    if "bucket" in index.columns:
+        held = held.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})))
+    held = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
     match = F.lit(False)
     for a in alternatives:
         match = match | _all([_phrase(p) for p in a])
     for p in banned:
         match = match & ~_phrase(p)
     wanted = sorted({t for a in alternatives for p in a for t in p})
-    every = F.array_sort(F.flatten(F.filter(F.array(*[F.element_at("at", F.lit(t)) for t in wanted]), lambda x: x.isNotNull())))
-    gaps = F.zip_with(F.slice(F.col("every"), F.lit(2), F.greatest(F.size("every") - 1, F.lit(0))), F.slice("every", F.lit(1), F.greatest(F.size("every") - 1, F.lit(0))), lambda b, a: 1.0 / (b - a + 1))
-    return held.filter(match).withColumn("every", every).withColumn("score", F.size("every") * 0.1 + F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)).drop("at", "every")
+    positions = F.array(*[F.element_at("at", F.lit(t)) for t in wanted])
+    numbers = [sorted({wanted.index(t) for p in a for t in p}) for a in alternatives]
+    return held.filter(match).withColumn("score", _ranked(numbers)(positions)).drop("at")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", max_queries: int | None = None) -> DataFrame:
@@ -94,8 +158,12 @@ def fused(lists: DataFrame, limit: int | None = None) -> DataFrame:
     return (out if limit is None else out.limit(limit)).select("ref_id", "score", F.col("top.rank").alias("best_rank"), "matched_by")
 
 
+#: The most candidates that a search takes from a list.
+MOST = 200
+
+
 def overfetch(limit: int) -> int:
-    return max(20, min(200, 4 * limit))
+    return max(20, min(MOST, 4 * limit))
 
 
 def reread(candidates: DataFrame, authority: DataFrame, readable: DataFrame) -> DataFrame:
@@ -110,12 +178,12 @@ def reread(candidates: DataFrame, authority: DataFrame, readable: DataFrame) ->
     return told.withColumn("verdict", verdict).drop("open", "current", "tombstone")
 
 
-def underfill(asked: int, found: int, fetched: int, rejected: int, bound: int) -> list[str]:
-    """Why a search gave fewer hits than asked."""
+def underfill(asked: int, found: int, fetched: int, rejected: int, bound: int, states: tuple[str, ...] = (), approximate: bool = False) -> list[str]:
+    """Why a search gave fewer hits than asked; `states` are those of the collections' projections."""
     if found >= asked:
         return []
-    reasons = (["rejected"] if rejected else []) + (["bounded"] if fetched >= bound else ["exhausted"])
-    return reasons
+    reasons = (["rejected"] if rejected else []) + (["capped" if bound >= MOST else "bounded"] if fetched >= bound else ["exhausted"])
+    return reasons + (["approximate"] if approximate else []) + [s for s in ("degraded", "unindexed", "pending", "unprojected") if s in states]
 
 
 def relevance(ranked: DataFrame, k: int = 10) -> DataFrame:
