@@ -15,9 +15,12 @@ Candidate pairs are formed on these signatures, and verified on whole shingle se
 3. Groups that still hold several components are compared across them, pair by pair, where they have at most
    `GROUP` sets.
 4. What lies in larger ones (a passage that very many documents share) goes another exact way: single shingles,
-   rarest first, as many as linked sets cannot all miss (a prefix filter).
+   rarest first, as many as linked sets cannot all miss (a prefix filter), and only where what follows in either
+   order could still be enough.
 
-Pairs within a group are so never all emitted, and components, not pairs, are the result.
+A pair is first looked at by sketches: a set's is 2,048 bits, each the parity of the shingles that fall on it, and
+two sets differ in at least as many shingles as their sketches in bits.  Whole sets travel for what passes only.
+Pairs within a group are never all emitted, and components, not pairs, are the result.
 
 Probability enters in two places: with 64-bit hashes two different shingles of one pair may collide, and the
 cells that agree may all be empty, in every one of the spare parts that agree.
@@ -42,7 +45,7 @@ WORDS = 5
 #: A link needs 100 * shared >= PERCENT * union; the bands below are made for 75 and hold above it.
 PERCENT = 75
 #: Sets of a group that are compared pair by pair.
-GROUP = 64
+GROUP = 8
 _SMALL = 64
 #: Least sizes of the bands.
 _EDGES = np.array([_SMALL << i for i in range(40)])
@@ -134,23 +137,48 @@ def _signatures(batches):
                 yield pa.RecordBatch.from_arrays([K.longs(sig), ids.take(pa.array(text))], names=["sig", "doc_id"])
 
 
+_BITS = 2048
+
+
+def _sketches(vals: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per text the parities of its shingles, 64 bits to a number."""
+    n = len(at) - 1
+    out = np.empty((n, _BITS // 64), np.uint64)
+    for i in range(0, n, 256):
+        j = min(n, i + 256)
+        text = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+        bit = (vals[at[i] : at[j]] % K.U(_BITS)).astype(np.int64)
+        odd = np.bincount(text * _BITS + bit, minlength=(j - i) * _BITS).astype(np.uint8) & 1
+        out[i:j] = np.packbits(odd).view(np.uint64).reshape(j - i, _BITS // 64)
+    return out
+
+
 def _sets(batches):
     for rows, buf, offs in K.blocks(batches):
         vals, at = K.shingles(buf, offs, WORDS)
-        yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), K.lists(K.longs(vals), at)], names=["doc_id", "shingles"])
+        sketch = K.lists(K.longs(_sketches(vals, at).ravel()), np.arange(len(at)) * (_BITS // 64))
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(rows.schema.get_field_index("doc_id")), pa.array(np.diff(at).astype(np.int32)), sketch, K.lists(K.longs(vals), at)], names=["doc_id", "n", "sketch", "shingles"]
+        )
+
+
+def _of(sets: DataFrame, side: str, *columns: str) -> DataFrame:
+    return sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+
+
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be linked, by size and sketch."""
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    both = pairs.join(_of(sets, "a", "n", "sketch"), "a").join(_of(sets, "b", "n", "sketch"), "b")
+    return both.filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b)").filter(7 * apart <= F.col("n_a") + F.col("n_b")).select("a", "b").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose whole shingle sets reach the similarity."""
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - shared
-    return (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .filter(100 * shared >= PERCENT * union)
-        .select("a", "b")
-        .distinct()
-    )
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    both = _near(pairs, sets).join(_of(sets, "a", "shingles"), "a").join(_of(sets, "b", "shingles"), "b")
+    union = F.size("shingles_a") + F.size("shingles_b") - shared
+    return both.filter(100 * shared >= PERCENT * union).select("a", "b").distinct()
 
 
 def _ordered(a, b):
@@ -162,19 +190,26 @@ def _placed(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return shared.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id")).drop("node", "component")
 
 
-def _across(placed: DataFrame, groups: DataFrame) -> DataFrame:
+def _across(placed: DataFrame, groups: DataFrame, able: str = "true") -> DataFrame:
     """Pairs of sets of different components that share a signature of these groups."""
     mine = placed.join(groups.select("sig"), "sig", "left_semi")
-    other = mine.select("sig", F.col("doc_id").alias("other"), F.col("part").alias("other_part"))
-    return mine.join(other, "sig").filter("doc_id < other AND part <> other_part").select(*_ordered("doc_id", "other")).distinct()
+    other = mine.toDF(*["sig" if c == "sig" else f"other_{c}" for c in mine.columns])
+    return mine.join(other, "sig").filter("doc_id < other_doc_id AND part <> other_part").filter(able).select(*_ordered("doc_id", "other_doc_id")).distinct()
+
+
+#: Of two sets that share a shingle, each has `rest` shingles from it on, in the order from rare to common, that others
+#: have too.  If it is the rarest that both have, they share no more than the lesser `rest`.
+_ABLE = "7 * least(rest, other_rest) >= 3 * (n + other_n) AND 3 * greatest(n, other_n) <= 4 * least(n, other_n)"
 
 
 def _rare(sets: DataFrame, parts: DataFrame) -> DataFrame:
     """Signatures of the sets left in large groups: their rarest single shingles, one more than a linked set may miss."""
-    single = sets.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("sig"))
-    often = single.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
-    ranked = single.join(often, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("often", "sig")))
-    return _placed(ranked.filter("often > 1 AND rank <= n - (3 * n + 3) div 4 + 1").select("sig", "doc_id"), parts)
+    single = sets.select("doc_id", "n", F.explode("shingles").alias("sig"))
+    often = single.groupBy("sig").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    mine = Window.partitionBy("doc_id", "n")
+    ranked = single.join(often, "sig").withColumn("rank", F.row_number().over(mine.orderBy("often", "sig"))).withColumn("held", F.count(F.lit(1)).over(mine))
+    kept = ranked.filter("rank <= held - (3 * n + 3) div 4 + 1").select("sig", "doc_id", "n", F.expr("held - rank + 1").alias("rest"))
+    return _placed(kept, parts)
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -189,6 +224,13 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     key = ["n_shingles", "k1", "k2"]
     classes = scratch.written(profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
 
+    # Equal rows are one, where ids repeat at all.
+    repeated = scratch.written(profile.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        probed = maybe_listed(known, "doc_id", bloom(repeated, "doc_id"), "maybe")
+        once = probed.filter("maybe").select("doc_id", "text").dropDuplicates()
+        known = batched(scratch.written(probed.filter("NOT maybe").select("doc_id", "text").unionByName(once), "known"))
+
     # Signatures of one text of each class.
     heads = scratch.written(classes.select(F.col("class_id").alias("doc_id")).distinct(), "heads")
     copies = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id").join(heads, "doc_id", "left_anti")
@@ -201,7 +243,7 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     live = scratch.written(shared.join(alive, "doc_id", "left_semi"), "live")
     scratch.drop("shared")
     texts = maybe_listed(known, "doc_id", bloom(alive, "doc_id"), "maybe").filter("maybe").join(alive, "doc_id", "left_semi")
-    sets = scratch.written(texts.mapInArrow(_sets, "doc_id long, shingles array<long>").distinct(), "sets")
+    sets = scratch.written(texts.mapInArrow(_sets, "doc_id long, n int, sketch array<long>, shingles array<long>"), "sets")
 
     # Every set against the least one of each of its groups.
     least = live.groupBy("sig").agg(F.min("doc_id").alias("least"))
@@ -217,14 +259,18 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     placed = scratch.written(_placed(live, parts), "placed")
     mixed = scratch.written(_mixed(placed), "mixed")
     more = _across(placed, mixed.filter(F.col("many") <= GROUP))
-    large = placed.join(mixed.filter(F.col("many") > GROUP).select("sig"), "sig", "left_semi").select("doc_id").distinct()
+    large = scratch.written(placed.join(mixed.filter(F.col("many") > GROUP).select("sig"), "sig", "left_semi").select("doc_id").distinct(), "large")
     rare = scratch.written(_rare(sets.join(large, "doc_id", "left_semi"), parts), "rare")
-    more = scratch.written(_linked(more.unionByName(_across(rare, _mixed(rare))).distinct(), sets), "more")
-    if not more.isEmpty():
-        parts = connected_components(links.unionByName(more))
+    more = scratch.written(_linked(more.unionByName(_across(rare, _mixed(rare), _ABLE)).distinct(), sets), "more")
     scratch.drop("live", "sets", "placed", "mixed", "rare")
 
     member = classes.join(parts, F.col("class_id") == F.col("node"), "left").select(*key, "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    if not more.isEmpty():
+        # The late links join components, each by its name.
+        name = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        wider = connected_components(joined).select(F.col("node").alias("component_id"), F.col("component").alias("wider"))
+        member = member.join(wider, "component_id", "left").select(*key, "class_id", F.coalesce("wider", "component_id").alias("component_id"))
     return profile.join(member, key, "left").select(
         "doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("class_id")), F.col("doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
