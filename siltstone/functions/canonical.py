@@ -134,3 +134,8 @@ def instant_timestamp(column: Column) -> Column:
     micros = F.rpad(F.regexp_extract(column, r"\.(\d{1,6})", 1), 6, "0")
     text = F.when(leap, F.concat(F.substring(body, 1, 17), F.lit("59.999999Z"))).otherwise(F.concat(body, F.lit("."), micros, F.lit("Z")))
     return F.try_to_timestamp(text)
+
+
+def instant_text(ts: Column) -> Column:
+    """A timestamp as a canonical instant."""
+    return F.concat(F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0*$", ""), F.lit("Z"))

@@ -35,32 +35,47 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c)
 
 
+def local_start(ts: Column, unit: str, zone: str) -> Column:
+    """The bucket's start by the zone's clock; for days and longer it names the bucket."""
+    return F.date_trunc(unit, F.from_utc_timestamp(ts, F.lit(resolve(zone))))
+
+
+def utc_start(local: Column, zone: str) -> Column:
+    """The instant of a local start; where it comes twice, the later, and where it is skipped, what the clock goes on with."""
+    zone = F.lit(resolve(zone))
+    utc = F.to_utc_timestamp(local, zone)
+    for minutes in (30, 60):
+        later = utc + F.expr(f"INTERVAL {minutes} MINUTES")
+        utc = F.when(F.from_utc_timestamp(later, zone) == local, later).otherwise(utc)
+    return utc
+
+
 def bucket(ts: Column, unit: str, zone: str) -> Column:
     """The bucket's start as a timestamp, the session's zone being UTC."""
     if unit not in UNITS:
         raise EngineError("INVALID_ARGUMENT", f"{unit} is no unit")
-    zone = F.lit(resolve(zone))
-    local = F.from_utc_timestamp(ts, zone)
-    start = F.date_trunc(unit, local)
+    start = local_start(ts, unit, zone)
     if unit == "hour":
-        return F.timestamp_micros(_micros(start) - (_micros(local) - _micros(ts)))
-    utc = F.to_utc_timestamp(start, zone)
-    for minutes in (30, 60):
-        later = utc + F.expr(f"INTERVAL {minutes} MINUTES")
-        utc = F.when(F.from_utc_timestamp(later, zone) == start, later).otherwise(utc)
-    return utc
+        return F.timestamp_micros(_micros(start) - (_micros(F.from_utc_timestamp(ts, F.lit(resolve(zone)))) - _micros(ts)))
+    return utc_start(start, zone)
+
+
+def _clock(ts: Column) -> Column:
+    """A timestamp to the second, with the year as the calendar counts it: 0000, and a sign and six digits beyond four."""
+    year = F.year(ts)
+    digits = F.when(year.between(0, 9999), F.format_string("%04d", year)).otherwise(F.concat(F.when(year < 0, "-").otherwise("+"), F.format_string("%06d", F.abs(year))))
+    return F.concat(digits, F.date_format(ts, "-MM-dd'T'HH:mm:ss"))
 
 
 def label(start: Column) -> Column:
     """The UTC start as an instant."""
-    return F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(_clock(start), F.lit("Z"))
 
 
 def local_label(start: Column, zone: str) -> Column:
-    """The local start with its offset."""
-    zone = F.lit(resolve(zone))
-    local = F.from_utc_timestamp(start, zone)
-    minutes = F.floor((F.unix_seconds(local) - F.unix_seconds(start)) / 60)
-    size = F.abs(minutes)
-    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(size / 60).cast("int"), (size % 60).cast("int"))
-    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+    """The local start with its offset, in seconds where the zone's offset has some."""
+    local = F.from_utc_timestamp(start, F.lit(resolve(zone)))
+    offset = (F.unix_seconds(local) - F.unix_seconds(start)).cast("int")
+    size = F.abs(offset)
+    hours = F.format_string("%s%02d:%02d", F.when(offset < 0, "-").otherwise("+"), F.floor(size / 3600).cast("int"), F.floor(size / 60).cast("int") % 60)
+    return F.concat(_clock(local), hours, F.when(size % 60 > 0, F.format_string(":%02d", size % 60)).otherwise(""))

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 
 def scope_outcomes(requests: DataFrame, spaces: DataFrame, collections: DataFrame, grants: DataFrame) -> DataFrame:
-    """Each request (request_id, space_id, collection_id, credential, capability, policy, write) with its `outcome`.
+    """Each request (request_id, space_id, collection_id, credential, capability, policy, write) once, with its `outcome`.
 
-    The first that applies: no such row, a moved policy, a space that is not there for use, a deleted collection,
-    no live grant, a write to what is read-only.
+    The first that applies: no such row, a moved policy or placement, a space that is not there for use, a deleted
+    collection, no live grant, a write to what is read-only.  Several grants of a credential count together, those
+    past their `expires_at` not at all; a `placement` counts where requests and spaces both have one.
     """
-    s = spaces.select("space_id", F.col("lifecycle").alias("space_state"), F.col("policy").alias("space_policy"))
+    placed = "placement" in requests.columns and "placement" in spaces.columns
+    s = spaces.select("space_id", F.col("lifecycle").alias("space_state"), F.col("policy").alias("space_policy"), *([F.col("placement").alias("space_placement")] if placed else []))
     c = collections.select("space_id", "collection_id", F.col("lifecycle").alias("collection_state"))
-    g = grants.select("space_id", "collection_id", "credential", F.col("capabilities"))
-    rows = requests.join(s, "space_id", "left").join(c, ["space_id", "collection_id"], "left").join(g, ["space_id", "collection_id", "credential"], "left")
-    granted = F.coalesce(F.array_contains("capabilities", F.col("capability")), F.lit(False))
+    live = F.col("expires_at").isNull() | (F.col("expires_at") > F.current_timestamp()) if "expires_at" in grants.columns else F.lit(True)
+    able = grants.filter(live).select("space_id", "collection_id", "credential", F.explode("capabilities").alias("capability")).distinct().withColumn("granted", F.lit(True))
+    rows = requests.join(s, "space_id", "left").join(c, ["space_id", "collection_id"], "left").join(able, ["space_id", "collection_id", "credential", "capability"], "left")
+    moved = F.col("policy") != F.col("space_policy")
+    if placed:
+        moved = moved | ~F.col("placement").eqNullSafe(F.col("space_placement"))
     outcome = (
         F.when(F.col("space_state").isNull() | F.col("collection_state").isNull(), "NOT_FOUND")
-        .when(F.col("policy") != F.col("space_policy"), "FORBIDDEN")
+        .when(moved, "FORBIDDEN")
         .when(F.col("space_state").isin("suspended", "deleting", "deleted"), "SPACE_UNAVAILABLE")
         .when(F.col("collection_state") == "deleted", "NOT_FOUND")
-        .when(~granted, "FORBIDDEN")
+        .when(F.col("granted").isNull(), "FORBIDDEN")
         .when(F.col("write") & ((F.col("space_state") == "readOnly") | (F.col("collection_state") == "readOnly")), "SPACE_UNAVAILABLE")
         .otherwise("ok")
     )

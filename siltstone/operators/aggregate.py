@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import exact, timebuckets
-from siltstone.functions.canonical import instant_sort_key, instant_timestamp
-from siltstone.operators.predicates import admit, condition
+from siltstone.functions.canonical import instant_sort_key, instant_text, instant_timestamp
+from siltstone.operators.predicates import admit, where
+from siltstone.operators.projection import require_complete
 from siltstone.types import DEFAULT_GROUPS, MAX_GROUP_BY, MAX_GROUP_BYTES, MAX_GROUPS, MAX_METRICS, METRICS, UNITS, CollectionDefinition, EngineError
 
 
@@ -76,18 +77,22 @@ def aggregated(df: DataFrame, spec: Spec, definition: CollectionDefinition) -> D
     group's count is n.  More than max_groups groups come as one too many, for the caller to refuse.
     """
     spec.admit(definition)
-    rows = df.filter(condition(list(spec.where), definition))
+    rows = where(df, list(spec.where), definition)
     keys, outs, order = [], [], []
     for k in spec.group_by:
         kind, value = F.col(f"{k.field}__kind"), F.col(f"{k.field}__val")
         if k.unit:
-            value = timebuckets.bucket(_timestamp(df, k.field), k.unit, k.zone)
+            # Days and longer are grouped by the zone's clock; only the groups are turned back into instants.
+            ts = _timestamp(df, k.field)
+            value = timebuckets.bucket(ts, k.unit, k.zone) if k.unit == "hour" else timebuckets.local_start(ts, k.unit, k.zone)
         keys += [kind.alias(f"_{k.field}_kind"), F.when(kind.isin("null", "missing"), None).otherwise(value).alias(f"_{k.field}_val")]
         held = F.col(f"_{k.field}_val")
+        if k.unit and k.unit != "hour":
+            held = timebuckets.utc_start(held, k.zone)
         outs += [F.col(f"_{k.field}_kind").alias(f"{k.field}__kind"), (timebuckets.label(held) if k.unit else held).alias(f"{k.field}__val")]
         if k.unit:
             outs.append(timebuckets.local_label(held, k.zone).alias(f"{k.field}__local"))
-        order += [group_rank(F.col(f"_{k.field}_kind")), held]
+        order += [group_rank(F.col(f"_{k.field}_kind")), F.col(f"_{k.field}_val")]
     aggs = [F.count(F.lit(1)).alias("n")]
     fields = list(dict.fromkeys(m.field for m in spec.metrics if m.field))
     for f in fields:
@@ -95,20 +100,41 @@ def aggregated(df: DataFrame, spec: Spec, definition: CollectionDefinition) -> D
         ops = {m.op for m in spec.metrics if m.field == f}
         if ops & {"sum", "avg"}:
             aggs += exact.partial_sums(F.when(kind == "number", value), f)
-        by = instant_sort_key(value) if declared == "date-time" else value
+        exact_ts = f"{f}__ts" in df.columns
         for op in ops & {"min", "max"}:
-            pick = (F.min_by if op == "min" else F.max_by)(value, by) if declared == "date-time" else (F.min if op == "min" else F.max)(F.when(kind == declared, value))
+            least = F.min if op == "min" else F.max
+            if declared != "date-time":
+                pick = least(F.when(kind == declared, value))
+            elif exact_ts:
+                pick = least(F.when(kind == declared, F.col(f"{f}__ts")))
+            else:
+                pick = (F.min_by if op == "min" else F.max_by)(value, instant_sort_key(value))
             aggs.append(pick.alias(f"{f}_{op}"))
         aggs += [F.count_if(kind == declared).alias(f"{f}_values"), F.count_if(kind == "null").alias(f"{f}_nulls"), F.count_if(kind == "missing").alias(f"{f}_missing")]
         for op in ops & {"sum", "avg"}:
             outs.append((exact.settled(f) if op == "sum" else exact.average(exact.settled(f), F.col(f"{f}__n"))).alias(f"{f}_{op}"))
-        outs += [F.col(f"{f}_{op}") for op in sorted(ops & {"min", "max"})] + [F.col(f"{f}_{c}") for c in ("values", "nulls", "missing")]
+        spelt = instant_text if declared == "date-time" and exact_ts else lambda c: c
+        outs += [spelt(F.col(f"{f}_{op}")).alias(f"{f}_{op}") for op in sorted(ops & {"min", "max"})] + [F.col(f"{f}_{c}") for c in ("values", "nulls", "missing")]
     grouped = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
     if keys:
         grouped = grouped.orderBy(*order).limit(spec.max_groups + 1)
     return grouped.select(*outs, "n")
 
 
+def merged(partials: DataFrame, keys: list[str], counts: list[str] = (), sums: list[str] = (), least: list[str] = (), most: list[str] = (), averages: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Partial groups made one: counts and decimal sums added, extremes of extremes, and averages {name: (sum, count)} of the sums.
+
+    Any grouping of the rows into partials gives the same result.
+    """
+    from siltstone.functions.exact import average, plain
+
+    outs = [F.sum(c).alias(c) for c in (*counts, *sums)] + [F.min(c).alias(c) for c in least] + [F.max(c).alias(c) for c in most]
+    out = partials.groupBy(*keys).agg(*outs)
+    for name, (total, n) in (averages or {}).items():
+        out = out.withColumn(name, average(plain(F.col(total).cast("string")), F.col(n)))
+    return out.select(*keys, *counts, *[plain(F.col(c).cast("string")).alias(c) for c in sums], *least, *most, *(averages or {}))
+
+
 def exact_sums(df: DataFrame, spec: Spec, definition: CollectionDefinition) -> DataFrame:
     """Sums of groups that fit no scale, by the Arrow path; for `evaluate`, where the fast path gave null."""
     field = next(m.field for m in spec.metrics if m.op in ("sum", "avg"))
@@ -117,14 +143,16 @@ def exact_sums(df: DataFrame, spec: Spec, definition: CollectionDefinition) -> D
     for k in spec.group_by:
         value = F.col(f"{k.field}__val")
         cols += [F.col(f"{k.field}__kind"), timebuckets.label(timebuckets.bucket(_timestamp(df, k.field), k.unit, k.zone)) if k.unit else value.cast("string")]
-    rows = df.filter(condition(list(spec.where), definition)).select(*[c.alias(n) for c, n in zip(cols, names, strict=True)], F.when(F.col(f"{field}__kind") == "number", F.col(f"{field}__val")).alias("x"))
+    rows = where(df, list(spec.where), definition).select(*[c.alias(n) for c, n in zip(cols, names, strict=True)], F.when(F.col(f"{field}__kind") == "number", F.col(f"{field}__val")).alias("x"))
     if not names:
         names, rows = ["k0"], rows.withColumn("k0", F.lit("")).select("k0", "x")
     return exact.slow_sums(rows, names, "x")
 
 
 def evaluate(df: DataFrame, spec: Spec, definition: CollectionDefinition, snapshot: int | None = None, freshness: str = "exact") -> dict:
-    """The complete result, or an error: never a part of it."""
+    """The complete result, or an error: never a part of it, nor one over a projection that is not complete."""
+    used = {k.field for k in spec.group_by} | {m.field for m in spec.metrics if m.field} | {p["field"] for p in spec.where}
+    require_complete(df, [definition.field(f) for f in sorted(used)])
     rows = [r.asDict() for r in aggregated(df, spec, definition).collect()]
     if len(rows) > spec.max_groups:
         raise EngineError("BACKPRESSURE", f"more than {spec.max_groups} groups", limit="groups")

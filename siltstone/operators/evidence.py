@@ -21,10 +21,51 @@ def current_claims(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("claim_id").agg(F.max("revision").alias("revision"), F.max_by(F.struct(*others), "revision").alias("x")).select("claim_id", "revision", "x.*")
 
 
-def visible_claims(claims: DataFrame, evidence: DataFrame, readable_: DataFrame) -> DataFrame:
-    """Claims of which no revision cites a collection that cannot be read."""
-    hidden = evidence.join(readable_, evidence.cited == readable_.collection_id, "left_anti").select("claim_id").distinct()
-    return claims.join(hidden, "claim_id", "left_anti")
+def hidden_claims(evidence: DataFrame, readable_: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Claims of which some revision cites a collection that cannot be read, or, given the live ones, is not live."""
+    seen = readable_.select("collection_id")
+    if live is not None:
+        seen = seen.join(live.select("collection_id").distinct(), "collection_id", "left_semi")
+    return evidence.join(seen, evidence.cited == seen.collection_id, "left_anti").select("claim_id").distinct()
+
+
+def visible_claims(claims: DataFrame, evidence: DataFrame, readable_: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """Claims of which no revision cites a collection that cannot be read, or is not live."""
+    return claims.join(hidden_claims(evidence, readable_, live), "claim_id", "left_anti")
+
+
+def readable_endpoints(endpoints: DataFrame, readable_: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Of the endpoints (kind, id, collection_id) those a link may show: in a readable collection, and no hidden claim."""
+    seen = endpoints.join(readable_.select("collection_id").distinct(), "collection_id", "left_semi")
+    gone = hidden.select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"))
+    return seen.join(gone, ["kind", "id"], "left_anti").select("kind", "id")
+
+
+def claims_citing(claims: DataFrame, evidence: DataFrame, collection, status: str | None = None, limit: int = 25) -> DataFrame:
+    """Claims that cite a collection, by id; of one status, where it is named."""
+    cited = evidence.filter(F.col("cited") == collection).select("claim_id").distinct()
+    rows = claims if status is None else claims.filter(F.col("status") == status)
+    return rows.join(cited, "claim_id", "left_semi").orderBy("claim_id").limit(limit)
+
+
+def erased(sources: DataFrame, contents: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources and contents after the deletion of some (source_id): first they are tombstones, then their bytes go.
+
+    Written in this order, a stop in between leaves bytes that no live source names, which `orphans` finds.
+    """
+    dead = gone.select("source_id").distinct().withColumn("_gone", F.lit(True))
+    marked = sources.join(dead, "source_id", "left").withColumn("tombstone", F.coalesce("_gone", F.lit(False)) | F.col("tombstone")).drop("_gone").select(*sources.columns)
+    return marked, contents.join(dead, "source_id", "left_anti")
+
+
+def orphans(contents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Contents whose source is deleted or was never there."""
+    return contents.join(sources.filter(~F.col("tombstone")).select("source_id").distinct(), "source_id", "left_anti")
+
+
+def purged(tables: dict[str, DataFrame], space) -> dict[str, DataFrame]:
+    """Every table of a store without the rows of a space; where tables are partitioned by space, only the others' are read."""
+    return {name: rows.filter(~F.col("space_id").eqNullSafe(F.lit(space))) for name, rows in tables.items()}
 
 
 def visible_links(links: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -90,7 +131,14 @@ def top_per_group(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame
 
 
 def fair_turns(rows: DataFrame, space: str, pair: str, *order) -> DataFrame:
-    """Queue turns: a pair's first rows before its second ones, and within a space its pairs in turn."""
-    mine = F.row_number().over(Window.partitionBy(space, pair).orderBy(*order))
-    numbered = rows.withColumn("pair_turn", mine)
-    return numbered.withColumn("space_turn", F.row_number().over(Window.partitionBy(space).orderBy("pair_turn", pair)))
+    """Queue turns: a pair's first rows before its second ones, and within a space its pairs in turn.
+
+    A space's rows of earlier turns are counted first, and a row's place among its own turn's is added, so that a
+    task holds one turn of a space, not the whole space.
+    """
+    numbered = rows.withColumn("pair_turn", F.row_number().over(Window.partitionBy(space, pair).orderBy(*order)))
+    sizes = numbered.groupBy(space, "pair_turn").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(space).orderBy("pair_turn").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = numbered.join(before.select(space, "pair_turn", F.coalesce("_before", F.lit(0)).alias("_before")), [space, "pair_turn"])
+    mine = F.row_number().over(Window.partitionBy(space, "pair_turn").orderBy(pair))
+    return placed.withColumn("space_turn", (F.col("_before") + mine).cast("int")).select(*numbered.columns, "space_turn")

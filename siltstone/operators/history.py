@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.types import EXPORT_BYTES, EXPORT_ROWS, FEED_ROWS
+from siltstone.types import EXPORT_BYTES, EXPORT_PAGES, EXPORT_ROWS, FEED_ROWS, EngineError
 
 
 def as_of(log: DataFrame, watermark: int, payload: list[str]) -> DataFrame:
@@ -14,15 +17,48 @@ def as_of(log: DataFrame, watermark: int, payload: list[str]) -> DataFrame:
     return log.filter(F.col("position") <= watermark).groupBy("record_id").agg(last).select("record_id", "last.*").filter("op <> 'delete'").drop("op")
 
 
+def as_of_page(log: DataFrame, watermark: int, payload: list[str], after: str = "", limit: int = EXPORT_ROWS, max_bytes: int = EXPORT_BYTES, size: Column | None = None) -> DataFrame:
+    """The next live records at a position by their ids' bytes: at most so many rows and bytes, the first one always.
+
+    `size` is a record's bytes (that of its payload as JSON, if not given); the last record_id is the next cursor.
+    """
+    rows = as_of(log.filter(F.col("record_id") > after), watermark, payload)
+    size = F.octet_length(F.to_json(F.struct(*payload))) if size is None else size
+    top = rows.withColumn("n_bytes", size).orderBy("record_id").limit(limit + 1)
+    by = Window.partitionBy(F.lit(0)).orderBy("record_id")
+    held = top.withColumn("position", F.row_number().over(by)).withColumn("_bytes", F.sum("n_bytes").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    held = held.withColumn("_in", (F.col("position") <= limit) & ((F.col("_bytes") <= max_bytes) | (F.col("position") == 1)))
+    return held.withColumn("more", F.max(~F.col("_in")).over(Window.partitionBy(F.lit(0)))).filter("_in").drop("_in", "_bytes")
+
+
 def feed(log: DataFrame, cursor: int, limit: int = FEED_ROWS) -> DataFrame:
     """The events after a cursor, in feed order."""
     return log.filter(F.col("position") > cursor).orderBy("position").limit(limit)
 
 
-def published(committed: DataFrame, last: int) -> DataFrame:
-    """Positions for committed events that have none, in commit order after `last`; one collection's batch at a time."""
-    order = Window.partitionBy("collection_id").orderBy("committed_at", "event_id")
-    return committed.withColumn("position", F.row_number().over(order) + F.lit(last))
+def numbered(rows: DataFrame, folder: str, *order: str) -> DataFrame:
+    """The rows with `place`, from 0, in an order over all of them: sorted ranges, and before each how many rows the others have.
+
+    The ranges are written to `folder` with their numbers, so that a task run again counts the same rows.
+    """
+    spark = rows.sparkSession
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    held = spark.read.schema(rows.withColumn("_range", F.lit(0)).schema).parquet(folder)
+    # One row per range.
+    sizes = held.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    mine = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return held.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn("place", F.col("_before") + mine).drop("_range", "_before")
+
+
+def published(committed: DataFrame, last: int, folder: str) -> DataFrame:
+    """Positions for committed events that have none, in commit order after `last`, by collection.
+
+    All events are ordered by collection and commit in ranges; a collection of any size goes over as many as it needs.
+    """
+    placed = numbered(committed, folder, "collection_id", "committed_at", "event_id")
+    first = placed.groupBy("collection_id").agg(F.min("place").alias("_first"))
+    return placed.join(F.broadcast(first), "collection_id").withColumn("position", F.col("place") - F.col("_first") + 1 + F.lit(last)).select(*committed.columns, "position")
 
 
 def freshness(log: DataFrame, watermark: Column | int, version: int) -> DataFrame:
@@ -38,23 +74,40 @@ def export_lines(snapshot: DataFrame, data: Column) -> DataFrame:
     return snapshot.select("record_id", F.concat(F.lit('{"id":'), quoted, F.lit(',"revision":'), F.col("revision").cast("string"), F.lit(',"data":'), data, F.lit("}\n")).alias("line"))
 
 
-def export_pages(lines: DataFrame, max_rows: int = EXPORT_ROWS, max_bytes: int = EXPORT_BYTES, prefix: int = 6) -> DataFrame:
-    """Pages of at most so many rows and bytes: first_id, rows, bytes, sha256, body; their order is that of first_id.
+def _cut(max_bytes: int):
+    """Pages of a run of at most a page's rows: a page ends before the line that would pass the byte limit."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("record_id")
+        ids, lines = (table.column(c).to_pylist() for c in ("record_id", "line"))
+        pages: list[list] = []
+        for key, line in zip(ids, (x.encode() for x in lines), strict=True):
+            if not pages or pages[-1][2] + len(line) > max_bytes:
+                pages.append([key, 0, 0, []])
+            page = pages[-1]
+            page[1], page[2] = page[1] + 1, page[2] + len(line)
+            page[3].append(line)
+        bodies = [b"".join(p[3]) for p in pages]
+        return pa.table({"first_id": pa.array([p[0] for p in pages], pa.string()), "rows": pa.array([p[1] for p in pages], pa.int64()), "bytes": pa.array([p[2] for p in pages], pa.int64()),
+                         "sha256": [hashlib.sha256(b).hexdigest() for b in bodies], "body": [b.decode() for b in bodies]})
+
+    return run
+
+
+def export_pages(lines: DataFrame, folder: str, max_rows: int = EXPORT_ROWS, max_bytes: int = EXPORT_BYTES) -> DataFrame:
+    """Pages of the lines in the order of all record ids: first_id, rows, bytes, sha256, body.
 
-    Records are cut by their ids' first characters (so many that a cut is a few pages), and each cut is paged
-    apart, so that no window spans the whole.  A page is a run of rows for which the number of rows, and of half byte limits, before it is the same:
-    it passes the byte limit only if one line alone does.
+    A page has at most so many rows and bytes (more bytes only where one line alone has). Every max_rows-th row begins
+    one, and within such a run a page ends before the line that would pass the byte limit.
     """
-    cut = lines.withColumn("n_bytes", F.octet_length("line")).withColumn("cut", F.substring("record_id", 1, prefix))
-    by = Window.partitionBy("cut").orderBy("record_id")
-    before = F.sum("n_bytes").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_bytes")
-    cells = cut.withColumn("_rows", F.floor((F.row_number().over(by) - 1) / max_rows)).withColumn("_bytes", F.floor(before / (max_bytes // 2)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_id", "line"))), lambda s: s.line), "")
-    pages = cells.groupBy("cut", "_rows", "_bytes").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_bytes").alias("bytes"), F.min("record_id").alias("first_id"), body.alias("body"))
-    return pages.withColumn("sha256", F.sha2("body", 256)).select("first_id", "rows", "bytes", "sha256", "body")
+    placed = numbered(lines.select("record_id", "line"), folder, "record_id").withColumn("run", F.floor(F.col("place") / max_rows))
+    return placed.select("run", "record_id", "line").groupBy("run").applyInArrow(_cut(max_bytes), "first_id string, rows long, bytes long, sha256 string, body string")
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """One row: pages, rows, bytes, and the digest of the pages' digests in order; an export has 10,000 pages at most."""
+    """One row: pages, rows, bytes, and the digest of the pages' digests in order; an export of over 10,000 pages is refused."""
+    told = pages.select("first_id", "rows", "bytes", "sha256")
+    if told.limit(EXPORT_PAGES + 1).count() > EXPORT_PAGES:
+        raise EngineError("BACKPRESSURE", f"more than {EXPORT_PAGES} pages", limit="pages")
     digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "sha256"))), lambda s: s.sha256), "")
-    return pages.agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sha2(digests, 256).alias("digest"))
+    return told.agg(F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sha2(digests, 256).alias("digest"))

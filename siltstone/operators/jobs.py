@@ -1,40 +1,63 @@
-"""Snapshot jobs that go on where they stopped: a job is cut by record, and a cut once written is not done again."""
+"""Snapshot jobs: a bounded aggregate or export of what was live at a feed position, as one Spark job.
+
+A job is admitted by its budgets, read at its watermark, and written as partial results by cut of the records; what
+a lost executor or a stopped job left is Spark's to repeat, and only a whole job's parts are merged.
+"""
 
 from __future__ import annotations
 
-import time
+import datetime
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.types import EngineError
 
 
-def cut_of(key: str, cuts: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(cuts)).cast("int")
-
-
-def done(spark: SparkSession, folder: str) -> set[int]:
-    """The cuts whose parts are whole: a part has Spark's success mark."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    marks = store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/cut=*/_SUCCESS")) or []
-    return {int(m.getPath().getParent().getName().removeprefix("cut=")) for m in marks}
-
-
-def run(rows: DataFrame, key: str, partial: Callable[[DataFrame], DataFrame], folder: str, cuts: int = 8, budget_s: float = 600.0, clock=time.monotonic) -> bool:
-    """Write the partial result of every cut not yet there, while the budget lasts; whether all are there now."""
-    spark, began = rows.sparkSession, clock()
-    for cut in sorted(set(range(cuts)) - done(spark, folder)):
-        if clock() - began >= budget_s:
-            return False
-        partial(rows.filter(cut_of(key, cuts) == cut)).write.mode("overwrite").parquet(f"{folder}/cut={cut}")
-    return True
-
-
-def merged(spark: SparkSession, folder: str, cuts: int, final: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The final result over all parts; an error while some are missing."""
-    if len(done(spark, folder)) < cuts:
-        raise EngineError("CONFLICT", "the job is not done")
-    return final(spark.read.parquet(folder))
+@dataclass(frozen=True)
+class Job:
+    """What a job may read and until when; `state` is open, cancelled or done."""
+
+    folder: str
+    watermark: int
+    max_records: int | None = None
+    max_bytes: int | None = None
+    expires: datetime.datetime | None = None
+    state: str = "open"
+
+    def cancelled(self) -> Job:
+        if self.state == "done":
+            raise EngineError("CONFLICT", "the job is done")
+        return replace(self, state="cancelled")
+
+    def admit(self, rows: DataFrame, size: str | None = None) -> None:
+        """An error if the job is no longer open or its rows pass its budgets."""
+        if self.state != "open":
+            raise EngineError("CONFLICT", f"the job is {self.state}")
+        if self.expires is not None and datetime.datetime.now(self.expires.tzinfo) >= self.expires:
+            raise EngineError("CONFLICT", "the job has expired")
+        if self.max_records is None and self.max_bytes is None:
+            return
+        told = rows.agg(F.count(F.lit(1)).alias("n"), (F.sum(size) if size else F.lit(0)).alias("b")).first()
+        if self.max_records is not None and told.n > self.max_records:
+            raise EngineError("BACKPRESSURE", f"{told.n} records", limit="records")
+        if self.max_bytes is not None and (told.b or 0) > self.max_bytes:
+            raise EngineError("BACKPRESSURE", f"{told.b} bytes", limit="bytes")
+
+
+def run(job: Job, rows: DataFrame, key: str, partial: Callable[[DataFrame, list[str]], DataFrame], cuts: int = 8, size: str | None = None, position: str | None = None) -> Job:
+    """Write the partial results of rows up to the watermark, by cut of the records; the job as it is then."""
+    at = rows if position is None else rows.filter(F.col(position) <= job.watermark)
+    job.admit(at, size)
+    dealt = at.withColumn("cut", F.pmod(F.xxhash64(key), F.lit(cuts)).cast("int"))
+    partial(dealt, ["cut"]).write.mode("overwrite").partitionBy("cut").parquet(job.folder)
+    return replace(job, state="done")
+
+
+def merged(spark: SparkSession, job: Job, final: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The final result over all parts of a job that is done."""
+    if job.state != "done":
+        raise EngineError("CONFLICT", f"the job is {job.state}")
+    return final(spark.read.parquet(job.folder).drop("cut"))

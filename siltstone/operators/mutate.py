@@ -160,3 +160,29 @@ def batch_status(items: DataFrame, batch: str, outcome: Column) -> DataFrame:
     # A batch has twenty items at most.
     digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "item"))), lambda s: s.item), "\n"), 256)
     return items.groupBy(batch).agg(F.count(F.lit(1)).alias("items"), good.alias("succeeded"), (F.count(F.lit(1)) - good).alias("failed"), digest.alias("digest")).withColumn("retry", F.col("failed") > 0)
+
+
+def move_allowed(was: Column, now: Column, definition: CollectionDefinition) -> Column:
+    """Whether a lifecycle field may go from one state to the next; from null, into an initial one."""
+    allowed = F.when(was.isNull(), now.isin(list(definition.initial)))
+    for state, nexts in definition.transitions.items():
+        if state is not None:
+            allowed = allowed.when(was == state, now.isin([state, *nexts]))
+    return F.coalesce(allowed.otherwise(now == was), F.lit(False))
+
+
+def batch_items(items: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """The items of batches (batch, ordinal, outcome) with their `state`: as they came out, else pending, or cancelled with their batch."""
+    rows = items
+    stopped = F.lit(None).cast("boolean")
+    if cancelled is not None:
+        rows, stopped = items.join(cancelled.select("batch").distinct().withColumn("_stopped", F.lit(True)), "batch", "left"), F.col("_stopped")
+    state = F.when(F.col("outcome").isNotNull(), F.col("outcome")).when(stopped, "cancelled").otherwise("pending")
+    told = rows.withColumn("state", state).withColumn("stopped", F.coalesce(stopped, F.lit(False)))
+    return told.select(*items.columns, "state", "stopped")
+
+
+def batch_todo(status: DataFrame, retry_failed: bool = False) -> DataFrame:
+    """The items that a resumption has to do: those pending, and on request those that failed; none of a cancelled batch."""
+    wanted = ["pending", "failed"] if retry_failed else ["pending"]
+    return status.filter(F.col("state").isin(wanted) & ~F.col("stopped"))

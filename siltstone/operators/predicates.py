@@ -49,11 +49,21 @@ def admit(predicates: list[dict]) -> list[dict]:
     return out
 
 
-def _column(p: dict) -> Column:
+def _micros(instant: str) -> Column | None:
+    """The instant as a timestamp, if it is a whole number of microseconds and no leap second."""
+    if instant[17:19] == "60" or len(instant) > len("0000-00-00T00:00:00.000000Z"):
+        return None
+    return F.to_timestamp(F.lit(instant))
+
+
+def _column(p: dict, columns: list[str]) -> Column:
     kind, value = F.col(f"{p['field']}__kind"), F.col(f"{p['field']}__val")
     if p["operator"] == "isNull":
         return kind == "null"
-    if p["kind"] == "date-time":
+    stamps = [_micros(v) for v in (p["value"] if p["operator"] == "in" else [p["value"]])] if p["kind"] == "date-time" and f"{p['field']}__ts" in columns else [None]
+    if all(s is not None for s in stamps):
+        value, wanted = F.col(f"{p['field']}__ts"), stamps
+    elif p["kind"] == "date-time":
         value, wanted = instant_sort_key(value), [instant_key(v) for v in (p["value"] if p["operator"] == "in" else [p["value"]])]
     else:
         wanted = p["value"] if p["operator"] == "in" else [p["value"]]
@@ -61,16 +71,20 @@ def _column(p: dict) -> Column:
     return (kind == p["kind"]) & test[p["operator"]]()
 
 
-def condition(predicates: list[dict], definition: CollectionDefinition | None = None) -> Column:
-    """The conjunction of admitted predicates; with a definition, fields must be ready and of the kind named."""
+def condition(predicates: list[dict], definition: CollectionDefinition | None = None, columns: list[str] | tuple = ()) -> Column:
+    """The conjunction of admitted predicates; with a definition, fields must be ready and of the kind named.
+
+    `columns` are the table's: where it has a field's <field>__ts, instants are compared as timestamps, which the
+    scan can take over.
+    """
     admitted = admit(predicates)
     for p in admitted if definition else []:
         definition.ready(p["field"], None if p["operator"] == "isNull" else p["kind"])
-    return reduce(lambda a, b: a & b, map(_column, admitted), F.lit(True))
+    return reduce(lambda a, b: a & b, [_column(p, list(columns)) for p in admitted], F.lit(True))
 
 
 def where(df: DataFrame, predicates: list[dict], definition: CollectionDefinition | None = None) -> DataFrame:
-    return df.filter(condition(predicates, definition))
+    return df.filter(condition(predicates, definition, df.columns))
 
 
 def count_records(df: DataFrame, predicates: list[dict]) -> DataFrame:

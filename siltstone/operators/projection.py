@@ -2,7 +2,9 @@
 
 Every declared field f becomes two columns: f__kind ('null', 'missing', or the value's kind) and f__val.  Null
 and missing differ everywhere, so neither is an SQL null alone; all that follows reads these columns and no
-index rows are joined.
+index rows are joined.  A date-time field may have a third, f__ts, its instant as a timestamp; a projection has it
+only where every instant of the field is a whole number of microseconds and no leap second, so that it may stand
+for the text wherever instants are compared.
 """
 
 from __future__ import annotations
@@ -65,11 +67,18 @@ def require_complete(df: DataFrame, fields: list[Field]) -> None:
 def drift(expected: DataFrame, actual: DataFrame, fields: list[str], key: str = "record_id") -> DataFrame:
     """Differences of two projections, one row per record and field: missing, unexpected, kind or value."""
 
-    def long(df: DataFrame, side: str) -> DataFrame:
-        one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}__kind").alias("kind"), F.col(f"{f}__val").cast("string").alias("val")) for f in fields]))
-        return df.select(key, one.alias("x")).select(key, "x.field", F.col("x.kind").alias(f"{side}_kind"), F.col("x.val").alias(f"{side}_val"))
-
-    both = long(expected, "expected").join(long(actual, "actual"), [key, "field"], "full")
+    def wide(df: DataFrame, side: str) -> DataFrame:
+        held = [F.struct(F.lit(f).alias("field"), F.col(f"{f}__kind").alias("kind"), F.col(f"{f}__val").cast("string").alias("val")) for f in fields]
+        return df.select(key, F.array(*held).alias(side))
+
+    # Rows meet once by their key; only those that differ are taken apart.
+    rows = wide(expected, "expected").join(wide(actual, "actual"), key, "full").filter(~F.col("expected").eqNullSafe(F.col("actual")))
+    nothing = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("val")) for f in fields])
+    rows = rows.select(key, F.coalesce("expected", nothing).alias("expected"), F.coalesce("actual", nothing).alias("actual"))
+    pair = F.explode(F.arrays_zip("expected", "actual"))
+    both = rows.select(key, pair.alias("x")).select(
+        key, F.coalesce("x.expected.field", "x.actual.field").alias("field"), F.col("x.expected.kind").alias("expected_kind"), F.col("x.expected.val").alias("expected_val"), F.col("x.actual.kind").alias("actual_kind"), F.col("x.actual.val").alias("actual_val")
+    )
     what = (
         F.when(F.col("actual_kind").isNull(), "missing")
         .when(F.col("expected_kind").isNull(), "unexpected")
@@ -77,3 +86,15 @@ def drift(expected: DataFrame, actual: DataFrame, fields: list[str], key: str =
         .when(~F.col("expected_val").eqNullSafe(F.col("actual_val")), "value")
     )
     return both.withColumn("difference", what).filter("difference IS NOT NULL")
+
+
+def reconciliation(differences: DataFrame, underivable: DataFrame | None = None, sample: int = 100, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """All differences counted by kind, and a sample of at most so many, by key and field.
+
+    underivable: keys of records from whose documents no projection could be made; they count as such.
+    """
+    rows = differences.select(F.col(key).cast("string").alias(key), "field", "difference")
+    if underivable is not None:
+        rows = rows.join(underivable.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_anti")
+        rows = rows.unionByName(underivable.select(F.col(key).cast("string").alias(key), F.lit(None).cast("string").alias("field"), F.lit("underivable").alias("difference")))
+    return rows.groupBy("difference").agg(F.count(F.lit(1)).alias("n")), rows.orderBy(key, "field").limit(sample)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import access, evidence, history, jobs, mutate
-from siltstone.plans.inputs import LOG_SQL, change_log, table
+from siltstone.operators import access, evidence, facts, history, jobs, mutate
+from siltstone.operators.aggregate import merged as merged_groups
+from siltstone.plans.inputs import LOG_SQL, change_log, scratch, table
 from siltstone.plans.registry import query
 from siltstone.streaming import feeds
+from siltstone.types import CollectionDefinition, Field
 
 _L = f"WITH {LOG_SQL} "
 _AT = 5000
@@ -26,7 +28,7 @@ def feed_page(spark, d):
 @query("SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) + 10 AS position FROM orders")
 def event_publication(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderpriority").alias("collection_id"), F.col("o_orderdate").alias("committed_at"), F.col("o_orderkey").alias("event_id"))
-    return history.published(rows, 10).select("o_orderkey", "o_orderpriority", F.col("position").cast("long").alias("position"))
+    return history.published(rows, 10, scratch(spark, "published")).select("o_orderkey", "o_orderpriority", F.col("position").cast("long").alias("position"))
 
 
 @query(_L + f"SELECT max(position) AS head, count(*) FILTER (position > {_AT}) AS later, CASE WHEN count(*) FILTER (position > {_AT}) = 0 THEN 'exact' ELSE 'stale' END AS freshness FROM log")
@@ -40,34 +42,55 @@ def _lines(spark, d):
     return history.export_lines(live, F.concat(F.lit('{"event":"'), "event_type", F.lit('"}')))
 
 
+# Pages by the contract: in the order of all record ids, at most 40 rows and 1 MiB each; these lines are short.
 _LINES = (
     _L
     + """, lines AS (
   SELECT record_id, '{"id":"' || record_id || '","revision":' || revision || ',"data":{"event":"' || event_type || '"}}' || chr(10) AS line
   FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) AS r FROM log) WHERE r = 1 AND op <> 'delete'
-), numbered AS (SELECT *, left(record_id, 9) AS cut, (row_number() OVER (PARTITION BY left(record_id, 9) ORDER BY record_id) - 1) // 40 AS page FROM lines),
-pages AS (SELECT min(record_id) AS first_id, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY record_id)) AS sha256 FROM numbered GROUP BY cut, page) """
+), numbered AS (SELECT *, (row_number() OVER (ORDER BY record_id) - 1) // 40 AS page FROM lines),
+pages AS (SELECT min(record_id) AS first_id, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY record_id)) AS sha256 FROM numbered GROUP BY page) """
 )
 
 
 @query(_LINES + "SELECT * FROM pages")
 def export_pages(spark, d):
-    return history.export_pages(_lines(spark, d), max_rows=40, prefix=9).drop("body")
+    return history.export_pages(_lines(spark, d), scratch(spark, "export"), max_rows=40).drop("body")
 
 
 @query(_LINES + "SELECT count(*) AS pages, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(sha256, '' ORDER BY first_id)) AS digest FROM pages")
 def export_manifest_digest(spark, d):
-    return history.manifest(history.export_pages(_lines(spark, d), max_rows=40, prefix=9))
+    pages = scratch(spark, "pages")
+    history.export_pages(_lines(spark, d), scratch(spark, "export"), max_rows=40).write.parquet(pages)
+    return history.manifest(spark.read.parquet(pages))
+
+
+@query(_L + f"""
+, live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) AS r FROM log WHERE position <= {_AT}) WHERE r = 1 AND op <> 'delete' AND record_id > 'user_000010'),
+run AS (SELECT *, row_number() OVER (ORDER BY record_id) AS n, sum(strlen('{{"event_type":"' || event_type || '"}}')) OVER (ORDER BY record_id) AS b FROM live)
+SELECT record_id, revision, event_type, n AS position, true AS more FROM run WHERE n <= 50 AND b <= 700""")
+def asof_page(spark, d):
+    """The page of live records at a position that follows user_000010: 50 rows and 700 bytes at most."""
+    page = history.as_of_page(change_log(spark, d), _AT, ["event_type"], "user_000010", 50, 700)
+    return page.select("record_id", "revision", "event_type", F.col("position").cast("long").alias("position"), "more")
 
 
 @query("SELECT l_returnflag, count(*) AS n, regexp_replace(CAST(sum(CAST(CAST(l_tax AS VARCHAR) AS DECIMAL(38, 6))) AS VARCHAR), '\\.?0+$', '') AS total, min(l_shipdate)::VARCHAR AS first_at FROM lineitem GROUP BY l_returnflag")
 def agg_partial_merge(spark, d):
     """Partial groups per supplier, merged exactly."""
-    part = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_tax").cast("decimal(28,6)")).alias("t"), F.min("l_shipdate").alias("m"))
-    merged = part.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.min("m").alias("m"))
-    from siltstone.functions.exact import plain
+    part = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_tax").cast("decimal(28,6)")).alias("total"), F.min("l_shipdate").alias("first_at"))
+    return merged_groups(part, ["l_returnflag"], counts=["n"], sums=["total"], least=["first_at"]).withColumn("first_at", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss"))
+
 
-    return merged.select("l_returnflag", "n", plain(F.col("t").cast("string")).alias("total"), F.date_format("m", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
+@query("""
+WITH s AS (SELECT l_returnflag, CAST(sum(CAST(CAST(l_extendedprice AS VARCHAR) AS DECIMAL(38, 2)) * 100) AS HUGEINT) AS cents, CAST(count(*) AS HUGEINT) AS n, max(l_quantity) AS most FROM lineitem GROUP BY l_returnflag),
+q AS (SELECT *, 20 - length(CAST(cents // (100 * n) AS VARCHAR)) AS places FROM s),
+r AS (SELECT *, CAST((2 * cents * CAST(pow(10, places - 2) AS HUGEINT) + n) // (2 * n) AS VARCHAR) AS digits FROM q)
+SELECT l_returnflag, CAST(n AS BIGINT) AS n, most, regexp_replace(left(digits, length(digits) - places) || '.' || right(digits, places), '\\.?0+$', '') AS mean FROM r""")
+def agg_partial_merge_avg(spark, d):
+    """Averages of merged partial groups: of the sums, not of the averages."""
+    part = table(spark, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(28,2)")).alias("total"), F.max("l_quantity").alias("most"))
+    return merged_groups(part, ["l_returnflag"], counts=["n"], sums=["total"], most=["most"], averages={"mean": ("total", "n")}).select("l_returnflag", "n", "most", "mean")
 
 
 _OPS = "CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'replace' WHEN 'click' THEN 'patch' WHEN 'error' THEN 'delete' ELSE 'replace' END"
@@ -287,15 +310,105 @@ def collection_discovery(spark, d):
 
 @query("SELECT l_returnflag, count(*) AS n, max(l_extendedprice) AS most, CAST(sum(CAST(CAST(l_quantity AS VARCHAR) AS DECIMAL(38, 2))) AS VARCHAR) AS quantity FROM lineitem GROUP BY l_returnflag")
 def snapshot_job(spark, d):
-    """An aggregate job in four cuts, stopped after none of its time is left and then gone on with."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    import uuid
-
-    folder = f"{base}/siltstone/job-{uuid.uuid4().hex}"
-    rows = table(spark, d, "lineitem")
-    partial = lambda df: df.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("most"), F.sum(F.col("l_quantity").cast("decimal(28,2)")).alias("q"))
-    jobs.run(rows, "l_orderkey", partial, folder, 4, budget_s=0.0)
-    jobs.run(rows, "l_orderkey", partial, folder, 4)
-    return jobs.merged(spark, folder, 4, lambda df: df.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("q").cast("string").alias("quantity")))
+    """An aggregate job over the lines: partial groups by cut of the orders in one Spark job, then merged."""
+    job = jobs.Job(scratch(spark, "job"), 0, max_records=10**12)
+    partial = lambda df, cut: df.groupBy(*cut, "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.max("l_extendedprice").alias("most"), F.sum(F.col("l_quantity").cast("decimal(28,2)")).alias("q"))
+    done = jobs.run(job, table(spark, d, "lineitem"), "l_orderkey", partial)
+    return jobs.merged(spark, done, lambda df: df.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("q").cast("string").alias("quantity")))
+
+
+@query("SELECT p_partkey AS source_id, p_partkey % 9 = 0 OR p_partkey % 4 = 1 AS tombstone, p_partkey % 4 <> 1 AS has_bytes FROM part")
+def source_erasure(spark, d):
+    """Sources after a quarter of them is deleted: tombstones, and whose bytes are still there."""
+    sources = table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") % 9 == 0).alias("tombstone"))
+    marked, left = evidence.erased(sources, sources.select("source_id"), sources.filter("source_id % 4 = 1").select("source_id"))
+    return marked.join(left.withColumn("has_bytes", F.lit(True)), "source_id", "left").select("source_id", "tombstone", F.coalesce("has_bytes", F.lit(False)).alias("has_bytes"))
+
+
+@query("SELECT p_partkey AS source_id FROM part WHERE p_partkey % 9 = 0")
+def orphan_contents(spark, d):
+    sources = table(spark, d, "part").select(F.col("p_partkey").alias("source_id"), (F.col("p_partkey") % 9 == 0).alias("tombstone"))
+    return evidence.orphans(sources.select("source_id"), sources)
+
+
+@query("SELECT 'customer' AS name, count(*) AS n FROM customer WHERE c_nationkey <> 7 UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey <> 7")
+def space_purge(spark, d):
+    """What is left of two tables after a space (a nation) is purged."""
+    tables = {"customer": table(spark, d, "customer").withColumn("space_id", F.col("c_nationkey")), "supplier": table(spark, d, "supplier").withColumn("space_id", F.col("s_nationkey"))}
+    a, b = (rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in evidence.purged(tables, 7).items())
+    return a.unionByName(b)
+
+
+@query(_HIDDEN + "SELECT o_orderkey AS claim_id, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM cites WHERE claim_id = o_orderkey AND (cited >= 10 OR cited = 4))")
+def claim_rule_live_collections(spark, d):
+    """Claims whose every cited collection is readable and live; collection 4 is deleted."""
+    claims, cites = _claims(spark, d)
+    live = table(spark, d, "nation").filter("n_nationkey <> 4").select(F.col("n_nationkey").alias("collection_id"))
+    return evidence.visible_claims(claims, cites, evidence.readable(_grants(spark, d), "k1", "sources.read"), live).select("claim_id", "o_orderstatus")
+
+
+@query(_HIDDEN + """SELECT 'l' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS link_id FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE c_nationkey < 10 AND NOT EXISTS (SELECT 1 FROM cites WHERE claim_id = o_orderkey AND cited >= 10)""")
+def links_of_claims_visible(spark, d):
+    """Links from claims to records: a claim that cites what cannot be read hides its links."""
+    claims, cites = _claims(spark, d)
+    open_ = evidence.readable(_grants(spark, d), "k1", "sources.read")
+    customer = table(spark, d, "customer")
+    ends = claims.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.lit("claim").alias("kind"), F.concat(F.lit("o"), "claim_id").alias("id"), F.col("c_nationkey").alias("collection_id"))
+    ends = ends.unionByName(customer.select(F.lit("record").alias("kind"), F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_nationkey").alias("collection_id")))
+    hidden = evidence.hidden_claims(cites, open_).select(F.concat(F.lit("o"), "claim_id").alias("claim_id"))
+    links = _links(spark, d).withColumn("from_kind", F.lit("claim")).withColumn("to_kind", F.lit("record"))
+    return evidence.visible_links(links, evidence.readable_endpoints(ends, open_, hidden)).select("link_id")
+
+
+@query("SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS receipts FROM events GROUP BY user_id")
+def facts_appended(spark, d):
+    """Facts appended in two batches, the second one twice: events and receipts come together, and once."""
+    rows = table(spark, d, "events")
+    store = facts.Store(scratch(spark, "facts"))
+    tables = lambda df: {"events": df.select("user_id", "event_id"), "receipts": df.filter("event_type = 'purchase'").select("user_id", "event_id")}
+    store.append(tables(rows.filter("event_id % 2 = 0")), 1)
+    for _ in range(2):
+        store.append(tables(rows.filter("event_id % 2 = 1")), 2)
+    count = lambda name: store.read(spark, name).groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
+    return count("events").join(count("receipts"), "user_id", "left").select("user_id", "events", F.coalesce("receipts", F.lit(0)).alias("receipts"))
+
+
+@query("SELECT o_orderkey, was, o_orderstatus FROM (SELECT o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders) WHERE (was IS NULL AND o_orderstatus <> 'O') OR (was = 'O' AND o_orderstatus NOT IN ('O', 'P', 'F')) OR (was = 'P' AND o_orderstatus NOT IN ('P', 'F')) OR (was = 'F' AND o_orderstatus <> 'F')")
+def lifecycle_moves_refused(spark, d):
+    """Orders of a customer as states of one record, by the lifecycle check itself: what is no declared move."""
+    from pyspark.sql import Window
+
+    was = F.lag("o_orderstatus").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    definition = CollectionDefinition("orders", (Field("status", "string"),), lifecycle="status", initial=("O",), transitions={"O": ("P", "F"), "P": ("F",)})
+    rows = table(spark, d, "orders").withColumn("was", was)
+    return rows.filter(~mutate.move_allowed(F.col("was"), F.col("o_orderstatus"), definition)).select("o_orderkey", "was", "o_orderstatus")
+
+
+@query("""
+WITH b AS (SELECT event_id // 20 AS batch, event_id AS ordinal, event_type <> 'error' AS good, event_id % 20 >= 15 AS late, event_id // 20 % 10 = 3 AS gone FROM events)
+SELECT batch, count(*) FILTER (NOT late AND good) AS succeeded, count(*) FILTER (NOT late AND NOT good) AS failed, count(*) FILTER (late AND NOT gone) AS pending, count(*) FILTER (late AND gone) AS cancelled,
+  count(*) FILTER (late AND NOT gone OR NOT late AND NOT good AND NOT gone) AS todo FROM b GROUP BY batch""")
+def batch_resume(spark, d):
+    """Batches that stopped at their fifteenth item, some of them cancelled: what a resumption with retries has to do."""
+    items = table(spark, d, "events").select(F.expr("event_id div 20").alias("batch"), F.col("event_id").alias("ordinal"), F.when(F.col("event_id") % 20 < 15, F.when(F.col("event_type") == "error", "failed").otherwise("succeeded")).alias("outcome"))
+    gone = items.filter("batch % 10 = 3").select("batch").distinct()
+    status = mutate.batch_items(items, gone)
+    todo = mutate.batch_todo(status, retry_failed=True).groupBy("batch").agg(F.count(F.lit(1)).alias("todo"))
+    counts = status.groupBy("batch").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("succeeded", "failed", "pending", "cancelled")])
+    return counts.join(todo, "batch", "left").select("batch", "succeeded", "failed", "pending", "cancelled", F.coalesce("todo", F.lit(0)).alias("todo"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'delivered' WHEN event_id % 10 = 9 THEN 'cancelled' WHEN event_id % 10 = 8 THEN 'pending' WHEN event_id % 10 > 0 THEN 'degraded' ELSE 'pending' END AS state FROM events")
+def outbox_repair(spark, d):
+    """An operator's retry of what failed eight times and cancellation of what failed nine."""
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 10).alias("failures"), (F.col("event_id") % 17 == 0).alias("delivered"))
+    retry, cancel = (rows.filter(F.col("failures") == n).select("event_id") for n in (8, 9))
+    return feeds.repaired(rows, ["event_id"], retry, cancel).select("event_id", "state")
+
+
+@query("SELECT CASE WHEN event_id % 17 = 0 THEN 'delivered' WHEN event_id % 10 >= 8 THEN 'dead-letter' WHEN event_id % 10 > 0 THEN 'degraded' ELSE 'pending' END AS state, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS oldest, max(10001 - event_id) AS lag FROM events GROUP BY 1")
+def outbox_lag(spark, d):
+    """Counts, the oldest and the greatest distance to the log's head by delivery state."""
+    rows = table(spark, d, "events").select((F.col("event_id") % 10).alias("failures"), (F.col("event_id") % 17 == 0).alias("delivered"), "ts", F.col("event_id").alias("position"))
+    return feeds.status(rows, 10_001).select("state", "n", F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("oldest"), "lag")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.canonical import instant_text
 from siltstone.operators.projection import typed
 from siltstone.types import CollectionDefinition, Field
 
@@ -29,17 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def instant(ts: Column) -> Column:
-    """A timestamp as a canonical instant."""
-    text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(text, r"\.?0*$", ""), F.lit("Z"))
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 
 
 def _items(rows: DataFrame, n: Column, team: Column, score: Column, at: Column) -> DataFrame:
     team_kind, team_val = typed(team, "string")
     score_kind, score_val = typed(score, "number", null=n % 11 == 0)
     active_kind, active_val = typed(n % 2 == 0, "boolean", missing=n % 13 == 0)
-    at_kind, at_val = typed(instant(at), "date-time")
+    at_kind, at_val = typed(instant_text(at), "date-time")
     return rows.select(
         F.format_string("rec_%08d", n).alias("record_id"), n.alias("n"), at.alias("created_at"), (100 + n % 50).alias("n_bytes"),
         team_kind.alias("team__kind"), team_val.alias("team__val"), score_kind.alias("score__kind"), score_val.alias("score__val"),
@@ -58,6 +59,12 @@ def items_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(table(spark, sf_dir, "lineitem"), n, F.col("l_returnflag"), F.col("l_extendedprice"), F.col("l_shipdate"))
 
 
+def items_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with twenty teams, by the part's key."""
+    n = F.col("l_orderkey") * 7 + F.col("l_partkey") + F.col("l_linenumber")
+    return _items(table(spark, sf_dir, "lineitem"), n, F.concat(F.lit("team-"), (F.col("l_partkey") % 20).cast("string")), F.col("l_extendedprice"), F.col("l_shipdate"))
+
+
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log: record = user, revision within it, position = rank of the commit."""
     events = table(spark, sf_dir, "events")
@@ -81,6 +88,8 @@ BIG_SQL = """big AS (
     CASE WHEN k % 13 = 0 THEN 'missing' ELSE 'boolean' END AS active_kind, CASE WHEN k % 13 <> 0 THEN k % 2 = 0 END AS active, l_shipdate AS ts
   FROM (SELECT *, l_orderkey * 7 + l_partkey + l_linenumber AS k FROM lineitem))"""
 
+TEAMS_SQL = BIG_SQL.replace("l_returnflag AS team", "'team-' || l_partkey % 20 AS team")
+
 LOG_SQL = """log AS (
   SELECT 'user_' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS record_id, revision, event_id + 1 AS position, event_type, value, ts,
     CASE WHEN revision = 1 THEN 'create' WHEN back = 1 AND event_type = 'error' THEN 'delete' ELSE 'replace' END AS op

@@ -9,7 +9,7 @@ from siltstone.operators.aggregate import Key, Metric, Spec, aggregated
 from siltstone.operators.pages import Sort, page
 from siltstone.operators.predicates import count_records, exists_record, where
 from siltstone.operators.projection import drift, project
-from siltstone.plans.inputs import BIG_SQL, ITEMS, ITEMS_SQL, items, items_big, table
+from siltstone.plans.inputs import BIG_SQL, ITEMS, ITEMS_SQL, TEAMS_SQL, items, items_big, items_teams, table
 from siltstone.plans.registry import query
 
 _I = f"WITH {ITEMS_SQL} "
@@ -155,6 +155,40 @@ def agg_filtered_selective(spark, d):
     return _agg(items_big(spark, d), Spec((_p("score", "number", "lt", 1000),), (Key("team"),)), team="team__val", n="n")
 
 
+_TEAM = f"WITH {TEAMS_SQL} "
+_MEAN = """
+s AS (SELECT team, CAST(sum(CAST(CAST(score AS VARCHAR) AS DECIMAL(38, 2)) * 100) AS HUGEINT) AS cents, CAST(count(score) AS HUGEINT) AS k FROM big GROUP BY team),
+q AS (SELECT team, 20 - length(CAST(cents // (100 * k) AS VARCHAR)) AS places, cents, k FROM s),
+r AS (SELECT team, places, CAST((2 * cents * CAST(pow(10, places - 2) AS HUGEINT) + k) // (2 * k) AS VARCHAR) AS digits FROM q),
+m AS (SELECT team, regexp_replace(left(digits, length(digits) - places) || '.' || right(digits, places), '\\.?0+$', '') AS mean FROM r) """
+
+
+@query(f"WITH {TEAMS_SQL}, {_MEAN} SELECT team, count(*) AS n, {_DEC.format('score')} AS total, any_value(mean) AS mean, count(score) AS numbers, count(*) FILTER (score_kind = 'null') AS nulls FROM big JOIN m USING (team) GROUP BY team")
+def agg_by_team(spark, d):
+    """Count, exact sum and average of the score for each of twenty teams."""
+    spec = Spec(group_by=(Key("team"),), metrics=(Metric("count"), Metric("sum", "score"), Metric("avg", "score")))
+    return _agg(items_teams(spark, d), spec, team="team__val", n="n", total="score_sum", mean="score_avg", numbers="score_values", nulls="score_nulls")
+
+
+@query(_TEAM + "SELECT strftime((date_trunc('month', (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS n, max(score) AS most FROM big GROUP BY 1")
+def bucket_month_max(spark, d):
+    """Count and greatest score by month in New York."""
+    spec = Spec(group_by=(Key("at", "month", "America/New_York"),), metrics=(Metric("count"), Metric("max", "score")), max_groups=1000)
+    return _agg(items_teams(spark, d), spec, start="at__val", n="n", most="score_max")
+
+
+@query(_TEAM + "SELECT team, active_kind, active, strftime(date_trunc('year', ts), '%Y-%m-%dT%H:%M:%SZ') AS year, count(*) AS n, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS first_at FROM big GROUP BY ALL")
+def agg_team_active_year(spark, d):
+    """Twenty teams by active and year: count and first instant."""
+    spec = Spec(group_by=(Key("team"), Key("active"), Key("at", "year")), metrics=(Metric("count"), Metric("min", "at")), max_groups=1000)
+    return _agg(items_teams(spark, d), spec, team="team__val", active_kind="active__kind", active="active__val", year="at__val", n="n", first_at="at_min")
+
+
+@query(_TEAM + "SELECT active_kind, active, count(*) AS n FROM big WHERE team = 'team-3' GROUP BY ALL")
+def agg_one_team(spark, d):
+    return _agg(items_teams(spark, d), Spec((_p("team", "string", "eq", "team-3"),), (Key("active"),)), active_kind="active__kind", active="active__val", n="n")
+
+
 @query("SELECT 0::BIGINT AS n, '0' AS total, 0::BIGINT AS numbers")
 def agg_ungrouped_empty(spark, d):
     return _agg(items(spark, d), Spec((_p("team", "string", "eq", "no such team"),), metrics=(Metric("count"), Metric("sum", "score"))), n="n", total="score_sum", numbers="score_values")
@@ -202,12 +236,17 @@ def agg_value_counters(spark, d):
 
 
 def _bucket_sql(relation, unit, zone, ts="ts"):
-    local = f"({ts} AT TIME ZONE 'UTC') AT TIME ZONE '{zone}'"
-    return f"SELECT strftime((date_trunc('{unit}', {local}) AT TIME ZONE '{zone}') AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS start, count(*) AS n FROM {relation} GROUP BY 1"
+    local = f"(ts AT TIME ZONE 'UTC') AT TIME ZONE '{zone}'"
+    # An hour's start has its members' own offset; a longer bucket's is the zone's at its start.
+    start = f"date_trunc('hour', {local}) - ({local} - ts)" if unit == "hour" else f"(date_trunc('{unit}', {local}) AT TIME ZONE '{zone}') AT TIME ZONE 'UTC'"
+    again = f"(start_ AT TIME ZONE 'UTC') AT TIME ZONE '{zone}'"
+    off = f"CAST(epoch({again}) - epoch(start_) AS BIGINT)"
+    shown = f"strftime({again}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN {off} < 0 THEN '-' ELSE '+' END || lpad(CAST(abs({off}) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(abs({off}) // 60 % 60 AS VARCHAR), 2, '0')"
+    return f"SELECT strftime(start_, '%Y-%m-%dT%H:%M:%SZ') AS start, {shown} AS local, n FROM (SELECT {start} AS start_, count(*) AS n FROM (SELECT {ts} AS ts FROM {relation}) GROUP BY 1)"
 
 
 def _bucketed(df, unit, zone):
-    return _agg(df, Spec(group_by=(Key("at", unit, zone),), max_groups=1000), start="at__val", n="n")
+    return _agg(df, Spec(group_by=(Key("at", unit, zone),), max_groups=1000), start="at__val", local="at__local", n="n")
 
 
 @query(_bucket_sql("events", "hour", "America/New_York"))

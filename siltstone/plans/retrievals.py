@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.canonical import key_column, unique_tuple
 from siltstone.operators.evidence import extract_text as extracted
-from siltstone.plans.inputs import shared_folder, table
+from siltstone.plans.inputs import scratch, table
 from siltstone.plans.registry import query
 from siltstone.retrieval import bundle, candidates, chunk, coverage, generations, requests, search
 from siltstone.sources import files
@@ -85,7 +83,7 @@ def _index(spark, d):
     """The written postings of the documents, a chunk each; they are made once for a session and a folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        folder = f"{shared_folder(spark)}/siltstone/postings-{uuid.uuid4().hex}"
+        folder = scratch(spark, "postings")
         candidates.write_index(_refs(spark, d).withColumn("content", F.col("text")), ["doc_id", *search.REF, "revision", "chunk_index"], folder)
         _indexes[key] = folder
     return candidates.read_index(spark, _indexes[key])

@@ -38,6 +38,20 @@ def delivery_state(failures: Column, delivered: Column) -> Column:
     return F.when(delivered, "delivered").when(failures >= DEAD_AFTER, "dead-letter").when(failures > 0, "degraded").otherwise("pending")
 
 
+def status(outbox: DataFrame, head: int) -> DataFrame:
+    """By delivery state (from failures, delivered) how many there are, the oldest `ts`, and the greatest lag behind the log's head."""
+    rows = outbox.withColumn("state", delivery_state(F.col("failures"), F.col("delivered")))
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("oldest"), F.max(F.lit(head) - F.col("position")).alias("lag"))
+
+
+def repaired(outbox: DataFrame, keys: list[str], retry: DataFrame, cancel: DataFrame) -> DataFrame:
+    """The outbox after an operator's retries, which start from no failures, and cancellations; what is delivered stays so."""
+    rows = outbox.join(retry.select(*keys).distinct().withColumn("_again", F.lit(True)), keys, "left").join(cancel.select(*keys).distinct().withColumn("_off", F.lit(True)), keys, "left")
+    failures = F.when(F.col("_again") & ~F.col("delivered"), 0).otherwise(F.col("failures"))
+    state = F.when(F.col("_off") & ~F.col("delivered"), "cancelled").otherwise(delivery_state(failures, F.col("delivered")))
+    return rows.withColumn("state", state).withColumn("failures", failures).drop("_again", "_off")
+
+
 def projected(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], trigger: dict | None = None):
     """Start writing each micro-batch's newest row per key to <folder>/batch=N; a batch run again overwrites itself."""
 

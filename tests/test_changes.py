@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evidence, history, mutate
+from siltstone.operators import evidence, history, mutate, projection
 from siltstone.streaming import feeds
 from siltstone.types import CollectionDefinition, Field
 
@@ -75,19 +75,59 @@ def test_as_of_is_the_live_state_then(spark):
     assert tuple(history.freshness(df, 400, 1).first()) == (400, 0, "exact") and history.freshness(df, 399, 1).first().freshness == "stale"
 
 
-def test_export_pages_hold_every_line_once(spark):
+def test_export_pages_hold_every_line_once(spark, tmp_path):
     rows = [(f"{i:04d}" if i % 2 else f'q"{i:04d}', i) for i in range(500)]
-    df = spark.createDataFrame(rows, "record_id string, revision long")
+    df = spark.createDataFrame(rows, "record_id string, revision long").repartition(7)
     lines = history.export_lines(df, F.concat(F.lit('{"v":"'), F.expr("repeat('x', cast(revision as int))"), F.lit('"}')))
-    pages = history.export_pages(lines, max_rows=50, max_bytes=4000, prefix=2).orderBy("first_id").collect()
+    out = f"file://{tmp_path}/pages"
+    history.export_pages(lines, f"file://{tmp_path}/parts", max_rows=50, max_bytes=4000).write.parquet(out)
+    pages = spark.read.parquet(out).orderBy("first_id").collect()
     text = "".join(p.body for p in pages)
-    assert [json.loads(x)["id"] for x in text.splitlines()] == sorted(k for k, _ in rows)
-    for p in pages:
+    ordered = sorted(k for k, _ in rows)
+    assert [json.loads(x)["id"] for x in text.splitlines()] == ordered
+    seen = 0
+    for i, p in enumerate(pages):
         assert p.rows <= 50 and p.bytes <= 4000 and p.sha256 == hashlib.sha256(p.body.encode()).hexdigest() and p.bytes == len(p.body.encode())
-    m = history.manifest(history.export_pages(lines, max_rows=50, max_bytes=4000, prefix=2)).first()
+        following = pages[i + 1].body.splitlines(keepends=True)[0] if i + 1 < len(pages) else None
+        seen += p.rows
+        # A page ends at a fiftieth row, or because the next line would not fit.
+        assert following is None or seen % 50 == 0 or p.bytes + len(following.encode()) > 4000
+    m = history.manifest(spark.read.parquet(out)).first()
     assert m.digest == hashlib.sha256("".join(p.sha256 for p in pages).encode()).hexdigest() and m.rows == 500
 
 
+def test_pages_as_of_join_up(spark):
+    rows, df = log(spark)
+    whole = {r.record_id: r.v for r in history.as_of(df, 300, ["v"]).collect()}
+    got, after, more = {}, "", True
+    while more:
+        page = history.as_of_page(df, 300, ["v"], after, limit=7, max_bytes=60, size=F.lit(10)).orderBy("position").collect()
+        assert 0 < len(page) <= 6 and [r.position for r in page] == list(range(1, len(page) + 1))
+        got |= {r.record_id: r.v for r in page}
+        after, more = page[-1].record_id, page[0].more
+    assert got == whole and list(got) == sorted(whole)
+    assert history.as_of_page(df, 300, ["v"], "", 5, 1, F.lit(10)).count() == 1
+
+
+def test_publication_goes_on_by_collection(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"c{min(rng.randrange(9), 3)}", rng.randrange(50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "collection_id string, committed_at long, event_id long").repartition(6)
+    got = {(r.collection_id, r.event_id): r.position for r in history.published(df, 10, f"file://{tmp_path}/p").collect()}
+    for c in {r[0] for r in rows}:
+        mine = sorted((t, i) for k, t, i in rows if k == c)
+        assert [got[c, i] for _, i in mine] == list(range(11, 11 + len(mine)))
+
+
+def test_drift_is_counted_and_sampled(spark):
+    rows = [(f"r{i:03d}", "number" if i % 3 else "null", float(i)) for i in range(300)]
+    expected = spark.createDataFrame(rows, "record_id string, a__kind string, a__val double")
+    actual = expected.filter("record_id <> 'r001'").withColumn("a__kind", F.when(F.col("record_id") == "r002", "null").otherwise(F.col("a__kind"))).withColumn("a__val", F.when(F.col("record_id") > "r100", -1.0).otherwise(F.col("a__val")))
+    actual = actual.unionByName(spark.createDataFrame([("extra", "number", 1.0)], actual.schema))
+    counts, sample = projection.reconciliation(projection.drift(expected, actual, ["a"]), spark.createDataFrame([("r200",)], "record_id string"))
+    assert {r.difference: r.n for r in counts.collect()} == {"missing": 1, "unexpected": 1, "kind": 1, "value": 198, "underivable": 1} and sample.count() == 100
+
+
 def test_claims_and_links(spark):
     claims = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "claim_id string")
     cites = spark.createDataFrame([("c1", 1), ("c1", 2), ("c2", 2), ("c2", 9)], "claim_id string, cited long")

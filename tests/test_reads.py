@@ -190,6 +190,32 @@ def test_buckets_against_zoneinfo(spark, zone):
             assert r[u] == int(start_of(t, u, zone).timestamp()), (zone, u, t)
 
 
+def test_labels_tell_seconds_and_years(spark):
+    instants = ["1880-05-01T05:00:00Z", "2024-07-01T04:00:00Z", "2024-01-01T00:00:00Z"]
+    df = spark.createDataFrame([(t,) for t in instants], "t string").select("t", F.to_timestamp("t").alias("ts"))
+    ny = {r.t: r.label for r in df.select("t", timebuckets.local_label(F.col("ts"), "America/New_York").alias("label")).collect()}
+    assert ny == {instants[0]: "1880-05-01T00:03:58-04:56:02", instants[1]: "2024-07-01T00:00:00-04:00", instants[2]: "2023-12-31T19:00:00-05:00"}
+    kolkata = df.select(timebuckets.local_label(F.col("ts"), "Asia/Kolkata").alias("x")).collect()[1].x
+    assert kolkata == "2024-07-01T09:30:00+05:30"
+    year = 365.2425 * 86400
+    far = spark.createDataFrame([(int(-1970 * year - 3e7 + 1),), (int(8031 * year),), (int(-1971.5 * year),)], "s long").select(timebuckets.label(F.timestamp_seconds("s")).alias("x"))
+    got = [r.x for r in far.collect()]
+    assert got[1].startswith("+010001-") or got[1].startswith("+010000-"), got
+    assert got[2].startswith("-000002-") or got[2].startswith("-000001-"), got
+
+
+def test_instants_are_compared_as_timestamps_where_they_are_exact(spark):
+    rows = [(f"r{i}", "date-time", f"2024-01-{i + 1:02d}T00:00:00Z") for i in range(9)] + [("n", "null", None)]
+    df = spark.createDataFrame(rows, "record_id string, at__kind string, at__val string").withColumn("at__ts", F.to_timestamp("at__val"))
+    p = [{"field": "at", "kind": "date-time", "operator": "gt", "value": "2024-01-04T00:00:00Z"}]
+    text, stamped = where(df.drop("at__ts"), p), where(df, p)
+    assert {r.record_id for r in text.collect()} == {r.record_id for r in stamped.collect()} == {"r4", "r5", "r6", "r7", "r8"}
+    assert "at__ts" in stamped._jdf.queryExecution().optimizedPlan().toString()
+    # A fraction finer than a microsecond is compared as text.
+    fine = [p[0] | {"value": "2024-01-04T00:00:00.0000001Z"}]
+    assert {r.record_id for r in where(df, fine).collect()} == {"r4", "r5", "r6", "r7", "r8"}
+
+
 def test_zones():
     assert timebuckets.resolve("GMT") == "Etc/UTC"
     for bad in ("CET", "EST", "Mars/Base", "../etc", ""):

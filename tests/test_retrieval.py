@@ -1,6 +1,7 @@
 """Chunks, candidates, fusion, bundles, classifier and relevance against plain versions."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.plans import retrievals
-from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours, requests
+from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours, requests, search
 from siltstone.types import EngineError
 
 
@@ -44,6 +45,96 @@ def test_lexical(spark, query, want):
     assert {r.id for r in candidates.lexical(index, ["id"], query).collect()} == want
 
 
+def plain_covers(text, alternatives):
+    """The least stretches that hold an alternative, by trying all."""
+    words = [w.lower() for w in re.findall(r"\w+", text)]
+    asked = {t for a in alternatives for t in a}
+    holds = lambda i, j: any(set(a) <= set(words[i : j + 1]) for a in alternatives)
+    covers = [(i, j) for i in range(len(words)) for j in range(i, len(words)) if holds(i, j) and not (i < j and (holds(i + 1, j) or holds(i, j - 1)))]
+    return sum(0.1 / (1 + sum(w not in asked for w in words[i : j + 1])) for i, j in covers)
+
+
+@pytest.mark.parametrize(("query", "alternatives"), [("cat dog", [["cat", "dog"]]), ("cat", [["cat"]]), ("cat or dog", [["cat"], ["dog"]]), ("a cat or dog", [["a", "cat"], ["dog"]])])
+def test_ranks_are_cover_densities(spark, query, alternatives, tmp_path):
+    rng = np.random.default_rng(7)
+    texts = {i: " ".join(rng.choice(["cat", "dog", "a", "x", "y", "z"], 12)) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "id long, content string")
+    candidates.write_index(df, ["id"], f"{tmp_path}/index")
+    got = {r.id: r.score for r in candidates.lexical(candidates.read_index(spark, f"{tmp_path}/index"), ["id"], query).collect()}
+    want = {i: plain_covers(t, alternatives) for i, t in texts.items() if any(set(a) <= set(t.split()) for a in alternatives)}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
+
+
+def test_words_have_one_form(spark):
+    text = "\ufb01ne \uff23\uff21\uff34 Stra\u00dfe"
+    df = spark.createDataFrame([(1, text), (2, None)], "id long, content string")
+    got = {r.id: r.w for r in df.select("id", candidates.words(F.col("content")).alias("w")).collect()}
+    assert got == {1: ["fine", "cat", "stra\u00dfe"], 2: None}
+    memo = {}
+    chunk.embed(text, 16, memo)
+    assert set(memo) == set(got[1])
+
+
+def test_search_end_to_end(spark):
+    rng = np.random.default_rng(11)
+    rows, vectors = [], []
+    for i in range(120):
+        kind, collection = ("claim" if i % 6 == 0 else "record"), f"c{i % 4}"
+        for c in range(1 + i % 3):
+            rows.append((collection, kind, f"r{i:03d}", 1 + i % 2, c, " ".join(rng.choice(["storm", "harbour", "x", "y", "z", "w"], 9))))
+            v = np.round(rng.normal(size=6), 2)
+            vectors.append((*rows[-1][:5], 1 + c % 2, v.tolist()))
+    chunks = spark.createDataFrame(rows, "collection_id string, kind string, ref_id string, revision int, chunk_index int, content string")
+    embedded = spark.createDataFrame(vectors, "collection_id string, kind string, ref_id string, revision int, chunk_index int, generation int, embedding array<double>")
+    refs = sorted({r[:4] for r in rows})
+    gone = {r[2] for r in refs if int(r[2][1:]) % 10 == 9}
+    authority = spark.createDataFrame([(*r, r[2] in gone) for r in refs], "collection_id string, kind string, ref_id string, revision int, tombstone boolean")
+    moved = {r[2] for r in refs if int(r[2][1:]) % 7 == 0}
+    now = spark.createDataFrame([(*r[:3], r[3] + (r[2] in moved), r[2] in gone or int(r[2][1:]) % 13 == 0) for r in refs], authority.schema)
+    readable = spark.createDataFrame([("c0",), ("c1",), ("c2",)], "collection_id string")
+    hidden_ids = {"r012", "r024"}
+    hidden = spark.createDataFrame([(x,) for x in hidden_ids], "ref_id string")
+    index = candidates.postings(chunks, [*search.REF, "revision", "chunk_index"])
+    wanted = np.array([1.0, -0.5, 0.2, 0.1, 0.0, 2.0])
+
+    able = {r[:3] for r in refs if r[2] not in gone and r[0] != "c3" and not (r[1] == "claim" and r[2] in hidden_ids)}
+    lexical, cosine = {}, {}
+    for *ref, _, _, text in rows:
+        if tuple(ref) in able and {"storm", "harbour"} <= set(text.split()):
+            lexical[tuple(ref)] = max(lexical.get(tuple(ref), 0), plain_covers(text, [["storm", "harbour"]]))
+    for *ref, _, _, generation, v in vectors:
+        if tuple(ref) in able and generation == 1:
+            cosine[tuple(ref)] = max(cosine.get(tuple(ref), -9), float(np.dot(v, wanted) / np.linalg.norm(v) / np.linalg.norm(wanted)))
+    for mode in search.MODES:
+        request = search.Request("storm harbour", tuple(wanted), 8, mode)
+        lists = {"lexical": lexical, "vector": cosine}
+        lists = {k: sorted(v, key=lambda r: (-round(v[r], 9), r))[:32] for k, v in lists.items() if mode in (k, "hybrid")}
+        ok = lambda r: r[2] not in moved and int(r[2][1:]) % 13
+        score = {}
+        for held in lists.values():
+            for rank, r in enumerate([r for r in held if ok(r)], 1):
+                score[r] = score.get(r, 0) + 1 / (60 + rank)
+        hits, checked = search.search(request, index, embedded, authority, readable, hidden, now)
+        got = [(r.collection_id, r.kind, r.ref_id) for r in hits.orderBy("rank").collect()]
+        assert len(got) == min(8, len(score)) and all(math.isclose(score[a], score[b]) or score[a] > score[b] for a, b in zip(got, got[1:], strict=False))
+        assert math.isclose(sum(score[r] for r in got), sum(sorted(score.values(), reverse=True)[:8]))
+        told = search.report(checked, request).first()
+        every = {r for held in lists.values() for r in held}
+        assert told.found == min(8, len(score)) and told.deleted + told.stale == sum(not ok(r) for r in every) and told.unauthorized == 0 and told.reasons == []
+    for bad in (search.Request("x", None), search.Request(None, (1.0,), mode="lexical"), search.Request("x", (0.0, 0.0)), search.Request("x", (float("nan"),)), search.Request("x", (1.0,), 0)):
+        with pytest.raises(EngineError):
+            search.search(bad, index, embedded, authority, readable)
+
+
+def test_short_results_say_why(spark):
+    rows = [("a", "record", "x", 1, 1, "lexical", "ok"), ("a", "record", "y", 1, 2, "lexical", "stale")]
+    checked = spark.createDataFrame(rows, "collection_id string, kind string, ref_id string, revision int, position int, list string, verdict string")
+    states = spark.createDataFrame([("pending",), ("current",)], "state string")
+    told = search.report(checked, search.Request("x", None, 5, "lexical"), states).first()
+    assert (told.found, told.stale, told.reasons) == (1, 1, ["rejected", "exhausted", "pending"])
+    assert candidates.underfill(60, 3, 200, 1, 200, ("unprojected",)) == ["rejected", "capped", "unprojected"]
+
+
 def test_lexical_needs_a_word(spark):
     with pytest.raises(EngineError):
         candidates.lexical(spark.createDataFrame([], "id long, term string, positions array<int>"), ["id"], '-x ""')
