@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.canonical import instant_text
 from siltstone.operators.projection import typed
+from siltstone.sources.scratch import scratch  # noqa: F401  (the plans' way to it)
 from siltstone.types import CollectionDefinition, Field
 
 ITEMS = CollectionDefinition("items", (Field("team", "string"), Field("score", "number", nullable=True), Field("active", "boolean"), Field("at", "date-time")))
@@ -20,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set, one of our own if all is on this machine, else an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared_folder(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-
-
 def _items(rows: DataFrame, n: Column, team: Column, score: Column, at: Column) -> DataFrame:
     team_kind, team_val = typed(team, "string")
     score_kind, score_val = typed(score, "number", null=n % 11 == 0)

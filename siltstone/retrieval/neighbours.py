@@ -8,22 +8,20 @@ bests of all parts are then merged. No query goes through the driver or a broadc
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import scratch
+
 QUERY_ROWS, VECTOR_ROWS, BATCH_ROWS = 512, 65_536, 4_096
 _NONE = -2.0  # the score of a pair that has none: a null or all-zero vector
 
 
 def _written(rows: DataFrame, at_most: int) -> str:
-    spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/siltstone/vectors-{uuid.uuid4().hex}"
+    path = scratch(rows.sparkSession, "vectors")
     rows.write.option("maxRecordsPerFile", at_most).parquet(path)
     return path
 
