@@ -11,7 +11,7 @@ bounded and every byte is parsed.
 
 The fingerprint of an empty or null text is empty; two empty ones are alike (1.0), an empty and another are
 not (0.0).  Rows that repeat a doc_id follow one another by their texts.  A null doc_id has no place in the
-order: the next text is empty.
+order: the next text is empty.  Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -154,15 +154,14 @@ def _walk(batches):
         yield flush()
 
 
-def _bucket(bounds: list[float]):
-    """Number of bounds at or below doc_id, by binary search."""
+def _bucketed(rows: DataFrame, bounds: list[float]) -> DataFrame:
+    """The rows with their `bucket`, the number of bounds at or below doc_id; the bounds are a task's data, not part of its plan."""
+    from pyspark.ml.feature import Bucketizer
+
     if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    array = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.aggregate(
-        F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.try_element_at(array, p + s) <= F.col("doc_id").cast("double")), p + s).otherwise(p)
-    )
+        return rows.withColumn("bucket", F.lit(0))
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_place", outputCol="_bucket")
+    return cut.transform(rows.withColumn("_place", F.col("doc_id").cast("double"))).withColumn("bucket", F.col("_bucket").cast("int")).drop("_place", "_bucket")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -176,13 +175,13 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 4 * parts
     bounds = sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)))
-    bucket = _bucket(bounds)
     # One row per id range: as many as the job has partitions, times four.
-    tops = sorted(tuple(r) for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("doc_id")).collect())
+    tops = sorted(tuple(r) for r in _bucketed(ids, bounds).groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect())
     heads = [(tops[k][1], tops[(k + 1) % len(tops)][0]) for k in range(len(tops))]
-    own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket).alias("bucket"), F.lit(0).alias("is_head"))
+    known, none = docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+    own = _bucketed(known, bounds).unionByName(none.withColumn("bucket", F.lit(-1))).withColumn("is_head", F.lit(0))
     if heads:
         first = F.broadcast(spark.createDataFrame(heads, "doc_id long, bucket int"))
-        own = own.unionByName(docs.filter(F.col("doc_id").isin([h[0] for h in heads])).join(first, "doc_id").select("doc_id", "text", "bucket", F.lit(1).alias("is_head")))
+        own = own.unionByName(known.join(first, "doc_id").select("doc_id", "text", "bucket", F.lit(1).alias("is_head")))
     dealt = own.repartition(parts, "bucket").sortWithinPartitions("bucket", "is_head", F.desc("doc_id"), "text")
     return batched(dealt).mapInArrow(_walk, SCHEMA)

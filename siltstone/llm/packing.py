@@ -9,7 +9,9 @@ time.  A packed row has its ids, little-endian in the narrowest of two or four b
 at 0 (each segment's start, and the padding's).
 
 No id is dropped: `unpacked` gives every document's ids back.  Null and empty texts have no segments.  Rows
-that repeat a doc_id are told apart by a hash of the text; equal rows unpack as one.
+that repeat a doc_id are told apart by a hash of the text; equal rows unpack as one.  A document whose doc_id is null
+is packed like others, its id null in `doc_ids`.  Segments of equal length go by id, hash and part.  Texts longer than
+`length` ids are split; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -186,6 +188,12 @@ def packed(documents: DataFrame, ranks: str = RANKS, length: int = LENGTH, shard
     return dealt.groupBy("shard").applyInArrow(_pack(length, width, pad), SCHEMA)
 
 
+def waste(rows: DataFrame, length: int = LENGTH) -> float:
+    """The share of the matrices that is padding."""
+    told = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens")).first()
+    return 1 - told.tokens / (told["rows"] * length) if told["rows"] else 0.0
+
+
 def unpacked(rows: DataFrame, wide: bool = False) -> DataFrame:
     """(doc_id, tag, ids) of every document, from its packed rows."""
     unit = 4 if wide else 2

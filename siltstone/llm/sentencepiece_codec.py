@@ -4,15 +4,16 @@ The pieces of a model and their scores are read as a unigram lattice: a text is
 scores add up to the most, ties going, at every end, to the longest last piece, which is the library's rule.
 A character that no piece covers costs the least score less 10 and is spelt in byte pieces.
 
-A run of texts is cut into its distinct chunks (between two bytes that stand together in no piece), and chunks of equal length advance together: hashes of all their substrings probe the sorted hashes of
-the pieces, and a maximum over the last piece's length gives each position's score and back-pointer for all
-of them at once.
+A run of texts is cut into its distinct chunks (between two bytes that stand together in no piece), and chunks of
+equal length advance together: hashes of all their substrings probe the sorted hashes of the pieces, and a maximum
+over the last piece's length gives each position's score and back-pointer for all of them at once.
 
 The model type decides how the library itself would encode: a unigram model gives the ids below, a BPE model
 merges by rank and may cut some words otherwise.  Decoding is the same for both, and exact: a text comes back
 whole unless it holds the piece mark U+2581 itself, which reads as a space.
 
-A null or empty text has no ids; no ids decode to an empty text, null ids to null.
+A null or empty text has no ids; no ids decode to an empty text, null ids to null.  A text of any length is
+encoded whole, rows that repeat each by themselves; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

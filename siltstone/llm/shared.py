@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is set, one of our own if all is on this machine, else an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from siltstone.sources.scratch import scratch, shared_folder  # noqa: F401
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

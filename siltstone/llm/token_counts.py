@@ -6,7 +6,8 @@ last piece as in the encoder; a character that no piece covers counts as many by
 (one, with a vocabulary that has no byte pieces).  Every distinct chunk of a run of texts is counted once,
 and a bounded memo carries counts from run to run.
 
-Null and empty texts count 0.
+Null and empty texts count 0.  A text of any length is counted whole, rows that repeat each by themselves, and
+columns other than doc_id and text are not read, whatever their names.  An empty table has no counts.
 """
 
 from __future__ import annotations

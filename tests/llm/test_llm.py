@@ -365,7 +365,16 @@ def test_packing_is_lossless(spark, tmp_path):
     matrix = np.fromfile(tmp_path / "m" / f"{one.shard:06d}.ids.bin", one.dtype).reshape(one.n_rows, one.length)
     first = rows.filter(F.col("shard") == one.shard).orderBy("row").first()
     assert matrix[0].tobytes() == bytes(first.ids)
-    assert packing.packed(empty(spark)).count() == 0
+    assert packing.packed(empty(spark)).count() == 0 and packing.waste(packing.packed(empty(spark))) == 0
+    none = packing.packed(spark.createDataFrame([(None, "no id here"), (None, "no id here")], "doc_id long, text string"), length=64)
+    assert none.count() == 1 and none.first().doc_ids == [None, None]
+
+
+def test_a_shard_costs_no_more_than_a_row(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, many = (packing.packed(df, shard_bytes=b).select("shard", "n_tokens").cache() for b in (1 << 40, 300_000))
+    print(f"padding: one run {packing.waste(one):.4%}, {many.select('shard').distinct().count()} shards {packing.waste(many):.4%}")
+    assert one.count() <= many.count() <= one.count() + many.select("shard").distinct().count()
 
 
 # -- 4, 6 ------------------------------------------------------------------------------------------------
@@ -407,6 +416,9 @@ def test_encoding_against_plain_viterbi_and_back(spark):
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate([None, "", *texts]))
     nothing = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in sentencepiece_codec.decoded(nothing).collect()} == {1: None, 2: ""}
+    long = documents(spark, [" ".join(ODD[:3] * 40_000)]).unionByName(documents(spark, ["twice"]))
+    for r in sentencepiece_codec.encoded(long).collect():
+        assert r.round_trip and {x.doc_id: x.n_tokens for x in token_counts.token_counts(long.filter(F.length("text") != 5)).collect()}[r.doc_id] == r.n_tokens or r.n_tokens < 9
     assert sentencepiece_codec.encoded(empty(spark)).count() == token_counts.token_counts(empty(spark)).count() == 0
 
 
@@ -448,6 +460,9 @@ def test_archives_round_trip(spark, tmp_path):
             record = zlib.decompress(data[e["offset"] : e["offset"] + e["length"]], 31)
             assert record.startswith(b"WARC/1.1\r\n") and warc.record_id(record) == e["record_id"]
         assert data == b"".join(data[e["offset"] : e["offset"] + e["length"]] for e in map(json.loads, side.read_text().splitlines()))
+    more = df.selectExpr("*", "1 AS maybe", "'x' AS sha", "'y' AS chief", "0 AS payload_bytes", "'z' AS record_type")
+    again = warc.archived(more, f"file://{tmp_path}/x", roll=1000).collect()
+    assert sorted((str(r.page_id), r.payload_digest, r.payload_bytes, r.record_type) for r in again) == sorted((str(r.page_id), r.payload_digest, r.payload_bytes, r.record_type) for r in got.values())
     none = warc.archived(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert none.count() == 0
 
@@ -481,6 +496,9 @@ def test_url_rules_and_list(spark):
     assert got[3] == ("example.com", "/de/", "com/", "allow") and got[4] == ("example.com", "", None, "allow") and got[5] == got[7] == ("", "", None, "allow") and got[6] == ("b.net", "/es/1", "net/es/", "block")
     assert got[8][2:] == got[9][2:] == (None, "block") and got[10] == ("É.net", "/fr/", "net/fr/", "block") and got[11][2] == "net/fr/" and got[12][2] == "www.example.com/en/"
     assert got[13] == ("q.org", "/a", None, "allow") and got[14] == ("", "", None, "allow") and got[15] == ("planet", "/fr/", None, "allow")
+    # Rows that repeat are judged each; other columns are not in the way.
+    twice = pages.unionByName(pages).selectExpr("*", "'x' AS host", "1 AS maybe", "'y' AS verdict", "null AS canonical", "2 AS hit")
+    assert sorted((r.page_id, r.verdict) for r in url_filter.filtered(twice, listed).collect()) == sorted([(i, x[3]) for i, x in got.items()] * 2)
     assert url_filter.filtered(pages.limit(0), listed).count() == 0 and url_filter.filtered(pages, listed.limit(0)).filter("rule IS NULL AND verdict = 'block'").count() == 0
 
 
