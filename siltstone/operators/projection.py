@@ -19,20 +19,20 @@ from siltstone.types import CollectionDefinition, EngineError, Field
 _JSON_TYPE = {"string": "string", "number": "double", "boolean": "boolean", "date-time": "string"}
 
 
-def _path(name: str) -> str:
+def field_path(name: str) -> str:
     return "$[" + json.dumps(name).replace("'", "\\'") + "]" if not name.isidentifier() else f"$.{name}"
 
 
 def field_columns(document: Column, f: Field) -> list[Column]:
     """Kind and value of a declared field of a VARIANT document; another type than declared has kind 'other'."""
-    got = F.try_variant_get(document, _path(f.name), "variant")
+    got = F.try_variant_get(document, field_path(f.name), "variant")
     shape = F.schema_of_variant(got)
     fits = {
         "string": shape == "STRING", "date-time": shape == "STRING", "boolean": shape == "BOOLEAN",
         "number": shape.startswith("BIGINT") | shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"),
     }[f.kind]
     kind = F.when(got.isNull(), "missing").when(F.is_variant_null(got), "null").when(fits, f.kind).otherwise("other")
-    value = F.try_variant_get(document, _path(f.name), _JSON_TYPE[f.kind])
+    value = F.try_variant_get(document, field_path(f.name), _JSON_TYPE[f.kind])
     return [kind.alias(f"{f.name}__kind"), F.when(fits, value).alias(f"{f.name}__val")]
 
 

@@ -53,6 +53,27 @@ def embed_feature_hash(spark, d):
     return chunk.embedded(docs).select("doc_id", "content_sha256", "embedding")
 
 
+@query("""
+SELECT 'd' || doc_id AS ref_id, lang AS collection_id, 0::INTEGER AS position, 'source' AS field, source AS text FROM documents WHERE lang IN ('en', 'de')
+UNION ALL SELECT 'd' || doc_id, lang, 1, 'text', text FROM documents WHERE lang = 'en' AND doc_id % 5 <> 0""")
+def configured_content(spark, d):
+    """What two collections' policies index of their documents: fields in order, strings only."""
+    docs = table(spark, d, "documents")
+    text = F.when(F.col("doc_id") % 5 != 0, F.col("text"))
+    data = F.to_json(F.struct("source", "doc_id", text.alias("text")), {"ignoreNullFields": "false"})
+    records = docs.select(F.concat(F.lit("d"), "doc_id").alias("ref_id"), F.col("lang").alias("collection_id"), data.alias("canonical_data"))
+    return chunk.configured(records, {"en": ["source", "text", "doc_id"], "de": ["source"]})
+
+
+@query("SELECT sha256(text) AS content_sha256, bool_or(doc_id % 2 = 0) AS known, CAST(max(CASE WHEN doc_id % 2 = 0 THEN doc_id END) AS DOUBLE) AS was FROM documents GROUP BY 1")
+def embedding_reuse(spark, d):
+    """Contents whose vectors are there from before, the latest of each digest, and those still to be embedded."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_sha256"))
+    before = [docs.filter(f"doc_id % 4 = {k}").select("content_sha256", F.array(F.col("doc_id").cast("float")).alias("embedding"), F.col("doc_id").alias("at")) for k in (0, 2)]
+    known = chunk.reusable(*before)
+    return docs.select("content_sha256").distinct().join(known, "content_sha256", "left").select("content_sha256", F.col("embedding").isNotNull().alias("known"), F.element_at("embedding", 1).cast("double").alias("was"))
+
+
 _COS = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])) * list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[])))"
 
 

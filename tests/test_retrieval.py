@@ -36,6 +36,48 @@ def test_embedding(spark):
     assert got[1] == got[2] and len(got[1]) == 16
 
 
+def test_providers_are_checked_and_tried_again():
+    waits, calls = [], []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) < 3:
+            raise chunk.Outage
+        return [[1.0, 0.0]] * len(texts)
+
+    assert chunk.provided(flaky, ["a", "b"], 2, waits.append).tolist() == [[1, 0], [1, 0]] and waits == [0.25, 1.0]
+
+    def down(texts):
+        raise chunk.Outage
+
+    for bad in (down, lambda t: [[0.0, 0.0]], lambda t: [[1.0]], lambda t: [[1.0, float("inf")]]):
+        with pytest.raises(EngineError):
+            chunk.provided(bad, ["a"], 2, waits.append)
+
+
+def test_embeddings_are_reused_and_batched(spark):
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "id long, content string")
+    known = chunk.embedded(df.filter("id < 3"), dimensions=4).select("content_sha256", F.array(*[F.lit(9.0)] * 4).alias("embedding"))
+
+    def provider(texts):
+        if len(texts) > 2:
+            raise ValueError("too many at once")
+        return [[float(len(t)), 1.0, 0.0, 0.0] for t in texts]
+
+    got = {r.id: r.embedding for r in chunk.embedded(df, dimensions=4, embed_batch=provider, max_batch=2, known=known).collect()}
+    assert len(got) == 40 and all(got[i] == ([9.0] * 4 if i % 7 < 3 else [6.0, 1.0, 0.0, 0.0]) for i in got)
+    rows = spark.createDataFrame([("r", 1, 0, "x"), ("r", 1, 1, "y")], "ref_id string, revision int, chunk_index int, content_sha256 string")
+    assert {r.chunk_index: r.done for r in chunk.checkpointed(rows, rows.filter("chunk_index = 1")).collect()} == {0: False, 1: True}
+
+
+def test_what_is_indexed(spark):
+    records = spark.createDataFrame([("r1", "c", '{"b":"two","a":"one","n":3}'), ("r2", "c", '{"a":null}'), ("r3", "other", '{"a":"x"}'), ("r4", "c", "no json")], "ref_id string, collection_id string, canonical_data string")
+    sources = spark.createDataFrame([("s", "c", "body"), ("t", "c", None)], "ref_id string, collection_id string, content string")
+    claims = spark.createDataFrame([("k", "c", "said")], "ref_id string, collection_id string, statement string")
+    got = sorted((r.kind, r.ref_id, r.position, r.field, r.text) for r in chunk.indexed(records, sources, claims, {"c": ["a", "n", "b"]}).collect())
+    assert got == [("claim", "k", 0, "statement", "said"), ("record", "r1", 0, "a", "one"), ("record", "r1", 2, "b", "two"), ("source", "s", 0, "content", "body")]
+
+
 DOCS = {1: "the cat sat on the mat", 2: "a cat and a dog", 3: "the dog sat", 4: "Cat. Dog? the-end", 5: ""}
 
 
