@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import exact
+from siltstone.operators import records
 from siltstone.operators.aggregate import Key, Metric, Spec, aggregated
 from siltstone.operators.pages import Sort, page
 from siltstone.operators.predicates import count_records, exists_record, where
@@ -22,20 +23,25 @@ def _p(field, kind, operator, value=None):
 
 @query(_I + "SELECT record_id, team, score FROM items WHERE team <> 'error'")
 def scan_live(spark, d):
-    return items(spark, d).filter("team__val <> 'error'").select("record_id", F.col("team__val").alias("team"), F.col("score__val").alias("score"))
+    return records.live(_records(spark, d), 1, "items").select("record_id", F.col("team__val").alias("team"), F.col("score__val").alias("score"))
+
+
+def _records(spark, d):
+    """Items as records of one collection; errors are deleted ones."""
+    return items(spark, d).withColumn("space_id", F.lit(1)).withColumn("collection_id", F.lit("items")).withColumn("tombstone", F.col("team__val") == "error")
 
 
 @query(_I + "SELECT record_id, team, score, score_kind FROM items WHERE record_id = 'rec_00000077'")
 def point_get(spark, d):
-    return items(spark, d).filter("n = 77").select("record_id", F.col("team__val").alias("team"), F.col("score__val").alias("score"), F.col("score__kind").alias("score_kind"))
+    found = records.get(_records(spark, d), "rec_00000077", include_tombstone=True)
+    return found.select("record_id", F.col("team__val").alias("team"), F.col("score__val").alias("score"), F.col("score__kind").alias("score_kind"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE nfc_normalize(trim(c_name)) = 'Customer#000000042'")
 def get_by_key(spark, d):
-    from siltstone.functions.canonical import key_column, normal_key
-
-    wanted = normal_key("  Customer#000000042\u3000")
-    return table(spark, d, "customer").filter(key_column(F.col("c_name")) == wanted).select("c_custkey", "c_name", "c_acctbal")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("external_key"), F.lit(False).alias("tombstone"), "c_acctbal")
+    found = records.by_key(rows, "external", "  Customer#000000042\u3000")
+    return found.select(F.col("record_id").alias("c_custkey"), F.col("external_key").alias("c_name"), "c_acctbal")
 
 
 def _filtered(spark, d, predicates):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import timebuckets
+from siltstone.operators import records
 from siltstone.operators.aggregate import Key, Metric, Spec, aggregated, evaluate
 from siltstone.operators.pages import Cursors, Sort, page
 from siltstone.operators.predicates import admit, condition, where
@@ -240,3 +241,24 @@ def test_partial_order_does_not_matter(edges):
     spec = Spec(group_by=(Key("active"), Key("at", "month", "UTC")), metrics=(Metric("count"), Metric("max", "score")))
     a = [tuple(r) for r in aggregated(edges, spec, DEF).collect()]
     assert a == [tuple(r) for r in aggregated(edges.repartition(7), spec, DEF).collect()]
+
+
+def test_records_by_id_and_key(spark):
+    rows = [(1, "c", "a", "g1", "Caf\u00e9", False), (1, "c", "b", "g2", "  x\u2003", False), (1, "c", "d", "g3", "x", True), (2, "c", "e", "g4", None, False), (1, "k", "f", "g5", "y", False), (1, "k", "h", "g6", "y ", False)]
+    df = spark.createDataFrame(rows, "space_id int, collection_id string, record_id string, generated_key string, external_key string, tombstone boolean")
+    ids = lambda found: sorted(r.record_id for r in found.collect())
+    assert ids(records.live(df, 1, "c")) == ["a", "b"] and ids(records.get(df, "d")) == [] and ids(records.get(df, "d", True)) == ["d"]
+    assert ids(records.by_key(df, "external", "Cafe\u0301 ")) == ["a"] and ids(records.by_key(df, "external", "x")) == ["b"] and ids(records.by_key(df, "generated", "g4")) == ["e"] and ids(records.by_key(df, "generated", "g3")) == []
+    with pytest.raises(EngineError):
+        records.by_key(df, "external", "y")
+    assert records.viewed(df, "id").columns == ["record_id"]
+    for bad in (lambda: records.by_key(df, "other", "x"), lambda: records.viewed(df, "all")):
+        with pytest.raises(EngineError):
+            bad()
+
+
+def test_an_incomplete_projection_answers_nothing(spark):
+    df = project(spark.createDataFrame([("a", '{"team":"red"}'), ("b", '{"team":3}')], "record_id string, canonical_data string"), DEF)
+    with pytest.raises(EngineError):
+        evaluate(df, Spec(group_by=(Key("team"),)), DEF)
+    assert evaluate(df, Spec(group_by=(Key("active"),)), DEF)["groups"][0]["count"] == 2
