@@ -134,7 +134,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     scratch, step = Scratch(edges.sparkSession, "components"), 0
     links = scratch.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links0")
-    before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
@@ -144,9 +143,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         links = scratch.written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"links{step + 1}")
         scratch.drop(f"links{step}")
         step += 1
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        # Done when all are stars: no node has two centres, and no centre has one itself.
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("under"), F.lit(0).alias("over")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("under"), F.lit(1).alias("over")))
+        if ends.groupBy("node").agg(F.sum("under").alias("under"), F.max("over").alias("over")).filter("under > 1 OR under > 0 AND over > 0").isEmpty():
             break
-        before = tuple(now)
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return roots.unionByName(links.select(F.col("a").alias("node"), F.col("b").alias("component")))
