@@ -54,6 +54,21 @@ def canonical_json(value) -> str:
     raise EngineError("INVALID_ARGUMENT", f"{type(value).__name__} is not JSON")
 
 
+@F.pandas_udf(T.StringType())
+def canonical_column(texts):
+    """The canonical form of a column of JSON texts; null where one is no JSON or holds what has no such form."""
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return canonical_json(json.loads(text))
+        except (ValueError, EngineError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
 def normal_key(text: str) -> str:
     return unicodedata.normalize("NFC", text).strip(WHITE_SPACE)
 

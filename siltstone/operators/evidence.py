@@ -21,6 +21,15 @@ def current_claims(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("claim_id").agg(F.max("revision").alias("revision"), F.max_by(F.struct(*others), "revision").alias("x")).select("claim_id", "revision", "x.*")
 
 
+def reviewed(claims: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Current claims with the `status` of the last review of that very revision; a new revision starts unreviewed.
+
+    reviews: claim_id, revision, status, reviewed_at.
+    """
+    last = reviews.groupBy("claim_id", "revision").agg(F.max_by("status", "reviewed_at").alias("status"))
+    return claims.join(last, ["claim_id", "revision"], "left").withColumn("status", F.coalesce("status", F.lit("unreviewed")))
+
+
 def hidden_claims(evidence: DataFrame, readable_: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Claims of which some revision cites a collection that cannot be read, or, given the live ones, is not live."""
     seen = readable_.select("collection_id")

@@ -412,3 +412,17 @@ def outbox_lag(spark, d):
     """Counts, the oldest and the greatest distance to the log's head by delivery state."""
     rows = table(spark, d, "events").select((F.col("event_id") % 10).alias("failures"), (F.col("event_id") % 17 == 0).alias("delivered"), "ts", F.col("event_id").alias("position"))
     return feeds.status(rows, 10_001).select("state", "n", F.date_format("oldest", "yyyy-MM-dd HH:mm:ss").alias("oldest"), "lag")
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS claim_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision, o_orderpriority FROM orders)
+SELECT claim_id, revision, CASE WHEN o_orderkey % 3 = 0 THEN 'unreviewed' ELSE o_orderpriority END AS status FROM r QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1""")
+def claims_reviewed(spark, d):
+    """Customers as claims, their orders as revisions: the status of the last review of the current revision, of two."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    revisions = table(spark, d, "orders").select(F.col("o_custkey").alias("claim_id"), F.row_number().over(by).cast("long").alias("revision"), "o_orderkey", "o_orderpriority")
+    seen = revisions.filter("o_orderkey % 3 <> 0")
+    reviews = seen.select("claim_id", "revision", F.lit("old").alias("status"), F.lit(1).alias("reviewed_at")).unionByName(seen.select("claim_id", "revision", F.col("o_orderpriority").alias("status"), F.lit(2).alias("reviewed_at")))
+    return evidence.reviewed(evidence.current_claims(revisions), reviews).select("claim_id", "revision", "status")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.canonical import key_column, unique_tuple
+from siltstone.functions.canonical import canonical_column, key_column, unique_tuple
 from siltstone.operators.evidence import extract_text as extracted
 from siltstone.plans.inputs import scratch, table
 from siltstone.plans.registry import query
@@ -287,3 +287,19 @@ def projection_state(spark, d):
     failed = (F.col("doc_id") % 7 == 0) & (F.col("lang") != "es")
     outbox = docs.filter("doc_id % 50 <> 0").select("doc_id", failed.cast("int").alias("failures"), (F.col("doc_id") % 3 != 0).alias("delivered"))
     return coverage.projection_state(docs.select("doc_id", F.col("lang").alias("collection_id")), outbox, ["doc_id"])
+
+
+@query("""SELECT event_id, sha256('{"a":[1,null,true],"event":"' || event_type || '","n":' || event_id || '}') AS digest FROM events""")
+def canonical_json_digest(spark, d):
+    """Digests of canonical JSON, from texts whose keys and numbers are written otherwise."""
+    text = F.concat(F.lit('{ "n" : '), "event_id", F.lit('.0, "event":"'), "event_type", F.lit('",\n"a":[1e0, null,true] }'))
+    return table(spark, d, "events").select("event_id", F.sha2(canonical_column(text), 256).alias("digest"))
+
+
+@query("SELECT r_name, array_to_string(list_sort(list(n_name) FILTER (n_nationkey % 3 = 0)), ',') AS missing FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name HAVING bool_or(n_nationkey % 3 = 0)")
+def dependencies_unmet(spark, d):
+    """Regions that need all their nations and have those whose key is not divisible by three."""
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    needs = n.groupBy("r_name").agg(F.collect_list("n_name").alias("needed"))
+    has = n.filter("n_nationkey % 3 <> 0").groupBy("r_name").agg(F.collect_list("n_name").alias("held"))
+    return generations.unmet(needs, has, "r_name").select("r_name", F.array_join("missing", ",").alias("missing"))

@@ -42,3 +42,9 @@ def mismatches(projected: DataFrame, authority: DataFrame, key: str, columns: li
     p = projected.select(key, F.struct(*columns).alias("p"))
     both = a.join(p, key, "full").filter(~F.col("a").eqNullSafe(F.col("p")))
     return both.select(key, F.when(F.col("p").isNull(), "absent").when(F.col("a").isNull(), "extra").otherwise("differs").alias("difference"))
+
+
+def unmet(needs: DataFrame, has: DataFrame, key: str) -> DataFrame:
+    """(key, missing) of what needs (key, needed: an array) more than it has (key, held: an array)."""
+    both = needs.join(has, key, "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    return both.select(key, F.array_sort(F.array_except("needed", "held")).alias("missing")).filter("size(missing) > 0")
