@@ -247,6 +247,23 @@ def test_join_against_brute_force(spark):
     assert kept == {i for i in got if comps[i] == i}
 
 
+def test_recall_of_a_twentieth_against_all_rows(spark):
+    """Links of every document whose id is divisible by 20 with all others, by an inverted index in plain Python."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets, held = {r.doc_id: shingle_set(r.text) for r in rows}, collections.defaultdict(list)
+    for i, grams in sets.items():
+        for g in grams:
+            held[g].append(i)
+    links = set()
+    for q in (i for i in sets if i % 20 == 0):
+        shared = collections.Counter(j for g in sets[q] for j in held[g] if j != q)
+        links |= {(q, j) for j, c in shared.items() if 100 * c >= 75 * (len(sets[q]) + len(sets[j]) - c)}
+    part = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    found = sum(part[a] == part[b] for a, b in links)
+    print(f"recall {found / len(links):.4f} of {len(links)} links")
+    assert links and found == len(links)
+
+
 def test_join_of_odd_tables(spark):
     assert ngram_join.ngram_components(empty(spark)).count() == 0
     rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (2, "x y"), (2, "a b c d e")]
