@@ -426,3 +426,17 @@ def claims_reviewed(spark, d):
     seen = revisions.filter("o_orderkey % 3 <> 0")
     reviews = seen.select("claim_id", "revision", F.lit("old").alias("status"), F.lit(1).alias("reviewed_at")).unionByName(seen.select("claim_id", "revision", F.col("o_orderpriority").alias("status"), F.lit(2).alias("reviewed_at")))
     return evidence.reviewed(evidence.current_claims(revisions), reviews).select("claim_id", "revision", "status")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 2, 3) THEN 'SCHEMA_INVALID' ELSE 'ok' END AS outcome FROM events""")
+def schema_checks(spark, d):
+    """A record per event, created under a definition: text for a number, a required field missing, a value that is not listed, a field not declared."""
+    definition = CollectionDefinition("checked", (Field("v", "number", required=True), Field("kind", "string", enum=("click", "error", "purchase", "signup", "view"))))
+    n, kind = F.col("event_id") % 10, F.concat(F.lit(',"kind":"'), "event_type", F.lit('"}'))
+    v = F.concat(F.lit('{"v":'), "event_id")
+    data = (
+        F.when(n == 0, F.concat(F.lit('{"v":"x"'), kind)).when(n == 1, F.concat(F.lit('{"kind":"'), "event_type", F.lit('"}'))).when(n == 2, F.concat(v, F.lit(',"kind":"other"}'))).when(n == 3, F.concat(v, F.lit(',"more":1}'))).otherwise(F.concat(v, kind))
+    )
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("record_id"), F.lit(1).alias("ordinal"), F.lit("create").alias("operation"), data.alias("data"))
+    return mutate.fold(rows, definition).select(F.col("record_id").cast("long").alias("event_id"), "outcome")

@@ -166,6 +166,18 @@ def search_hybrid(spark, d):
     return _searched(spark, d)[0].select(F.col("rank").cast("long").alias("rank"), "ref_id", F.round("score", 9).alias("score"))
 
 
+@query(_HYBRID + """,
+hit AS (SELECT doc_id, lang, sum(1.0::DOUBLE / (60 + position)) AS score, min(position) AS best, min(CASE WHEN position = m THEN list END) AS first_list, bool_or(list = 0) AS lex, bool_or(list = 1) AS vec
+  FROM (SELECT *, min(position) OVER (PARTITION BY doc_id) AS m FROM again) JOIN documents USING (doc_id) GROUP BY ALL ORDER BY round(score, 12) DESC, best, first_list, doc_id LIMIT 10)
+SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS ref_id, substr(text, 11, 40) AS text, CASE WHEN lex AND vec THEN '0,1' WHEN lex THEN '0' ELSE '1' END AS matched_by FROM hit JOIN documents USING (doc_id)""")
+def search_citations(spark, d):
+    """The hits of search_hybrid with their citations, here the 40 characters that follow the tenth, and the lists that had them."""
+    refs = _refs(spark, d)
+    spans = refs.select(*search.REF, "chunk_index", F.lit(10).alias("start"), F.lit(50).alias("end"))
+    out = search.cited(_searched(spark, d)[0], spans, refs.select(*search.REF, F.lit("text").alias("field"), "text"))
+    return out.select("ref_id", "text", F.array_join(F.transform("matched_by", lambda x: x.cast("string")), ",").alias("matched_by"))
+
+
 @query(_HYBRID + """
 SELECT CAST(least(10, count(*) FILTER (verdict = 'ok')) AS BIGINT) AS found, count(*) FILTER (verdict = 'deleted') AS deleted, count(*) FILTER (verdict = 'stale') AS stale, 0::BIGINT AS unauthorized
 FROM (SELECT DISTINCT doc_id, verdict FROM told)""")

@@ -128,6 +128,18 @@ def hits(checked: DataFrame, limit: int) -> DataFrame:
     return _fused(left, limit).select("rank", *REF, "revision", "chunk_index", "score", "matched_by")
 
 
+def cited(found: DataFrame, spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """One citation per hit: its chunk's start and end, and that very stretch of the text that the authority has now.
+
+    spans: REF, chunk_index, start, end; texts: REF, field, text. Only the hits' chunks and texts are read further.
+    """
+    few = F.broadcast(found.select("rank", *REF, "chunk_index", "matched_by"))
+    placed = spans.join(few, [*REF, "chunk_index"])
+    whole = texts.join(F.broadcast(found.select(*REF)), REF, "left_semi")
+    part = F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    return placed.join(whole, REF).select("rank", *REF, "field", "start", "end", part.alias("text"), "matched_by")
+
+
 def report(checked: DataFrame, request: Request, states: DataFrame | None = None) -> DataFrame:
     """One row: refs fetched, found and rejected by cause, and the reasons of an underfilled result.
 
