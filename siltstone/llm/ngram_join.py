@@ -10,7 +10,9 @@ shingles are cut as finely as can be: every shingle is a part.
 
 Candidate pairs are formed on these signatures, and verified on whole shingle sets:
 
-1. Signatures that occur once vanish, and so do sets that share fewer than linked sets must.
+1. Signatures that occur once vanish, and so do sets that share fewer than linked sets must.  To see which occur
+   again, a signature's rows meet in one task; those of signatures that very many sets have (`CROWD` or more of a
+   sample of about `SAMPLE`) do not, as it is known of them.  What the sample shows changes the way, not the result.
 2. Every set is compared with the least set of each of its groups (the sets that share a signature).
 3. Groups that still hold several components are compared across them, pair by pair, where they have at most
    `GROUP` sets.
@@ -33,6 +35,8 @@ whatever their names.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,6 +50,8 @@ WORDS = 5
 PERCENT = 75
 #: Sets of a group that are compared pair by pair.
 GROUP = 8
+#: Sets of the sample in which crowded signatures are looked for, and how many of them make one.
+SAMPLE, CROWD = 8192, 16
 _SMALL = 64
 #: Least sizes of the bands.
 _EDGES = np.array([_SMALL << i for i in range(40)])
@@ -120,7 +126,8 @@ def _subsets(vals, at, rows, band):
     return np.concatenate(found), rows[np.concatenate(owner)]
 
 
-def _signatures(batches):
+def _signatures(crowded: np.ndarray, wanted: bool, batches):
+    """The texts' signatures that are among the crowded ones (ascending), or those that are not."""
     for rows, buf, offs in K.blocks(batches):
         vals, at = K.shingles(buf, offs, WORDS)
         n = np.diff(at)
@@ -134,6 +141,9 @@ def _signatures(batches):
                 sig, text = made(vals, at, texts[some], band[some])
                 # The lowest bit tells neighbouring bands apart.
                 sig = (sig & ~K.U(1)) | ((own[text] - low) & 1).astype(K.U)
+                place = np.minimum(np.searchsorted(crowded, sig), max(0, len(crowded) - 1))
+                keep = (crowded[place] == sig) == wanted if len(crowded) else np.full(len(sig), not wanted)
+                sig, text = sig[keep], text[keep]
                 yield pa.RecordBatch.from_arrays([K.longs(sig), ids.take(pa.array(text))], names=["sig", "doc_id"])
 
 
@@ -216,6 +226,15 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi")
 
 
+def _crowded(texts: DataFrame, n: int) -> np.ndarray:
+    """Signatures, ascending, that many sets of a sample have; a set has some hundred, so they are bounded by the sample."""
+    every = max(1, n // SAMPLE)
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    signed = some.mapInArrow(partial(_signatures, np.zeros(0, K.U), False), "sig long, doc_id long")
+    often = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CROWD).select("sig")
+    return np.sort(often.toPandas().sig.to_numpy().astype(np.int64).view(K.U))
+
+
 def ngram_components(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (least doc_id with the same set), component_id."""
     spark, docs = documents.sparkSession, batched(documents.select("doc_id", "text"))
@@ -234,16 +253,20 @@ def ngram_components(documents: DataFrame) -> DataFrame:
     # Signatures of one text of each class.
     heads = scratch.written(classes.select(F.col("class_id").alias("doc_id")).distinct(), "heads")
     copies = profile.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id").join(heads, "doc_id", "left_anti")
-    dealt = without(known, "doc_id", copies).mapInArrow(_signatures, "sig long, doc_id long").repartition("sig")
+    texts = without(known, "doc_id", copies)
+    crowded = _crowded(texts, heads.count())
+    sign = lambda wanted: texts.mapInArrow(partial(_signatures, crowded, wanted), "sig long, doc_id long")
+    dealt = sign(False).repartition("sig")
     met = dealt.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("sig")
-    shared = scratch.written(dealt.join(met, "sig"), "shared")
+    shared = dealt.join(met, "sig").select("sig", "doc_id")
+    shared = scratch.written(shared.unionByName(sign(True)) if len(crowded) else shared, "shared")
     sizes = classes.groupBy(F.col("class_id").alias("doc_id")).agg(F.min("n_shingles").alias("n"))
     mine = shared.groupBy("doc_id", F.col("sig").bitwiseAND(F.lit(1)).alias("band")).agg(F.count(F.lit(1)).alias("mine"))
     alive = scratch.written(mine.join(sizes, "doc_id").filter(f"mine >= {_LEAST}").select("doc_id").distinct(), "alive")
     live = scratch.written(shared.join(alive, "doc_id", "left_semi"), "live")
     scratch.drop("shared")
-    texts = maybe_listed(known, "doc_id", bloom(alive, "doc_id"), "maybe").filter("maybe").join(alive, "doc_id", "left_semi")
-    sets = scratch.written(texts.mapInArrow(_sets, "doc_id long, n int, sketch array<long>, shingles array<long>"), "sets")
+    left = maybe_listed(known, "doc_id", bloom(alive, "doc_id"), "maybe").filter("maybe").join(alive, "doc_id", "left_semi")
+    sets = scratch.written(left.mapInArrow(_sets, "doc_id long, n int, sketch array<long>, shingles array<long>"), "sets")
 
     # Every set against the least one of each of its groups.
     least = live.groupBy("sig").agg(F.min("doc_id").alias("least"))

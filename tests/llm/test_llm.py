@@ -279,6 +279,7 @@ def test_join_of_odd_tables(spark):
 
 def test_crowded_groups_go_the_other_exact_way(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 3)
+    monkeypatch.setattr(ngram_join, "CROWD", 10)
     rng = random.Random(14)
     passage = prose(rng, 60)
     texts = []
