@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, lz_fingerprint, packing, secret_scan, sentencepiece_codec, token_counts, url_filter, warc
+from siltstone.llm import decontamination, lz_fingerprint, packing, secret_scan, sentencepiece_codec, token_counts, url_filter, vector_codes, warc
 from siltstone.llm import toxicity as tox
 from siltstone.llm.ngram_join import ngram_components
 from siltstone.llm.shared import new_path
@@ -56,6 +56,10 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -122,5 +126,30 @@ FROM ruled
 """
 
 
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds in SQL: every part against every entry, one pair of subqueries a round."""
+    steps = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), part AS MATERIALIZED (SELECT i, vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part WHERE vec_id IN (SELECT DISTINCT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+"""
+    nearest = """a{0} AS MATERIALIZED (
+  SELECT i, part.p, any_value(x) AS x, min({{'far': CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, c)]) AS BIGINT), 'e': e}}) AS best FROM part JOIN c{0} USING (p) GROUP BY i, part.p
+)"""
+    for r in range(1, rounds + 1):
+        steps += nearest.format(r - 1) + f""",
+m{r} AS (SELECT p, best.e AS e, k, sum(y) AS s, count(*) AS n FROM (SELECT p, best, unnest(x) AS y, generate_subscripts(x, 1) AS k FROM a{r - 1}) GROUP BY ALL),
+n{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY k) AS c FROM m{r} GROUP BY p, e),
+c{r} AS MATERIALIZED (SELECT p, e, coalesce(n{r}.c, c{r - 1}.c) AS c FROM c{r - 1} LEFT JOIN n{r} USING (p, e)),
+"""
+    return steps + nearest.format(rounds) + f""",
+coded AS (SELECT i, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a{rounds} GROUP BY i),
+books AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS k FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (i), books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _OP2, "op5_warc": _OP5, "op7_url_filter": _OP7}
+    return {"op2_ngram_jaccard": _OP2, "op5_warc": _OP5, "op7_url_filter": _OP7, "op11_vector_codes": _op11()}
