@@ -48,7 +48,7 @@ def got(df, **kw):
 @pytest.mark.parametrize("kind", ["normal", "lattice", "same", "large"])
 def test_codes_are_those_of_plain_rounds(spark, monkeypatch, kind):
     rng = random.Random(kind)
-    draw = {"normal": lambda: rng.gauss(0, 0.2), "lattice": lambda: rng.randrange(-2, 3) / 4096, "same": lambda: 0.25, "large": lambda: rng.choice([-1, 1]) * rng.uniform(1e4, 1e5)}[kind]
+    draw = {"normal": lambda: rng.gauss(0, 0.2), "lattice": lambda: rng.randrange(-2, 3) / 4096, "same": lambda: 0.25, "large": lambda: rng.choice([-1, 1]) * rng.uniform(1e4, 4e4)}[kind]
     rows = [(rng.randrange(400), [draw() for _ in range(16)], rng.choice([None, 1, 2])) for _ in range(700)]
     rows = [(i, np.array(v, np.float32).astype(float).tolist(), c) for i, v, c in rows]
     rows += [rows[5]] * 3 + [(None, rows[0][1], None), (3, None, 1), (4, [], 1), (-1, [float("nan")] * 16, 2), (-2, [float("inf")] + [0.0] * 15, 2), (-3, [None] + [0.0] * 15, 2)]
