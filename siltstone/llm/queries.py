@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, lz_fingerprint, packing, secret_scan, sentencepiece_codec, token_counts, url_filter, vector_codes, warc
+from siltstone.llm import decontamination, lz_fingerprint, packing, secret_scan, sentencepiece_codec, spelling_variants, token_counts, url_filter, vector_codes, warc
 from siltstone.llm import toxicity as tox
 from siltstone.llm.ngram_join import ngram_components
 from siltstone.llm.shared import new_path
@@ -60,6 +60,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -151,5 +155,48 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 """
 
 
+def _crc_by_nibble(poly: int = 0xEDB88320) -> list[int]:
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ poly * (c & 1)
+        out.append(c)
+    return out
+
+
+def _op13() -> str:
+    def half(c: str) -> str:
+        return f"xor({c} >> 4, {_crc_by_nibble()}[({c} & 15) + 1])"
+
+    return rf"""
+WITH RECURSIVE run AS MATERIALIZED (
+  SELECT d, r, count(*) AS m FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents
+  ) GROUP BY ALL
+), bytes AS (
+  SELECT *, flatten([CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 | (unicode(x) >> 6) AS BIGINT), CAST(128 | (unicode(x) & 63) AS BIGINT)] END FOR x IN string_split(d || ':' || r, '')]) AS b FROM run
+), hashed AS (
+  SELECT r, m, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: {half(half("xor(c, x)"))}), 4294967295) AS h FROM bytes
+), w AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, CAST(sum(m) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(m) >= 5
+), less AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), longer AS (SELECT b.word AS x, b.n AS xn, a.word AS y, a.n AS yn FROM less a JOIN w b ON a.s = b.word),
+near AS (
+  SELECT a.word AS x, a.n AS xn, b.word AS y, b.n AS yn FROM less a JOIN less b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x, xn, y, yn FROM longer UNION SELECT y, yn, x, xn FROM longer
+), best AS (SELECT x, xn, y, yn, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY yn DESC, y) AS k FROM near),
+stat AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN yn >= 5 * n THEN y END AS form, CASE WHEN yn >= 5 * n THEN yn END AS form_n
+  FROM w LEFT JOIN best ON x = word AND k = 1
+), walk AS (
+  SELECT word, word AS root, form AS next FROM stat
+  UNION ALL SELECT walk.word, stat.word, stat.form FROM walk JOIN stat ON stat.word = walk.next
+)
+SELECT word, form, root, n, n_near, form_n FROM stat JOIN (SELECT word, root FROM walk WHERE next IS NULL) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": _OP2, "op5_warc": _OP5, "op7_url_filter": _OP7, "op11_vector_codes": _op11()}
+    return {"op2_ngram_jaccard": _OP2, "op5_warc": _OP5, "op7_url_filter": _OP7, "op11_vector_codes": _op11(), "op13_spelling_variants": _op13()}
