@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontamination, lz_fingerprint, packing, secret_scan, sentencepiece_codec, spelling_variants, token_counts, url_filter, vector_codes, warc
+from siltstone.llm import class_lm, decontamination, lz_fingerprint, packing, secret_scan, sentencepiece_codec, spelling_variants, token_counts, url_filter, vector_codes, warc
 from siltstone.llm import toxicity as tox
 from siltstone.llm.ngram_join import ngram_components
 from siltstone.llm.shared import new_path
@@ -60,6 +60,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
