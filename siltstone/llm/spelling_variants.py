@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from heapq import merge
-from itertools import combinations, groupby
+from itertools import combinations, count, groupby
 from operator import add, ne
 
 import numpy as np
@@ -99,11 +99,19 @@ def _keyed(rank: dict[str, int]):
     return walk
 
 
-def _alike(lists: dict, mine: list[str], shifts: tuple[int, ...], bound: int):
-    """Numbers of the indexed words that share at least `bound` grams with a query at the places that the shifts allow."""
+def _alike(lists: dict, size: int, mine: list[str], shifts: tuple[int, ...], bound: int):
+    """Numbers of the `size` indexed words that share at least `bound` grams with a query at the places that the shifts allow.
+
+    Lists that hold every word, as those of the grams that brought the words together do, are not merged but counted.
+    """
     found = [x for p, g in enumerate(mine) for shift in shifts if (x := lists.get((g, p + shift)))]
-    for j, run in groupby(merge(*found)):
-        if sum(1 for _ in run) >= bound:
+    some = [x for x in found if len(x) < size]
+    bound -= len(found) - len(some)
+    if bound <= 0:
+        yield from range(size)
+        return
+    for j, run in groupby(some[0] if len(some) == 1 else merge(*some)):
+        if bound == 1 or sum(1 for _ in run) >= bound:
             yield j
 
 
@@ -115,14 +123,17 @@ def near_in_part(held: list[str], asking: list[str]):
     lists: dict[tuple[str, int], list[int]] = {}
     for j, word in enumerate(held):
         mine = grams(word)
-        for i in _alike(lists, mine, (0,), len(mine) - 2) if j else ():
+        for i in _alike(lists, j, mine, (0,), len(mine) - 2) if j else ():
             if one_edit(held[i], word):
                 yield i, j
-        for place, g in enumerate(mine):
-            lists.setdefault((g, place), []).append(j)
+        for key in zip(mine, count()):  # noqa: B905
+            if key in lists:
+                lists[key].append(j)
+            else:
+                lists[key] = [j]
     for i, word in enumerate(asking, len(held)):
         mine = grams(word)
-        for j in _alike(lists, mine, (0, 1), len(mine) - 1):
+        for j in _alike(lists, len(held), mine, (0, 1), len(mine) - 1):
             if one_edit(word, held[j]):
                 yield i, j
 
@@ -167,7 +178,7 @@ def _pairs(batches):
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """Every pair of near words, both ways round: word, near, near_n; `vocabulary` has word and n, words of at least five code points."""
 
-    def count(batches):
+    def tally(batches):
         seen: Counter = Counter()
         for batch in batches:
             for w in batch.column("word").to_pylist():
@@ -175,7 +186,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "seen"])
 
     # Letters are 90 at most, so grams are 8,100 at most, whatever the corpus.
-    counted = batched(vocabulary.select("word")).mapInArrow(count, "gram string, seen long").groupBy("gram").agg(F.sum("seen").alias("seen")).collect()
+    counted = batched(vocabulary.select("word")).mapInArrow(tally, "gram string, seen long").groupBy("gram").agg(F.sum("seen").alias("seen")).collect()
     rank = {r.gram: i for i, r in enumerate(sorted(counted, key=lambda r: (r.seen, r.gram)))}
     keyed = batched(vocabulary.select("word", "n")).mapInArrow(_keyed(rank), "word string, n long, held array<long>, asked array<long>")
     held = F.transform("held", lambda k: F.struct(k.alias("key"), F.lit(False).alias("asks")))
