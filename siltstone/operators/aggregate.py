@@ -70,11 +70,14 @@ def _timestamp(df: DataFrame, name: str) -> Column:
     return F.col(f"{name}__ts") if f"{name}__ts" in df.columns else instant_timestamp(F.col(f"{name}__val"))
 
 
-def aggregated(df: DataFrame, spec: Spec, definition: CollectionDefinition) -> DataFrame:
+def aggregated(df: DataFrame, spec: Spec, definition: CollectionDefinition, odd: str = "error") -> DataFrame:
     """One row per group, in order: key kinds and values, metrics, and values, nulls and missing of each field.
 
     A key column is <field>__kind and <field>__val (for buckets the UTC start, with <field>__local beside it); a
     group's count is n.  More than max_groups groups come as one too many, for the caller to refuse.
+
+    Sums of values that no common scale holds are `odd`: an error, or exact by a second path over the rows
+    ("exact"), or null for a caller that looks for them ("null").
     """
     spec.admit(definition)
     rows = where(df, list(spec.where), definition)
@@ -111,16 +114,37 @@ def aggregated(df: DataFrame, spec: Spec, definition: CollectionDefinition) -> D
                 pick = (F.min_by if op == "min" else F.max_by)(value, instant_sort_key(value))
             aggs.append(pick.alias(f"{f}_{op}"))
         aggs += [F.count_if(kind == declared).alias(f"{f}_values"), F.count_if(kind == "null").alias(f"{f}_nulls"), F.count_if(kind == "missing").alias(f"{f}_missing")]
-        for op in ops & {"sum", "avg"}:
-            outs.append((exact.settled(f) if op == "sum" else exact.average(exact.settled(f), F.col(f"{f}__n"))).alias(f"{f}_{op}"))
+        total = exact.settled(f)
+        if odd == "exact":
+            total = F.coalesce(total, F.col(f"{f}__exact"))
+        elif odd == "error":
+            total = F.coalesce(total, F.raise_error(F.lit(f"INEXACT: {f} has values that no scale holds together; ask for odd='exact'")))
+        for op in sorted(ops & {"sum", "avg"}):
+            outs.append((total if op == "sum" else exact.average(total, F.col(f"{f}__n"))).alias(f"{f}_{op}"))
         spelt = instant_text if declared == "date-time" and exact_ts else lambda c: c
         outs += [spelt(F.col(f"{f}_{op}")).alias(f"{f}_{op}") for op in sorted(ops & {"min", "max"})] + [F.col(f"{f}_{c}") for c in ("values", "nulls", "missing")]
     grouped = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
     if keys:
         grouped = grouped.orderBy(*order).limit(spec.max_groups + 1)
+    for f in fields if odd == "exact" else ():
+        if any(m.field == f and m.op in ("sum", "avg") for m in spec.metrics):
+            grouped = _with_exact(grouped, rows, keys, f)
+    if keys and odd == "exact":
+        grouped = grouped.orderBy(*order)
     return grouped.select(*outs, "n")
 
 
+def _with_exact(grouped: DataFrame, rows: DataFrame, keys: list[Column], field: str) -> DataFrame:
+    """The groups with <field>__exact, the sums by the Arrow path; they meet by the keys as they are, null for null."""
+    value = F.when(F.col(f"{field}__kind") == "number", F.col(f"{field}__val")).alias("x")
+    names = grouped.columns[: len(keys)]
+    told = exact.slow_sums(rows.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("one"), value), [*[f"k{i}" for i in range(len(keys))], "one"], "x")
+    both = F.lit(0) == F.col("one")
+    for i, n in enumerate(names):
+        both = both & F.col(n).eqNullSafe(F.col(f"k{i}"))
+    return grouped.join(told, both, "left").withColumnRenamed("total", f"{field}__exact").drop("one", *[f"k{i}" for i in range(len(keys))])
+
+
 def merged(partials: DataFrame, keys: list[str], counts: list[str] = (), sums: list[str] = (), least: list[str] = (), most: list[str] = (), averages: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Partial groups made one: counts and decimal sums added, extremes of extremes, and averages {name: (sum, count)} of the sums.
 
@@ -135,40 +159,16 @@ def merged(partials: DataFrame, keys: list[str], counts: list[str] = (), sums: l
     return out.select(*keys, *counts, *[plain(F.col(c).cast("string")).alias(c) for c in sums], *least, *most, *(averages or {}))
 
 
-def exact_sums(df: DataFrame, spec: Spec, definition: CollectionDefinition) -> DataFrame:
-    """Sums of groups that fit no scale, by the Arrow path; for `evaluate`, where the fast path gave null."""
-    field = next(m.field for m in spec.metrics if m.op in ("sum", "avg"))
-    names = [f"k{i}" for i in range(2 * len(spec.group_by))]
-    cols = []
-    for k in spec.group_by:
-        value = F.col(f"{k.field}__val")
-        cols += [F.col(f"{k.field}__kind"), timebuckets.label(timebuckets.bucket(_timestamp(df, k.field), k.unit, k.zone)) if k.unit else value.cast("string")]
-    rows = where(df, list(spec.where), definition).select(*[c.alias(n) for c, n in zip(cols, names, strict=True)], F.when(F.col(f"{field}__kind") == "number", F.col(f"{field}__val")).alias("x"))
-    if not names:
-        names, rows = ["k0"], rows.withColumn("k0", F.lit("")).select("k0", "x")
-    return exact.slow_sums(rows, names, "x")
-
-
 def evaluate(df: DataFrame, spec: Spec, definition: CollectionDefinition, snapshot: int | None = None, freshness: str = "exact") -> dict:
     """The complete result, or an error: never a part of it, nor one over a projection that is not complete."""
     used = {k.field for k in spec.group_by} | {m.field for m in spec.metrics if m.field} | {p["field"] for p in spec.where}
     require_complete(df, [definition.field(f) for f in sorted(used)])
-    rows = [r.asDict() for r in aggregated(df, spec, definition).collect()]
+    rows = [r.asDict() for r in aggregated(df, spec, definition, "null").collect()]
     if len(rows) > spec.max_groups:
         raise EngineError("BACKPRESSURE", f"more than {spec.max_groups} groups", limit="groups")
-    slow = {m.field for m in spec.metrics if m.op in ("sum", "avg")}
-    for f in slow:
-        if any(r.get(f"{f}_sum", r.get(f"{f}_avg")) is None and r[f"{f}_values"] for r in rows):
-            one = Spec(spec.where, spec.group_by, (Metric("sum", f),), spec.max_groups)
-            totals = {tuple(list(r)[:-1]): r.total for r in exact_sums(df, one, definition).collect()}
-            for r in rows:
-                key = tuple(x for k in spec.group_by for x in (r[f"{k.field}__kind"], None if r[f"{k.field}__val"] is None else _spelt(r[f"{k.field}__val"]))) or ("",)
-                total = totals.get(key)
-                if total is not None:
-                    if f"{f}_sum" in r:
-                        r[f"{f}_sum"] = total
-                    if f"{f}_avg" in r:
-                        r[f"{f}_avg"] = exact.quotient(total, r[f"{f}_values"]) if r[f"{f}_values"] else None
+    summed = [(m.name, f"{m.field}_values") for m in spec.metrics if m.op in ("sum", "avg")]
+    if any(r[name] is None and r[values] for r in rows for name, values in summed):
+        rows = [r.asDict() for r in aggregated(df, spec, definition, "exact").collect()]
     groups = []
     for r in rows:
         key = [{"kind": r[f"{k.field}__kind"], "value": r[f"{k.field}__val"]} | ({"local": r[f"{k.field}__local"]} if k.unit and r[f"{k.field}__val"] else {}) for k in spec.group_by]
@@ -179,6 +179,3 @@ def evaluate(df: DataFrame, spec: Spec, definition: CollectionDefinition, snapsh
     described = [{"operator": m.op, "field": m.field, "semantics": "derived" if m.op == "avg" else "exact"} for m in spec.metrics]
     return {"source": definition.slug, "snapshot": snapshot, "freshness": freshness, "groupBy": [k.field for k in spec.group_by], "metrics": described, "groups": groups, "complete": True}
 
-
-def _spelt(x) -> str:
-    return str(x).lower() if isinstance(x, bool) else str(x)

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.history import placed
+
 TEXT_TYPES = ("text/plain", "text/markdown", "text/csv", "text/tab-separated-values")
 
 
@@ -87,14 +89,16 @@ def visible_links(links: DataFrame, endpoints: DataFrame) -> DataFrame:
 def delete_endpoints(links: DataFrame, deletions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What deleting endpoints (id) does: outcome per deletion, and the links that a cascade tombstones.
 
-    A live restrict link at either end refuses the deletion; otherwise its detach links go with it.
+    A live restrict link at either end refuses the deletion; otherwise its detach links go with it.  Deletions go by
+    their ids; a link both of whose ends go is the first one's.
     """
     ends = links.select("link_id", "policy", F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"))
     touched = ends.join(deletions.select("id"), "id")
-    blocked = touched.groupBy("id").agg(F.max((F.col("policy") == "restrict").cast("int")).alias("blocked"), F.count_if(F.col("policy") == "detach").alias("detached"))
-    outcome = deletions.join(blocked, "id", "left").select("id", F.when(F.col("blocked") == 1, "LINK_RESTRICTED").otherwise("ok").alias("outcome"), F.when(F.col("blocked") == 1, 0).otherwise(F.coalesce("detached", F.lit(0))).alias("detached"))
-    gone = touched.join(outcome.filter("outcome = 'ok'").select("id"), "id", "left_semi").select("link_id").distinct()
-    return outcome, gone
+    blocked = touched.filter("policy = 'restrict'").select("id").distinct()
+    first = touched.filter("policy = 'detach'").join(blocked, "id", "left_anti").groupBy("link_id").agg(F.min("id").alias("id"))
+    told = deletions.select("id").distinct().join(blocked.withColumn("blocked", F.lit(True)), "id", "left").join(first.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id", "left")
+    outcome = told.select("id", F.when(F.col("blocked"), "LINK_RESTRICTED").otherwise("ok").alias("outcome"), F.coalesce("n", F.lit(0).cast("long")).alias("detached"))
+    return outcome, first.select("link_id")
 
 
 def links_of(links: DataFrame, endpoint: str, after: str = "", limit: int = 50) -> DataFrame:
@@ -139,15 +143,10 @@ def top_per_group(rows: DataFrame, keys: list[str], k: int, *order) -> DataFrame
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("position") <= k)
 
 
-def fair_turns(rows: DataFrame, space: str, pair: str, *order) -> DataFrame:
+def fair_turns(rows: DataFrame, folder: str, space: str, pair: str, *order: str) -> DataFrame:
     """Queue turns: a pair's first rows before its second ones, and within a space its pairs in turn.
 
-    A space's rows of earlier turns are counted first, and a row's place among its own turn's is added, so that a
-    task holds one turn of a space, not the whole space.
+    Both places come from sorted ranges of all rows, written to `folder`, so that no task holds a space, a pair or a turn.
     """
-    numbered = rows.withColumn("pair_turn", F.row_number().over(Window.partitionBy(space, pair).orderBy(*order)))
-    sizes = numbered.groupBy(space, "pair_turn").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(space).orderBy("pair_turn").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = numbered.join(before.select(space, "pair_turn", F.coalesce("_before", F.lit(0)).alias("_before")), [space, "pair_turn"])
-    mine = F.row_number().over(Window.partitionBy(space, "pair_turn").orderBy(pair))
-    return placed.withColumn("space_turn", (F.col("_before") + mine).cast("int")).select(*numbered.columns, "space_turn")
+    turns = placed(rows, f"{folder}/pairs", [space, pair], *order, name="pair_turn")
+    return placed(turns, f"{folder}/spaces", [space], "pair_turn", pair, name="space_turn")

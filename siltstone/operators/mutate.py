@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.canonical import canonical_json
+from siltstone.operators import schemas
 from siltstone.types import MAX_DEPTH, MAX_NODES, SAFE_INTEGER, CollectionDefinition, EngineError, canonical_instant
 
 
@@ -27,6 +28,11 @@ def check(document, definition: CollectionDefinition) -> str | None:
     """The code of the first fault of a whole record, or None."""
     if not isinstance(document, dict):
         return "SCHEMA_INVALID"
+    if definition.schema is not None:
+        try:
+            return None if schemas.of_text(definition.schema)(document) is None else "SCHEMA_INVALID"
+        except (EngineError, OverflowError):
+            return "SCHEMA_INVALID"
     try:
         if _nodes(document) > MAX_NODES:
             return "SCHEMA_INVALID"
@@ -86,6 +92,8 @@ class Record:
         elif op == "replace":
             new = json.loads(data or "{}")
         elif op == "patch":
+            if self.definition and any(not self.definition.optional(k) for k in unset or []):
+                return "INVALID_ARGUMENT"
             new = {k: v for k, v in self.document.items() if k not in (unset or [])} | json.loads(set_ or "{}")
         else:
             return "INVALID_ARGUMENT"
@@ -136,22 +144,26 @@ def fold(requests: DataFrame, definition: CollectionDefinition | None = None) ->
 def unique_outcomes(requests: DataFrame, unique: str, reserved: DataFrame | None = None, order: str = "ordinal") -> DataFrame:
     """Each request with `outcome`: the first of a tuple holds it, later ones conflict; null tuples reserve nothing.
 
-    `reserved` has earlier holders: the tuple and whether its record is a tombstone.
+    `reserved` has earlier holders: the tuple and whether its record is a tombstone.  `order` names each request once.
     """
-    first = F.row_number().over(Window.partitionBy(unique).orderBy(order)) == 1
-    rows = requests.withColumn("_first", first)
-    dead = F.lit(None).cast("boolean")
+    some = requests.filter(F.col(unique).isNotNull())
+    first = some.groupBy(unique).agg(F.min(order).alias("_first"))
+    rows, dead = some.join(first, unique), F.lit(None).cast("boolean")
     if reserved is not None:
         rows, dead = rows.join(reserved.select(unique, F.col("tombstone").alias("_dead")), unique, "left"), F.col("_dead")
-    outcome = F.when(F.col(unique).isNull(), "ok").when(dead, "KEY_RESERVED").when(~F.coalesce(dead, F.lit(True)), "UNIQUE_CONFLICT").when(F.col("_first"), "ok").otherwise("UNIQUE_CONFLICT")
-    return rows.withColumn("outcome", outcome).drop("_first", "_dead")
+    outcome = F.when(dead, "KEY_RESERVED").when(~F.coalesce(dead, F.lit(True)), "UNIQUE_CONFLICT").when(F.col(order) == F.col("_first"), "ok").otherwise("UNIQUE_CONFLICT")
+    free = requests.filter(F.col(unique).isNull()).withColumn("outcome", F.lit("ok"))
+    return rows.select(*requests.columns, outcome.alias("outcome")).unionByName(free)
 
 
 def receipts(requests: DataFrame, identity: list[str], digest: str, order: str) -> DataFrame:
     """Each request with `outcome`: the first of an identity applies, the same again replays, another mismatches."""
-    by = Window.partitionBy(*identity).orderBy(order)
-    first = F.first(digest).over(by)
-    return requests.withColumn("outcome", F.when(F.row_number().over(by) == 1, "applied").when(F.col(digest) == first, "replayed").otherwise("IDEMPOTENCY_MISMATCH"))
+    first = requests.groupBy(*[F.col(c).alias(f"_{c}") for c in identity]).agg(F.min_by(F.struct(order, digest), order).alias("_first"))
+    both = F.lit(True)
+    for c in identity:
+        both = both & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    outcome = F.when(F.col(order) == F.col(f"_first.{order}"), "applied").when(F.col(digest) == F.col(f"_first.{digest}"), "replayed").otherwise("IDEMPOTENCY_MISMATCH")
+    return requests.join(first, both).select(*requests.columns, outcome.alias("outcome"))
 
 
 def batch_status(items: DataFrame, batch: str, outcome: Column) -> DataFrame:

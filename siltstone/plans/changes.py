@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import access, evidence, facts, history, jobs, mutate
+from siltstone.operators import access, evidence, facts, history, jobs, ledger, mutate, schemas
 from siltstone.operators.aggregate import merged as merged_groups
 from siltstone.plans.inputs import LOG_SQL, change_log, scratch, table
 from siltstone.plans.registry import query
-from siltstone.streaming import feeds
+from siltstone.streaming import feeds, folds
 from siltstone.types import CollectionDefinition, Field
 
 _L = f"WITH {LOG_SQL} "
@@ -37,42 +37,55 @@ def freshness_state(spark, d):
 
 
 def _lines(spark, d):
-    snapshot = change_log(spark, d)
-    live = history.as_of(snapshot, 10**12, ["event_type"])
-    return history.export_lines(live, F.concat(F.lit('{"event":"'), "event_type", F.lit('"}')))
+    """Records as of the log's end; their notes differ in length, and deleted ones have no line."""
+    last = history.as_of(change_log(spark, d), 10**12, ["event_type", "position"], dead=True)
+    data = F.concat(F.lit('{"event":"'), "event_type", F.lit('","note":"'), F.repeat(F.lit("n"), (F.col("position") % 61).cast("int")), F.lit('"}'))
+    return history.export_lines(last, F.when(F.col("op") != "delete", data))
 
 
-# Pages by the contract: in the order of all record ids, at most 40 rows and 1 MiB each; these lines are short.
+# Pages by the contract: one begins where the last one ended and takes rows as long as it has no more than 40 and 3,400 bytes.
 _LINES = (
-    _L
-    + """, lines AS (
-  SELECT record_id, '{"id":"' || record_id || '","revision":' || revision || ',"data":{"event":"' || event_type || '"}}' || chr(10) AS line
-  FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) AS r FROM log) WHERE r = 1 AND op <> 'delete'
-), numbered AS (SELECT *, (row_number() OVER (ORDER BY record_id) - 1) // 40 AS page FROM lines),
-pages AS (SELECT min(record_id) AS first_id, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY record_id)) AS sha256 FROM numbered GROUP BY page) """
+    f"WITH RECURSIVE {LOG_SQL}"
+    + """, last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) = 1),
+lines AS MATERIALIZED (
+  SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS place,
+    CASE WHEN op <> 'delete' THEN '{"id":"' || record_id || '","revision":' || revision || ',"data":{"event":"' || event_type || '","note":"' || repeat('n', position % 61) || '"}}' || chr(10) END AS line
+  FROM last
+), run AS MATERIALIZED (SELECT *, CAST(sum(coalesce(strlen(line), 0)) OVER (ORDER BY place) AS BIGINT) AS upto, CAST(coalesce(sum(coalesce(strlen(line), 0)) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM lines),
+steps AS MATERIALIZED (SELECT a.place, max(b.place) + 1 AS next FROM run a JOIN run b ON b.place >= a.place AND b.place < a.place + 40 AND b.upto - a.before <= 3400 GROUP BY a.place),
+start AS (SELECT CAST(0 AS BIGINT) AS place WHERE EXISTS (SELECT 1 FROM run) UNION ALL SELECT onward.place FROM start JOIN steps ON steps.place = start.place JOIN steps onward ON onward.place = steps.next),
+pages AS (
+  SELECT min(record_id) AS first_id, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes, sha256(string_agg(line, '' ORDER BY record_id)) AS sha256
+  FROM (SELECT start.place AS page, run.* FROM start JOIN steps USING (place) JOIN run ON run.place >= start.place AND run.place < next) WHERE line IS NOT NULL GROUP BY page
+) """
 )
 
 
+def _pages(spark, d):
+    return history.export_pages(_lines(spark, d), scratch(spark, "export"), max_rows=40, max_bytes=3400)
+
+
 @query(_LINES + "SELECT * FROM pages")
 def export_pages(spark, d):
-    return history.export_pages(_lines(spark, d), scratch(spark, "export"), max_rows=40).drop("body")
+    return _pages(spark, d).drop("body")
 
 
 @query(_LINES + "SELECT count(*) AS pages, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(bytes) AS BIGINT) AS bytes, sha256(string_agg(sha256, '' ORDER BY first_id)) AS digest FROM pages")
 def export_manifest_digest(spark, d):
     pages = scratch(spark, "pages")
-    history.export_pages(_lines(spark, d), scratch(spark, "export"), max_rows=40).write.parquet(pages)
+    _pages(spark, d).write.parquet(pages)
     return history.manifest(spark.read.parquet(pages))
 
 
 @query(_L + f"""
-, live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) AS r FROM log WHERE position <= {_AT}) WHERE r = 1 AND op <> 'delete' AND record_id > 'user_000010'),
-run AS (SELECT *, row_number() OVER (ORDER BY record_id) AS n, sum(strlen('{{"event_type":"' || event_type || '"}}')) OVER (ORDER BY record_id) AS b FROM live)
-SELECT record_id, revision, event_type, n AS position, true AS more FROM run WHERE n <= 50 AND b <= 700""")
+, last AS (SELECT * FROM log WHERE position <= {_AT} AND record_id > 'user_000010' QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) = 1),
+run AS (SELECT *, row_number() OVER (ORDER BY record_id) AS n, CASE WHEN op = 'delete' THEN 0 ELSE strlen('{{"event_type":"' || event_type || '"}}') END AS b FROM last),
+cut AS (SELECT *, coalesce(sum(b) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM run)
+SELECT record_id, revision, event_type, n AS position, true AS more, max(record_id) OVER () AS cursor FROM cut WHERE n <= 50 AND before < 700 QUALIFY op <> 'delete'""")
 def asof_page(spark, d):
-    """The page of live records at a position that follows user_000010: 50 rows and 700 bytes at most."""
+    """The page of live records at a position that follows user_000010: 50 records, and none after the first 700 bytes."""
     page = history.as_of_page(change_log(spark, d), _AT, ["event_type"], "user_000010", 50, 700)
-    return page.select("record_id", "revision", "event_type", F.col("position").cast("long").alias("position"), "more")
+    return page.select("record_id", "revision", "event_type", F.col("position").cast("long").alias("position"), "more", "cursor")
 
 
 @query("SELECT l_returnflag, count(*) AS n, regexp_replace(CAST(sum(CAST(CAST(l_tax AS VARCHAR) AS DECIMAL(38, 6))) AS VARCHAR), '\\.?0+$', '') AS total, min(l_shipdate)::VARCHAR AS first_at FROM lineitem GROUP BY l_returnflag")
@@ -225,6 +238,19 @@ def links_detach_restrict(spark, d):
     return evidence.delete_endpoints(_links(spark, d), gone)[0]
 
 
+@query("""
+WITH e AS (SELECT o_orderkey, unnest(['o' || o_orderkey, 'c' || o_custkey]) AS id, o_orderpriority LIKE '1%' AS restrict FROM orders WHERE o_orderkey % 2 = 0 OR o_custkey % 3 = 0),
+gone AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 2 = 0),
+held AS (SELECT DISTINCT id FROM e WHERE restrict),
+first AS (SELECT o_orderkey, min(id) AS id FROM e WHERE NOT restrict AND id IN (SELECT id FROM gone) AND id NOT IN (SELECT id FROM held) GROUP BY o_orderkey)
+SELECT id, CASE WHEN id IN (SELECT id FROM held) THEN 'LINK_RESTRICTED' ELSE 'ok' END AS outcome, (SELECT count(*) FROM first WHERE first.id = gone.id) AS detached FROM gone""")
+def links_both_ends(spark, d):
+    """Customers and orders deleted together: a link between two of them is counted once, for the first."""
+    gone = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    gone = gone.unionByName(table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("id")))
+    return evidence.delete_endpoints(_links(spark, d), gone)[0]
+
+
 @query("SELECT 'l' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS link_id, 'o' || o_orderkey AS from_id FROM orders WHERE o_custkey = 11 ORDER BY 1 LIMIT 50")
 def links_of_endpoint(spark, d):
     return evidence.links_of(_links(spark, d), "c11").select("link_id", "from_id")
@@ -247,7 +273,7 @@ def lateral_topk_per_group(spark, d):
 WITH p AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS pair_turn FROM events)
 SELECT event_id, pair_turn, row_number() OVER (PARTITION BY event_type ORDER BY pair_turn, user_id) AS space_turn FROM p""")
 def fair_turns(spark, d):
-    out = evidence.fair_turns(table(spark, d, "events"), "event_type", "user_id", "event_id")
+    out = evidence.fair_turns(table(spark, d, "events"), scratch(spark, "turns"), "event_type", "user_id", "event_id")
     return out.select("event_id", F.col("pair_turn").cast("long").alias("pair_turn"), F.col("space_turn").cast("long").alias("space_turn"))
 
 
@@ -363,13 +389,13 @@ def links_of_claims_visible(spark, d):
 
 @query("SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS receipts FROM events GROUP BY user_id")
 def facts_appended(spark, d):
-    """Facts appended in two batches, the second one twice: events and receipts come together, and once."""
+    """Facts appended in two batches, the second one three times: what is committed stays, and a repeat, of other rows even, adds nothing."""
     rows = table(spark, d, "events")
     store = facts.Store(scratch(spark, "facts"))
     tables = lambda df: {"events": df.select("user_id", "event_id"), "receipts": df.filter("event_type = 'purchase'").select("user_id", "event_id")}
     store.append(tables(rows.filter("event_id % 2 = 0")), 1)
-    for _ in range(2):
-        store.append(tables(rows.filter("event_id % 2 = 1")), 2)
+    for again in (rows.filter("event_id % 2 = 1"), rows.filter("event_id % 2 = 1"), rows):
+        store.append(tables(again), 2)
     count = lambda name: store.read(spark, name).groupBy("user_id").agg(F.count(F.lit(1)).alias(name))
     return count("events").join(count("receipts"), "user_id", "left").select("user_id", "events", F.coalesce("receipts", F.lit(0)).alias("receipts"))
 
@@ -440,3 +466,93 @@ def schema_checks(spark, d):
     )
     rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("record_id"), F.lit(1).alias("ordinal"), F.lit("create").alias("operation"), data.alias("data"))
     return mutate.fold(rows, definition).select(F.col("record_id").cast("long").alias("event_id"), "outcome")
+
+
+_ORDER = {
+    "$schema": schemas.DIALECT, "type": "object", "additionalProperties": False, "required": ["key", "status", "customer", "lines"],
+    "properties": {
+        "key": {"type": "integer", "minimum": 0}, "status": {"type": "string", "enum": ["F", "O", "P"]}, "placed": {"type": "string", "format": "date-time"}, "note": {"type": ["string", "null"], "maxLength": 12},
+        "customer": {"type": "object", "additionalProperties": False, "required": ["key"], "properties": {"key": {"type": "integer"}, "segment": {"type": "string"}}},
+        "lines": {"type": "array", "maxItems": 5, "items": {
+            "type": "object", "additionalProperties": False, "required": ["number", "quantity"],
+            "properties": {"number": {"type": "integer"}, "quantity": {"type": "number", "maximum": 49}, "flags": {"type": "array", "items": {"type": "string"}, "minItems": 1}},
+        }},
+    },
+}
+
+
+def _order_documents(spark, d):
+    """Orders as records with a nested customer and an array of lines; some have faults of their own, others their figures are faults."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey") % 20
+    line = F.concat(F.lit('{"number":'), "l_linenumber", F.lit(',"quantity":'), "l_quantity", F.lit(',"flags":["'), "l_returnflag", F.lit('"]}'))
+    # An order has few lines.
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("lines"))
+    customer = F.when(k == 1, F.lit('{"segment":"A"}')).when(k == 2, F.concat(F.lit('{"key":'), "o_custkey", F.lit(',"name":"x"}'))).when(k == 3, F.lit("null")).otherwise(F.concat(F.lit('{"key":'), "o_custkey", F.lit("}")))
+    note = F.when(k == 4, F.lit('"more than a dozen"')).when(k == 5, F.lit("7")).when(k == 6, F.lit("null")).otherwise(F.lit('"n"'))
+    placed = F.when(k == 7, F.lit("2024-02-30T00:00:00Z")).when(k == 8, F.lit("2016-12-31T23:59:60.5Z")).otherwise(F.lit("2024-01-01T00:00:00Z"))
+    body = F.concat(F.lit('{"key":'), "o_orderkey", F.lit(',"status":"'), "o_orderstatus", F.lit('","placed":"'), placed, F.lit('","note":'), note, F.lit(',"customer":'), customer, F.lit(',"lines":['), F.coalesce("lines", F.lit("")), F.lit("]}"))
+    return o.join(lines, "o_orderkey", "left").select("o_orderkey", body.alias("document"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, '{"number":' || l_linenumber || ',"quantity":' || l_quantity || ',"flags":["' || l_returnflag || '"]}' AS line, l_quantity > 49 AS much FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY line) - 1 AS i FROM l),
+g AS (SELECT l_orderkey, count(*) AS lines, min(i) FILTER (much) AS much FROM n GROUP BY l_orderkey),
+f AS (SELECT o_orderkey, CASE o_orderkey % 20 WHEN 7 THEN '/placed' WHEN 4 THEN '/note' WHEN 5 THEN '/note' WHEN 1 THEN '/customer/key' WHEN 2 THEN '/customer/name' WHEN 3 THEN '/customer'
+  ELSE CASE WHEN lines > 5 THEN '/lines' WHEN much IS NOT NULL THEN '/lines/' || much || '/quantity' END END AS fault FROM orders LEFT JOIN g ON l_orderkey = o_orderkey)
+SELECT o_orderkey, CASE WHEN fault IS NOT NULL THEN 'SCHEMA_INVALID' END AS code, fault FROM f""")
+def schema_nested(spark, d):
+    """Nested records checked under a schema tree: whether each is valid, and where its first fault lies."""
+    return schemas.checked(_order_documents(spark, d), "document", _ORDER).select("o_orderkey", "code", "fault")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, count(*) AS lines, bool_or(l_quantity > 49) AS much FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN o_orderkey % 20 IN (1, 2, 3, 4, 5, 7) OR lines > 5 OR much THEN 'SCHEMA_INVALID' ELSE 'ok' END AS outcome FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def schema_nested_created(spark, d):
+    """The same records created in a collection whose definition has the tree."""
+    definition = schemas.definition("orders", _ORDER, filterable=("key", "status"), lifecycle="status", initial=("F", "O", "P"))
+    rows = _order_documents(spark, d).select(F.col("o_orderkey").cast("string").alias("record_id"), F.lit(1).alias("ordinal"), F.lit("create").alias("operation"), F.col("document").alias("data"))
+    return mutate.fold(rows, definition).select(F.col("record_id").cast("long").alias("o_orderkey"), "outcome")
+
+
+@query(f"""
+WITH r AS (SELECT CAST(user_id AS VARCHAR) AS record_id, event_id AS ordinal, {_OPS} AS operation, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events),
+c AS (SELECT record_id, min(ordinal) AS born FROM r WHERE operation = 'create' GROUP BY record_id),
+x AS (SELECT r.record_id, min(ordinal) AS died FROM r JOIN c USING (record_id) WHERE operation = 'delete' AND ordinal > born GROUP BY r.record_id),
+o AS (SELECT r.*, CASE WHEN born IS NULL OR ordinal < born THEN 'NOT_FOUND' WHEN operation = 'create' THEN CASE WHEN ordinal = born THEN 'ok' WHEN died IS NOT NULL AND ordinal > died THEN 'KEY_RESERVED' ELSE 'CONFLICT' END
+  WHEN died IS NOT NULL AND ordinal > died THEN 'NOT_FOUND' ELSE 'ok' END AS outcome FROM r LEFT JOIN c USING (record_id) LEFT JOIN x USING (record_id))
+SELECT record_id, sequence, outcome, CASE WHEN outcome = 'ok' THEN count(*) FILTER (outcome = 'ok') OVER (PARTITION BY record_id ORDER BY ordinal) END AS revision,
+  CASE WHEN outcome = 'ok' AND operation <> 'delete' THEN '{{"v":' || ordinal || '}}' END AS canonical_data FROM o""")
+def stream_fold(spark, d):
+    """The fold as a stream: files in any order, a third of the requests twice, and a restart from the checkpoint half way."""
+    base = scratch(spark, "stream")
+    rows = folds.sequenced(_requests(spark, d))
+    rows.repartition(8, "sequence").write.parquet(f"{base}/made")
+    made = spark.read.schema(folds.REQUEST).parquet(f"{base}/made")
+    store = facts.Store(f"{base}/store")
+    for part in (made.filter("sequence % 3 > 0"), made.filter("sequence % 3 < 2")):
+        part.repartition(4).write.mode("append").parquet(f"{base}/requests")
+        folds.run(folds.folded(folds.requests_from(spark, f"{base}/requests", 3)), store, "outcomes", f"{base}/checkpoint").awaitTermination()
+    return store.read(spark, "outcomes").select("record_id", "sequence", "outcome", "revision", "canonical_data")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS ordinal, o_orderkey % 3 AS batch, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || '-' || o_orderkey % 5 END AS identity, o_orderpriority AS digest,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_custkey || '/' || o_orderstatus END AS tuple, o_custkey % 7 = 0 AS gone FROM orders),
+i AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY batch, ordinal) AS n, first_value(digest) OVER (PARTITION BY identity ORDER BY batch, ordinal) AS f FROM r WHERE identity IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY tuple ORDER BY batch, ordinal) AS n, first_value(batch) OVER (PARTITION BY tuple ORDER BY batch, ordinal) AS b FROM r WHERE tuple IS NOT NULL)
+SELECT ordinal, CASE WHEN n = 1 THEN 'applied' WHEN digest = f THEN 'replayed' ELSE 'IDEMPOTENCY_MISMATCH' END AS outcome FROM i
+UNION ALL SELECT ordinal, CASE WHEN n = 1 THEN 'applied' WHEN gone AND b < 2 AND batch = 2 THEN 'KEY_RESERVED' ELSE 'UNIQUE_CONFLICT' END FROM t""")
+def ledger_batches(spark, d):
+    """Three batches against stored uniques and receipts, the second one twice; before the third some holders are deleted."""
+    o = table(spark, d, "orders")
+    requests = o.select(
+        F.col("o_orderkey").alias("ordinal"), (F.col("o_orderkey") % 3).alias("batch"), F.when(F.col("o_orderkey") % 2 == 0, F.concat("o_custkey", F.lit("-"), F.col("o_orderkey") % 5)).alias("identity"),
+        F.col("o_orderpriority").alias("digest"), F.when(F.col("o_orderkey") % 2 == 1, F.concat("o_custkey", F.lit("/"), "o_orderstatus")).alias("tuple"), F.concat(F.lit("r"), "o_orderkey").alias("record_id"),
+    )
+    book, outs = ledger.Ledger(scratch(spark, "ledger")), {}
+    for batch in (0, 1, 1, 2):
+        gone = book.table(spark, "keys").filter(F.split("tuple", "/")[0].cast("long") % 7 == 0) if batch == 2 else None
+        outs[batch] = book.apply(requests.filter(F.col("batch") == batch), batch, 1_000_000 + batch, gone)
+    return outs[0].unionByName(outs[1]).unionByName(outs[2]).select("ordinal", "outcome")

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.canonical import canonical_column, key_column, unique_tuple
+from siltstone.operators import history
 from siltstone.operators.evidence import extract_text as extracted
 from siltstone.plans.inputs import scratch, table
 from siltstone.plans.registry import query
-from siltstone.retrieval import bundle, candidates, chunk, coverage, generations, requests, search
+from siltstone.retrieval import bundle, candidates, chunk, coverage, generations, requests, search, vector_index
 from siltstone.sources import files
 
 
@@ -94,19 +95,37 @@ def vector_topk_every_20th(spark, d):
     return candidates.nearest(v, v.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", F.col("position").cast("long").alias("position"))
 
 
+#: Lists of the index, and how many of them a query looks into.
+_LISTS, _PROBES = 32, 24
+
+
+@query()
+def vector_topk_indexed(spark, d):
+    """The search of vector_topk_every_20th in an index of inverted lists, by its nearest lists only; the tests print its recall."""
+    v = table(spark, d, "embeddings")
+    index = vector_index.build(v, scratch(spark, "lists"), _LISTS)
+    found = index.nearest(v.filter("vec_id % 20 = 0"), 10, "vec_id", "embedding", _PROBES)
+    return found.select("query_id", "vec_id", F.col("position").cast("long").alias("position"), F.lit(True).alias("approximate"))
+
+
 _QUERY = 'the "of the" or en -und'
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple, str] = {}
+
+
+def _built(spark, d):
+    """Write the postings of the documents, a chunk each, to a new folder."""
+    folder = scratch(spark, "postings")
+    candidates.write_index(_refs(spark, d).withColumn("content", F.col("text")), ["doc_id", *search.REF, "revision", "chunk_index"], folder)
+    return folder
 
 
 def _index(spark, d):
-    """The written postings of the documents, a chunk each; they are made once for a session and a folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """The written postings; they are made once for a session and a state of the documents' files."""
+    key = (spark.sparkContext.applicationId, files.signature(table(spark, d, "documents")))
     if key not in _indexes:
-        folder = scratch(spark, "postings")
-        candidates.write_index(_refs(spark, d).withColumn("content", F.col("text")), ["doc_id", *search.REF, "revision", "chunk_index"], folder)
-        _indexes[key] = folder
+        _indexes[key] = _built(spark, d)
     return candidates.read_index(spark, _indexes[key])
 
 
@@ -122,6 +141,16 @@ def lexical_match_simple(spark, d):
     return candidates.lexical(_index(spark, d), ["doc_id"], _QUERY).select("doc_id")
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL)
+SELECT length(term) AS letters, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(n) AS BIGINT) AS positions FROM p GROUP BY 1""")
+def lexical_index_build(spark, d):
+    """The index built anew: how many terms of each length, postings and positions it holds."""
+    rows = candidates.read_index(spark, _built(spark, d))
+    return rows.groupBy(F.length("term").cast("long").alias("letters")).agg(F.count_distinct("term").alias("terms"), F.count(F.lit(1)).alias("postings"), F.sum(F.size("positions").cast("long")).alias("positions"))
+
+
 _COVERS = r"""
 word AS (SELECT doc_id, lang, unnest(ws) AS t, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents)),
 near AS (SELECT *, lag(t) OVER v AS last_t, lag(p) OVER v AS last_p FROM word WHERE t IN ('the', 'and') WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
@@ -251,8 +280,8 @@ g AS (SELECT query_id, sum(CASE WHEN position <= 10 THEN (pow(2, grade) - 1) / l
 SELECT query_id, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg, round(CASE WHEN relevant > 0 THEN hits / relevant ELSE 0 END, 6) AS recall, round(hits / 10, 6) AS precision_, round(coalesce(1.0::DOUBLE / first_, 0), 6) AS mrr FROM g""")
 def relevance_metrics(spark, d):
     ranked = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    position = F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))
-    out = candidates.relevance(ranked.select(F.col("lang").alias("query_id"), F.col("quality").alias("grade"), position.alias("position")))
+    placed = history.placed(ranked.select(F.col("lang").alias("query_id"), F.col("quality").alias("grade"), "n_chars", "doc_id"), scratch(spark, "ranked"), ["query_id"], "n_chars", "doc_id", name="position")
+    out = candidates.relevance(placed.select("query_id", "grade", "position"))
     return out.select("query_id", *[F.round(c, 6).alias(n) for c, n in (("ndcg", "ndcg"), ("recall", "recall"), ("precision", "precision_"), ("mrr", "mrr"))])
 
 

@@ -187,19 +187,24 @@ def underfill(asked: int, found: int, fetched: int, rejected: int, bound: int, s
 
 
 def relevance(ranked: DataFrame, k: int = 10) -> DataFrame:
-    """nDCG@k, recall@k, precision@k and MRR per query of (query_id, position, grade), a grade above 0 being relevant."""
+    """nDCG@k, recall@k, precision@k and MRR per query of (query_id, position, grade), a grade above 0 being relevant.
+
+    The ideal order matters up to k only: of each query's grades, counted, the k best are laid out.
+    """
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
-    ideal = Window.partitionBy("query_id").orderBy(F.desc("grade"), "position")
-    at = ranked.withColumn("ideal", F.row_number().over(ideal))
     log2 = lambda c: F.log(2.0, c + 1)
     inside = F.col("position") <= k
-    out = at.groupBy("query_id").agg(
+    grades = ranked.groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Places up to k that rows of a grade take.
+    taken = grades.withColumn("first", first).filter(F.col("first") < k).withColumn("ideal", F.explode(F.sequence(F.col("first") + 1, F.least(F.col("first") + F.col("n"), F.lit(k)))))
+    ideal = taken.groupBy("query_id").agg(F.sum(gain / log2(F.col("ideal"))).alias("idcg"))
+    out = ranked.groupBy("query_id").agg(
         F.sum(F.when(inside, gain / log2(F.col("position"))).otherwise(0.0)).alias("dcg"),
-        F.sum(F.when(F.col("ideal") <= k, gain / log2(F.col("ideal"))).otherwise(0.0)).alias("idcg"),
         F.count_if(inside & (F.col("grade") > 0)).alias("hits"),
         F.count_if(F.col("grade") > 0).alias("relevant"),
         F.min(F.when(F.col("grade") > 0, F.col("position"))).alias("first"),
-    )
+    ).join(ideal, "query_id")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return out.select(
         "query_id", ratio(F.col("dcg"), F.col("idcg")).alias("ndcg"), ratio(F.col("hits"), F.col("relevant")).alias("recall"), (F.col("hits") / k).alias("precision"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr")

@@ -83,27 +83,47 @@ def _block(asked, held, k: int):
     return row, vk[column], scores[row, column]
 
 
+def files_below(folder: str) -> list[str]:
+    """The data files of a folder and of those in it."""
+    from pyarrow import fs
+
+    store, path = _store(folder)
+    return sorted(x.path for x in store.get_file_info(fs.FileSelector(path, recursive=True)) if x.base_name.endswith(".parquet"))
+
+
+def _of_pairs(queries: str, vectors: str, pairs, k: int, kind: pa.DataType):
+    """The best k of each query over the vector files of a run of (query file, vector file) that share its file."""
+
+    def told(asked, found):
+        for (keys, *_), best in zip(asked, found, strict=True):
+            if best is not None:
+                query, near, scores = best
+                yield pa.RecordBatch.from_arrays([pa.array(keys[query], kind), pa.array(near, kind), pa.array(scores, pa.float64(), mask=scores == _NONE)], names=["query_id", "key", "score"])
+
+    now, asked, found = None, [], []
+    for file, part in pairs:
+        if file != now:
+            yield from told(asked, found)
+            now, asked = file, list(_batches(queries, file, QUERY_ROWS))
+            found = [None] * len(asked)
+        for held in _batches(vectors, part, BATCH_ROWS):
+            for i, a in enumerate(asked):
+                new = _block(a, held, k)
+                found[i] = _first(*(new if found[i] is None else (np.concatenate(x) for x in zip(found[i], new, strict=True))), k)
+    yield from told(asked, found)
+
+
+def file_pairs(queries: str, vectors: str, k: int, kind: pa.DataType):
+    """A task's work on rows that each name a query file and a vector file, in the order of the former."""
+    return lambda batches: _of_pairs(queries, vectors, ((q, v) for b in batches for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), k, kind)
+
+
 def _cells(queries: tuple[str, list[str]], vectors: tuple[str, list[str]], k: int, kind: pa.DataType):
-    def best(cells):
-        """The best of each query over the vector files of a run of cells that share its file."""
-        now, asked, found = None, [], []
-        for cell in cells:
-            file, part = divmod(cell, len(vectors[1]))
-            if file != now:
-                yield from ((a[0], f) for a, f in zip(asked, found, strict=True))
-                now, asked = file, list(_batches(queries[0], queries[1][file], QUERY_ROWS))
-                found = [None] * len(asked)
-            for held in _batches(vectors[0], vectors[1][part], BATCH_ROWS):
-                for i, a in enumerate(asked):
-                    new = _block(a, held, k)
-                    found[i] = _first(*(new if found[i] is None else (np.concatenate(x) for x in zip(found[i], new, strict=True))), k)
-        yield from ((a[0], f) for a, f in zip(asked, found, strict=True))
+    """The same on numbers of cells, of every query file with every vector file."""
 
     def run(batches):
-        for keys, found in best(int(x) for b in batches for x in b.column(0).to_numpy()):
-            if found is not None:
-                query, near, scores = found
-                yield pa.RecordBatch.from_arrays([pa.array(keys[query], kind), pa.array(near, kind), pa.array(scores, pa.float64(), mask=scores == _NONE)], names=["query_id", "key", "score"])
+        numbers = (divmod(int(x), len(vectors[1])) for b in batches for x in b.column(0).to_numpy())
+        return _of_pairs(queries[0], vectors[0], ((queries[1][file], vectors[1][part]) for file, part in numbers), k, kind)
 
     return run
 

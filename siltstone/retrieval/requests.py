@@ -42,33 +42,140 @@ _FUNCTION = set(
     " what which who why how when where something anything everything nothing tell can could would know is are be do does did".split()
 )
 
-# -- What an exact question is made of. A participle counts as a state: things are in it or not.
-_UNDONE = r"un(?!der|til|ion|it|ique|iverse)\w+ed|un(?:paid|done|sent|sold|read|met|known|built|signed|begun)"
-_REACHED = _any(
-    "approved accepted acknowledged activated archived arrived assigned authorized awarded billed booked cancell?ed cleared closed collected completed confirmed decided delayed deleted delivered"
-    " dispatched done dropped due enabled ended expired failed filed finished fixed fulfilled funded halted implemented installed invoiced issued late launched live lit locked lost merged met online offline"
-    " open ordered overdue overdrawn paid passed paused pending posted processed published ready received reconciled refunded rejected released relieved relit repaired replaced resolved restored returned reviewed"
-    " scheduled sent settled shipped signed sold solved stalled started stopped stuck submitted suspended terminated transferred triaged vacant valid verified waived withdrawn won"
-)
-_STATE = f"(?:{_REACHED}|{_UNDONE}|{_any('outstanding missing left remaining incomplete inactive active current complete broken blocked available')})"
-_COUNT = re.compile(
-    r"\bhow (?:many|much|often|frequently|numerous)\b|\b(?:re)?count(?:s|ed|ing)?\b(?! of monte)|\b(?:head|vote)count\b|\b(?:sub)?total(?:s|led)?\b|\btall(?:y|ies)\b|\bnumbers? of\b|\bwhat number\b|\bquantit(?:y|ies)\b"
-    r"|\bamounts? (?:of|owed|due|left)\b|\bsizes? of\b|\bsum(?:s)?\b(?! up)|\b(?:do|does|did|to) \w*\s?(?:\w+ )?owe\b|\bowe[ds]?\b|\bhow (?:big|large) is\b"
-)
-_COMPLETE = re.compile(
-    rf"\ball\b(?! about)|\b(?:every|each)\b|\beveryone\b|\beverybody\b|\bevery ?thing (?!about)\w|\b(?:is|are|was|were|be) (?:there|any)\b(?! \w+ed)|\bthere (?:is|are)\b.*\bmore\b|\bexists?\b|\belse\b"
-    rf"|\bany (?:more|other|further)\b|\bthe (?:rest|remainder|others) of\b|\bremain(?:s|ing)?\b|\b(?<!ing )lists?\b|\blist(?:ed|ings?)\b|\benumerat\w+|\bitemi[sz]\w+|\b(?:complete|full|entire|whole|exhaustive|comprehensive)\b(?: \w+){{0,2}} (?:{_any('set roster inventory register directory catalog index names collection')}|\w+s)\b"
-    rf"|\bname (?:the|all|each)\b|\bnothing (?:else|{_STATE})\b|\b{_any('items tasks things invoices orders tickets')} (?:left|outstanding)\b|^left \w+s\b|\b\w+s outstanding\b"
-)
-_STATUS = re.compile(
-    rf"\bstatus\b|\bprogress\b|\b(?:what|which|current|overall) (?:state|stage|phase|condition)\b|\bstate of\b|\bhow far along\b|\bstand on\b|\bany updates?\b|\bupdates? on\b|\bwhether\b|\bor not\b|\byet\b"
-    rf"|\b(?:still|not|never|no longer|already|marked(?: as)?|got|gets?|been|being|be|now) (?:\w+ly )?(?:{_STATE}|to \w+)\b|\bstill\b.*\b{_STATE}\b|\b(?:on|off) duty\b|\bunder (?:review|way)\b|\bawaiting\b|\b(?:in|out of) stock\b"
-    rf"|\b(?:which|what|who|whose)\b.*\b(?:is|are|was|were|been|has|have|hasn't|haven't|got|never|get)\b.*\b(?:{_STATE}|\w+ed)\b|\bif\b (?!any\b).*\b(?:{_AUXILIARY}|{_STATE}|\w+s|\w+ed)\b"
-    rf"|^(?:{_AUXILIARY})\b|\b(?:confirm|verify|check that|make sure)\b|\b(?:which|whose|what)(?: \w+){{0,3}} (?:{_STATE}|(?!happened)\w+ed)\b(?! about)|^when will\b|^how (?:is|are)\b|\bwhat is (?:left|missing)\b"
-)
-#: A state named of several things, which is a selection even where the form is served.
-_SELECTED = re.compile(rf"\b(?:{_UNDONE}|overdue|outstanding|missing|pending|open|unresolved|remaining) \w+[^s\W]s\b(?! \w+ing\b)|\b(?:not|never) (?:{_STATE}|\w+ed)\b")
-_STATED = re.compile(rf"\b{_STATE}\b")
+# -- What an exact question is made of, told from how its words stand to one another.
+#: States that are no participles; a participle is a state, too.
+_STATES = frozenset("open late due overdue ready vacant pending outstanding missing incomplete inactive active current complete broken blocked available online offline live left remaining shut".split())
+#: Participles that do not end in -ed.
+_BENT = frozenset("paid sent sold done met built read won lost left held known begun written shut broken withdrawn lit drawn".split())
+#: Words in -ed that are no participles, and beginnings in un- that deny nothing.
+_NOT_BENT = frozenset("need seed feed speed weed bed red shed bleed breed deed reed indeed exceed proceed succeed happened".split())
+_UN = re.compile(r"un(?!der|til|ion|it|ique|iverse)\w+")
+_BE = frozenset("am is are was were be been being isn't aren't wasn't weren't".split())
+_HAVE = frozenset("has have had hasn't haven't hadn't got get gets getting".split())
+_MEASURES = frozenset("many much often frequently numerous".split())
+_WHOLE = frozenset("all every each everyone everybody".split())
+_SETS = frozenset("set list roster inventory register directory catalog index collection names".split())
+
+
+def _stem(word: str) -> str:
+    """A noun's singular or a verb's base, as far as these rules need it."""
+    for end, instead in (("ies", "y"), ("ied", "y"), ("lled", "l"), ("lling", "l")):
+        if word.endswith(end) and len(word) > len(end) + 2:
+            return word[: -len(end)] + instead
+    for end in ("ing", "ed", "s"):
+        if word.endswith(end) and not word.endswith("ss") and len(word) > len(end) + 2:
+            return word[: -len(end)]
+    return word
+
+
+def _bent(word: str) -> bool:
+    return re.sub("^(?:re|un|over)", "", word) in _BENT or word.endswith("ed") and len(word) > 3 and word not in _NOT_BENT
+
+
+def _state(word: str) -> bool:
+    return word in _STATES or _bent(word)
+
+
+def _undone(word: str) -> bool:
+    """A state that something has not reached, or is past."""
+    return bool(_UN.fullmatch(word)) and _bent(word) or word in ("overdue", "outstanding", "missing", "pending", "open", "unresolved", "remaining")
+
+
+def _plural(word: str) -> bool:
+    return len(word) > 3 and word.endswith("s") and not word.endswith(("ss", "'s", "us", "is"))
+
+
+def _counts(w: list[str]) -> bool:
+    """A measure is asked for: how much of a thing, or a noun of quantity, or what is owed."""
+    for a, b in zip(w, [*w[1:], ""], strict=True):
+        base = _stem(a)
+        if a == "how" and b in _MEASURES or base in ("count", "recount", "headcount", "total", "subtotal", "tally", "quantity", "owe") or a == "owed":
+            return True
+        if base in ("number", "amount", "size", "sum") and (b in ("of", "owed", "due", "left", "") or base == "sum" and b != "up"):
+            return b != "" or base == "sum" or "what" in w
+        if a == "how" and b in ("big", "large") and "is" in w:
+            return True
+    return False
+
+
+def _completes(w: list[str]) -> bool:
+    """All of a kind is asked for: by a word for all of them, by what is left of them, by their being there, or as a list."""
+    for i, a in enumerate(w):
+        before, after = w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
+        if a in _WHOLE and after != "about" or a == "everything" and after not in ("about", ""):
+            return True
+        if a in ("else", "exist", "exists") or a in ("rest", "remainder", "others") and after == "of" or _stem(a) in ("remain", "enumerate", "itemize", "itemise", "enumerat", "itemiz"):
+            return True
+        if a == "any" and after in ("more", "other", "further") or a == "nothing" and (after == "else" or _state(after)):
+            return True
+        # A thing's being there: "is there", "are any"; "there is more".
+        if a in ("is", "are", "was", "were", "be") and (after == "there" or after == "any" and not _bent(w[i + 2] if i + 2 < len(w) else "")):
+            return True
+        if a == "there" and after in ("is", "are") and "more" in w[i:]:
+            return True
+        if _stem(a) == "list" and not before.endswith("ing"):
+            return True
+        if a in ("complete", "full", "entire", "whole", "exhaustive", "comprehensive") and any(x in _SETS or _plural(x) for x in w[i + 1 : i + 4]):
+            return True
+        if a == "name" and after in ("the", "each", "every", "any"):
+            return True
+        # What is left of several: "bills outstanding", "items left", "left tickets".
+        if a in ("left", "outstanding") and (_plural(before) and after == "" or i == 0 and _plural(after)):
+            return True
+    return False
+
+
+def _asks_state(w: list[str]) -> bool:
+    """Whether something holds: an auxiliary first, whether or if, a word for a state, or a state said of a thing that a question word or a time picks out."""
+    if not w:
+        return False
+    if re.fullmatch(_AUXILIARY, w[0]) or w[:2] in (["when", "will"], ["how", "is"], ["how", "are"]):
+        return True
+    picked = False
+    for i, a in enumerate(w):
+        before, after = w[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
+        if a in ("status", "progress", "whether", "yet", "awaiting") or a in ("confirm", "verify") or a == "check" and after == "that" or a == "make" and after == "sure":
+            return True
+        if _stem(a) in ("state", "stage", "phase", "condition") and (before in ("what", "which", "current", "overall") or a == "state" and after == "of"):
+            return True
+        if _stem(a) == "update" and (before == "any" or after == "on") or a == "not" and before == "or" or a == "stand" and after == "on" or w[i : i + 3] == ["how", "far", "along"]:
+            return True
+        if a in ("duty", "review", "way", "stock") and before in ("on", "off", "under", "in", "out", "of") and (a, before) not in (("way", "on"), ("review", "in"), ("way", "in")):
+            return True
+        # A state dated or denied: "still open", "not yet paid", "already sent".
+        rest = w[i + 1 : i + 3]
+        dated = rest and (_state(rest[0]) or rest[0] == "to" or rest[0].endswith("ly") and _state(rest[-1]))
+        if a in ("still", "not", "never", "already", "longer") and dated or a == "still" and any(map(_state, w[i:])):
+            return True
+        if a in ("marked", "got", "gets", "been", "being", "be", "now") and any(_state(x) for x in rest):
+            return True
+        if a == "if" and after != "any" and any(re.fullmatch(_AUXILIARY, x) or _state(x) or _plural(x) for x in w[i + 1 :]):
+            return True
+        # Which of them: a question word, and then a state that they are, have been or got into.
+        if a in ("which", "what", "who", "whose"):
+            picked = True
+            near = w[i + 1 : i + 5]
+            if a in ("which", "what", "whose") and any(_state(x) and x != "happened" and (near + [""])[k + 1] != "about" for k, x in enumerate(near) if k > 0):
+                return True
+            if a == "what" and after == "is" and w[i + 2 : i + 3] in (["left"], ["missing"]):
+                return True
+        elif picked and (a in _BE or a in _HAVE or a == "never") and any(map(_state, w[i + 1 :])):
+            return True
+    return False
+
+
+def _selects(w: list[str]) -> bool:
+    """Things named by a state that they have not reached: a selection even where the form is served."""
+    for i, a in enumerate(w[:-1]):
+        after = w[i + 1]
+        if _undone(a) and _plural(after) and not any(x.endswith("ing") for x in w[i + 2 : i + 3]) or a in ("not", "never") and _state(after):
+            return True
+    return False
+
+
+def _stated(w: list[str]) -> bool:
+    return any(map(_state, w))
+
 
 # -- Cutting a request into parts.
 _BOUNDARY = re.compile(r"[\n\r\t\v\f\x1c-\x1e\x85\u2028\u2029\u3000.!?;:,/|&+\u2022\u00b7*()\"~=><#\u2190-\u21ff]+|--+|\s[-\u2013\u2014]+\s|[\u2013\u2014]+|^\s*[-\u2013\u2014]+\s*", re.M)
@@ -176,13 +283,27 @@ def parts(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-_CUES = (("count", _COUNT), ("completeness", _COMPLETE), ("status", _STATUS))
 #: Openings that ask for notes and so say nothing of a state.
 _ASKED = re.compile(rf"^{_WANTED} ")
 
 
-def _deny(text: str) -> str | None:
-    return next((kind for kind, pattern in _CUES if pattern.search(text)), None)
+def _exact(text: str) -> str | None:
+    """The kind of exact question that a text asks, by its grammar, or None."""
+    w = text.split()
+    return "count" if _counts(w) else "completeness" if _completes(w) else "status" if _asks_state(w) else None
+
+
+def _inside(part: str, form: str | None) -> str | None:
+    """What a part of some form asks that no bundle can answer."""
+    w = part.split()
+    if form in ("cause", "explain") and not _selects(w) and not set(w) & {"whether", "status", "which", "not"} and not _counts(w) and not _completes(w):
+        return None  # why and how something came to be, which names states without asking for them
+    found = _exact(_ASKED.sub("", part) if form else part)
+    if found is None and form in ("explain", "notes") and _selects(w):
+        found = "status"
+    if found is None and form == "topic" and _stated(w):
+        found = "completeness" if set(w) & {"left", "remaining"} else "status"
+    return found
 
 
 def _read(text: str) -> str:
@@ -195,15 +316,11 @@ def _read(text: str) -> str:
             refused = refused or "unrecognized"
             continue
         form = _form(part, k > 0)
-        hard = None if form in ("cause", "explain") and not (_COUNT.search(part) or _COMPLETE.search(part) or _SELECTED.search(part) or _has("whether|status|which|not", part)) else _deny(_ASKED.sub("", part) if form else part)
-        if form in ("explain", "notes") and hard is None and _SELECTED.search(part):
-            hard = "status"
-        if form == "topic" and hard is None and _STATED.search(part):
-            hard = "completeness" if _has("left|remaining", part) else "status"
+        hard = _inside(part, form)
         if form == "topic" and hard is None and asked and len(found) == 1:
             hard = "unrecognized"
         if hard or form is None:
-            kind = hard or _deny(whole) or ("status" if _STATED.search(part) and _has(f"{_AUXILIARY}|{_QUESTION}|me|us", part) else "unrecognized")
+            kind = hard or _exact(whole) or ("status" if _stated(part.split()) and _has(f"{_AUXILIARY}|{_QUESTION}|me|us", part) else "unrecognized")
             refused = refused if refused not in (None, "unrecognized") else kind
     return refused or "served"
 

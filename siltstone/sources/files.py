@@ -20,6 +20,16 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return got.select(F.try_variant_get("v", "$.id", "string").alias("record_id"), F.try_variant_get("v", "$.revision", "long").alias("revision"), F.to_json(F.try_variant_get("v", "$.data", "variant")).alias("canonical_data"))
 
 
+def signature(rows: DataFrame) -> tuple:
+    """What tells one state of a table's files from another: their paths, lengths and times of change."""
+    spark, out = rows.sparkSession, []
+    for file in sorted(rows.inputFiles()):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        told = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((file, told.getLen(), told.getModificationTime()))
+    return tuple(out)
+
+
 def digested(rows: DataFrame, content: str) -> DataFrame:
     """Rows with the length in bytes and the SHA-256 of their content; a reference has no bytes, so neither."""
     return rows.withColumn("n_bytes", F.octet_length(content).cast("long")).withColumn("sha256", F.sha2(F.col(content), 256))

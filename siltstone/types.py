@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -65,7 +66,11 @@ class Field:
 
 @dataclass(frozen=True)
 class CollectionDefinition:
-    """A collection: declared fields, unique paths, and the transitions its lifecycle field may take."""
+    """A collection: declared fields, unique paths, and the transitions its lifecycle field may take.
+
+    `schema`, where there is one, is the canonical text of the records' whole tree, and the fields are its scalars that are
+    declared; `operators.schemas.definition` makes such a collection.
+    """
 
     slug: str
     fields: tuple[Field, ...]
@@ -74,6 +79,7 @@ class CollectionDefinition:
     lifecycle: str | None = None
     initial: tuple[str, ...] = ()
     transitions: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    schema: str | None = None
 
     def __post_init__(self):
         names = [f.name for f in self.fields]
@@ -113,6 +119,13 @@ class CollectionDefinition:
             raise EngineError("SCHEMA_BREAKING", f"{', '.join(sorted(old))} dropped")
         return CollectionDefinition(self.slug, fields, self.version + 1, self.uniques, self.lifecycle, self.initial, self.transitions)
 
+    def optional(self, name: str) -> bool:
+        """Whether a record may do without the field, which is declared."""
+        if self.schema is not None:
+            tree = json.loads(self.schema)
+            return name in tree.get("properties", {}) and name not in tree.get("required", [])
+        return any(f.name == name and not f.required for f in self.fields)
+
     def record_schema(self) -> T.StructType:
         """The wide layout: a kind and a value for each field."""
         out = T.StructType([T.StructField("record_id", T.StringType(), False)])

@@ -81,7 +81,7 @@ def test_facts_become_visible_together(spark, tmp_path):
     store.append({"events": one, "outbox": one.filter("n > 0")}, 1)
     store.append({"events": one, "outbox": one.filter("n > 0")}, 1)
     # A batch that stopped before its commit is not seen.
-    one.write.parquet(f"file://{tmp_path}/facts/events/batch=2")
+    one.write.parquet(f"file://{tmp_path}/facts/events/batch=2/attempt=stopped")
     assert store.read(spark, "events").count() == 3 and store.read(spark, "outbox").count() == 2
 
 

@@ -4,6 +4,7 @@ import itertools
 import zoneinfo
 from datetime import UTC, datetime, timedelta
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,29 @@ def test_aggregate_against_plain_python(edges):
     assert out["complete"] is True
 
 
+def test_sums_are_exact_whatever_the_keys_and_magnitudes(spark):
+    definition = CollectionDefinition("m", (Field("g", "number"), Field("s", "string"), Field("x", "number")))
+    values = {1e14: [1e14, 1e-5, 0.1], 2.5: [0.1, 0.2], -0.0: [1e300, -1e300, 1.7976931348623157e308, 5e-324], 7.0: [12345678901234567.0, 0.30000000000000004], None: [1e14, 1e-5]}
+    rows = [("null" if k is None else "number", k, "string", s, "number", float(x)) for k, xs in values.items() for x in xs for s in ("a", "b")]
+    df = spark.createDataFrame(rows, "g__kind string, g__val double, s__kind string, s__val string, x__kind string, x__val double")
+    metrics = (Metric("count"), Metric("sum", "x"), Metric("avg", "x"))
+    exact = lambda xs: sum((Fraction(Decimal(repr(x))) for x in xs), Fraction(0))
+    for keys in ((Key("g"),), (Key("s"), Key("g")), (Key("s"),), ()):
+        out = evaluate(df, Spec(group_by=keys, metrics=metrics), definition)
+        seen = 0
+        for g in out["groups"]:
+            told = dict(zip([k.field for k in keys], [k["value"] for k in g["key"]], strict=True))
+            mine = [r[5] for r in rows if ("g" not in told or r[1] == told["g"]) and ("s" not in told or r[3] == told["s"])]
+            seen += len(mine)
+            assert g["count"] == len(mine) and Fraction(Decimal(g["metrics"][1]["value"])) == exact(mine)
+            mean = Fraction(Decimal(g["metrics"][2]["value"]))
+            assert mean == 0 or abs(mean - exact(mine) / len(mine)) <= abs(mean) * Fraction(1, 10**19)
+        assert seen == len(rows)
+    with pytest.raises(Exception, match="INEXACT"):
+        aggregated(df, Spec(group_by=(Key("g"),), metrics=metrics), definition).collect()
+    assert all(r.x_sum is not None for r in aggregated(df, Spec(group_by=(Key("g"),), metrics=metrics), definition, "exact").collect())
+
+
 def test_group_caps_are_errors(edges):
     with pytest.raises(EngineError) as e:
         evaluate(edges, Spec(group_by=(Key("team"),), max_groups=3), DEF)

@@ -1,5 +1,6 @@
 """Chunks, candidates, fusion, bundles, classifier and relevance against plain versions."""
 
+import itertools
 import math
 import re
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.plans import retrievals
-from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours, requests, search
+from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours, requests, search, vector_index
 from siltstone.types import EngineError
 
 
@@ -268,6 +269,64 @@ def test_bundles_merge_cut_and_frame():
         bundle.assemble([], 100)
 
 
+def test_bundles_merge_ranges_in_any_order():
+    whole = "".join(chr(97 + i * 7 % 26) for i in range(400))
+    part = lambda a, b: hit("x", a, whole[a:b])
+    for ranges in ([(0, 100), (150, 250), (90, 160)], [(300, 400), (0, 100), (150, 250), (90, 310)], [(0, 50), (50, 60), (200, 210)], [(10, 20), (0, 40), (30, 35)], [(0, 1), (2, 3), (4, 5), (1, 2), (3, 4)]):
+        held = [any(a <= i < b for a, b in ranges) for i in range(401)]
+        starts = [i for i in range(401) if held[i] and not (i and held[i - 1])]
+        want = [(a, a + next(n for n in range(401) if not held[a + n])) for a in starts]
+        for order in itertools.permutations(ranges):
+            got = bundle.merged([hit("y", 0, "other"), *[part(*r) for r in order]])
+            assert got[0]["ref_id"] == "y" and sorted((h["start"], h["end"]) for h in got[1:]) == want
+            assert all(h["text"] == whole[h["start"] : h["end"]] for h in got[1:])
+            first = lambda h: next(k for k, (a, b) in enumerate(order) if h["start"] <= a and b <= h["end"])  # noqa: B023, E731
+            assert [first(h) for h in got[1:]] == sorted(first(h) for h in got[1:])
+
+
+def test_a_rewritten_table_is_indexed_anew(spark, tmp_path):
+    docs = lambda text: spark.createDataFrame([(1, text, "en", 3), (2, "the other", "en", 9)], "doc_id long, text string, lang string, n_chars long")
+    docs("of the old").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda: sorted(r.doc_id for r in candidates.lexical(retrievals._index(spark, str(tmp_path)), ["doc_id"], "old").collect())
+    assert found() == [1]
+    docs("of the new").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert found() == []
+
+
+@pytest.mark.parametrize("kind", ["clustered", "table"])
+def test_recall_of_the_vector_index(spark, tmp_path, kind):
+    """Ten nearest of every twentieth row against all rows."""
+    if kind == "table":
+        rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+        lists, probes = retrievals._LISTS, retrievals._PROBES
+    else:
+        rng = np.random.default_rng(4)
+        centres = rng.normal(size=(40, 24))
+        v = centres[rng.integers(0, 40, 3000)] + rng.normal(scale=0.35, size=(3000, 24))
+        v[:1000] = centres[0] + rng.normal(scale=0.35, size=(1000, 24))  # a third of all in one list
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None), (5020, [0.0] * 24), (5040, [1.0])], "vec_id long, embedding array<double>")
+        lists, probes = 24, 4
+    asked = rows.filter("vec_id % 20 = 0")
+    index = vector_index.build(rows, f"file://{tmp_path}/{kind}", lists, sample=1500)
+    got = index.nearest(asked, 10, "vec_id", "embedding", probes).collect()
+    exact = candidates.nearest(rows, asked, 10).filter("score IS NOT NULL").collect()
+    want = {(r.query_id, r.vec_id): (r.score, r.position) for r in exact}
+    scored = {(r.query_id, r.vec_id): r.score for r in got}
+    recall = len(set(want) & set(scored)) / len(want)
+    print(f"recall at 10, {kind}: {recall:.3f} over {len({q for q, _ in want})} queries, {probes} of {lists} lists")
+    assert recall >= 0.9 and all(math.isclose(scored[x], want[x][0], abs_tol=1e-8) for x in set(want) & set(scored))
+    # Every vector that has a direction is listed, and looking into all lists is exact.
+    listed = spark.read.parquet(index.folder)
+    assert listed.count() == rows.filter("embedding IS NOT NULL AND vec_id NOT IN (5000, 5020, 5040)").count()
+    if kind == "clustered":
+        few = asked.filter("vec_id < 200")
+        whole = index.nearest(few, 10, "vec_id", "embedding", lists).select("query_id", "vec_id", "position").collect()
+        assert sorted(map(tuple, whole)) == sorted((q, v, p) for (q, v), (_, p) in want.items() if q < 200)
+        vector_index.save(spark, index, f"file://{tmp_path}/centroids")
+        again = vector_index.load(spark, index.folder, f"file://{tmp_path}/centroids")
+        assert np.allclose(again.at, index.at)
+
+
 REFUSED = {
     "count": [
         "How many loans are late?", "count the broken sensors", "number of greenhouses in the valley", "What is the TOTAL rent?", "how much do we owe the nursery", "the quantity of seed", "how often did the pump stop", "how-many seedlings",
