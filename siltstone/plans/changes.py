@@ -8,6 +8,7 @@ from siltstone.operators import access, evidence, facts, history, jobs, ledger,
 from siltstone.operators.aggregate import merged as merged_groups
 from siltstone.plans.inputs import LOG_SQL, change_log, scratch, table
 from siltstone.plans.registry import query
+from siltstone.sources import feed_source
 from siltstone.streaming import feeds, folds
 from siltstone.types import CollectionDefinition, Field
 
@@ -556,3 +557,19 @@ def ledger_batches(spark, d):
         gone = book.table(spark, "keys").filter(F.split("tuple", "/")[0].cast("long") % 7 == 0) if batch == 2 else None
         outs[batch] = book.apply(requests.filter(F.col("batch") == batch), batch, 1_000_000 + batch, gone)
     return outs[0].unionByName(outs[1]).unionByName(outs[2]).select("ordinal", "outcome")
+
+
+@query(_L + "SELECT position, record_id, revision, op FROM log WHERE position > 1234")
+def feed_source_resumed(spark, d):
+    """The log as a source of its own, streamed from a cursor: stopped half way, and late files published before the restart."""
+    base = scratch(spark, "feed")
+    log = change_log(spark, d).select("position", "record_id", "revision", "op")
+    log.filter("position <= 4000").repartitionByRange(3, "position").write.parquet(f"{base}/log")
+    feed_source.register(spark)
+    store = facts.Store(f"{base}/store")
+    for late in (None, log.filter("position > 4000")):
+        if late is not None:
+            late.repartitionByRange(4, "position").write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.format("siltstone_feed").schema(log.schema).options(path=f"{base}/log", cursor=1234).load()
+        folds.run(stream, store, "events", f"{base}/checkpoint").awaitTermination()
+    return store.read(spark, "events")

@@ -10,7 +10,7 @@ from siltstone.operators import history
 from siltstone.operators.evidence import extract_text as extracted
 from siltstone.plans.inputs import scratch, table
 from siltstone.plans.registry import query
-from siltstone.retrieval import bundle, candidates, chunk, coverage, generations, requests, search, vector_index
+from siltstone.retrieval import bundle, candidates, chunk, coverage, digests, generations, kinds, requests, search, vector_index
 from siltstone.sources import files
 
 
@@ -207,6 +207,80 @@ def search_citations(spark, d):
     return out.select("ref_id", "text", F.array_join(F.transform("matched_by", lambda x: x.cast("string")), ",").alias("matched_by"))
 
 
+def _of_kinds(spark, d):
+    """Documents as records, sources and claims; some have a later revision, another extraction, or are deleted, and claims cite collections."""
+    docs = table(spark, d, "documents")
+    n, kind = F.col("doc_id"), F.element_at(F.array(*map(F.lit, kinds.KINDS)), (F.col("doc_id") % 3 + 1).cast("int"))
+    refs = docs.select("doc_id", F.col("lang").alias("collection_id"), kind.alias("kind"), F.format_string("d%08d", "doc_id").alias("ref_id"), "text", F.when(n % 7 == 0, 2).otherwise(1).cast("long").alias("now"), (n % 11 == 0).alias("tombstone"))
+    records = refs.filter("kind = 'record'").select("collection_id", F.col("ref_id").alias("record_id"), F.col("now").alias("revision"), "tombstone", F.lit("text").alias("field"), "text")
+    entities = refs.filter("kind <> 'record'").select("collection_id", "kind", F.col("ref_id").alias("entity_id"), F.col("now").alias("revision"), "tombstone")
+    sources = refs.filter("kind = 'source'")
+    segment = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.char_length("text").cast("long").alias("end"), F.lit(3).cast("long").alias("source_start"), (F.octet_length("text") + 3).cast("long").alias("source_end")))
+    extraction = lambda version: F.struct(F.lit(version).cast("long").alias("version"))
+    versions = F.when(n % 5 == 0, F.array(extraction(1), extraction(2))).otherwise(F.array(extraction(1)))
+    extractions = sources.select("collection_id", F.col("ref_id").alias("source_id"), F.explode(versions).alias("v"), F.col("text").alias("content"), segment.alias("segments")).select("collection_id", "source_id", "v.version", "content", "segments")
+    claims = refs.filter("kind = 'claim'").select("collection_id", F.col("ref_id").alias("claim_id"), F.col("now").alias("revision"), F.col("text").alias("statement"))
+    cites = refs.filter("kind = 'claim'").select("collection_id", F.col("ref_id").alias("claim_id"), F.col("now").alias("revision"), F.lit(0).alias("ordinal"), F.when(n % 13 == 0, "es").otherwise("en").alias("source_collection_id"), F.lit("s").alias("source_id"))
+    chunks = refs.select("doc_id", *search.REF, F.lit(1).cast("long").alias("revision"), F.when(F.col("kind") == "source", 1).cast("long").alias("extraction"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    return chunks, records, entities, extractions, claims, cites
+
+
+def _kinds_found(spark, d, parts):
+    chunks, records, entities, extractions, _, cites = parts
+    key = ("kinds", spark.sparkContext.applicationId, files.signature(table(spark, d, "documents")))
+    if key not in _indexes:
+        folder = scratch(spark, "postings")
+        candidates.write_index(chunks, [*search.REF, "revision", "extraction", "chunk_index"], folder)
+        _indexes[key] = folder
+    readable = spark.createDataFrame([("en",), ("fr",), ("de",)], "collection_id string")
+    hidden = cites.filter("source_collection_id = 'es'").select(F.col("claim_id").alias("ref_id")).distinct()
+    collections = table(spark, d, "documents").select(F.col("lang").alias("collection_id")).distinct().withColumn("lifecycle", F.when(F.col("collection_id") == "de", "deleted").otherwise("active"))
+    able = kinds.authority(records, entities, extractions, collections)
+    return search.search(search.Request("the and", limit=25, mode="lexical"), candidates.read_index(spark, _indexes[key]), None, able, readable, hidden)
+
+
+_KINDS_SQL = f"""
+WITH {_COVERS},
+live AS (
+  SELECT doc_id, lang, score, ['record', 'source', 'claim'][doc_id % 3 + 1] AS kind, 'd' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS ref_id FROM cover
+  WHERE lang IN ('en', 'fr') AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND NOT (doc_id % 3 = 1 AND doc_id % 5 = 0) AND NOT (doc_id % 3 = 2 AND doc_id % 13 = 0)
+), hit AS (SELECT *, row_number() OVER (ORDER BY score DESC, lang, kind, ref_id) AS rank FROM live QUALIFY rank <= 25)"""
+
+
+@query(_KINDS_SQL + """
+SELECT rank, kind, ref_id, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM hit""")
+def search_kinds(spark, d):
+    """A search over records at their revision, sources at their latest extraction and claims that cite what may be read."""
+    return _kinds_found(spark, d, _of_kinds(spark, d))[0].select(F.col("rank").cast("long").alias("rank"), "kind", "ref_id", F.round("score", 9).alias("score"))
+
+
+@query(_KINDS_SQL + """
+SELECT rank, kind, ref_id, substr(text, 6, least(length(text), 45) - 5) AS text,
+  CASE WHEN kind = 'source' THEN 3 + strlen(substr(text, 1, 5)) END AS source_start, CASE WHEN kind = 'source' THEN 3 + strlen(substr(text, 1, least(length(text), 45))) END AS source_end,
+  CASE WHEN kind = 'claim' THEN 'en/s' END AS evidence
+FROM hit JOIN documents USING (doc_id)""")
+def search_kinds_cited(spark, d):
+    """The same hits with their citations: the text that stands there now, of sources the bytes it came from, of claims their evidence."""
+    chunks, records, entities, extractions, claims, cites = parts = _of_kinds(spark, d)
+    end = F.least(F.char_length("content"), F.lit(45)).cast("long")
+    spans = chunks.select(*search.REF, "revision", "extraction", "chunk_index", F.when(F.col("kind") == "record", "text").alias("field"), F.lit(5).cast("long").alias("start"), end.alias("end"))
+    out = kinds.cited(_kinds_found(spark, d, parts)[0], spans, records, extractions, claims, cites)
+    told = F.array_join(F.transform("evidence", lambda e: F.concat(e["source_collection_id"], F.lit("/"), e["source_id"])), ",")
+    return out.select(F.col("rank").cast("long").alias("rank"), "kind", "ref_id", "text", "source_start", "source_end", told.alias("evidence"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN 'absent' WHEN doc_id % 100 = 3 THEN 'extra' ELSE 'differs' END AS difference FROM documents WHERE doc_id % 100 IN (1, 2, 3)""")
+def generation_digests(spark, d):
+    """A projection held against the authority by a tree of digests; only leaves that differ are read."""
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), "lang")
+    base, n = scratch(spark, "digests"), F.col("doc_id") % 100
+    authority, projection = (digests.Ranged(f"{base}/{x}", "doc_id", ("sha", "lang")) for x in ("authority", "projection"))
+    authority.write(rows.filter(n != 3))
+    projection.write(rows.filter(n != 1).withColumn("lang", F.when(n == 2, None).otherwise(F.col("lang"))))
+    return digests.compared(spark, projection, authority)
+
+
 @query(_HYBRID + """
 SELECT CAST(least(10, count(*) FILTER (verdict = 'ok')) AS BIGINT) AS found, count(*) FILTER (verdict = 'deleted') AS deleted, count(*) FILTER (verdict = 'stale') AS stale, 0::BIGINT AS unauthorized
 FROM (SELECT DISTINCT doc_id, verdict FROM told)""")

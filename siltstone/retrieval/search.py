@@ -42,10 +42,11 @@ class Request:
 def live(authority: DataFrame, readable: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
     """(REF, revision) of what a search may find: current, not deleted, in a readable collection, not a hidden claim.
 
-    authority has REF, revision, tombstone; readable collection_id; hidden the ref_id of claims that cite what
-    cannot be read.
+    authority has REF, revision, tombstone, and where refs have extractions, as those of `kinds.authority`, `extraction`;
+    readable collection_id; hidden the ref_id of claims that cite what cannot be read.
     """
-    rows = authority.filter(~F.col("tombstone")).join(readable.select("collection_id").distinct(), "collection_id", "left_semi").select(*REF, "revision")
+    more = ["extraction"] if "extraction" in authority.columns else []
+    rows = authority.filter(~F.col("tombstone")).join(readable.select("collection_id").distinct(), "collection_id", "left_semi").select(*REF, "revision", *more)
     if hidden is not None:
         gone = hidden.select(F.lit("claim").alias("kind"), "ref_id").distinct()
         rows = rows.join(gone, ["kind", "ref_id"], "left_anti")
@@ -54,7 +55,12 @@ def live(authority: DataFrame, readable: DataFrame, hidden: DataFrame | None = N
 
 def _best(scored: DataFrame, able: DataFrame, bound: int, name: str) -> DataFrame:
     """Each ref at its best chunk, the first `bound` of them, with their `position`."""
-    kept = scored.join(able, [*REF, "revision"], "left_semi")
+    same = F.lit(True)
+    for c in (*REF, "revision"):
+        same = same & (scored[c] == able[c])
+    if "extraction" in able.columns:
+        same = same & scored["extraction"].eqNullSafe(able["extraction"])
+    kept = scored.join(able, same, "left_semi")
     best = kept.groupBy(*REF, "revision").agg(F.max(F.struct("score", -F.col("chunk_index"))).alias("best"))
     order = [F.desc(F.round("score", 9)), *REF]
     top = best.select(*REF, "revision", F.col("best.score").alias("score"), (-F.col("best.col2")).alias("chunk_index")).orderBy(*order).limit(bound)
@@ -62,7 +68,8 @@ def _best(scored: DataFrame, able: DataFrame, bound: int, name: str) -> DataFram
 
 
 def lexical_list(index: DataFrame, able: DataFrame, request: Request, bound: int) -> DataFrame:
-    return _best(candidates.lexical(index, [*REF, "revision", "chunk_index"], request.text), able, bound, "lexical")
+    more = ["extraction"] if "extraction" in able.columns else []
+    return _best(candidates.lexical(index, [*REF, "revision", *more, "chunk_index"], request.text), able, bound, "lexical")
 
 
 def vector_list(vectors: DataFrame, able: DataFrame, request: Request, bound: int, generations: tuple[int, ...] = (1,)) -> DataFrame:
@@ -81,7 +88,7 @@ def vector_list(vectors: DataFrame, able: DataFrame, request: Request, bound: in
             score = np.where(some, v @ wanted / np.where(some, size, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[c.filter(pa.array(some)) for c in batch.columns[:-1]], pa.array(score[some])], names=[*batch.schema.names[:-1], "score"])
 
-    columns = [*REF, "revision", "chunk_index"]
+    columns = [*REF, "revision", *(["extraction"] if "extraction" in able.columns else []), "chunk_index"]
     rows = vectors.filter(F.col("generation").isin(list(generations))).select(*columns, F.col("embedding").cast("array<double>").alias("embedding"))
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns) + ", score double"
     return _best(rows.mapInArrow(run, schema), able, bound, "vector")
