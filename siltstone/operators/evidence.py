@@ -11,8 +11,13 @@ from siltstone.operators.history import placed
 TEXT_TYPES = ("text/plain", "text/markdown", "text/csv", "text/tab-separated-values")
 
 
-def readable(grants: DataFrame, key: str, capability: str) -> DataFrame:
-    """Collections that a credential may use so: unexpired grants whose capabilities hold it."""
+def readable(grants: DataFrame, key: str, capability: str, owned: DataFrame | None = None) -> DataFrame:
+    """Collections that a credential may use so: unexpired grants whose capabilities hold it.
+
+    The owner of a space needs no grant: where `owned` has its collections (collection_id, lifecycle), all that are not deleted.
+    """
+    if owned is not None:
+        return owned.filter("lifecycle <> 'deleted'").select("collection_id").distinct()
     live = F.col("expires_at").isNull() | (F.col("expires_at") > F.current_timestamp()) if "expires_at" in grants.columns else F.lit(True)
     return grants.filter((F.col("credential") == key) & F.array_contains("capabilities", capability) & live).select("collection_id").distinct()
 

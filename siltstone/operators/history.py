@@ -81,11 +81,18 @@ def published(committed: DataFrame, last: int, folder: str) -> DataFrame:
     return placed.join(first, "collection_id").withColumn("position", F.col("place") - F.col("_first") + 1 + F.lit(last)).select(*committed.columns, "position")
 
 
-def freshness(log: DataFrame, watermark: Column | int, version: int) -> DataFrame:
-    """One row: whether a snapshot at the watermark is exact, and how many later events there are."""
+def freshness(log: DataFrame, watermark: Column | int, version: int, unpublished: DataFrame | None = None) -> DataFrame:
+    """One row: whether a snapshot at the watermark is exact, and how many later events there are.
+
+    Committed events that have no position yet (`unpublished`, where given) are later than any, and make a snapshot stale.
+    """
     later = F.count_if(F.col("position") > watermark)
     same = F.coalesce(F.max("schema_version"), F.lit(version)) == version
-    return log.agg(F.coalesce(F.max("position"), F.lit(0)).alias("head"), later.alias("later"), F.when((later == 0) & same, "exact").otherwise("stale").alias("freshness"))
+    told = log.agg(F.coalesce(F.max("position"), F.lit(0)).alias("head"), later.alias("later"), same.alias("_same"))
+    if unpublished is not None:
+        told = told.crossJoin(unpublished.agg(F.count(F.lit(1)).alias("unpublished")))  # one row each
+    waiting = F.col("unpublished") if unpublished is not None else F.lit(0)
+    return told.withColumn("freshness", F.when((F.col("later") == 0) & (waiting == 0) & F.col("_same"), "exact").otherwise("stale")).drop("_same").select("head", "later", *(["unpublished"] if unpublished is not None else []), "freshness")
 
 
 def export_lines(snapshot: DataFrame, data: Column) -> DataFrame:

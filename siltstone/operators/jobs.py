@@ -13,6 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import history
+from siltstone.operators.facts import claim, read_small
 from siltstone.types import EngineError
 
 
@@ -56,8 +58,45 @@ def run(job: Job, rows: DataFrame, key: str, partial: Callable[[DataFrame, list[
     return replace(job, state="done")
 
 
+def cancel(spark: SparkSession, job: Job) -> bool:
+    """Stop a job from outside, also while it runs: it writes no further cut. False if it was stopped or done before."""
+    return claim(spark, f"{job.folder}/stopped", "cancelled")
+
+
+def _open(spark: SparkSession, job: Job) -> None:
+    stopped = read_small(spark, f"{job.folder}/stopped")
+    if stopped:
+        raise EngineError("CONFLICT", f"the job is {stopped}")
+    job.admit(spark.range(0))
+
+
+def run_as_of(job: Job, log: DataFrame, payload: list[str], partial: Callable[[DataFrame, list[str]], DataFrame], cuts: int = 8) -> Job:
+    """A job over the records live at its watermark, cut by cut: it stops between cuts when it was cancelled or has expired.
+
+    The snapshot is written once, by cut; a run that is started again goes on with the cuts that are not there yet.
+    What is written after the watermark changes nothing.
+    """
+    spark = log.sparkSession
+    _open(spark, job)
+    snapshot = f"{job.folder}/snapshot"
+    if read_small(spark, f"{job.folder}/taken") is None:
+        live = history.as_of(log, job.watermark, payload)
+        job.admit(live)
+        live.withColumn("cut", F.pmod(F.xxhash64("record_id"), F.lit(cuts)).cast("int")).write.mode("overwrite").partitionBy("cut").parquet(snapshot)
+        claim(spark, f"{job.folder}/taken", str(cuts))
+    dealt = spark.read.parquet(snapshot)
+    for cut in range(int(read_small(spark, f"{job.folder}/taken"))):
+        if read_small(spark, f"{job.folder}/cuts/{cut}") is None:
+            _open(spark, job)
+            partial(dealt.filter(F.col("cut") == cut), ["cut"]).write.mode("overwrite").parquet(f"{job.folder}/parts/of={cut}")
+            claim(spark, f"{job.folder}/cuts/{cut}", "done")
+    if not claim(spark, f"{job.folder}/stopped", "done"):
+        _open(spark, job)
+    return replace(job, folder=f"{job.folder}/parts", state="done")
+
+
 def merged(spark: SparkSession, job: Job, final: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The final result over all parts of a job that is done."""
     if job.state != "done":
         raise EngineError("CONFLICT", f"the job is {job.state}")
-    return final(spark.read.parquet(job.folder).drop("cut"))
+    return final(spark.read.parquet(job.folder).drop("cut", "of"))

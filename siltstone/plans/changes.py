@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import access, evidence, facts, history, jobs, ledger, mutate, schemas
+from siltstone.operators import access, evidence, facts, history, jobs, ledger, mutate, schemas, space_export
 from siltstone.operators.aggregate import merged as merged_groups
 from siltstone.plans.inputs import LOG_SQL, change_log, scratch, table
 from siltstone.plans.registry import query
@@ -573,3 +573,48 @@ def feed_source_resumed(spark, d):
         stream = spark.readStream.format("siltstone_feed").schema(log.schema).options(path=f"{base}/log", cursor=1234).load()
         folds.run(stream, store, "events", f"{base}/checkpoint").awaitTermination()
     return store.read(spark, "events")
+
+
+def _space_lines(spark, d):
+    """Lines of four sections: nations as permissions, orders as claims, users' records, and the whole log as revisions."""
+    log = change_log(spark, d)
+    line = lambda *columns: F.concat(F.to_json(F.struct(*columns)), F.lit("\n"))
+    of = lambda name, rows, key, *columns: rows.select(F.lit(name).alias("section"), key.alias("key"), line(*columns).alias("line"))
+    out = of("permissions", table(spark, d, "nation"), F.format_string("%06d", "n_nationkey"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    out = out.unionByName(of("claims", table(spark, d, "orders"), F.format_string("%012d", "o_orderkey"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.repeat(F.lit("s"), (F.col("o_custkey") % 9).cast("int")).alias("statement")))
+    out = out.unionByName(of("records", history.as_of(log, 10**12, ["event_type"]), F.col("record_id"), F.col("record_id").alias("id"), "revision", F.col("event_type").alias("data")))
+    return out.unionByName(of("revisions", log, F.format_string("%012d", "position"), "position", F.col("record_id").alias("id"), "op"))
+
+
+@query(_L + """, lines AS (
+  SELECT 'permissions' AS section, lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS key, '{"id":' || n_nationkey || ',"name":"' || n_name || '"}' || chr(10) AS line FROM nation
+  UNION ALL SELECT 'claims', lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '","statement":"' || repeat('s', o_custkey % 9) || '"}' || chr(10) FROM orders
+  UNION ALL SELECT 'records', record_id, '{"id":"' || record_id || '","revision":' || revision || ',"data":"' || event_type || '"}' || chr(10) FROM (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) = 1) WHERE op <> 'delete'
+  UNION ALL SELECT 'revisions', lpad(CAST(position AS VARCHAR), 12, '0'), '{"position":' || position || ',"id":"' || record_id || '","op":"' || op || '"}' || chr(10) FROM log
+), whole AS (SELECT section, string_agg(line, '' ORDER BY key) AS w FROM lines GROUP BY section),
+cut AS (SELECT section, unnest(range((length(w) + 4092) // 4093)) AS part, w FROM whole),
+body AS (SELECT section, CAST(part AS BIGINT) AS part, substr(w, part * 4093 + 1, 4093) AS b FROM cut)
+SELECT section, part, length(b) - length(replace(b, chr(10), '')) AS rows, CAST(strlen(b) AS BIGINT) AS bytes, sha256(b) AS sha256 FROM body""")
+def space_export_parts(spark, d):
+    """A space's sections as parts of at most 4,096 bytes, cut at prefix sums."""
+    return space_export.parts(_space_lines(spark, d), scratch(spark, "space"), 4096).drop("body")
+
+
+@query(_L + f"""
+, live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY revision DESC) AS r FROM log WHERE position <= {_AT}) WHERE r = 1 AND op <> 'delete')
+SELECT event_type, count(*) AS n, CAST(sum(revision) AS BIGINT) AS revisions FROM live GROUP BY event_type""")
+def snapshot_job_asof(spark, d):
+    """An aggregate job over what was live at its watermark, cut by cut."""
+    job = jobs.Job(scratch(spark, "job"), _AT, max_records=10**12)
+    partial = lambda df, cut: df.groupBy(*cut, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("revision").alias("revisions"))
+    done = jobs.run_as_of(job, change_log(spark, d), ["event_type"], partial, cuts=4)
+    return jobs.merged(spark, done, lambda df: df.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("revisions").alias("revisions")))
+
+
+@query(_L + """SELECT max(position) AS head, count(*) FILTER (position > (SELECT max(position) FROM log WHERE position % 10 <> 0)) AS later,
+  (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS unpublished, 'stale' AS freshness FROM log WHERE position % 10 <> 0""")
+def freshness_unpublished(spark, d):
+    """A snapshot at the head of the log, while events are committed that have no position yet."""
+    log = change_log(spark, d).filter("position % 10 <> 0")
+    head = log.agg(F.max("position")).first()[0]
+    return history.freshness(log, head, 1, table(spark, d, "orders").filter("o_orderstatus = 'P'"))

@@ -173,7 +173,7 @@ lists AS (
 again AS (SELECT doc_id, list, row_number() OVER (PARTITION BY list ORDER BY position) AS position FROM told WHERE verdict = 'ok')"""
 
 
-def _searched(spark, d):
+def _searched(spark, d, limit=10):
     """Documents and their vectors as refs of a collection per language; one in five is deleted and one in seven has moved on by the reread."""
     refs = _refs(spark, d)
     authority = refs.select(*search.REF, "revision", (F.col("doc_id") % 11 == 0).alias("tombstone"))
@@ -182,7 +182,7 @@ def _searched(spark, d):
     embeddings = table(spark, d, "embeddings")
     vectors = embeddings.join(refs.drop("text"), F.col("vec_id") == F.col("doc_id")).withColumn("generation", F.lit(1))
     wanted = embeddings.filter("vec_id = 0").select(F.col("embedding").cast("array<double>")).first()
-    return search.search(search.Request("the and", tuple(wanted[0]), 10), _index(spark, d), vectors, authority, readable, now=now)
+    return search.search(search.Request("the and", tuple(wanted[0]), limit), _index(spark, d), vectors, authority, readable, now=now)
 
 
 @query(_HYBRID + """
@@ -289,6 +289,17 @@ def search_hybrid_report(spark, d):
     return told.select(F.col("found").cast("long").alias("found"), "deleted", "stale", "unauthorized")
 
 
+@query(_HYBRID + """,
+n AS (SELECT list, count(*) AS n FROM lists GROUP BY list),
+r AS (SELECT count(*) FILTER (verdict = 'ok') AS ok, count(*) FILTER (verdict <> 'ok') AS rejected, (SELECT max(n) FROM n) AS fetched FROM (SELECT DISTINCT doc_id, verdict FROM told))
+SELECT least(ok, 50) AS found, CASE WHEN ok >= 50 THEN '' ELSE concat_ws(',', CASE WHEN rejected > 0 THEN 'rejected' END, CASE WHEN fetched >= 200 THEN 'capped' ELSE 'exhausted' END, 'degraded') END AS reasons FROM r""".replace("position <= 40", "position <= 200"))
+def search_hybrid_reasons(spark, d):
+    """Why a search for fifty hits found fewer, if it did: what was rejected, how far the lists went, and what the projections' states say."""
+    states = spark.createDataFrame([("degraded",), ("current",)], "state string")
+    told = search.report(_searched(spark, d, 50)[1], search.Request("the and", (1.0,), 50), states)
+    return told.select(F.col("found").cast("long").alias("found"), F.array_join("reasons", ",").alias("reasons"))
+
+
 _RANKS = """
 lists AS (SELECT 0 AS list, doc_id AS ref_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM documents
   UNION ALL SELECT 1, doc_id, row_number() OVER (ORDER BY length(text) % 97, doc_id) FROM documents),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evidence, facts, history, ledger, mutate, schemas
+from siltstone.operators import evidence, facts, history, jobs, ledger, mutate, schemas, space_export
 from siltstone.streaming import folds
 from siltstone.types import CollectionDefinition, EngineError, Field
 
@@ -274,3 +274,79 @@ def test_a_link_with_both_ends_deleted_goes_once(spark):
         assert {r.id: (r.outcome, r.detached) for r in outcome.collect()} == {"x": ("ok", 2), "y": ("ok", 2), "z": ("LINK_RESTRICTED", 0), "v": ("ok", 0)}
         assert sorted(r.link_id for r in gone.collect()) == ["l1", "l2", "l4", "l5"]
         break
+
+
+def test_a_space_goes_out_and_comes_back(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for name in ("permissions", "sources", "records", "revisions"):
+        for i in range(rng.randrange(1, 60)):
+            rows.append((name, f"{i:04}", "".join(rng.choice("aé€😀 x") for _ in range(rng.choice([0, 3, 40, 900]))) + "\n"))
+    made = lambda rows: spark.createDataFrame(rng.sample(rows, len(rows)), "section string, key string, line string").repartition(5)
+    folder = f"file://{tmp_path}/export"
+    told = space_export.export(made(rows), folder, f"file://{tmp_path}/placed", "exp_1", {"spaceId": "s"}, {"watermark": 9, "snapshotAt": "2024-01-01T00:00:00.000000Z"}, 128)
+    m = space_export.verified(spark, folder, told["sha256"])
+    for name in space_export.SECTIONS:
+        assert space_export.section(spark, folder, name) == "".join(x for s, _, x in sorted(rows) if s == name)
+    assert [s["name"] for s in m["sections"]] == list(space_export.SECTIONS) and max(p["bytes"] for p in m["parts"]) <= 128 and told["parts"] == len(m["parts"]) + 1
+    assert sum(p["rows"] for p in m["parts"]) == len(rows)
+    with pytest.raises(EngineError, match="manifest is not"):
+        space_export.verified(spark, folder, "0" * 64)
+    # A letter changed in one part, and a part that is gone.
+    held = spark.read.schema(space_export._STORED).parquet(f"{folder}/parts")
+    stored = held.collect()
+    victim = next(r for r in stored if "a" in r.body)
+    for kept in ([r if r != victim else (*victim[:4], victim.body.replace("a", "b", 1), victim.section) for r in stored], [r for r in stored if r != victim]):
+        bad = f"file://{tmp_path}/bad{len(kept)}"
+        spark.createDataFrame(kept, held.schema).write.partitionBy("section").parquet(f"{bad}/parts")
+        facts.claim(spark, f"{bad}/manifest", facts.read_small(spark, f"{folder}/manifest"))
+        with pytest.raises(EngineError, match="not what the manifest lists"):
+            space_export.verified(spark, bad, told["sha256"])
+    for wrong in (("none", "1", "x\n"), ("records", "1", "x"), ("records", "1", "x\ny\n"), ("records", "1", None)):
+        with pytest.raises(EngineError, match="UNPROCESSABLE"):
+            space_export.parts(made([*rows, wrong]), f"file://{tmp_path}/w", 128)
+    assert space_export.parts(spark.createDataFrame([], "section string, key string, line string"), f"file://{tmp_path}/none").collect() == []
+
+
+def test_a_job_stops_between_its_cuts(spark, tmp_path):
+    log = spark.createDataFrame([(f"r{i % 20}", 1 + i // 20, i + 1, "delete" if i == 25 else "create" if i < 20 else "replace", i) for i in range(60)], "record_id string, revision long, position long, op string, v long")
+    partial = lambda df, cut: df.groupBy(*cut).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+    total = lambda df: df.agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    job = jobs.Job(f"file://{tmp_path}/job", 40, max_records=100)
+    seen = []
+
+    def stopping(df, cut):
+        seen.append(1)
+        if len(seen) == 2:
+            assert jobs.cancel(spark, job) and not jobs.cancel(spark, job)
+        return partial(df, cut)
+
+    with pytest.raises(EngineError, match="cancelled"):
+        jobs.run_as_of(job, log, ["v"], stopping, cuts=4)
+    assert len(seen) == 2
+    again = jobs.Job(f"file://{tmp_path}/again", 40)
+
+    def failing(df, cut):
+        seen.append(1)
+        if len(seen) == 5:
+            raise RuntimeError("lost")
+        return partial(df, cut)
+
+    with pytest.raises(RuntimeError, match="lost"):
+        jobs.run_as_of(again, log, ["v"], failing, cuts=4)
+    # The second run has the cuts of the first, and does not see what came after the watermark or since.
+    done = jobs.run_as_of(again, log.unionByName(log.withColumn("position", F.col("position") + 1000)), ["v"], failing, cuts=4)
+    want = sum(range(20, 40)) - 25
+    assert tuple(jobs.merged(spark, done, total).first()) == (19, want) and not jobs.cancel(spark, again)
+    with pytest.raises(EngineError):
+        jobs.run_as_of(jobs.Job(f"file://{tmp_path}/small", 40, max_records=3), log, ["v"], partial)
+
+
+def test_owners_and_what_is_not_published(spark):
+    grants = spark.createDataFrame([("k", "a", ["read"])], "credential string, collection_id string, capabilities array<string>")
+    owned = spark.createDataFrame([("a", "active"), ("b", "readOnly"), ("c", "deleted")], "collection_id string, lifecycle string")
+    assert [r.collection_id for r in evidence.readable(grants, "k", "read").collect()] == ["a"]
+    assert sorted(r.collection_id for r in evidence.readable(grants, "owner", "read", owned).collect()) == ["a", "b"]
+    log = spark.createDataFrame([(1, 1), (2, 1)], "position long, schema_version int")
+    waiting = spark.range(2)
+    assert tuple(history.freshness(log, 2, 1, waiting).first()) == (2, 0, 2, "stale") and tuple(history.freshness(log, 2, 1, waiting.limit(0)).first()) == (2, 0, 0, "exact")
