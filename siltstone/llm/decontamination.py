@@ -26,7 +26,9 @@ one shard's index at a time.
 Words are runs of letters and digits (any byte above ASCII is a letter), A-Z lower-cased.  Null or empty
 texts hold nothing; null or wordless items match nothing; items of equal text are each reported, equal rows
 once.  Documents that repeat a doc_id are searched each, and `contamination` reports their ids once an item.
-Very long texts are so many passages.  Of a pair's passages the one that scores best is reported, ties going to
+An
+empty table of either kind gives an empty result; columns of documents other than doc_id and text, and of items other
+than item_id and text, are not read.  Very long texts are so many passages.  Of a pair's passages the one that scores best is reported, ties going to
 the greater overlaps.
 """
 

@@ -11,7 +11,8 @@ bounded and every byte is parsed.
 
 The fingerprint of an empty or null text is empty; two empty ones are alike (1.0), an empty and another are
 not (0.0).  Rows that repeat a doc_id follow one another by their texts.  A null doc_id has no place in the
-order: the next text is empty.  Columns other than doc_id and text are not read, whatever their names.
+order: the next text is empty.  An empty table gives an empty
+result.  Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

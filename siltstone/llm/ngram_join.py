@@ -29,8 +29,8 @@ cells that agree may all be empty, in every one of the spare parts that agree.
 
 Null or empty texts have no shingles and link with nothing.  Exact copies count as one set.  Rows that repeat
 a doc_id are one node, and whatever one of its texts is linked to, the node is linked to.  A null doc_id is its
-own component (null).  Very long texts are sets like others.  Columns other than doc_id and text are not read,
-whatever their names.
+own component (null).  Very long texts are sets like others.  An empty table gives an empty
+result.  Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

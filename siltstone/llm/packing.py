@@ -11,7 +11,7 @@ at 0 (each segment's start, and the padding's).
 No id is dropped: `unpacked` gives every document's ids back.  Null and empty texts have no segments.  Rows
 that repeat a doc_id are told apart by a hash of the text; equal rows unpack as one.  A document whose doc_id is null
 is packed like others, its id null in `doc_ids`.  Segments of equal length go by id, hash and part.  Texts longer than
-`length` ids are split; columns other than doc_id and text are not read.
+`length` ids are split; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ ids) and `hex` (long hexadecimal runs).  Two more are reported only once their s
 A key body may have 32,768 letters (several times the largest in use) and a token's header 4,096; with these bounds
 a scan takes time in proportion to the text, whatever it holds.  A token may begin anywhere in a word.
 
-Spans are code points, end exclusive.  Null texts count as empty and have no spans.  Rows that repeat are scanned
+Spans are code points, end exclusive; those that start together go by kind, as listed.  Null texts count as empty and
+have no spans; an empty table gives an empty result.  Rows that repeat are scanned
 each, and columns other than doc_id and text are neither read nor in the way.
 """
 

@@ -13,7 +13,8 @@ merges by rank and may cut some words otherwise.  Decoding is the same for both,
 whole unless it holds the piece mark U+2581 itself, which reads as a space.
 
 A null or empty text has no ids; no ids decode to an empty text, null ids to null.  A text of any length is
-encoded whole, rows that repeat each by themselves; columns other than doc_id and text are not read.
+encoded whole, rows that repeat each by themselves, and an empty table gives an empty result; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ page or `.html`), and query (parameters sorted, without those that only track: `
 
 Null urls and urls without `://` have an empty host and path; no rule fits them, and they are allowed.  Null
 entries of the list are not used; repeated ones count once.  Every row of the pages is judged by itself, rows
-that repeat a page_id too; columns other than page_id and url are not read, whatever their names.
+that repeat a page_id too; an empty table gives an empty result, and an empty list blocks nothing; columns other than
+page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ moved.  Archives carry their task attempt in the name, and only those that the l
 read on, so what a lost or repeated task left behind does not count.  The folder must be one that all executors
 share.
 
-Null or empty html is an empty payload; such pages, too, are one response and revisits.  Rows
+A payload of any length is one record, held whole in a task.  An empty table writes no archive and gives an empty
+result; columns other than page_id, url and html are not read.  Null or empty html is an empty payload; such pages, too, are one response and revisits.  Rows
 that repeat the largest page_id of a payload are each a response.  A null page_id is written as such and is
 referred to by none.
 """

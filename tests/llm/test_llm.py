@@ -788,3 +788,17 @@ def test_small_dictionaries_are_emptied(monkeypatch):
     text = prose(random.Random(2), 400).encode()
     a, b = lz_fingerprint.sketch_both(text, text[:900] + b"xyz" * 50, 900)
     assert (a == lz_fingerprint.sketch(text)).all() and (b == lz_fingerprint.sketch(text[:900] + b"xyz" * 50)).all() and len(a) == lz_fingerprint.SIZE
+
+
+def test_archives_and_url_judgements_of_empty_tables_and_with_other_columns(spark, tmp_path):
+    kinds = "page_id long, url string, html string, payload_digest string, verdict string, rule int"
+    none = spark.createDataFrame([], kinds)
+    assert warc.archived(none, f"file://{tmp_path}/none").collect() == []
+    rows = [(1, "http://a.org/x", "same", "d", "v", 1), (2, None, "same", "d", "v", 2), (3, "http://b.net/es/1", None, None, None, None)]
+    pages = spark.createDataFrame(rows, kinds)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.archived(pages, f"file://{tmp_path}/some").collect()}
+    assert got == {1: ("revisit", 2, 4), 2: ("response", None, 4), 3: ("response", None, 0)}
+    listed = spark.createDataFrame([("http://a.org/x",)], "url string")
+    assert url_filter.filtered(none, listed).collect() == []
+    judged = lambda some: {r.page_id: r.verdict for r in url_filter.filtered(pages, some).collect()}
+    assert judged(listed) == {1: "block", 2: "allow", 3: "block"} and judged(listed.limit(0)) == {1: "allow", 2: "allow", 3: "block"}
