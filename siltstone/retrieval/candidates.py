@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.retrieval import neighbours
+from siltstone.retrieval import configurations, neighbours
 from siltstone.types import RRF_K, EngineError
 
 
@@ -39,9 +39,9 @@ def _bucket(term: Column) -> Column:
     return F.crc32(term.cast("binary")) % BUCKETS
 
 
-def write_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "content") -> None:
+def write_index(chunks: DataFrame, keys: list[str], folder: str, text: str = "content", configuration: str = "simple") -> None:
     """Write the postings of the chunks, in folders by their terms, so that a search reads its own terms' only."""
-    rows = postings(chunks, keys, text).withColumn("bucket", _bucket(F.col("term")).cast("int"))
+    rows = configurations.postings(postings(chunks, keys, text), keys, configuration).withColumn("bucket", _bucket(F.col("term")).cast("int"))
     rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(folder)
 
 
@@ -66,12 +66,12 @@ def query_parts(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
     return [a for a in alternatives if a], banned
 
 
-def _phrase(terms: list[str]) -> Column:
-    """Whether the chunk's map of positions holds the terms one after another."""
-    first = F.element_at("at", F.lit(terms[0]))
+def _phrase(terms: list[tuple[int, str]]) -> Column:
+    """Whether the chunk's map of positions holds the terms, each so far from the first."""
+    first = F.element_at("at", F.lit(terms[0][1]))
     if len(terms) == 1:
         return F.coalesce(F.size(first) > 0, F.lit(False))
-    follows = lambda p: _all([F.array_contains(F.element_at("at", F.lit(t)), p + i) for i, t in enumerate(terms[1:], 1)])
+    follows = lambda p: _all([F.array_contains(F.element_at("at", F.lit(t)), p + i) for i, t in terms[1:]])
     return F.coalesce(F.exists(first, follows), F.lit(False))
 
 
@@ -118,12 +118,20 @@ def _ranked(alternatives: list[list[int]]):
     return run
 
 
-def lexical(index: DataFrame, keys: list[str], query: str) -> DataFrame:
-    """Matching chunks and their `score`, by cover density. Only postings of the query's terms are read."""
-    alternatives, banned = query_parts(query)
-    if not alternatives:
+def lexical(index: DataFrame, keys: list[str], query: str, configuration: str = "simple") -> DataFrame:
+    """Matching chunks and their `score`, by cover density. Only postings of the query's terms are read.
+
+    The index must be of the same configuration.  What a query asks for besides stop words is matched; one of nothing
+    else matches nothing.
+    """
+    asked, denied = query_parts(query)
+    if not asked:
         raise EngineError("INVALID_ARGUMENT", "the query asks for no word")
-    terms = sorted({t for p in [p for a in alternatives for p in a] + banned for t in p})
+    alternatives = [a for a in ([p for p in (configurations.phrase(p, configuration) for p in a) if p] for a in asked) if a]
+    banned = [p for p in (configurations.phrase(p, configuration) for p in denied) if p]
+    if not alternatives:
+        return index.select(*keys, F.lit(0.0).alias("score")).limit(0)
+    terms = sorted({t for p in [p for a in alternatives for p in a] + banned for _, t in p})
     held = index.filter(F.col("term").isin(terms))
     if "bucket" in index.columns:
         held = held.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})))
@@ -133,9 +141,9 @@ def lexical(index: DataFrame, keys: list[str], query: str) -> DataFrame:
         match = match | _all([_phrase(p) for p in a])
     for p in banned:
         match = match & ~_phrase(p)
-    wanted = sorted({t for a in alternatives for p in a for t in p})
+    wanted = sorted({t for a in alternatives for p in a for _, t in p})
     positions = F.array(*[F.element_at("at", F.lit(t)) for t in wanted])
-    numbers = [sorted({wanted.index(t) for p in a for t in p}) for a in alternatives]
+    numbers = [sorted({wanted.index(t) for p in a for _, t in p}) for a in alternatives]
     return held.filter(match).withColumn("score", _ranked(numbers)(positions)).drop("at")
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.plans import retrievals
-from siltstone.retrieval import bundle, candidates, chunk, generations, neighbours, requests, search, vector_index
+from siltstone.retrieval import bundle, candidates, chunk, configurations, generations, neighbours, requests, search, vector_index
 from siltstone.types import EngineError
 
 
@@ -327,6 +327,38 @@ def test_recall_of_the_vector_index(spark, tmp_path, kind):
         assert np.allclose(again.at, index.at)
 
 
+#: Words and stems by the published rules, each for a rule of its own.
+STEMS = {
+    "caresses": "caress", "ties": "tie", "cries": "cri", "gas": "gas", "this": "this", "gaps": "gap", "kiwis": "kiwi", "us": "us", "agreed": "agre", "feed": "feed", "hopping": "hop", "hoping": "hope", "luxuriated": "luxuri", "troubling": "troubl",
+    "sized": "size", "bled": "bled", "sing": "sing", "cry": "cri", "by": "by", "say": "say", "relational": "relat", "conditional": "condit", "valenci": "valenc", "digitizer": "digit", "radicalli": "radic", "vietnamization": "vietnam", "predication": "predic",
+    "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "callousness": "callous", "formaliti": "formal", "sensitiviti": "sensit", "sensibiliti": "sensibl", "analogi": "analog", "happily": "happili", "triplicate": "triplic",
+    "formative": "format", "formalize": "formal", "electrical": "electr", "hopeful": "hope", "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt",
+    "communism": "communism", "activate": "activ", "effective": "effect", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "generate": "generat", "general": "general", "arsenal": "arsenal", "skies": "sky", "dying": "die", "news": "news", "inning": "inning",
+    "proceeds": "proceed", "youth": "youth", "boyish": "boyish", "knackeries": "knackeri", "consolations": "consol", "consisting": "consist", "consistency": "consist", "knightly": "knight", "geology": "geolog", "fluently": "fluentli",
+}
+
+
+def test_stems_by_their_rules():
+    assert {w: configurations.stem(w) for w in STEMS} == STEMS
+
+
+def test_a_configuration_reduces_texts_and_queries(spark, tmp_path):
+    texts = {1: "Repairs of the bridge were finished", 2: "the bridge repairing", 3: "A bridge and its repair", 4: "bridges repaired", 5: "repaired the bridges", 6: "nothing of this"}
+    chunks = spark.createDataFrame(list(texts.items()), "k int, content string")
+    candidates.write_index(chunks, ["k"], f"file://{tmp_path}/en", configuration="english")
+    candidates.write_index(chunks, ["k"], f"file://{tmp_path}/simple")
+    en, simple = (candidates.read_index(spark, f"file://{tmp_path}/{x}") for x in ("en", "simple"))
+    found = lambda q, index=en, c="english": sorted(r.k for r in candidates.lexical(index, ["k"], q, c).collect())
+    assert found("repairing bridges") == [1, 2, 3, 4, 5] and found("repairing bridges", simple, "simple") == []
+    # Stop words keep their place: "repair of the bridge" is two words three apart.
+    assert found('"repair of the bridge"') == [1] and found('"repaired a bridge"') == [5] and found('"bridge repair"') == [2, 4]
+    assert found("the of this") == [] and found("bridge -finishing") == [2, 3, 4, 5] and found("of or finish") == [1]
+    held = {(r.k, r.term): list(r.positions) for r in en.collect()}
+    assert held[1, "repair"] == [0] and (1, "the") not in held and held[3, "repair"] == [4]
+    with pytest.raises(EngineError):
+        candidates.write_index(chunks, ["k"], f"file://{tmp_path}/no", configuration="klingon")
+
+
 REFUSED = {
     "count": [
         "How many loans are late?", "count the broken sensors", "number of greenhouses in the valley", "What is the TOTAL rent?", "how much do we owe the nursery", "the quantity of seed", "how often did the pump stop", "how-many seedlings",
