@@ -145,7 +145,7 @@ def lexical_match_simple(spark, d):
 def lexical_match_english(spark, d):
     """Matches and ranks under the English configuration: stems, and stop words that only keep their place."""
     folder = scratch(spark, "postings")
-    chunks = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.col("text").alias("content"))
+    chunks = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     candidates.write_index(chunks, ["doc_id"], folder, configuration="english")
     found = candidates.lexical(candidates.read_index(spark, folder), ["doc_id"], 'reading or "worth of the" -nothing', "english")
     return found.select("doc_id", F.round("score", 9).alias("score"))
