@@ -147,7 +147,7 @@ def lexical_match_english(spark, d):
     folder = scratch(spark, "postings")
     chunks = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     candidates.write_index(chunks, ["doc_id"], folder, configuration="english")
-    found = candidates.lexical(candidates.read_index(spark, folder), ["doc_id"], 'reading or "worth of the" -nothing', "english")
+    found = candidates.lexical(candidates.read_index(spark, folder), ["doc_id"], 'relied or edges -une', "english")
     return found.select("doc_id", F.round("score", 9).alias("score"))
 
 
