@@ -59,19 +59,19 @@ def _pieces(stride: int):
     return run
 
 
-def parts(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES) -> DataFrame:
+def parts(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES, most: int | None = None) -> DataFrame:
     """(section, part, rows, bytes, sha256, body) of lines (section, key, line); keys order a section's lines, which end with a line break.
 
-    Parts are numbered from 0 within their section.  A part holds at most `part_bytes`, whatever a line's length.
+    Parts are numbered from 0 within their section.  A part holds at most `part_bytes`, whatever a line's length.  There
+    are as many as the lines fill; `most`, where given, refuses lines that no so many parts hold.
     """
     unknown = lines.filter(~F.col("section").isin(*SECTIONS) | F.col("line").isNull() | ~F.col("line").endswith("\n") | (F.instr("line", "\n") < F.char_length("line")))
     if not unknown.isEmpty():
         raise EngineError("UNPROCESSABLE", "a line is of a known section, and ends with its one line break")
     stride = part_bytes - 3
     placed = _placed(lines, folder)
-    held = placed.agg(F.sum("bytes")).first()[0] or 0
-    if held > MAX_PARTS * part_bytes:
-        raise EngineError("RESULT_TOO_LARGE", f"more than {MAX_PARTS} parts", limit="parts")
+    if most is not None and (placed.agg(F.sum("bytes")).first()[0] or 0) > most * part_bytes:
+        raise EngineError("RESULT_TOO_LARGE", f"more than {most} parts", limit="parts")
     cut = placed.select("section", "line", "at").mapInArrow(_pieces(stride), "section string, part long, at long, piece string")
     # A part has at most part_bytes.  Pieces without bytes, of lines whose start moved back, are none.
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s.piece), "")
@@ -83,7 +83,8 @@ def parts(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES) -> DataFr
 def export(lines: DataFrame, folder: str, scratch: str, job: str, space: dict, boundary: dict, part_bytes: int = PART_BYTES) -> dict:
     """Write the parts and, last, the manifest; the digest of the manifest, and how many parts there are with it."""
     spark = lines.sparkSession
-    parts(lines, scratch, part_bytes).write.partitionBy("section").parquet(f"{folder}/parts")
+    # A manifest lists at most MAX_PARTS.
+    parts(lines, scratch, part_bytes, MAX_PARTS).write.partitionBy("section").parquet(f"{folder}/parts")
     told = sorted(_told(spark, folder).collect(), key=lambda r: (SECTIONS.index(r.section), r.part))  # at most MAX_PARTS
     if len(told) > MAX_PARTS:
         raise EngineError("RESULT_TOO_LARGE", f"{len(told)} parts", limit="parts")

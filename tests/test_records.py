@@ -308,6 +308,16 @@ def test_a_space_goes_out_and_comes_back(spark, tmp_path):
     assert space_export.parts(spark.createDataFrame([], "section string, key string, line string"), f"file://{tmp_path}/none").collect() == []
 
 
+def test_only_a_manifest_bounds_the_parts_of_a_space(spark, tmp_path):
+    n = space_export.MAX_PARTS + 500
+    lines = spark.range(n).select(F.lit("events").alias("section"), F.format_string("%06d", "id").alias("key"), F.concat(F.format_string("%015d", "id"), F.lit("\n")).alias("line"))
+    rows = sorted(space_export.parts(lines, f"file://{tmp_path}/placed", 16).collect(), key=lambda r: r.part)
+    assert [r.part for r in rows] == list(range(-(-n * 16 // 13))) and "".join(r.body for r in rows) == "".join(f"{i:015}\n" for i in range(n))
+    with pytest.raises(EngineError, match="RESULT_TOO_LARGE"):
+        space_export.export(lines, f"file://{tmp_path}/export", f"file://{tmp_path}/again", "exp_1", {}, {}, 16)
+    assert facts.read_small(spark, f"file://{tmp_path}/export/manifest") is None
+
+
 def test_a_job_stops_between_its_cuts(spark, tmp_path):
     log = spark.createDataFrame([(f"r{i % 20}", 1 + i // 20, i + 1, "delete" if i == 25 else "create" if i < 20 else "replace", i) for i in range(60)], "record_id string, revision long, position long, op string, v long")
     partial = lambda df, cut: df.groupBy(*cut).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
