@@ -126,7 +126,7 @@ def _index(spark, d):
     key = (spark.sparkContext.applicationId, files.signature(table(spark, d, "documents")))
     if key not in _indexes:
         _indexes[key] = _built(spark, d)
-    return candidates.read_index(spark, _indexes[key])
+    return candidates.stored_index(spark, _indexes[key])
 
 
 def _refs(spark, d):
@@ -147,7 +147,7 @@ def lexical_match_english(spark, d):
     folder = scratch(spark, "postings")
     chunks = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     candidates.write_index(chunks, ["doc_id"], folder, configuration="english")
-    found = candidates.lexical(candidates.read_index(spark, folder), ["doc_id"], 'relied or edges -une', "english")
+    found = candidates.lexical(candidates.stored_index(spark, folder), ["doc_id"], 'relied or edges -une', "english")
     return found.select("doc_id", F.round("score", 9).alias("score"))
 
 
@@ -157,8 +157,7 @@ p AS (SELECT doc_id, term, count(*) AS n FROM w GROUP BY ALL)
 SELECT length(term) AS letters, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(n) AS BIGINT) AS positions FROM p GROUP BY 1""")
 def lexical_index_build(spark, d):
     """The index built anew: how many terms of each length, postings and positions it holds."""
-    rows = candidates.read_index(spark, _built(spark, d))
-    return rows.groupBy(F.length("term").cast("long").alias("letters")).agg(F.count_distinct("term").alias("terms"), F.count(F.lit(1)).alias("postings"), F.sum(F.size("positions").cast("long")).alias("positions"))
+    return candidates.extent(candidates.stored_index(spark, _built(spark, d)))
 
 
 _COVERS = r"""
@@ -246,7 +245,7 @@ def _kinds_found(spark, d, parts):
     hidden = cites.filter("source_collection_id = 'es'").select(F.col("claim_id").alias("ref_id")).distinct()
     collections = table(spark, d, "documents").select(F.col("lang").alias("collection_id")).distinct().withColumn("lifecycle", F.when(F.col("collection_id") == "de", "deleted").otherwise("active"))
     able = kinds.authority(records, entities, extractions, collections)
-    return search.search(search.Request("the and", limit=25, mode="lexical"), candidates.read_index(spark, _indexes[key]), None, able, readable, hidden)
+    return search.search(search.Request("the and", limit=25, mode="lexical"), candidates.stored_index(spark, _indexes[key]), None, able, readable, hidden)
 
 
 _KINDS_SQL = f"""

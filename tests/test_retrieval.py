@@ -108,6 +108,39 @@ def test_ranks_are_cover_densities(spark, query, alternatives, tmp_path):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
 
 
+def test_a_written_index_has_a_row_per_term_and_block(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "The", "\u00c9t\u00e9", "x1", "\u65e5\u672c", f"only{i}"], rng.integers(0, 60))) + rng.choice(["", ".", "  -- "]) for i in range(300)]
+    texts += [None, "", " ... ", "a " * 20000 + "last"]
+    # Two chunks of each key are two chunks.
+    rows = [(i // 2, f"d{i // 2}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, name string, content string").coalesce(1)
+    want = {}
+    for i, _, t in rows:
+        for term in set(held := re.findall(r"\w+", (t or "").lower())):
+            want.setdefault(term, []).append((i, f"d{i}", [p for p, w in enumerate(held) if w == term]))
+    for size, blocks in ((8 << 20, 1), (1 << 12, None)):
+        monkeypatch.setattr(candidates, "BLOCK_BYTES", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+        candidates.write_index(df, ["id", "name"], f"{tmp_path}/{size}")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        index = candidates.stored_index(spark, f"{tmp_path}/{size}")
+        made = index.filter("term IS NULL").count()
+        assert made == blocks if blocks else made > 10
+        assert index.filter("term IS NOT NULL").count() == (len(want) if blocks else index.select("term", "block").dropna().distinct().count())
+        got = {}
+        for r in candidates.read_index(spark, f"{tmp_path}/{size}").collect():
+            got.setdefault(r.term, []).append((r.id, r.name, r.positions))
+        assert {t: sorted(x) for t, x in got.items()} == {t: sorted(x) for t, x in want.items()}
+        told = {r.letters: (r.terms, r.postings, r.positions) for r in candidates.extent(index).collect()}
+        for n in told:
+            mine = [x for t, x in want.items() if len(t) == n]
+            assert told[n] == (len(mine), sum(map(len, mine)), sum(len(p) for x in mine for *_, p in x))
+        assert sorted(r.id for r in candidates.lexical(index, ["id"], "a").collect()) == sorted(i for i, *_ in want["a"])
+    big = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28, 2**35 - 1])
+    assert candidates._unpacked(candidates._packed(big)[0]).tolist() == big.tolist()
+
+
 def test_words_have_one_form(spark):
     text = "\ufb01ne \uff23\uff21\uff34 Stra\u00dfe"
     df = spark.createDataFrame([(1, text), (2, None)], "id long, content string")
